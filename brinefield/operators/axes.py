@@ -67,7 +67,12 @@ class Axis:
 
 
 def axis_index(axes: DataFrame, names: Sequence[str] = AXES) -> DataFrame:
-    """One lookup row per case: ``ax_<name>``, ``_lo``, ``_h`` and ``_map`` per axis."""
+    """One lookup row per case: ``ax_<name>``, ``_lo``, ``_h`` and ``_map`` per axis.
+
+    An index already built (and stored) passes through.
+    """
+    if f"ax_{names[0]}" in axes.columns:
+        return axes.select("case_id", *[c for c in axes.columns if c.split("_")[:2] in [["ax", n] for n in names]])
     rows = axes.groupBy("case_id").agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("axis") == n, F.struct("idx", "coord")))),
                     lambda s: s["coord"]).alias(f"ax_{n}") for n in names])

@@ -1,0 +1 @@
+"""Composed analyses over several operators."""

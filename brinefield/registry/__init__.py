@@ -1,6 +1,7 @@
 """Every registered query, with its SQL twin where SQL can express it."""
 
 from brinefield.registry.core import ORACLES, QUERIES
+from brinefield.registry.projections import with_ctes
 
 
 def queries():
@@ -10,7 +11,7 @@ def queries():
 
 def oracle_sql():
     _load()
-    return dict(ORACLES)
+    return {name: with_ctes(*parts) for name, parts in ORACLES.items()}
 
 
 def _load():

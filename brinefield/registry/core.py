@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from brinefield.registry.projections import Inputs, with_ctes
+from brinefield.registry.projections import Inputs
 from brinefield.runtime import tune
 
 QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, ctes)
+            ORACLES[name] = (sql, ctes)
         return fn
     return keep

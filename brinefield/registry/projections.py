@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinefield.operators.axes import axis_index
 from brinefield.runtime import cut
 
 # Axis values of every projected case (plain test data, not reference values).
@@ -98,6 +99,9 @@ CTES = {
     "cases": _plain(CASES),
     "grid": _plain(GRID),
     "axes": f"SELECT case_id, a.axis, a.idx, a.coord FROM cases CROSS JOIN (VALUES {_AXIS_ROWS}) a(axis, idx, coord)",
+    "ax_depth": "SELECT case_id, idx, coord AS depth FROM axes WHERE axis = 'depth'",
+    "ax_lat": "SELECT case_id, idx, coord AS lat FROM axes WHERE axis = 'lat'",
+    "ax_lon": "SELECT case_id, idx, coord AS lon FROM axes WHERE axis = 'lon'",
     "frames": "SELECT case_id, CAST(k AS INT) AS it, TIMESTAMP '2024-01-10 00:00:00' + k * INTERVAL 12 HOUR "
               f"AS ts FROM cases CROSS JOIN generate_series(0, {NT - 1}) g(k)",
     "frames_gap": "SELECT case_id, it, ts + CASE WHEN it >= 5 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS ts FROM frames",
@@ -115,7 +119,7 @@ CTES = {
     "seasons": _plain(SEASONS),
     "tracks": _plain(TRACKS),
 }
-NEEDS = {"axes": ("cases",), "frames": ("cases",), "frames_gap": ("frames",), "lattice": ("cases",),
+NEEDS = {"axes": ("cases",), "ax_depth": ("axes",), "ax_lat": ("axes",), "ax_lon": ("axes",), "frames": ("cases",), "frames_gap": ("frames",), "lattice": ("cases",),
          "dense": ("lattice", "grid"), "daily": ("calendar",), "gappy": ("daily",)}
 
 
@@ -138,7 +142,7 @@ def with_ctes(body: str, names: tuple[str, ...]) -> str:
         return body
     recursive = any("/*recursive*/" in CTES[n] for n in order) or "/*recursive*/" in body
     head = "WITH RECURSIVE " if recursive else "WITH "
-    ctes = ",\n".join(n if CTES[n].startswith("(") else f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'' if '/*recursive*/' in CTES[n] else 'MATERIALIZED '}({CTES[n]})" for n in order)
     body = body.strip()
     joiner = ",\n" if body.upper().startswith("WITH ") else "\n"
     if joiner == ",\n":
@@ -192,6 +196,11 @@ class Inputs:
             return self.cases.select("case_id", F.inline(entries))
         return self._small("axes", build)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """Axis lookup rows, stored like the axes."""
+        return self._small("index", lambda: axis_index(self.axes))
+
     def _frames(self, extra_from_5: int) -> DataFrame:
         hours = F.col("it") * 12 + F.when(F.col("it") >= 5, extra_from_5).otherwise(0)
         start = F.lit("2024-01-10 00:00:00").cast("timestamp")

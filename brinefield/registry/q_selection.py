@@ -10,8 +10,6 @@ from brinefield.registry.projections import NX, NY, NZ, register_cte
 BBOX = (85.5, 10.5, 87.25, 12.0)
 KEYS = ["case_id", "it", "iz", "iy", "ix"]
 
-for _name, _col in (("depth", "depth"), ("lat", "lat"), ("lon", "lon")):
-    register_cte(f"ax_{_name}", f"SELECT case_id, idx, coord AS {_col} FROM axes WHERE axis = '{_name}'", ("axes",))
 AX3 = ("ax_depth", "ax_lat", "ax_lon")
 COORDS = ("JOIN ax_depth zd ON zd.case_id = g.case_id AND zd.idx = g.iz JOIN ax_lat yd ON yd.case_id = g.case_id AND yd.idx = g.iy "
           "JOIN ax_lon xd ON xd.case_id = g.case_id AND xd.idx = g.ix")
@@ -164,7 +162,7 @@ SELECT p.event_id, p.case_id, p.it, p.lon, p.lat, p.depth_m, round(s.sampled, 6)
 """, ("grid", "spots", "cells_lon", "cells_lat", "cells_depth"))
 def p13(i):
     points = i.sql(SAMPLE_POINTS, "events").drop("ts")
-    return sel.trilinear_sample(points, i.cells, i.axes, "event_id").withColumn("sampled", F.round("sampled", 6))
+    return sel.trilinear_sample(points, i.cells, i.index, "event_id").withColumn("sampled", F.round("sampled", 6))
 
 
 @query("P14_normalize_longitude", """
@@ -222,7 +220,7 @@ SELECT case_id, profile_id, sample_index, lon, lat, epoch_us(ts) AS t_us FROM e
 def p17(i):
     good = lambda c: F.col(c).isin("1", "2")
     rows = i.obs.withColumn("coordinate_eligible", good("pressure_qc") & good("position_qc") & good("time_qc"))
-    return sel.first_eligible_position(rows, i.axes).select("case_id", "profile_id", "sample_index", "lon", "lat", F.unix_micros("ts").alias("t_us"))
+    return sel.first_eligible_position(rows, i.index).select("case_id", "profile_id", "sample_index", "lon", "lat", F.unix_micros("ts").alias("t_us"))
 
 
 def _fx(c):
@@ -248,7 +246,7 @@ SELECT p.event_id, CASE WHEN t NOT BETWEEN (SELECT min(a) FROM tc) AND (SELECT m
 FROM p LEFT JOIN s USING (event_id)""", ("grid", "frames", "spots", "cells_lon", "cells_lat"))
 def c20(i):
     points = i.sql(SAMPLE_POINTS, "events").select("event_id", "case_id", "lon", "lat", "ts")
-    out = sel.space_time_sample(points, i.grid, i.axes, i.frames, "event_id", 1)
+    out = sel.space_time_sample(points, i.grid, i.index, i.frames, "event_id", 1)
     return out.select("event_id", "status", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
 
 
@@ -285,7 +283,7 @@ JOIN edges y ON y.case_id = z.case_id AND y.axis = 'lat' JOIN edges x ON x.case_
 SELECT g.case_id, g.iz, g.iy, g.ix, round(vol, 4) AS volume_km3 FROM grid g JOIN vol_window v USING (case_id, iz, iy, ix) WHERE it = 0""",
        ("grid", "vol_window"))
 def w2(i):
-    geometry = ax.grid_geometry(ax.axis_index(i.axes), 10.0, 160.0)
+    geometry = ax.grid_geometry(i.index, 10.0, 160.0)
     rows = i.cells.filter("it = 0").join(geometry, "case_id")
     return rows.select("case_id", "iz", "iy", "ix", F.round(ax.cell_volume(), 4).alias("volume_km3"))
 
