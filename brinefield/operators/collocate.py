@@ -60,38 +60,47 @@ def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
     """
     lat, lon = F.col("lat"), F.col("lon")
     ya, xa = Axis("lat"), Axis("lon")
-    p = points.withColumns({"_x0": xa.floor_index(lon), "_y0": ya.floor_index(lat)})
+    p = barrier(points, {"_x0": xa.floor_index(lon), "_y0": ya.floor_index(lat)})
     p = p.withColumns({"_x1": F.least(F.col("_x0") + 1, xa.size - 1), "_y1": F.least(F.col("_y0") + 1, ya.size - 1)})
 
     def far(y, x):
         return haversine_km(lat, lon, ya.at(y), xa.at(x))
 
     corner = F.least(*[far(F.col(y), F.col(x)) for y in ("_y0", "_y1") for x in ("_x0", "_x1")])
-    p = p.withColumn("_reach", F.degrees((corner + F.lit(tie_km)) / EARTH_RADIUS_KM) * (1 + 1e-9) + 1e-9)
-    p = p.withColumns({"_from": ya.floor_index(lat - F.col("_reach")), "_to": ya.ceil_index(lat + F.col("_reach"))})
+    p = barrier(p, {"_reach": F.degrees((corner + F.lit(tie_km)) / EARTH_RADIUS_KM) * (1 + 1e-9) + 1e-9})
+    rows = F.sequence(ya.floor_index(lat - F.col("_reach")), ya.ceil_index(lat + F.col("_reach")))
     wide = ~xa.covers(lon) | (xa.last - xa.first > 180)
     xs = F.when(wide, F.array("_x0", "_x1", F.lit(0), xa.size - 1)).otherwise(F.array("_x0", "_x1"))
-    p = p.withColumn("_xs", F.array_distinct(xs))
-    pairs = F.flatten(F.transform(F.sequence("_from", "_to"), lambda y: F.transform(
-        F.col("_xs"), lambda x: F.struct(far(y, x).alias("d"), y.alias("iy"), x.alias("ix")))))
-    p = p.withColumn("_pairs", pairs)
-    best = F.array_min("_pairs")
-    if tie_km:
-        limit = best["d"] + tie_km
-        tied = F.transform(F.filter("_pairs", lambda s: s["d"] <= limit),
-                           lambda s: F.struct(s["iy"].alias("iy"), s["ix"].alias("ix"), s["d"].alias("d")))
-        best = F.array_min(tied)
-    p = p.withColumn("_near", best)
+    pairs = F.flatten(F.transform(rows, lambda y: F.transform(
+        xs, lambda x: F.struct(far(y, x).alias("d"), y.alias("iy"), x.alias("ix")))))
+    if not tie_km:
+        best = F.array_min(pairs)
+    else:
+        p = barrier(p, {"_pairs": pairs})
+        limit = F.array_min("_pairs")["d"] + tie_km
+        best = F.array_min(F.transform(F.filter("_pairs", lambda s: s["d"] <= limit),
+                                       lambda s: F.struct(s["iy"].alias("iy"), s["ix"].alias("ix"), s["d"].alias("d"))))
+    p = barrier(p, {"_near": best})
     near = F.col("_near")
     return p.select(*points.columns, near["iy"].alias("iy"), near["ix"].alias("ix"), near["d"].alias("distance_km"))
 
 
+def barrier(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    Later filters and null checks on these columns stay above the generator.
+    Through a plain projection the optimizer would push them down by copying
+    the whole expression, and stacked stages would multiply.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def vertical_bracket(points: DataFrame, z: str = "depth_m") -> DataFrame:
     """C4: levels around a depth; an exact level is both; null outside the axis."""
     axis = Axis("depth")
     inside = axis.covers(F.col(z))
     low, high = axis.floor_index(F.col(z)), axis.ceil_index(F.col(z))
-    return (points.withColumns({"iz_lower": F.when(inside, low), "iz_upper": F.when(inside, high)})
+    return (barrier(points, {"iz_lower": F.when(inside, low), "iz_upper": F.when(inside, high)})
             .withColumns({"lower_depth_m": axis.at(F.col("iz_lower")), "upper_depth_m": axis.at(F.col("iz_upper"))}))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brinefield.functions.digest import multiset_digest
 from brinefield.functions.geo import haversine_km
 from brinefield.operators.axes import Axis, axis_index, cell_volume, flat_index, grid_geometry
-from brinefield.operators.collocate import nearest_column
+from brinefield.operators.collocate import barrier, nearest_column
 from brinefield.operators.components import components
 from brinefield.runtime import cut
 
@@ -220,8 +220,8 @@ def depth_bin(z: Column) -> Column:
 
 def obs_to_region(matches: DataFrame, labels: DataFrame, index: DataFrame, depth_min: float, depth_max: float) -> DataFrame:
     """C17: every accepted sample that falls in a labelled cell, one row per (region, sample)."""
-    rows = (matches.filter(F.col("accepted") & F.col("depth_m").between(depth_min, depth_max)).join(axis_index(index, ["depth"]), "case_id")
-            .withColumn("iz", depth_bin(F.col("depth_m"))))
+    rows = (matches.filter(F.col("accepted") & F.col("depth_m").between(depth_min, depth_max)).join(axis_index(index, ["depth"]), "case_id"))
+    rows = barrier(rows, {"iz": depth_bin(F.col("depth_m"))})
     rows = rows.filter(Axis("depth").at(F.col("iz")).between(depth_min, depth_max)).select(
         "case_id", "it", *CELL, "profile_id", "sample_index", "depth_m")
     return rows.join(labels.select(*REGION, *CELL), ["case_id", "it", *CELL])

@@ -82,7 +82,7 @@ register_regions("rs", "(0, 17), (1, 18), (2, 19)")
 
 
 def labels(i, rules=BASE):
-    return cut(label_regions(i.cells, i.index, rules, ZMIN, ZMAX))
+    return label_regions(i.cells, i.index, rules, ZMIN, ZMAX)
 
 
 def run(i, rules=BASE):
@@ -228,7 +228,7 @@ register_cte("stations", f"""
 WITH s AS ({_ST}), n AS (SELECT s.case_id, s.station, min(struct_pack(d := 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(y.lat - s.lat) / 2), 2)
   + cos(radians(s.lat)) * cos(radians(y.lat)) * pow(sin(radians(x.lon - s.lon) / 2), 2)))), iy := y.idx, ix := x.idx)) AS b
   FROM s JOIN ax_lat y USING (case_id) JOIN ax_lon x USING (case_id) GROUP BY 1, 2),
- st AS (SELECT a.*, coalesce({_H.format(a='p', b='a')}, 0) AS step FROM s a LEFT JOIN s p ON p.case_id = a.case_id AND p.station = a.station - 1)
+ st AS (SELECT a.*, CASE WHEN p.lat IS NULL THEN 0 ELSE {_H.format(a='p', b='a')} END AS step FROM s a LEFT JOIN s p ON p.case_id = a.case_id AND p.station = a.station - 1)
 SELECT st.case_id, st.station, st.lon, st.lat, n.b.iy AS iy, n.b.ix AS ix, n.b.d AS offset_km, sum(step) OVER (PARTITION BY st.case_id ORDER BY st.station) AS along_km,
   10 + 0.25 * n.b.iy AS model_lat, 85 + 0.25 * n.b.ix AS model_lon FROM st JOIN n USING (case_id, station)""", AX3 + ("cases",))
 KM = {"offset_km": F.round("offset_km", 6), "along_km": F.round("along_km", 6), "lon": F.round("lon", 6), "lat": F.round("lat", 6)}
