@@ -44,3 +44,13 @@ def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
             body = F.concat(F.lit("s"), F.length(text).cast("string"), F.lit(":"), text)
         parts += [F.lit(name), F.coalesce(body, F.lit("z"))]
     return F.concat_ws("|", *parts)
+
+
+def exact_sum(value: Column, places: int) -> Column:
+    """A5: sum that does not depend on row order or partitioning.
+
+    Values go to fixed point first; decimal addition is exact, so partial sums
+    combine to the same total on any cluster layout, where a fixed visiting
+    order would need one task per group.
+    """
+    return F.sum(value.cast(f"decimal(28,{places})")).cast("double")

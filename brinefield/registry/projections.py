@@ -114,7 +114,9 @@ CTES = {
                 "CROSS JOIN generate_series(DATE '1995-01-01', DATE '2001-07-31', INTERVAL 1 DAY) k(d)",
     "daily": "SELECT c.loc, c.d, CAST(coalesce(k.n, 0) AS DOUBLE) + 0.25e0 * CAST(coalesce(k.m, 0) AS DOUBLE) AS v "
              f"FROM calendar c LEFT JOIN ({_plain(DAILY_COUNTS)}) k ON c.loc = k.loc AND c.d = k.d",
-    "gappy": "SELECT loc, d, CASE WHEN year(d) >= 2000 AND day(d) % 11 = 0 THEN NULL ELSE v END AS v FROM daily",
+    "gappy": "SELECT loc, d, CASE WHEN year(d) >= 2000 AND day(d) % 11 = 0 THEN NULL WHEN year(d) >= 2000 AND (k < 7 OR k BETWEEN 9 AND 15 OR k BETWEEN 18 AND 23) "
+             "THEN v + 8 ELSE v END AS v FROM (SELECT *, (datediff('day', DATE '1999-01-01', d) + loc * 3) % 41 AS k FROM daily WHERE year(d) >= 1999 UNION ALL "
+             "SELECT *, 0 FROM daily WHERE year(d) < 1999) t",
     "monthly": _plain(MONTHLY),
     "seasons": _plain(SEASONS),
     "tracks": _plain(TRACKS),
@@ -237,8 +239,12 @@ class Inputs:
 
     @cached_property
     def gappy(self) -> DataFrame:
-        hole = (F.year("d") >= 2000) & (F.dayofmonth("d") % 11 == 0)
-        return self.daily.withColumn("v", F.when(~hole, F.col("v")))
+        """Daily values with warm spells and missing days in the analysis years."""
+        late = F.year("d") >= 2000
+        k = (F.datediff("d", F.lit("1999-01-01").cast("date")) + F.col("loc") * 3) % 41
+        warm = late & ((k < 7) | k.between(9, 15) | k.between(18, 23))
+        value = F.when(late & (F.dayofmonth("d") % 11 == 0), None).when(warm, F.col("v") + 8).otherwise(F.col("v"))
+        return self.daily.withColumn("v", value)
 
     @cached_property
     def monthly(self) -> DataFrame:

@@ -1 +1,124 @@
+"""Station planning queries."""
 
+from pyspark.sql import functions as F
+
+from brinefield.operators import columns as wc
+from brinefield.operators import planning as pl
+from brinefield.registry.core import query
+from brinefield.registry.projections import register_cte
+from brinefield.runtime import cut
+
+LEVEL, BUDGET, SPACING, FRAMES = 1, 5, 40.0, (2, 4, 6)
+DESIGNS = [pl.Design("selected", "gradient"), pl.Design("uniform", "coverage")] + [pl.Design(f"random-{k}", "random", k) for k in range(5)]
+STEP = 3
+LAT, LON = "(10 + 0.25 * iy)", "(85 + 0.25 * ix)"
+
+
+def prior(i):
+    return i.cells.filter((F.col("it") == 0) & (F.col("iz") == LEVEL))
+
+
+def split(i):
+    g = wc.field_gradient(prior(i), i.axes).select("case_id", "iy", "ix", "value", "lat", "lon", "gradient")
+    return pl.lattice_split(g, pl.grid_sizes(i.axes), STEP)
+
+
+def candidates(i):
+    return split(i).filter(F.col("role") == "candidate").select("case_id", "flat", "lon", "lat", "value", "gradient")
+
+
+register_cte("roles", f"""SELECT case_id, iy, ix, value, iy * 15 + ix AS flat, CASE WHEN (iy % {STEP} = 0 OR iy = 11) AND (ix % {STEP} = 0 OR ix = 14) THEN 'candidate' ELSE 'evaluation' END AS role
+FROM grid WHERE it = 0 AND iz = {LEVEL} AND value IS NOT NULL""", ("grid",))
+
+
+@query("F6_lattice_split", "SELECT case_id, iy, ix, flat, role FROM roles", ("roles",))
+def f6(i):
+    return split(i).select("case_id", "iy", "ix", "flat", "role")
+
+
+@query("F8_seeded_permutation", """SELECT case_id, flat, row_number() OVER (PARTITION BY case_id ORDER BY md5('7:' || CAST(flat AS VARCHAR)), flat) AS place FROM roles WHERE role = 'candidate'""", ("roles",))
+def f8(i):
+    from pyspark.sql import Window
+    key = pl.seeded_key(F.lit(7), F.col("flat"))
+    order = Window.partitionBy("case_id").orderBy(key, "flat")
+    return candidates(i).select("case_id", "flat", F.row_number().over(order).alias("place"))
+
+
+@query("F7_farthest_point_select")
+def f7(i):
+    """Greedy rounds; tested against a brute-force search on a small fixture."""
+    return pl.station_plan(pl.select_stations(candidates(i), DESIGNS[:2], BUDGET, SPACING))
+
+
+_RANDOM = f"""
+WITH RECURSIVE c AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, md5('0:' || CAST(flat AS VARCHAR)) AS k FROM roles WHERE role = 'candidate'),
+ s(case_id, n, flats, flat) AS (SELECT case_id, 1, [arg_min(flat, (k, flat))], arg_min(flat, (k, flat)) FROM c GROUP BY 1
+ UNION ALL SELECT s.case_id, s.n + 1, list_append(s.flats, p.flat), p.flat FROM s, LATERAL (SELECT arg_min(c.flat, (c.k, c.flat)) AS flat FROM c WHERE c.case_id = s.case_id
+   AND NOT list_contains(s.flats, c.flat) AND list_min(list_transform(s.flats, lambda f: 2 * 6371.0088 * asin(sqrt(pow(sin(radians(10 + 0.25 * (f // 15) - c.lat) / 2), 2)
+     + cos(radians(c.lat)) * cos(radians(10 + 0.25 * (f // 15))) * pow(sin(radians(85 + 0.25 * (f % 15) - c.lon) / 2), 2))))) + 1e-10 >= {SPACING}) p
+ WHERE s.n < {BUDGET} AND p.flat IS NOT NULL)
+SELECT case_id, n AS station, flat FROM s"""
+
+
+@query("F7_random_baseline", _RANDOM, ("roles",))
+def f7b(i):
+    plan = pl.station_plan(pl.select_stations(candidates(i), [pl.Design("random-0", "random", 0)], BUDGET, SPACING))
+    return plan.select("case_id", "station", "flat")
+
+
+_D = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))"
+
+
+@query("F10_idw_reconstruct", f"""
+WITH st AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, row_number() OVER (PARTITION BY case_id ORDER BY flat) AS k, value FROM roles WHERE role = 'candidate'),
+ s AS (SELECT st.*, g.value - st.value AS r FROM st JOIN grid g ON g.case_id = st.case_id AND g.it = 2 AND g.iz = {LEVEL} AND g.iy * 15 + g.ix = st.flat WHERE st.k <= 12 AND g.value IS NOT NULL),
+ t AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, value AS prior FROM roles),
+ p AS (SELECT t.case_id, t.flat, t.prior, s.r, s.k, {_D.format(a='t.lat', b='s.lat', c='t.lon', d='s.lon')} AS d FROM t JOIN s USING (case_id))
+SELECT case_id, flat, round(any_value(prior) + CASE WHEN min(d) = 0 THEN arg_min(r, d) ELSE sum(r / (d * d)) / sum(1 / (d * d)) END, 6) AS reconstructed FROM (SELECT *, min(d) OVER (PARTITION BY case_id, flat) AS dm FROM p) q
+WHERE dm > 0 OR d = 0 GROUP BY 1, 2""", ("roles", "grid"))
+def f10(i):
+    from pyspark.sql import Window
+    rows = split(i)
+    k = F.row_number().over(Window.partitionBy("case_id").orderBy("flat"))
+    st = rows.filter("role = 'candidate'").withColumn("station", k).filter("station <= 12")
+    later = i.cells.filter(f"it = 2 and iz = {LEVEL} and value is not null").select("case_id", "iy", "ix", F.col("value").alias("truth"))
+    stations = st.join(later, ["case_id", "iy", "ix"]).select("case_id", "station", "lon", "lat", (F.col("truth") - F.col("value")).alias("residual"))
+    targets = rows.select("case_id", "flat", "lat", "lon", F.col("value").alias("prior"))
+    return pl.reconstruct(targets, stations, ["case_id"]).select("case_id", "flat", F.round("reconstructed", 6).alias("reconstructed"))
+
+
+def experiment(i):
+    rows = cut(split(i))
+    pool = rows.filter("role = 'candidate'").select("case_id", "flat", "lon", "lat", "value", "gradient")
+    chosen = pl.select_stations(pool, DESIGNS, BUDGET, SPACING)
+    evaluation = rows.filter("role = 'evaluation'").select("case_id", "flat", "lat", "lon", F.col("value").alias("prior"))
+    sizes = pl.grid_sizes(i.axes).select("case_id", "nx")
+    truth = i.cells.filter(F.col("iz") == LEVEL).join(sizes, "case_id").select("case_id", "it", (F.col("iy") * F.col("nx") + F.col("ix")).cast("bigint").alias("flat"), "value")
+    return pl.holdout_evaluation(chosen, evaluation, truth, FRAMES, BUDGET)
+
+
+@query("F11_holdout_evaluation")
+def f11(i):
+    """All designs and persistence at the held-out frames; tested against a brute-force run."""
+    return experiment(i).withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "bias")})
+
+
+@query("F11_persistence", f"""
+SELECT r.case_id, g.it, count(*) AS evaluation_count, round(sqrt(avg(pow(r.value - g.value, 2))), 6) AS rmse, round(avg(abs(r.value - g.value)), 6) AS mae, round(avg(r.value - g.value), 6) AS bias
+FROM roles r JOIN grid g ON g.case_id = r.case_id AND g.iz = {LEVEL} AND g.iy = r.iy AND g.ix = r.ix AND g.it IN {FRAMES} AND g.value IS NOT NULL WHERE r.role = 'evaluation' GROUP BY 1, 2""", ("roles", "grid"))
+def f11b(i):
+    return experiment(i).filter("design = 'persistence'").select("case_id", "it", "evaluation_count", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")])
+
+
+@query("F12_station_plan")
+def f12(i):
+    return pl.station_plan(pl.select_stations(candidates(i), DESIGNS, BUDGET, SPACING)).withColumn("nearest_km", F.round("nearest_km", 6))
+
+
+RUNS = """SELECT user_id % 4 AS strategy, event_id, CASE WHEN event_id % 5 = 0 OR user_id % 40 = 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 64 AS DOUBLE) / 8 END AS rmse FROM {events}"""
+
+
+@query("A12_strategy_summary", f"""SELECT strategy, count(rmse) FILTER (WHERE status = 'ok') AS successful_runs, count(*) FILTER (WHERE status <> 'ok') AS failed_runs,
+  round(avg(rmse) FILTER (WHERE status = 'ok'), 6) AS mean_rmse, min(rmse) FILTER (WHERE status = 'ok') AS min_rmse, max(rmse) FILTER (WHERE status = 'ok') AS max_rmse FROM ({RUNS.format(events='events')}) t GROUP BY 1""")
+def a12(i):
+    return pl.strategy_summary(i.sql(RUNS, "events"), "strategy").withColumn("mean_rmse", F.round("mean_rmse", 6))
