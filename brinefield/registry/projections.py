@@ -142,14 +142,11 @@ def with_ctes(body: str, names: tuple[str, ...]) -> str:
         visit(name)
     if not order:
         return body
-    recursive = any("/*recursive*/" in CTES[n] for n in order) or "/*recursive*/" in body
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    ctes = ",\n".join(f"{n} AS {'' if '/*recursive*/' in CTES[n] else 'MATERIALIZED '}({CTES[n]})" for n in order)
     body = body.strip()
-    joiner = ",\n" if body.upper().startswith("WITH ") else "\n"
-    if joiner == ",\n":
-        body = body[5:]
-    return head + ctes + joiner + body
+    recursive = any("/*recursive*/" in CTES[n] for n in order) or body.startswith("WITH RECURSIVE ")
+    ctes = ",\n".join(f"{n} AS {'' if '/*recursive*/' in CTES[n] else 'MATERIALIZED '}({CTES[n]})" for n in order)
+    own = next((body[len(w):] for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), None)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ctes + (",\n" + own if own is not None else "\n" + body)
 
 
 _settled: dict[tuple[str, str, str], DataFrame] = {}
