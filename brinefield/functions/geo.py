@@ -13,12 +13,17 @@ METRES_PER_DEGREE = 111120.0
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance; the square-root argument is clamped to [0, 1]."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+    a = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2))
+         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2)))
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
 
 
+def haversine_text(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """C1 as SQL text, for use inside larger expressions and lambdas."""
+    a = (f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)")
+    return f"({2 * EARTH_RADIUS_KM!r}D * asin(sqrt(least(1D, greatest(0D, {a})))))"
+
+
 def normalize_longitude(lon: Column) -> Column:
     """Longitude in [-180, 180); values already inside keep their exact float."""
     wrapped = F.pmod(lon + 180.0, F.lit(360.0)) - 180.0

@@ -20,50 +20,92 @@ AXES = ("depth", "lat", "lon")
 INDEX_OF = {"depth": "iz", "lat": "iy", "lon": "ix"}
 
 
+class AxisText:
+    """SQL text over the ``ax_<name>`` columns that ``axis_index`` attaches."""
+
+    def __init__(self, name: str):
+        self.coords, self.low, self.step, self.lookup = (f"ax_{name}{s}" for s in ("", "_lo", "_h", "_map"))
+        self.size = f"size({self.coords})"
+        self.first, self.last = self.at("0"), self.at(f"{self.size} - 1")
+
+    def at(self, index: str) -> str:
+        return f"get({self.coords}, cast({index} as int))"
+
+    def covers(self, value: str) -> str:
+        return f"({value} >= {self.first} AND {value} <= {self.last})"
+
+    def floor_index(self, value: str) -> str:
+        """Index of the last coordinate <= value, clamped to the axis."""
+        bucket = f"cast(greatest(0, least(floor(({value} - {self.low}) / {self.step}), size({self.lookup}) - 1)) as int)"
+        guess = f"get({self.lookup}, {bucket})"
+        return (f"cast({guess} + CASE WHEN {self.at(guess + ' + 1')} <= {value} THEN 1 ELSE 0 END"
+                f" - CASE WHEN {self.at(guess)} > {value} AND {guess} > 0 THEN 1 ELSE 0 END AS int)")
+
+    def ceil_index(self, value: str) -> str:
+        """Index of the first coordinate >= value, clamped to the axis."""
+        low = self.floor_index(value)
+        return f"cast(least({self.size} - 1, CASE WHEN {self.at(low)} >= {value} THEN {low} ELSE {low} + 1 END) as int)"
+
+    def cell_index(self, value: str) -> str:
+        """Lower index of the interpolation cell holding value (last cell closed)."""
+        return f"cast(least({self.floor_index(value)}, {self.size} - 2) as int)"
+
+    def nearest_index(self, value: str) -> str:
+        """Nearest coordinate, the lower one on a tie."""
+        low = self.floor_index(value)
+        high = f"least({low} + 1, {self.size} - 1)"
+        return f"cast(CASE WHEN abs({self.at(high)} - {value}) < abs({self.at(low)} - {value}) THEN {high} ELSE {low} END as int)"
+
+
 class Axis:
-    """Expressions over the ``ax_<name>`` columns that ``axis_index`` attaches."""
+    """The same expressions as columns; values are column names."""
 
     def __init__(self, name: str):
+        self._text = AxisText(name)
         self.coords = F.col(f"ax_{name}")
-        self.low, self.step, self.lookup = (F.col(f"ax_{name}_{s}") for s in ("lo", "h", "map"))
-        self.size = F.size(self.coords)
 
-    def at(self, index: Column) -> Column:
-        return F.get(self.coords, index.cast("int"))
+    @property
+    def size(self) -> Column:
+        return F.expr(self._text.size)
 
     @property
     def first(self) -> Column:
-        return self.at(F.lit(0))
+        return F.expr(self._text.first)
 
     @property
     def last(self) -> Column:
-        return self.at(self.size - 1)
+        return F.expr(self._text.last)
+
+    def at(self, index: Column) -> Column:
+        return F.get(self.coords, index.cast("int"))
 
-    def covers(self, value: Column) -> Column:
+    def covers(self, value: str | Column) -> Column:
+        if isinstance(value, str):
+            return F.expr(self._text.covers(value))
         return (value >= self.first) & (value <= self.last)
 
-    def floor_index(self, value: Column) -> Column:
-        """Index of the last coordinate <= value, clamped to the axis."""
-        bucket = F.greatest(F.lit(0), F.least(F.floor((value - self.low) / self.step), F.size(self.lookup) - 1))
-        guess = F.get(self.lookup, bucket.cast("int"))
-        up = F.when(self.at(guess + 1) <= value, 1).otherwise(0)
-        down = F.when((self.at(guess) > value) & (guess > 0), 1).otherwise(0)
-        return (guess + up - down).cast("int")
+    def floor_index(self, value: str) -> Column:
+        return F.expr(self._text.floor_index(value))
 
-    def ceil_index(self, value: Column) -> Column:
-        """Index of the first coordinate >= value, clamped to the axis."""
-        low = self.floor_index(value)
-        return F.least(self.size - 1, F.when(self.at(low) >= value, low).otherwise(low + 1)).cast("int")
+    def ceil_index(self, value: str) -> Column:
+        return F.expr(self._text.ceil_index(value))
 
-    def cell_index(self, value: Column) -> Column:
-        """Lower index of the interpolation cell holding value (last cell closed)."""
-        return F.least(self.floor_index(value), self.size - 2).cast("int")
+    def cell_index(self, value: str) -> Column:
+        return F.expr(self._text.cell_index(value))
 
-    def nearest_index(self, value: Column) -> Column:
-        """Nearest coordinate, the lower one on a tie."""
-        low = self.floor_index(value)
-        high = F.least(low + 1, self.size - 1)
-        return F.when(F.abs(self.at(high) - value) < F.abs(self.at(low) - value), high).otherwise(low).cast("int")
+    def nearest_index(self, value: str) -> Column:
+        return F.expr(self._text.nearest_index(value))
+
+
+def barrier(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns, given as SQL text, through a one-row generator.
+
+    Later filters and null checks on these columns stay above the generator.
+    Through a plain projection the optimizer would push them down by copying
+    the whole expression, and stacked stages would multiply.
+    """
+    fields = ", ".join(f"'{n}', {text}" for n, text in columns.items())
+    return df.selectExpr("*", f"inline(array(named_struct({fields})))")
 
 
 def axis_index(axes: DataFrame, names: Sequence[str] = AXES) -> DataFrame:
@@ -83,14 +125,11 @@ def axis_index(axes: DataFrame, names: Sequence[str] = AXES) -> DataFrame:
 
 def _add_lookup(rows: DataFrame, name: str) -> DataFrame:
     """Bucket width is the smallest spacing, so a bucket starts at most one coordinate."""
-    a, low, step = F.col(f"ax_{name}"), F.col(f"ax_{name}_lo"), F.col(f"ax_{name}_h")
-    gaps = F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(a, i) - F.get(a, i - 1))
-    buckets = F.floor((F.get(a, F.size(a) - 1) - low) / step).cast("int")
-    below = F.transform(F.sequence(F.lit(0), buckets),
-                        lambda k: F.greatest(F.lit(0), F.size(F.filter(a, lambda c: c <= low + k * step)) - 1))
-    return (rows.withColumns({f"ax_{name}_lo": F.get(a, F.lit(0)),
-                              f"ax_{name}_h": F.when(F.size(a) > 1, F.array_min(gaps)).otherwise(F.lit(1.0))})
-            .withColumn(f"ax_{name}_map", below))
+    a, low, step = f"ax_{name}", f"ax_{name}_lo", f"ax_{name}_h"
+    rows = rows.selectExpr("*", f"get({a}, 0) AS {low}",
+                           f"CASE WHEN size({a}) > 1 THEN array_min(transform(sequence(1, size({a}) - 1), i -> get({a}, i) - get({a}, i - 1))) ELSE 1D END AS {step}")
+    buckets = f"cast(floor((get({a}, size({a}) - 1) - {low}) / {step}) as int)"
+    return rows.selectExpr("*", f"transform(sequence(0, {buckets}), k -> greatest(0, size(filter({a}, c -> c <= {low} + k * {step})) - 1)) AS {a}_map")
 
 
 def frame_index(frames: DataFrame) -> DataFrame:
@@ -134,13 +173,13 @@ def midpoint_edges(axes: DataFrame) -> DataFrame:
     return axes.select("case_id", "axis", "idx", "coord", low.alias("edge_low"), high.alias("edge_high"))
 
 
-def _edges(a: Column) -> Column:
-    middles = F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: (F.get(a, i - 1) + F.get(a, i)) / 2)
-    return F.concat(F.array(F.get(a, F.lit(0))), middles, F.array(F.get(a, F.size(a) - 1)))
+def _edges(a: str) -> str:
+    return f"concat(array(get({a}, 0)), transform(sequence(1, size({a}) - 1), i -> (get({a}, i - 1) + get({a}, i)) / 2), array(get({a}, size({a}) - 1)))"
 
 
-def _pairs(edges: Column, fn) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: fn(F.get(edges, i), F.get(edges, i + 1)))
+def _pairs(edges: str, body: str) -> str:
+    text = body.replace("<a>", f"get({edges}, i)").replace("<b>", f"get({edges}, i + 1)")
+    return f"transform(sequence(0, size({edges}) - 2), i -> {text})"
 
 
 def grid_geometry(index: DataFrame, depth_min: float | None = None, depth_max: float | None = None) -> DataFrame:
@@ -149,24 +188,21 @@ def grid_geometry(index: DataFrame, depth_min: float | None = None, depth_max: f
     The shell factor is the expanded difference of cubes, which keeps precision
     when a thin layer sits under a large radius.
     """
-    r = EARTH_RADIUS_M
-    lo = F.lit(depth_min) if depth_min is not None else F.get("ax_depth", F.lit(0))
-    hi = F.lit(depth_max) if depth_max is not None else F.get("ax_depth", F.size("ax_depth") - 1)
-    clipped = F.transform(_edges(F.col("ax_depth")), lambda e: F.least(F.greatest(e, lo), hi))
-    out = index.withColumns({"ed_depth": clipped, "ed_lat": _edges(F.col("ax_lat")), "ed_lon": _edges(F.col("ax_lon"))})
-    return out.withColumns({
-        "vf_depth": _pairs(F.col("ed_depth"), lambda a, b: (b - a) * (3 * r * r - 3 * r * (a + b) + a * a + a * b + b * b) / 3),
-        "vf_lat": _pairs(F.col("ed_lat"), lambda a, b: F.sin(F.radians(b)) - F.sin(F.radians(a))),
-        "vf_lon": _pairs(F.col("ed_lon"), lambda a, b: F.radians(b - a)),
-    })
+    r = f"{EARTH_RADIUS_M!r}D"
+    lo = f"{float(depth_min)!r}D" if depth_min is not None else "get(ax_depth, 0)"
+    hi = f"{float(depth_max)!r}D" if depth_max is not None else "get(ax_depth, size(ax_depth) - 1)"
+    out = index.selectExpr("*", f"transform({_edges('ax_depth')}, e -> least(greatest(e, {lo}), {hi})) AS ed_depth",
+                           f"{_edges('ax_lat')} AS ed_lat", f"{_edges('ax_lon')} AS ed_lon")
+    shell = f"(<b> - <a>) * (3 * {r} * {r} - 3 * {r} * (<a> + <b>) + <a> * <a> + <a> * <b> + <b> * <b>) / 3"
+    return out.selectExpr("*", f"{_pairs('ed_depth', shell)} AS vf_depth", f"{_pairs('ed_lat', 'sin(radians(<b>)) - sin(radians(<a>))')} AS vf_lat",
+                          f"{_pairs('ed_lon', 'radians(<b> - <a>)')} AS vf_lon")
 
 
 def cell_volume() -> Column:
     """Volume in km3 of the cell ``(iz, iy, ix)`` on a row carrying ``grid_geometry``."""
-    return (F.get("vf_depth", F.col("iz")) * F.get("vf_lat", F.col("iy")) * F.get("vf_lon", F.col("ix"))) / 1e9
+    return F.expr("get(vf_depth, iz) * get(vf_lat, iy) * get(vf_lon, ix) / 1e9D")
 
 
 def flat_index() -> Column:
     """Depth-major flat index of a cell on a row carrying ``axis_index``."""
-    ny, nx = F.size("ax_lat"), F.size("ax_lon")
-    return ((F.col("iz").cast("long") * ny + F.col("iy")) * nx + F.col("ix")).cast("long")
+    return F.expr("(cast(iz as bigint) * size(ax_lat) + iy) * size(ax_lon) + ix")

@@ -13,18 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinefield.functions.geo import EARTH_RADIUS_KM, haversine_km
+from brinefield.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_text
 from brinefield.functions.qc import strict_coordinates, strict_value
 from brinefield.functions.scalars import hours_between
-from brinefield.operators.axes import Axis, axis_index
+from brinefield.operators.axes import AxisText, axis_index, barrier
 
 SALTS = 4096
-SETTING_COLUMNS = ("setting_id", "it", "time_window_hours", "distance_limit_km", "max_vertical_gap_m", "good_only")
-MATCH_COLUMNS = (
-    "setting_id", "case_id", "profile_id", "it", "sample_index", "observation_time", "latitude", "longitude", "depth_m",
-    "observed", "qc", "mode", "time_offset_hours", "distance_km", "model_latitude", "model_longitude", "iy", "ix",
-    "lower_depth_m", "upper_depth_m", "model_lower_value", "model_upper_value", "upper_weight", "model", "residual",
-    "reason", "accepted")
 
 
 @dataclass(frozen=True)
@@ -41,11 +35,10 @@ class MatchSettings:
 
 def with_settings(readings: DataFrame, settings: Sequence[MatchSettings]) -> DataFrame:
     """One copy of every reading per setting."""
-    items = F.array(*[F.struct(
-        F.lit(s.setting_id).alias("setting_id"), F.lit(s.it).alias("it"), F.lit(float(s.time_window_hours)).alias("time_window_hours"),
-        F.lit(float(s.distance_km)).alias("distance_limit_km"), F.lit(float(s.max_vertical_gap_m)).alias("max_vertical_gap_m"),
-        F.lit(s.good_only).alias("good_only")) for s in settings])
-    return readings.select("*", F.inline(items))
+    items = ", ".join(
+        f"named_struct('setting_id', {s.setting_id}, 'it', {s.it}, 'time_window_hours', {float(s.time_window_hours)!r}D, 'distance_limit_km', {float(s.distance_km)!r}D, "
+        f"'max_vertical_gap_m', {float(s.max_vertical_gap_m)!r}D, 'good_only', {str(s.good_only).lower()})" for s in settings)
+    return readings.selectExpr("*", f"inline(array({items}))")
 
 
 def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
@@ -58,54 +51,32 @@ def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
     bracketing distance cannot win. Ties take the first latitude-major column;
     with ``tie_km`` every candidate within that margin counts as tied.
     """
-    lat, lon = F.col("lat"), F.col("lon")
-    ya, xa = Axis("lat"), Axis("lon")
-    p = barrier(points, {"_x0": xa.floor_index(lon), "_y0": ya.floor_index(lat)})
-    p = p.withColumns({"_x1": F.least(F.col("_x0") + 1, xa.size - 1), "_y1": F.least(F.col("_y0") + 1, ya.size - 1)})
-
-    def far(y, x):
-        return haversine_km(lat, lon, ya.at(y), xa.at(x))
-
-    corner = F.least(*[far(F.col(y), F.col(x)) for y in ("_y0", "_y1") for x in ("_x0", "_x1")])
-    p = barrier(p, {"_reach": F.degrees((corner + F.lit(tie_km)) / EARTH_RADIUS_KM) * (1 + 1e-9) + 1e-9})
-    rows = F.sequence(ya.floor_index(lat - F.col("_reach")), ya.ceil_index(lat + F.col("_reach")))
-    wide = ~xa.covers(lon) | (xa.last - xa.first > 180)
-    xs = F.when(wide, F.array("_x0", "_x1", F.lit(0), xa.size - 1)).otherwise(F.array("_x0", "_x1"))
-    pairs = F.flatten(F.transform(rows, lambda y: F.transform(
-        xs, lambda x: F.struct(far(y, x).alias("d"), y.alias("iy"), x.alias("ix")))))
+    y, x = AxisText("lat"), AxisText("lon")
+
+    def far(row, col):
+        return haversine_text("lat", "lon", y.at(row), x.at(col))
+
+    p = barrier(points, {"_x0": x.floor_index("lon"), "_y0": y.floor_index("lat")})
+    corner = ", ".join(far(r, c) for r in ("_y0", f"least(_y0 + 1, {y.size} - 1)") for c in ("_x0", f"least(_x0 + 1, {x.size} - 1)"))
+    p = barrier(p, {"_reach": f"degrees((least({corner}) + {tie_km!r}D) / {EARTH_RADIUS_KM!r}D) * (1 + 1e-9D) + 1e-9D"})
+    p = barrier(p, {"_rows": f"sequence({y.floor_index('(lat - _reach)')}, {y.ceil_index('(lat + _reach)')})",
+                    "_cols": f"CASE WHEN NOT {x.covers('lon')} OR {x.last} - {x.first} > 180 THEN array(_x0, least(_x0 + 1, {x.size} - 1), 0, {x.size} - 1) "
+                             f"ELSE array(_x0, least(_x0 + 1, {x.size} - 1)) END"})
+    pairs = f"flatten(transform(_rows, r -> transform(_cols, c -> named_struct('d', {far('r', 'c')}, 'iy', r, 'ix', c))))"
     if not tie_km:
-        best = F.array_min(pairs)
+        p = barrier(p, {"_near": f"array_min({pairs})"})
     else:
-        p = barrier(p, {"_pairs": pairs})
-        limit = F.array_min("_pairs")["d"] + tie_km
-        best = F.array_min(F.transform(F.filter("_pairs", lambda s: s["d"] <= limit),
-                                       lambda s: F.struct(s["iy"].alias("iy"), s["ix"].alias("ix"), s["d"].alias("d"))))
-    p = barrier(p, {"_near": best})
-    near = F.col("_near")
-    return p.select(*points.columns, near["iy"].alias("iy"), near["ix"].alias("ix"), near["d"].alias("distance_km"))
-
-
-def barrier(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns through a one-row generator.
-
-    Later filters and null checks on these columns stay above the generator.
-    Through a plain projection the optimizer would push them down by copying
-    the whole expression, and stacked stages would multiply.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+        p = barrier(barrier(p, {"_pairs": pairs}), {"_near": f"array_min(transform(filter(_pairs, s -> s.d <= array_min(_pairs).d + {tie_km!r}D), "
+                                                             "s -> named_struct('iy', s.iy, 'ix', s.ix, 'd', s.d)))"})
+    return p.selectExpr(*points.columns, "_near.iy AS iy", "_near.ix AS ix", "_near.d AS distance_km")
 
 
 def vertical_bracket(points: DataFrame, z: str = "depth_m") -> DataFrame:
     """C4: levels around a depth; an exact level is both; null outside the axis."""
-    axis = Axis("depth")
-    inside = axis.covers(F.col(z))
-    low, high = axis.floor_index(F.col(z)), axis.ceil_index(F.col(z))
-    return (barrier(points, {"iz_lower": F.when(inside, low), "iz_upper": F.when(inside, high)})
-            .withColumns({"lower_depth_m": axis.at(F.col("iz_lower")), "upper_depth_m": axis.at(F.col("iz_upper"))}))
-
-
-def upper_weight(z: Column, lower: Column, upper: Column) -> Column:
-    return F.when(lower == upper, F.lit(0.0)).otherwise((z - lower) / (upper - lower))
+    axis = AxisText("depth")
+    inside = axis.covers(z)
+    marked = barrier(points, {"iz_lower": f"CASE WHEN {inside} THEN {axis.floor_index(z)} END", "iz_upper": f"CASE WHEN {inside} THEN {axis.ceil_index(z)} END"})
+    return marked.selectExpr("*", f"{axis.at('iz_lower')} AS lower_depth_m", f"{axis.at('iz_upper')} AS upper_depth_m")
 
 
 def attach_bracket(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -125,42 +96,44 @@ def attach_bracket(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 def early_reason() -> Column:
     """C8, first part: gates that need no field value, in fixed order."""
-    lat, lon = Axis("lat"), Axis("lon")
+    inside = f"coalesce({AxisText('lat').covers('lat')} AND {AxisText('lon').covers('lon')}, false)"
     strict = F.col("good_only")
-    return (F.when(F.col("held"), "source_review")
-            .when(~F.col("has_variable"), "variable_unavailable")
-            .when(~F.col("compatible"), "incompatible_variable")
-            .when(~F.col("coordinate_eligible") | (strict & ~strict_coordinates(
-                F.col("scheme"), F.col("pressure_qc"), F.col("position_qc"), F.col("time_qc"))), "coordinate_qc")
-            .when(F.col("value").isNull(), "missing_value")
-            .when(~F.col("value_accepted") | (strict & ~strict_value(F.col("scheme"), F.col("qc"))), "observation_qc")
-            .when(F.col("depth_m").isNull() | (F.col("depth_m") < 0), "invalid_depth")
-            .when(~F.coalesce(lat.covers(F.col("lat")) & lon.covers(F.col("lon")), F.lit(False)), "outside_domain")
+    narrow = ~strict_coordinates(F.col("scheme"), F.col("pressure_qc"), F.col("position_qc"), F.col("time_qc"))
+    return (F.when(F.col("held"), "source_review").when(F.expr("NOT has_variable"), "variable_unavailable")
+            .when(F.expr("NOT compatible"), "incompatible_variable")
+            .when(F.expr("NOT coordinate_eligible") | (strict & narrow), "coordinate_qc").when(F.expr("value IS NULL"), "missing_value")
+            .when(F.expr("NOT value_accepted") | (strict & ~strict_value(F.col("scheme"), F.col("qc"))), "observation_qc")
+            .when(F.expr("depth_m IS NULL OR depth_m < 0"), "invalid_depth").when(F.expr(f"NOT {inside}"), "outside_domain")
             .when(~within_time_window(), "time_window"))
 
 
 def within_time_window() -> Column:
     """Inclusive on both sides of the frame."""
-    return F.abs(F.col("time_offset_hours")) <= F.col("time_window_hours")
+    return F.expr("abs(time_offset_hours) <= time_window_hours")
 
 
 def late_reason() -> Column:
     """C8, second part: C7 limits and bracket support, inclusive, in fixed order."""
-    return (F.when(F.col("distance_km") > F.col("distance_limit_km"), "distance")
-            .when(F.col("iz_lower").isNull(), "depth_outside")
-            .when(F.col("model_lower_value").isNull() | F.col("model_upper_value").isNull(), "masked_bracket")
-            .when(F.col("upper_depth_m") - F.col("lower_depth_m") > F.col("max_vertical_gap_m"), "vertical_gap")
-            .otherwise("accepted"))
+    return F.expr("""CASE WHEN distance_km > distance_limit_km THEN 'distance' WHEN iz_lower IS NULL THEN 'depth_outside'
+        WHEN model_lower_value IS NULL OR model_upper_value IS NULL THEN 'masked_bracket'
+        WHEN upper_depth_m - lower_depth_m > max_vertical_gap_m THEN 'vertical_gap' ELSE 'accepted' END""")
 
 
 def gated(readings: DataFrame, axes: DataFrame, frames: DataFrame) -> DataFrame:
     """Readings with settings, axis lookups, time offset and early reason."""
-    times = frames.select("case_id", "it", F.col("ts").alias("frame_time"))
+    times = frames.selectExpr("case_id", "it", "ts AS frame_time")
     return (readings.join(times, ["case_id", "it"]).join(axis_index(axes), "case_id")
             .withColumn("time_offset_hours", hours_between(F.col("ts"), F.col("frame_time")))
             .withColumn("early", early_reason()))
 
 
+MODEL_SIDE = {"distance_km": "double", "model_latitude": "double", "model_longitude": "double", "iy": "int", "ix": "int",
+              "lower_depth_m": "double", "upper_depth_m": "double", "model_lower_value": "double", "model_upper_value": "double",
+              "upper_weight": "double", "model": "double", "residual": "double"}
+OBSERVED_SIDE = ["setting_id", "case_id", "profile_id", "it", "sample_index", "ts AS observation_time", "lat AS latitude", "lon AS longitude",
+                 "depth_m", "value AS observed", "qc", "mode", "time_offset_hours"]
+
+
 def collocate(readings: DataFrame, cells: DataFrame, axes: DataFrame, frames: DataFrame) -> DataFrame:
     """One match row per reading and setting, with exactly one reason.
 
@@ -168,29 +141,18 @@ def collocate(readings: DataFrame, cells: DataFrame, axes: DataFrame, frames: Da
     branches union. The model side of a rejected row is null from the gate on.
     """
     rows = gated(readings, axes, frames)
-    base = ["setting_id", "case_id", "profile_id", "it", "sample_index", F.col("ts").alias("observation_time"),
-            F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "depth_m", F.col("value").alias("observed"),
-            "qc", "mode", "time_offset_hours"]
-    kinds = {"distance_km": "double", "model_latitude": "double", "model_longitude": "double", "iy": "int", "ix": "int",
-             "lower_depth_m": "double", "upper_depth_m": "double", "model_lower_value": "double", "model_upper_value": "double",
-             "upper_weight": "double", "model": "double", "residual": "double"}
-    rejected = rows.filter(F.col("early").isNotNull()).select(
-        *base, *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()],
-        F.col("early").alias("reason"), F.lit(False).alias("accepted"))
-    near = vertical_bracket(nearest_column(rows.filter(F.col("early").isNull())))
-    close = F.col("distance_km") <= F.col("distance_limit_km")
-    near = near.withColumns({n: F.when(close, F.col(n)) for n in ("iz_lower", "iz_upper", "lower_depth_m", "upper_depth_m")})
-    near = near.select(*base[:5], "ts", "lat", "lon", "depth_m", "value", "qc", "mode", "time_offset_hours", "distance_km", "iy", "ix",
-                       Axis("lat").at(F.col("iy")).alias("model_latitude"), Axis("lon").at(F.col("ix")).alias("model_longitude"),
-                       "iz_lower", "iz_upper", "lower_depth_m", "upper_depth_m", "distance_limit_km", "max_vertical_gap_m")
-    met = attach_bracket(near, cells).withColumn("reason", late_reason())
-    ok = F.col("reason") == "accepted"
-    weight = F.when(ok, upper_weight(F.col("depth_m"), F.col("lower_depth_m"), F.col("upper_depth_m")))
-    met = met.withColumn("upper_weight", weight).withColumn("model", F.when(
-        ok, F.col("model_lower_value") + (F.col("model_upper_value") - F.col("model_lower_value")) * F.col("upper_weight")))
-    survived = met.select(
-        *base, *[(F.col("model") - F.col("value")).alias("residual") if n == "residual" else F.col(n) for n in kinds],
-        "reason", ok.alias("accepted"))
+    rejected = rows.filter("early IS NOT NULL").selectExpr(
+        *OBSERVED_SIDE, *[f"cast(NULL AS {kind}) AS {name}" for name, kind in MODEL_SIDE.items()], "early AS reason", "false AS accepted")
+    near = vertical_bracket(nearest_column(rows.filter("early IS NULL")))
+    close = [f"CASE WHEN distance_km <= distance_limit_km THEN {n} END AS {n}" for n in ("iz_lower", "iz_upper", "lower_depth_m", "upper_depth_m")]
+    near = near.selectExpr("setting_id", "case_id", "profile_id", "it", "sample_index", "ts", "lat", "lon", "depth_m", "value", "qc", "mode", "time_offset_hours",
+                           "distance_km", "iy", "ix", f"{AxisText('lat').at('iy')} AS model_latitude", f"{AxisText('lon').at('ix')} AS model_longitude", *close,
+                           "distance_limit_km", "max_vertical_gap_m")
+    met = attach_bracket(near, cells).withColumn("reason", late_reason()).selectExpr("*", "reason = 'accepted' AS accepted")
+    met = met.selectExpr("*", "CASE WHEN accepted THEN CASE WHEN lower_depth_m = upper_depth_m THEN 0D "
+                         "ELSE (depth_m - lower_depth_m) / (upper_depth_m - lower_depth_m) END END AS upper_weight")
+    met = met.selectExpr("*", "model_lower_value + (model_upper_value - model_lower_value) * upper_weight AS model")
+    survived = met.selectExpr(*OBSERVED_SIDE, *["model - value AS residual" if n == "residual" else n for n in MODEL_SIDE], "reason", "accepted")
     return rejected.unionByName(survived)
 
 

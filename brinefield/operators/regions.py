@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from brinefield.functions.digest import multiset_digest
 from brinefield.functions.geo import haversine_km
-from brinefield.operators.axes import Axis, axis_index, cell_volume, flat_index, grid_geometry
-from brinefield.operators.collocate import barrier, nearest_column
+from brinefield.operators.axes import Axis, AxisText, axis_index, barrier, cell_volume, flat_index, grid_geometry
+from brinefield.operators.collocate import nearest_column
 from brinefield.operators.components import components
 from brinefield.runtime import cut
 
@@ -210,18 +210,18 @@ def section_observations(matches: DataFrame, stations: DataFrame, depth_min: flo
                     F.col("_best.d").alias("distance_to_station_km")))
 
 
-def depth_bin(z: Column) -> Column:
+def depth_bin(z: str) -> str:
     """C17: midpoint bin of a depth; an exact midpoint goes deeper, the last bin is closed, -1 above the grid."""
-    axis = Axis("depth")
+    axis = AxisText("depth")
     low = axis.floor_index(z)
-    mid = (axis.at(low) + axis.at(low + 1)) / 2
-    return F.when(z < axis.first, F.lit(-1)).when(z >= mid, low + 1).otherwise(low).cast("int")
+    mid = f"({axis.at(low)} + {axis.at(low + ' + 1')}) / 2"
+    return f"cast(CASE WHEN {z} < {axis.first} THEN -1 WHEN {z} >= {mid} THEN {low} + 1 ELSE {low} END as int)"
 
 
 def obs_to_region(matches: DataFrame, labels: DataFrame, index: DataFrame, depth_min: float, depth_max: float) -> DataFrame:
     """C17: every accepted sample that falls in a labelled cell, one row per (region, sample)."""
     rows = (matches.filter(F.col("accepted") & F.col("depth_m").between(depth_min, depth_max)).join(axis_index(index, ["depth"]), "case_id"))
-    rows = barrier(rows, {"iz": depth_bin(F.col("depth_m"))})
+    rows = barrier(rows, {"iz": depth_bin("depth_m")})
     rows = rows.filter(Axis("depth").at(F.col("iz")).between(depth_min, depth_max)).select(
         "case_id", "it", *CELL, "profile_id", "sample_index", "depth_m")
     return rows.join(labels.select(*REGION, *CELL), ["case_id", "it", *CELL])

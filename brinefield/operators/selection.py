@@ -211,9 +211,9 @@ def trilinear_sample(points: DataFrame, cells: DataFrame, axes: DataFrame, key:
     """
     lon, lat, depth = Axis("lon"), Axis("lat"), Axis("depth")
     p = points.join(axis_index(axes), "case_id").filter(
-        lon.covers(F.col("lon")) & lat.covers(F.col("lat")) & depth.covers(F.col("depth_m")))
+        lon.covers("lon") & lat.covers("lat") & depth.covers("depth_m"))
     for axis, value, i, f in ((lon, "lon", "i", "fx"), (lat, "lat", "j", "fy"), (depth, "depth_m", "k", "fz")):
-        p = p.withColumn(f"_{i}", axis.cell_index(F.col(value)))
+        p = p.withColumn(f"_{i}", axis.cell_index(value))
         p = p.withColumn(f"_{f}", (F.col(value) - axis.at(F.col(f"_{i}"))) / (axis.at(F.col(f"_{i}") + 1) - axis.at(F.col(f"_{i}"))))
 
     def part(bit, f):
@@ -239,14 +239,14 @@ def space_time_sample(points: DataFrame, grid: DataFrame, axes: DataFrame, frame
     p = points.join(axis_index(axes, ["lat", "lon"]), "case_id").join(frame_index(frames), "case_id")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     p = p.withColumn("_t", seconds)
-    p = p.withColumns({"_i": lon.cell_index(F.col("lon")), "_j": lat.cell_index(F.col("lat")), "_k": time.cell_index(F.col("_t"))})
+    p = p.withColumns({"_i": lon.cell_index("lon"), "_j": lat.cell_index("lat"), "_k": time.cell_index("_t")})
 
     def fraction(axis, value, i):
         return (F.col(value) - axis.at(F.col(i))) / (axis.at(F.col(i) + 1) - axis.at(F.col(i)))
 
     p = p.withColumns({"_fx": fraction(lon, "lon", "_i"), "_fy": fraction(lat, "lat", "_j"), "_ft": fraction(time, "_t", "_k"),
-                       "_gate": F.when(~time.covers(F.col("_t")), "forcing_exhausted")
-                       .when(~(lon.covers(F.col("lon")) & lat.covers(F.col("lat"))), "outside").otherwise("in")})
+                       "_gate": F.when(~time.covers("_t"), "forcing_exhausted")
+                       .when(~(lon.covers("lon") & lat.covers("lat")), "outside").otherwise("in")})
 
     def part(bit, f):
         return F.col(f) if bit else 1 - F.col(f)
@@ -323,7 +323,7 @@ def first_eligible_position(readings: DataFrame, axes: DataFrame | None = None)
     if axes is not None:
         lon, lat = Axis("lon"), Axis("lat")
         rows = rows.join(axis_index(axes, ["lat", "lon"]), "case_id").filter(
-            lon.covers(longitude_on_axis(F.col("lon"), lon.first, lon.last)) & lat.covers(F.col("lat")))
+            lon.covers(longitude_on_axis(F.col("lon"), lon.first, lon.last)) & lat.covers("lat"))
     first = F.min_by(F.struct(normalize_longitude(F.col("lon")).alias("lon"), "lat", "ts"), F.col("sample_index"))
     return rows.groupBy("case_id", "profile_id").agg(first.alias("_f"), F.min("sample_index").alias("sample_index")).select(
         "case_id", "profile_id", "sample_index", "_f.*")
@@ -333,7 +333,7 @@ def nearest_axis_location(points: DataFrame, axes: DataFrame) -> DataFrame:
     """Requested positions moved to the nearest grid coordinates, the lower one on a tie."""
     lon, lat = Axis("lon"), Axis("lat")
     p = points.join(axis_index(axes, ["lat", "lon"]), "case_id")
-    i, j = lon.nearest_index(F.col("lon")), lat.nearest_index(F.col("lat"))
+    i, j = lon.nearest_index("lon"), lat.nearest_index("lat")
     return p.select(*points.columns, i.alias("ix"), j.alias("iy"), lon.at(i).alias("grid_lon"), lat.at(j).alias("grid_lat"))
 
 

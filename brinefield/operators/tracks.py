@@ -78,8 +78,8 @@ def segment_support(segments: DataFrame, grid: DataFrame, index: DataFrame, fram
     """
     lon, lat, time = Axis("lon"), Axis("lat"), Axis("time")
     s = segments.join(axis_index(index, ["lat", "lon"]), "case_id").join(frame_index(frames), "case_id")
-    s = s.withColumns({"_x0": lon.cell_index(F.col("lon0")), "_x1": lon.cell_index(F.col("lon1")), "_y0": lat.cell_index(F.col("lat0")),
-                       "_y1": lat.cell_index(F.col("lat1")), "_k0": time.floor_index(F.col("t0")), "_k1": time.ceil_index(F.col("t1"))})
+    s = s.withColumns({"_x0": lon.cell_index("lon0"), "_x1": lon.cell_index("lon1"), "_y0": lat.cell_index("lat0"),
+                       "_y1": lat.cell_index("lat1"), "_k0": time.floor_index("t0"), "_k1": time.ceil_index("t1")})
     def span(a, b):
         return F.sequence(F.least(a, b), F.greatest(a, b))
     need = (s.select(key, "case_id", F.explode(span("_k0", "_k1")).alias("it"), "_x0", "_x1", "_y0", "_y1")

@@ -231,7 +231,7 @@ WITH s AS ({_ST}), n AS (SELECT s.case_id, s.station, min(struct_pack(d := 2 * 6
  st AS (SELECT a.*, CASE WHEN p.lat IS NULL THEN 0 ELSE {_H.format(a='p', b='a')} END AS step FROM s a LEFT JOIN s p ON p.case_id = a.case_id AND p.station = a.station - 1)
 SELECT st.case_id, st.station, st.lon, st.lat, n.b.iy AS iy, n.b.ix AS ix, n.b.d AS offset_km, sum(step) OVER (PARTITION BY st.case_id ORDER BY st.station) AS along_km,
   10 + 0.25 * n.b.iy AS model_lat, 85 + 0.25 * n.b.ix AS model_lon FROM st JOIN n USING (case_id, station)""", AX3 + ("cases",))
-KM = {"offset_km": F.round("offset_km", 6), "along_km": F.round("along_km", 6), "lon": F.round("lon", 6), "lat": F.round("lat", 6)}
+KM = lambda: {c: F.round(c, 6) for c in ("offset_km", "along_km", "lon", "lat")}
 _KM = "round(offset_km, 6) AS offset_km, round(along_km, 6) AS along_km, round(s.lon, 6) AS lon, round(s.lat, 6) AS lat"
 
 
@@ -242,7 +242,7 @@ LEFT JOIN rb_labels l ON l.case_id = s.case_id AND l.it = 2 AND l.iz = z.idx AND
 WHERE s.case_id IN (SELECT case_id FROM cases)""", ("stations", "rb_labels", "grid"))
 def c14(i):
     st = rg.stations_along(i.index, START, END, N)
-    return rg.section_sample(i.cells, labels(i), i.axes, st, 2, ZMIN, ZMAX).withColumns(KM)
+    return rg.section_sample(i.cells, labels(i), i.axes, st, 2, ZMIN, ZMAX).withColumns(KM())
 
 
 @query("C15_section_observations", f"""
@@ -260,7 +260,7 @@ SELECT s.case_id, s.station, s.iy, s.ix, s.model_lat, s.model_lon, {_KM}, g.valu
 LEFT JOIN grid g ON g.case_id = s.case_id AND g.it = 5 AND g.iz = 2 AND g.iy = s.iy AND g.ix = s.ix
 JOIN (SELECT case_id, count(DISTINCT iy * 15 + ix) AS n FROM stations GROUP BY 1) u ON u.case_id = s.case_id""", ("stations", "grid"))
 def c16(i):
-    return rg.survey_sample(i.cells, rg.stations_along(i.index, START, END, N, 1e-10), 5, 2).withColumns(KM)
+    return rg.survey_sample(i.cells, rg.stations_along(i.index, START, END, N, 1e-10), 5, 2).withColumns(KM())
 
 
 register_cte("linked", """

@@ -21,14 +21,14 @@ def profile_model_overlap(profiles: DataFrame, cases: DataFrame, frames: DataFra
     """
     time = Axis("time")
     p = profiles.join(cases.withColumnsRenamed({"depth_min": "_zmin", "depth_max": "_zmax"}), "case_id").join(frame_index(frames), "case_id")
-    seconds = F.unix_seconds(F.date_trunc("second", "time")).cast("double")
-    near = time.nearest_index(seconds)
+    p = p.withColumn("_sec", F.unix_seconds(F.date_trunc("second", "time")).cast("double"))
+    near = time.nearest_index("_sec")
     spatial = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
     vertical = F.coalesce(F.greatest("depth_min", "_zmin") <= F.least("depth_max", "_zmax"), F.lit(False)) & F.col("depth_min").isNotNull()
-    temporal = time.covers(seconds)
+    temporal = time.covers("_sec")
     return p.select("case_id", "profile_id", spatial.alias("spatial"), temporal.alias("temporal"), vertical.alias("vertical"),
                     (spatial & temporal & vertical & (F.col("eligible_samples") > 0)).alias("eligible"), near.alias("nearest_it"),
-                    (seconds - time.at(near)).cast("bigint").alias("offset_seconds"))
+                    (F.col("_sec") - time.at(near)).cast("bigint").alias("offset_seconds"))
 
 
 def catalog(profiles: DataFrame, frames: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def compare(spark_frame: pd.DataFrame, oracle_frame: pd.DataFrame) -> str:
 def session(cores="8"):
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master(f"local[{cores}]").appName("parity").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-            .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+            .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
 
 
