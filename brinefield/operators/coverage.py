@@ -6,9 +6,12 @@ the rows of a profile, so one huge profile is just one more group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinefield.operators.windows import split_row_number
+from brinefield.runtime import cut
+
 PROFILE = ["setting_id", "case_id", "profile_id"]
 
 
@@ -74,13 +77,14 @@ def sweep_difference(matches: DataFrame, reference: int) -> DataFrame:
 def rank_profiles(coverage: DataFrame, by: str = "time") -> DataFrame:
     """Profiles with accepted rows, closest first or by largest residual.
 
-    Ranks come from the sort: each case's profiles rank in one window over one
-    row per profile.
+    A case may hold a large share of all profiles, so ranks are cut along the
+    leading value (minutes of offset, or eighths of the residual). The per-profile
+    table is written first, since ranking reads it twice.
     """
     orders = {"time": [F.col("min_abs_offset"), F.col("distance_min"), F.col("profile_id")],
               "residual": [F.col("max_abs_residual").desc(), F.col("profile_id")]}
-    window = Window.partitionBy("setting_id", "case_id").orderBy(*orders[by])
-    return coverage.filter(F.col("matched") > 0).withColumn("rank", F.row_number().over(window))
+    chunks = {"time": F.floor(F.col("min_abs_offset") * 60), "residual": F.floor(F.col("max_abs_residual") * -8)}
+    return split_row_number(cut(coverage.filter(F.col("matched") > 0)), ["setting_id", "case_id"], orders[by], "rank", chunks[by])
 
 
 def accounting_check(matches: DataFrame, coverage: DataFrame, reasons: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinefield.functions.geo import haversine_km
+from brinefield.operators.windows import split_row_number
 from brinefield.runtime import cut
 
 LATTICE = 6
@@ -52,6 +53,12 @@ def seeded_key(seed: Column, ident: Column) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), ident.cast("string")))
 
 
+def seeded_order(candidates: DataFrame, seed: int) -> DataFrame:
+    """F8: place of every candidate in the seeded order; the first hex digits of the key cut the ranks into chunks."""
+    keyed = candidates.withColumn("_key", seeded_key(F.lit(seed), F.col("flat")))
+    return split_row_number(keyed, ["case_id"], [F.col("_key"), F.col("flat")], "place", F.substring("_key", 1, 3)).drop("_key")
+
+
 def _pool_constants(candidates: DataFrame) -> DataFrame:
     """Per case: largest gradient, mean position and largest pairwise distance.
 

@@ -38,10 +38,7 @@ def f6(i):
 
 @query("F8_seeded_permutation", """SELECT case_id, flat, row_number() OVER (PARTITION BY case_id ORDER BY md5('7:' || CAST(flat AS VARCHAR)), flat) AS place FROM roles WHERE role = 'candidate'""", ("roles",))
 def f8(i):
-    from pyspark.sql import Window
-    key = pl.seeded_key(F.lit(7), F.col("flat"))
-    order = Window.partitionBy("case_id").orderBy(key, "flat")
-    return candidates(i).select("case_id", "flat", F.row_number().over(order).alias("place"))
+    return pl.seeded_order(candidates(i), 7).select("case_id", "flat", "place")
 
 
 @query("F7_farthest_point_select")

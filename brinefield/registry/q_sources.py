@@ -140,22 +140,22 @@ def s6b(i):
     return ob.csv_problems(csv_rows(i))
 
 
-CTD_LINES = """SELECT user_id, event_id, CASE WHEN event_id % 9 = 0 THEN -999 ELSE event_id % 30 END AS t, event_id % 37 AS s, event_id % 4000 AS p, event_id % 3 + 1 AS f FROM {events}"""
+CTD_LINES = """SELECT user_id, user_id * 1000000 + CAST(floor(event_id / 500e0) AS BIGINT) AS station, event_id, CASE WHEN event_id % 9 = 0 THEN -999 ELSE event_id % 30 END AS t, event_id % 37 AS s, event_id % 4000 AS p, event_id % 3 + 1 AS f FROM {events}"""
 
 
 @query("S7_read_ctd_exchange", f"""
-SELECT user_id AS station, variable, count(*) AS n, count(v) AS present, sum(v) AS total, sum(p) AS pressure_total, count(*) FILTER (WHERE f = 2) AS good FROM (
- SELECT user_id, 'temperature' AS variable, CASE WHEN t <> -999 THEN t END AS v, p, f FROM ({CTD_LINES.format(events='events')}) a
- UNION ALL SELECT user_id, 'salinity', s, p, f FROM ({CTD_LINES.format(events='events')}) b) q WHERE user_id % 11 > 0 GROUP BY 1, 2
-UNION ALL SELECT DISTINCT user_id, 'incomplete_file', 1, 0, NULL, NULL, 0 FROM events WHERE user_id % 11 = 0""")
+SELECT station, variable, count(*) AS n, count(v) AS present, sum(v) AS total, sum(p) AS pressure_total, count(*) FILTER (WHERE f = 2) AS good FROM (
+ SELECT station, user_id, 'temperature' AS variable, CASE WHEN t <> -999 THEN t END AS v, p, f FROM ({CTD_LINES.format(events='events')}) a
+ UNION ALL SELECT station, user_id, 'salinity', s, p, f FROM ({CTD_LINES.format(events='events')}) b) q WHERE user_id % 11 > 0 GROUP BY 1, 2
+UNION ALL SELECT DISTINCT station, 'incomplete_file', 1, 0, NULL, NULL, 0 FROM ({CTD_LINES.format(events='events')}) c WHERE user_id % 11 = 0""")
 def s7(i):
-    """One text per station; stations are split by day so no station text grows without bound."""
+    """One text per station of at most 500 rows, so no text grows with the table."""
     row = F.concat_ws(",", "p", F.lit("2"), "t", "f", "s", "f")
-    files = i.sql(CTD_LINES, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_rows"))
-    head = F.concat(F.lit("CTD,20240101\n# comment\nEXPOCODE = X\nSTNNBR = "), F.col("user_id").cast("string"),
+    files = i.sql(CTD_LINES, "events").groupBy("user_id", "station").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_rows"))
+    head = F.concat(F.lit("CTD,20240101\n# comment\nEXPOCODE = X\nSTNNBR = "), F.col("station").cast("string"),
                     F.lit("\nCASTNO = 1\nDATE = 20240105\nTIME = 930\nLATITUDE = 10.5\nLONGITUDE = 86\nCTDPRS,CTDPRS_FLAG_W,CTDTMP,CTDTMP_FLAG_W,CTDSAL,CTDSAL_FLAG_W\nDBAR,,ITS-90,,PSS-78,\n"))
     end = F.when(F.col("user_id") % 11 > 0, F.lit("\nEND_DATA\n")).otherwise(F.lit("\n"))
-    texts = files.select(F.concat(F.lit("station-"), F.col("user_id").cast("string")).alias("path"), F.concat(head, F.col("_rows"), end).alias("value"))
+    texts = files.select(F.concat(F.lit("station-"), F.col("station").cast("string")).alias("path"), F.concat(head, F.col("_rows"), end).alias("value"))
     rows = ob.parse_ctd(texts)
     name = F.coalesce("problem", "variable")
     return rows.groupBy(F.col("station").cast("bigint").alias("station"), name.alias("variable")).agg(
@@ -185,7 +185,7 @@ def s8b(i):
 
 @query("S9_group_rows_to_profiles", f"SELECT event_id, variable, variable = 'oxygen' AS inspect_only FROM ({MODES.format(events='events')}) t")
 def s9(i):
-    ranges = i.spark.createDataFrame([("temperature", -3.0, 45.0), ("oxygen", 500.0, 0.0), ("pressure", 0.0, 12000.0)], "variable string, valid_min double, valid_max double")
+    ranges = {"temperature": (-3.0, 45.0), "oxygen": (500.0, 0.0), "pressure": (0.0, 12000.0)}
     return ob.group_rows_to_profiles(i.sql(MODES, "events").select("event_id", "variable"), ranges)
 
 
