@@ -102,10 +102,12 @@ def barrier(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     Later filters and null checks on these columns stay above the generator.
     Through a plain projection the optimizer would push them down by copying
-    the whole expression, and stacked stages would multiply.
+    the whole expression, and stacked stages would multiply. The expressions
+    themselves run in a projection below, where common parts are shared.
     """
-    fields = ", ".join(f"'{n}', {text}" for n, text in columns.items())
-    return df.selectExpr("*", f"inline(array(named_struct({fields})))")
+    ready = df.selectExpr("*", *[f"{text} AS _b_{n}" for n, text in columns.items()])
+    fields = ", ".join(f"'{n}', _b_{n}" for n in columns)
+    return ready.selectExpr(*[f"`{c}`" for c in df.columns], f"inline(array(named_struct({fields})))")
 
 
 def axis_index(axes: DataFrame, names: Sequence[str] = AXES) -> DataFrame:

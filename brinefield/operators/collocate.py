@@ -57,14 +57,18 @@ def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
         return haversine_text("lat", "lon", y.at(row), x.at(col))
 
     p = barrier(points, {"_x0": x.floor_index("lon"), "_y0": y.floor_index("lat")})
-    corner = ", ".join(far(r, c) for r in ("_y0", f"least(_y0 + 1, {y.size} - 1)") for c in ("_x0", f"least(_x0 + 1, {x.size} - 1)"))
-    p = barrier(p, {"_reach": f"degrees((least({corner}) + {tie_km!r}D) / {EARTH_RADIUS_KM!r}D) * (1 + 1e-9D) + 1e-9D"})
-    p = barrier(p, {"_rows": f"sequence({y.floor_index('(lat - _reach)')}, {y.ceil_index('(lat + _reach)')})",
-                    "_cols": f"CASE WHEN NOT {x.covers('lon')} OR {x.last} - {x.first} > 180 THEN array(_x0, least(_x0 + 1, {x.size} - 1), 0, {x.size} - 1) "
-                             f"ELSE array(_x0, least(_x0 + 1, {x.size} - 1)) END"})
-    pairs = f"flatten(transform(_rows, r -> transform(_cols, c -> named_struct('d', {far('r', 'c')}, 'iy', r, 'ix', c))))"
+    p = p.selectExpr("*", f"least(_x0 + 1, {x.size} - 1) AS _x1", f"least(_y0 + 1, {y.size} - 1) AS _y1")
+    corners = [(r, c) for r in ("_y0", "_y1") for c in ("_x0", "_x1")]
+    p = barrier(p, {"_four": "array(" + ", ".join(f"named_struct('d', {far(r, c)}, 'iy', {r}, 'ix', {c})" for r, c in corners) + ")"})
+    p = barrier(p, {"_best": "array_min(_four)"})
+    p = barrier(p, {"_reach": f"degrees((_best.d + {tie_km!r}D) / {EARTH_RADIUS_KM!r}D) * (1 + 1e-9D) + 1e-9D",
+                    "_wide": f"NOT {x.covers('lon')} OR {x.last} - {x.first} > 180"})
+    p = barrier(p, {"_from": y.ceil_index("(lat - _reach)"), "_to": y.floor_index("(lat + _reach)")})
+    pairs = (f"flatten(transform(sequence(_from, _to), r -> transform(CASE WHEN _wide THEN array(_x0, _x1, 0, {x.size} - 1) ELSE array(_x0, _x1) END, "
+             f"c -> named_struct('d', {far('r', 'c')}, 'iy', r, 'ix', c))))")
     if not tie_km:
-        p = barrier(p, {"_near": f"array_min({pairs})"})
+        # On most grids no row beyond the bracketing two is in reach, and the four corners decide.
+        p = barrier(p, {"_near": f"CASE WHEN _from >= _y0 AND _to <= _y1 AND NOT _wide THEN _best ELSE array_min({pairs}) END"})
     else:
         p = barrier(barrier(p, {"_pairs": pairs}), {"_near": f"array_min(transform(filter(_pairs, s -> s.d <= array_min(_pairs).d + {tie_km!r}D), "
                                                              "s -> named_struct('iy', s.iy, 'ix', s.ix, 'd', s.d)))"})

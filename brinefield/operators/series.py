@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.functions.scalars import leap_day_index, within_one_ulp
+from brinefield.runtime import cut
 
 POOL_DAYS = 5
 SMOOTH_DAYS = 15
@@ -92,8 +93,11 @@ def circular_smooth(curve: DataFrame, columns: tuple[str, ...] = ("mean", "thres
 
 
 def climatology(daily: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """A8 with W4 and W3: 366 smoothed means and thresholds per complete location."""
-    return circular_smooth(feb29_fill(seasonal_pool(daily, first_year, last_year)))
+    """A8 with W4 and W3: 366 smoothed means and thresholds per complete location.
+
+    The small result is written once, because every later step reads it again.
+    """
+    return cut(circular_smooth(feb29_fill(cut(seasonal_pool(daily, first_year, last_year)))))
 
 
 def exceedance(daily: DataFrame, clim: DataFrame) -> DataFrame:
@@ -156,8 +160,8 @@ def daily_membership(marked: DataFrame, events: DataFrame) -> DataFrame:
 
 def detect_events(daily: DataFrame, clim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events with metrics, daily series)."""
-    marked = exceedance(daily, clim)
-    events = merge_runs(runs(marked))
+    marked = cut(exceedance(daily, clim))
+    events = cut(merge_runs(runs(marked)))
     return event_metrics(marked, events), daily_membership(marked, events)
 
 
