@@ -7,7 +7,7 @@ rows that pass them reach the shuffle joins with the field.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,12 +138,16 @@ OBSERVED_SIDE = ["setting_id", "case_id", "profile_id", "it", "sample_index", "t
                  "depth_m", "value AS observed", "qc", "mode", "time_offset_hours"]
 
 
-def collocate(readings: DataFrame, cells: DataFrame, axes: DataFrame, frames: DataFrame) -> DataFrame:
+def collocate(readings: DataFrame, cells: DataFrame, axes: DataFrame, frames: DataFrame, used_frames: Collection[int] | None = None) -> DataFrame:
     """One match row per reading and setting, with exactly one reason.
 
     Rejected rows take a map-only branch; survivors join the field and both
     branches union. The model side of a rejected row is null from the gate on.
+    ``used_frames`` names the frames the settings use, so other frames of the
+    field are pruned at the scan.
     """
+    if used_frames is not None:
+        cells = cells.filter(F.col("it").isin(*used_frames))
     rows = gated(readings, axes, frames)
     rejected = rows.filter("early IS NOT NULL").selectExpr(
         *OBSERVED_SIDE, *[f"cast(NULL AS {kind}) AS {name}" for name, kind in MODEL_SIDE.items()], "early AS reason", "false AS accepted")

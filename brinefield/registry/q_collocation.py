@@ -23,7 +23,7 @@ def readings(i):
 
 
 def matches(i, settings=(BASE,)):
-    return co.collocate(co.with_settings(readings(i), settings), i.cells, i.index, i.frames)
+    return co.collocate(co.with_settings(readings(i), settings), i.cells, i.index, i.frames, {s.it for s in settings})
 
 
 GOOD = "CASE scheme WHEN 'qartod' THEN {0} = '1' WHEN 'woce' THEN {0} = '2' ELSE {0} IN ('1', '2') END"
@@ -235,7 +235,7 @@ SELECT case_id, profile_id, b.it AS suggested_it, b.n AS suggested_matched, roun
        ("match_frames",))
 def c10(i):
     rows = readings(i)
-    base = co.collocate(co.with_settings(rows, [BASE]), i.cells, i.index, i.frames)
+    base = co.collocate(co.with_settings(rows, [BASE]), i.cells, i.index, i.frames, {BASE.it})
     return co.suggest_snapshot(rows, base, i.cells, i.index, i.frames, BASE).withColumns(R6("suggested_offset_hours", "suggested_distance_km"))
 
 
@@ -327,8 +327,8 @@ def a3(i):
     return cov.profile_coverage(matches(i)).withColumns({**R6(*COVER_ROUND), **R9("bias", "rmse", "mae", "max_abs_residual")})
 
 
-@query("A3_coverage_total", """SELECT setting_id, case_id, count(*) AS total_profiles, count(*) FILTER (WHERE matched > 0) AS matched_profiles, sum(total) AS total_samples,
-  sum(matched) AS matched_samples, sum(excluded) AS excluded_samples FROM cover GROUP BY 1, 2""", ("cover",))
+@query("A3_coverage_total", """SELECT setting_id, case_id, count(*) AS total_profiles, count(*) FILTER (WHERE matched > 0) AS matched_profiles, CAST(sum(total) AS BIGINT) AS total_samples,
+  CAST(sum(matched) AS BIGINT) AS matched_samples, CAST(sum(excluded) AS BIGINT) AS excluded_samples FROM cover GROUP BY 1, 2""", ("cover",))
 def a3b(i):
     return cov.library_coverage(cov.profile_coverage(matches(i)))
 

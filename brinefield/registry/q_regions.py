@@ -204,7 +204,7 @@ def r14(i):
     return run(i, SHIFTED).transitions
 
 
-@query("R14_sensitivity_frames", f"SELECT {K3}, count(*) AS region_count, sum(cells) AS qualified_cells, round(sum(volume_km3), 2) AS volume_km3 FROM rs_regions GROUP BY ALL", ("rs_regions",))
+@query("R14_sensitivity_frames", f"SELECT {K3}, count(*) AS region_count, CAST(sum(cells) AS BIGINT) AS qualified_cells, round(sum(volume_km3), 2) AS volume_km3 FROM rs_regions GROUP BY ALL", ("rs_regions",))
 def r14b(i):
     return ev.frame_summary(rg.region_stats(labels(i, SHIFTED), i.index)).withColumn("volume_km3", F.round("volume_km3", 2))
 
@@ -213,7 +213,7 @@ _SUMS = ("link", "split", "merge", "ambiguous", "appeared", "disappeared", "unre
 
 
 @query("A13_evolution_summary", f"""
-SELECT case_id, threshold_id, count(*) AS transition_count, count(*) FILTER (WHERE status = 'gap') AS gap_count, {', '.join(f'sum({c}_count) AS {c}_count' for c in _SUMS)},
+SELECT case_id, threshold_id, count(*) AS transition_count, count(*) FILTER (WHERE status = 'gap') AS gap_count, {', '.join(f'CAST(sum({c}_count) AS BIGINT) AS {c}_count' for c in _SUMS)},
   (SELECT count(*) FROM rb_regions r WHERE r.case_id = t.case_id AND r.threshold_id = t.threshold_id) AS node_count,
   (SELECT count(*) FROM frames f WHERE f.case_id = t.case_id) AS frame_count FROM rb_transitions t GROUP BY 1, 2""", ("rb_transitions", "frames"))
 def a13(i):
@@ -230,7 +230,7 @@ WITH s AS ({_ST}), n AS (SELECT s.case_id, s.station, min(struct_pack(d := 2 * 6
   FROM s JOIN ax_lat y USING (case_id) JOIN ax_lon x USING (case_id) GROUP BY 1, 2),
  st AS (SELECT a.*, CASE WHEN p.lat IS NULL THEN 0 ELSE {_H.format(a='p', b='a')} END AS step FROM s a LEFT JOIN s p ON p.case_id = a.case_id AND p.station = a.station - 1)
 SELECT st.case_id, st.station, st.lon, st.lat, n.b.iy AS iy, n.b.ix AS ix, n.b.d AS offset_km, sum(step) OVER (PARTITION BY st.case_id ORDER BY st.station) AS along_km,
-  10 + 0.25 * n.b.iy AS model_lat, 85 + 0.25 * n.b.ix AS model_lon FROM st JOIN n USING (case_id, station)""", AX3 + ("cases",))
+  10 + 0.25e0 * n.b.iy AS model_lat, 85 + 0.25e0 * n.b.ix AS model_lon FROM st JOIN n USING (case_id, station)""", AX3 + ("cases",))
 KM = lambda: {c: F.round(c, 6) for c in ("offset_km", "along_km", "lon", "lat")}
 _KM = "round(offset_km, 6) AS offset_km, round(along_km, 6) AS along_km, round(s.lon, 6) AS lon, round(s.lat, 6) AS lat"
 

@@ -221,7 +221,7 @@ def w22(i):
 WITH k AS (SELECT index_id, y, m, count(*) AS n FROM (SELECT * FROM seasons WHERE NOT (index_id % 2 = 1 AND y = 1997) UNION ALL SELECT * FROM seasons WHERE index_id = 0 AND m = 3) GROUP BY ALL),
  y AS (SELECT index_id, y, count(*) AS months, count(*) FILTER (WHERE n > 1) AS dups FROM k GROUP BY 1, 2),
  w AS (SELECT *, lag(y) OVER (PARTITION BY index_id ORDER BY y) AS p, lead(y) OVER (PARTITION BY index_id ORDER BY y) AS x FROM y)
-SELECT index_id, sum(dups) AS duplicate_keys, count(*) FILTER (WHERE y - p > 1) AS year_gaps, count(*) FILTER (WHERE months < 12 AND x IS NOT NULL) AS partial_years,
+SELECT index_id, CAST(sum(dups) AS BIGINT) AS duplicate_keys, count(*) FILTER (WHERE y - p > 1) AS year_gaps, count(*) FILTER (WHERE months < 12 AND x IS NOT NULL) AS partial_years,
   sum(dups) + count(*) FILTER (WHERE y - p > 1) + count(*) FILTER (WHERE months < 12 AND x IS NOT NULL) = 0 AS ok FROM w GROUP BY 1""", ("seasons",))
 def e9(i):
     s = i.seasons

@@ -144,7 +144,7 @@ CTD_LINES = """SELECT user_id, user_id * 1000000 + CAST(floor(event_id / 500e0)
 
 
 @query("S7_read_ctd_exchange", f"""
-SELECT station, variable, count(*) AS n, count(v) AS present, sum(v) AS total, sum(p) AS pressure_total, count(*) FILTER (WHERE f = 2) AS good FROM (
+SELECT station, variable, count(*) AS n, count(v) AS present, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(p) AS DOUBLE) AS pressure_total, count(*) FILTER (WHERE f = 2) AS good FROM (
  SELECT station, user_id, 'temperature' AS variable, CASE WHEN t <> -999 THEN t END AS v, p, f FROM ({CTD_LINES.format(events='events')}) a
  UNION ALL SELECT station, user_id, 'salinity', s, p, f FROM ({CTD_LINES.format(events='events')}) b) q WHERE user_id % 11 > 0 GROUP BY 1, 2
 UNION ALL SELECT DISTINCT station, 'incomplete_file', 1, 0, NULL, NULL, 0 FROM ({CTD_LINES.format(events='events')}) c WHERE user_id % 11 = 0""")
@@ -284,7 +284,7 @@ def s21(i):
     return docfiles(i)
 
 
-@query("S21_inventory_budget", """SELECT count(*) AS files, sum(bytes) AS total_bytes, max(bytes) AS largest, sum(bytes) <= 500000000 AND max(bytes) <= 100000000 AND count(*) <= 5000 AS within_budget FROM docfiles""", ("docfiles",))
+@query("S21_inventory_budget", """SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes, max(bytes) AS largest, sum(bytes) <= 500000000 AND max(bytes) <= 100000000 AND count(*) <= 5000 AS within_budget FROM docfiles""", ("docfiles",))
 def s21b(i):
     return au.inventory_budget(docfiles(i), 500_000_000, 100_000_000, 5000)
 
