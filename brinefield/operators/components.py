@@ -21,7 +21,7 @@ from brinefield.runtime import cut
 
 MAX_ROUNDS = 200
 SETTLE_ABOVE = 2_000_000
-FUSED_ROUNDS = 3
+FUSED_ROUNDS = 5
 
 
 def _lowest(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
