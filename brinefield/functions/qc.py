@@ -74,8 +74,8 @@ def valid_pressure(pressure: Column) -> Column:
 def pressure_to_depth(pressure: Column, lat: Column) -> Column:
     """Q6: depth in metres from the published hydrostatic formula (Fofonoff and Millard, 1983).
 
-    Agrees with the modern seawater library to within about 0.2 % of depth
-    (a few metres at 5000 dbar); not bit-equal.
+    Expected within about 0.2 % of the modern seawater library (not measured
+    here); not bit-equal.
     """
     s = F.sin(F.radians(lat))
     x = s * s

@@ -71,6 +71,7 @@ def six_digits(x: Column) -> Column:
 
 def statements_changed(states: DataFrame, units: str) -> DataFrame:
     """E5: the stated evidence before and after, and whether it changed."""
+    # The statement ids and sentences below are compared as text.
     residual = F.when(F.col("matched") > 0, F.concat(
         F.lit("Model minus observed: bias "), six_digits(F.col("bias")), F.lit(f" {units}, RMSE "), six_digits(F.col("rmse")),
         F.lit(f" {units}, MAE "), six_digits(F.col("mae")), F.lit(f" {units}; equal weight per eligible sample."))).otherwise(

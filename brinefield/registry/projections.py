@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brinefield.operators.axes import axis_index
 from brinefield.runtime import cut
 
-# Axis values of every projected case (plain test data, not reference values).
+# Axis values of every projected case (plain test data).
 DEPTHS = (0.0, 10.0, 30.0, 60.0, 100.0, 160.0, 250.0)
 NZ, NY, NX, NT = 7, 12, 15, 7
 LAT0, LON0, STEP = 10.0, 85.0, 0.25
