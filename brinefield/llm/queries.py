@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinefield.llm import exact_dedup, mixing
+from brinefield.llm import exact_dedup, license_scan, line_quality, mixing
 from brinefield.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.withColumn("target", F.round("target", 6)).withColumn("rate", F.round("rate", 9))
+
+
+@query("op7_line_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(documents(spark, sf_dir))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
