@@ -47,3 +47,9 @@ def whole_text(name: str = "text") -> Column:
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's text modulo ``parts``; null ids fall into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(0).cast("bigint"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file; it is installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinefield.llm import exact_dedup, license_scan, line_quality, mixing
-from brinefield.llm.common import documents
+from brinefield.llm import byte_bpe, exact_dedup, license_scan, line_quality, mixing, rans
+from brinefield.llm.common import documents, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@query("op1_rans_tokens")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = rans.write(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return rans.checksums(rans.read(spark, store))
