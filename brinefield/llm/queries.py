@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinefield.llm import byte_bpe, exact_dedup, license_scan, line_quality, mixing, rans
-from brinefield.llm.common import documents, vocabulary
+from brinefield.llm import byte_bpe, exact_dedup, license_scan, line_quality, mixing, rans, toxicity
+from brinefield.llm.common import documents, labels, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = rans.write(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return rans.checksums(rans.read(spark, store))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.verdicts(documents(spark, sf_dir), labels(spark, sf_dir))

@@ -39,6 +39,7 @@ BLOCK = 1 << 16
 CACHE = 500_000
 MAGIC = b"RNS1"
 DIGITS = frozenset("0123456789")
+BAR = "|"
 HEAD = struct.Struct("<4sIIII")
 
 
@@ -154,6 +155,21 @@ class WordTokens:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        (self.bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+
+    def _ask(self, words: list[str]) -> dict[str, bytes]:
+        """Words that hold the bar go to the library one by one, the others in rows with bars between them."""
+        plain = [w for w in words if BAR not in w]
+        new = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if BAR in w}
+        for k in range(0, len(plain), 1000):
+            row = plain[k:k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {BAR} ".join(row)], add_special_tokens=False)[0].ids, "<u4")
+            bars = np.flatnonzero(ids == self.bar).tolist()
+            if len(bars) != len(row) - 1:
+                raise ValueError("this vocabulary does not keep words apart")
+            raw = ids.tobytes()
+            new.update((w, raw[4 * a:4 * b]) for w, a, b in zip(row, [0, *(x + 1 for x in bars)], [*bars, ids.size]))
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -166,8 +182,7 @@ class WordTokens:
         if missing:
             ended = {w for w in missing if w[-1] in ".," and (w[-2:-1].isalpha() or w[-2:-1] in DIGITS) and len(w) > 1}
             asked = list({*(missing - ended), *(w[:-1] for w in ended), ".", ","} - self.cache.keys())
-            found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-            new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(asked, found)}
+            new = self._ask(asked)
             whole = {w: i if (i := new.get(w)) is not None else self.cache[w] for w in {*(w[:-1] for w in ended), ".", ","}}
             if len(self.cache) + len(new) > CACHE:
                 self.cache = {"": b""}
