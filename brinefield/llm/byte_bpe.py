@@ -345,7 +345,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _run(path: str, keep: str | None):
+def _run(path: str, ids_out: bool, offsets: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
@@ -354,10 +354,11 @@ def _run(path: str, keep: str | None):
                 ids = coder.encode(texts[begin:end])
                 doc_ids = batch.column(0).slice(begin, end - begin)
                 count = pa.array([len(i) for i in ids], pa.int64())
-                if keep:
-                    yield pa.RecordBatch.from_arrays([doc_ids, count, pa.array([i.tobytes() for i in ids], pa.binary()),
-                                                      pa.array([coder.offsets(i)[:-1].astype("<u4").tobytes() for i in ids], pa.binary())],
-                                                     names=["doc_id", "n_tokens", "ids", "offsets"])
+                if ids_out:
+                    columns = [doc_ids, count, pa.array([i.tobytes() for i in ids], pa.binary())]
+                    if offsets:
+                        columns.append(pa.array([coder.offsets(i)[:-1].astype("<u4").tobytes() for i in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "offsets"][:len(columns)])
                 else:
                     yield pa.RecordBatch.from_arrays([doc_ids, count, pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]),
                                                       pa.array([hashlib.sha256(coder.decode(i)).hexdigest() for i in ids])],
@@ -380,15 +381,27 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, offsets)``: ids and their byte offsets as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
+    """``(doc_id, n_tokens, ids, offsets)``: ids and, if asked for, their byte offsets, as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. Repeated rows come out as often as they go in; other
     columns are not looked at; an empty table gives no rows.
     """
-    return _input(docs).mapInArrow(_run(path, "ids"), "doc_id long, n_tokens long, ids binary, offsets binary")
+    return _input(docs).mapInArrow(_run(path, True, offsets), "doc_id long, n_tokens long, ids binary" + ", offsets binary" * offsets)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, content)``: the bytes of encoded documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in batches:
+            content = [coder.decode(np.frombuffer(i.as_py(), "<u4")) for i in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], names=["doc_id", "content"])
+
+    ship(encoded.sparkSession)
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of encoding and decoding each text, in one pass without a shuffle."""
-    return _input(docs).mapInArrow(_run(path, None), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _input(docs).mapInArrow(_run(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -79,16 +79,48 @@ def _hashes(segments: int):
                 keys.discard(None)
                 seen.extend(map(key_hash, keys))
             found, counts = np.unique(np.array(seen, np.int64), return_counts=True)
-            home = (found.view(np.uint64) % np.uint64(segments)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            found, counts, home = found[order], counts[order], home[order]
-            numbers, starts = np.unique(home, return_index=True)
-            stops = np.append(starts[1:], found.size)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([found[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()),
-                                              pa.array([(counts[a:b] > 1).tobytes() for a, b in zip(starts, stops)], pa.binary())], names=["segment", "hashes", "repeated"])
+            yield packed_by_segment(found, counts > 1, segments)
     return run
 
 
+SEGMENTED = "segment int, hashes binary, repeated binary"
+
+
+def packed_by_segment(hashes: np.ndarray, repeated: np.ndarray, segments: int) -> pa.RecordBatch:
+    """One row per segment: its hashes and whether each was seen twice already."""
+    home = (hashes.view(np.uint64) % np.uint64(segments)).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    hashes, repeated, home = hashes[order], repeated[order], home[order]
+    numbers, starts = np.unique(home, return_index=True)
+    stops = np.append(starts[1:], hashes.size)
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([hashes[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()),
+                                       pa.array([repeated[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary())], names=["segment", "hashes", "repeated"])
+
+
+def twice_seen(segmented: DataFrame) -> DataFrame:
+    """``(segment, n, bits)``: the twice-seen filter of each segment, written."""
+    return cut(segmented.repartition("segment").sortWithinPartitions("segment").mapInArrow(_filters, "segment int, n long, bits binary"))
+
+
+def shipped(filters: DataFrame, ship_bytes: int = SHIP_BYTES):
+    """The filters as a broadcast variable if they are small enough, else None."""
+    if (filters.agg(F.sum(F.length("bits"))).first()[0] or 0) > ship_bytes:
+        return None
+    return filters.sparkSession.sparkContext.broadcast({r["segment"]: (r["n"], bytes(r["bits"])) for r in filters.toLocalIterator()})
+
+
+def probe(blooms: dict[int, Bloom], h: np.ndarray, segments: int) -> np.ndarray:
+    """Which hashes their segments' filters hold."""
+    home = (h.view(np.uint64) % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    out = np.zeros(h.size, bool)
+    numbers, starts = np.unique(home[order], return_index=True)
+    for s, a, b in zip(numbers.tolist(), starts, np.append(starts[1:], h.size)):
+        if s in blooms:
+            out[order[a:b]] = blooms[s].holds(h[order[a:b]])
+    return out
+
+
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive by segment. One segment's packed hashes are held to size its filters, then streamed through them."""
     def build(segment, parts):
@@ -136,24 +168,13 @@ def _lines(doc_ids, keys, texts, test) -> pa.RecordBatch:
                                       names=["doc_id", "text_key", "position", "hash", "digest"])
 
 
-def _probe(packed: dict[int, tuple[int, bytes]], segments: int):
+def _probe(packed, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blooms = {s: Bloom(n, bits) for s, (n, bits) in packed.value.items()}
-
-        def test(h):
-            home = (h.view(np.uint64) % np.uint64(segments)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            out = np.zeros(h.size, bool)
-            numbers, starts = np.unique(home[order], return_index=True)
-            for s, a, b in zip(numbers.tolist(), starts, np.append(starts[1:], h.size)):
-                if s in blooms:
-                    out[order[a:b]] = blooms[s].holds(h[order[a:b]])
-            return out
-
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield _lines(part.column(0), part.column(1), part.column(2).to_pylist(), test)
+                yield _lines(part.column(0), part.column(1), part.column(2).to_pylist(), lambda h: probe(blooms, h, segments))
     return run
 
 
@@ -187,10 +208,9 @@ def suspects(docs: DataFrame, segments: int | None = None, ship_bytes: int = SHI
     spark = ship(docs.sparkSession)
     segments = segments or max(16, math.ceil(docs.count() / PER_SEGMENT))
     keyed = _keyed(docs)
-    hashed = keyed.select("doc_id", "text").mapInArrow(_hashes(segments), "segment int, hashes binary, repeated binary")
-    filters = cut(hashed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_filters, "segment int, n long, bits binary"))
-    if (filters.agg(F.sum(F.length("bits"))).first()[0] or 0) <= ship_bytes:
-        packed = spark.sparkContext.broadcast({r["segment"]: (r["n"], bytes(r["bits"])) for r in filters.toLocalIterator()})
+    filters = twice_seen(keyed.select("doc_id", "text").mapInArrow(_hashes(segments), SEGMENTED))
+    packed = shipped(filters, ship_bytes)
+    if packed is not None:
         return keyed.mapInArrow(_probe(packed, segments), LINE)
     lines = keyed.mapInArrow(_all_lines, LINE)
     home = F.expr(f"cast(pmod(pmod(shiftrightunsigned(hash, 1), {segments}L) * 2 + (hash & 1L), {segments}L) AS int)")

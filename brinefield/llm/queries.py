@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinefield.llm import byte_bpe, exact_dedup, language_id, license_scan, line_dedup, line_quality, mixing, rans, toxicity
+from brinefield.llm import byte_bpe, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, rans, toxicity
 from brinefield.llm.common import documents, labels, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(documents(spark, sf_dir))
+
+
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(documents(spark, sf_dir))

@@ -4,24 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinefield.llm import exact_dedup, mixing
-from brinefield.llm.common import documents, ship
+from brinefield.llm import byte_bpe, exact_dedup, jaccard_join, mixing, toxicity
+from brinefield.llm.common import documents, labels, ship, vocabulary
 from brinefield.runtime import cut
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half, by a model fitted on this stage's own input."""
+    ship(spark)
+    return toxicity.reject(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
+def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
     ship(spark)
     return exact_dedup.keep_one(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each linked group the smallest doc_id."""
+    ship(spark)
+    return jaccard_join.keep_one(docs, width=5, percent=80)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate takes it."""
     ship(spark)
     return mixing.emit(docs)
 
 
-STAGES = [("exact_dedup", exact_copies), ("mix", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row."""
+    ship(spark)
+    return byte_bpe.encode(docs, vocabulary("byte_bpe_50k.tiktoken"), offsets=False)
+
+
+STAGES = [("toxicity", without_toxic), ("exact_dedup", without_exact_copies), ("jaccard_join", without_near_copies), ("mix", mixed), ("byte_bpe", encoded)]
 
-#: Toxicity scores, link components and token ids are not expressible in SQL.
+#: A learned score, link components and token ids are beyond SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
