@@ -10,7 +10,8 @@ verified by the part of the template that it covers and by its length.
 
 Phrases of two words up are templates too. A phrase stands at a place exactly when its
 mask is full on a single diagonal, so the base counts come from the same votes.
-The template table is a constant of this module, a few kilobytes.
+The template table is broadcast: it comes from the caller's word lists, not from the data,
+and ``grams`` refuses more than ``MOST_GRAMS`` rows, which is a few megabytes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ GRAM = 2
 SLACK = 3
 COVER = 0.7
 STRETCH = 1.5
+MOST_GRAMS = 50_000
 
 #: The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -52,6 +54,8 @@ def grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFram
         if not GRAM <= len(words) <= 63:
             raise ValueError(f"a template has 2 to 63 words: {text!r}")
         rows += [(number, label, number < len(phrases), len(words) - 1, k, 1 << k, words[k], words[k + 1]) for k in range(len(words) - 1)]
+    if len(rows) > MOST_GRAMS:
+        raise ValueError(f"more than {MOST_GRAMS} template positions")
     return spark.createDataFrame(rows, "template int, label string, is_base boolean, n_grams int, tpos int, bit long, t0 string, t1 string")
 
 
@@ -68,7 +72,7 @@ def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
              .select("doc_id", "_text", "pos", F.col("col")["w0"].alias("w0"), F.col("col")["w1"].alias("w1"))
              .withColumn("_h", F.xxhash64("w0", "w1")))
     hashed = table.withColumn("_th", F.xxhash64("t0", "t1"))
-    hits = pairs.join(hashed, (F.col("_h") == F.col("_th")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")))
+    hits = pairs.join(F.broadcast(hashed), (F.col("_h") == F.col("_th")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")))
     return (hits.withColumn("diagonal", F.col("pos") - F.col("tpos"))
             .groupBy("doc_id", "_text", "template", "label", "is_base", "n_grams", "diagonal")
             .agg(F.bit_or("bit").alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last")))
