@@ -15,7 +15,6 @@ States are 64-bit and give off 32-bit words; frequencies are scaled to 2**SCALE.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -38,7 +37,8 @@ EVERY = 64
 BLOCK = 1 << 16
 CACHE = 500_000
 MAGIC = b"RNS1"
-DIGITS = frozenset("0123456789")
+ENDS = (b".", b",")
+LONGEST = 64
 BAR = "|"
 HEAD = struct.Struct("<4sIIII")
 
@@ -149,49 +149,67 @@ class WordTokens:
     This vocabulary's slices never cross a space, tab or line end and its normalisation
     lowers case and does not compose across them, so a text's ids are its words' ids in a
     row. A point or comma after a letter or digit at a word's end is a slice of its own.
+    The cache has two generations of ``CACHE`` words: a word that is asked for again moves
+    to the younger one, and the older one goes when that is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
         (self.bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
 
-    def _ask(self, words: list[str]) -> dict[str, bytes]:
+    def _ask(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words that hold the bar go to the library one by one, the others in rows with bars between them."""
-        plain = [w for w in words if BAR not in w]
-        new = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if BAR in w}
+        texts = [w.decode() for w in words]
+        plain = [k for k, t in enumerate(texts) if BAR not in t]
+        new = {words[k]: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for k, t in enumerate(texts) if BAR in t}
+        width = np.dtype(self.kind).itemsize
         for k in range(0, len(plain), 1000):
             row = plain[k:k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {BAR} ".join(row)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {BAR} ".join([texts[i] for i in row])], add_special_tokens=False)[0].ids, self.kind)
             bars = np.flatnonzero(ids == self.bar).tolist()
             if len(bars) != len(row) - 1:
                 raise ValueError("this vocabulary does not keep words apart")
             raw = ids.tobytes()
-            new.update((w, raw[4 * a:4 * b]) for w, a, b in zip(row, [0, *(x + 1 for x in bars)], [*bars, ids.size]))
+            new.update((words[i], raw[width * a:width * b]) for i, a, b in zip(row, [0, *(x + 1 for x in bars)], [*bars, ids.size]))
         return new
 
+    def _lookup(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the younger generation lacks; they enter it."""
+        found = {w: i for w in words if (i := self.old.get(w)) is not None}
+        found |= self._ask(list(words - found.keys()))
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {b"": b""}
+        self.young.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian integers of ``kind``."""
         words, stops = [], []
         for text in texts:
-            words += re.sub("[\t\n\r]", " ", text.encode().lower().decode()).split(" ")
+            words += text.encode().lower().replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" ")
             stops.append(len(words))
-        coded = list(map(self.cache.get, words))
-        missing = {w for w, c in zip(words, coded) if c is None}
-        if missing:
-            ended = {w for w in missing if w[-1] in ".," and (w[-2:-1].isalpha() or w[-2:-1] in DIGITS) and len(w) > 1}
-            asked = list({*(missing - ended), *(w[:-1] for w in ended), ".", ","} - self.cache.keys())
-            new = self._ask(asked)
-            whole = {w: i if (i := new.get(w)) is not None else self.cache[w] for w in {*(w[:-1] for w in ended), ".", ","}}
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {"": b""}
-            self.cache.update((w, i) for w, i in new.items() if len(w) <= 64)
-            new.update((w, whole[w[:-1]] + whole[w[-1]]) for w in ended)
-            coded = [new[w] if c is None else c for w, c in zip(words, coded)]
+        coded = list(map(self.young.get, words))
+        gaps = [k for k, c in enumerate(coded) if c is None]
+        if gaps:
+            missing = {words[k] for k in gaps}
+            ended = {w for w in missing if w[-1:] in ENDS and w[-2:-1].isalnum()}
+            asked = {*(missing - ended), *(w[:-1] for w in ended), *ENDS}
+            known = {w: i for w in asked if (i := self.young.get(w)) is not None}
+            known |= self._lookup(asked - known.keys())
+            for k in gaps:
+                w = words[k]
+                coded[k] = known[w[:-1]] + known[w[-1:]] if w in ended else known[w]
         return [b"".join(coded[a:b]) for a, b in zip([0, *stops], stops)]
 
 
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
@@ -207,12 +225,11 @@ def _texts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]
 
 
 def _tokenize(path: str):
-    end = END.to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = word_tokens(path)
+        end = np.array([END], coder.kind).tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _texts(texts):
@@ -221,27 +238,33 @@ def _tokenize(path: str):
     return run
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids)`` with the end id appended; null and empty texts have the end id alone."""
+    """``(doc_id, ids)`` with the end id appended, as integers of the vocabulary's ``id_type``; null and empty texts have the end id alone."""
     ship(docs.sparkSession)
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
             .mapInArrow(_tokenize(path), "doc_id long, ids binary"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            found = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=total.size)
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=total.size)
             found[:total.size] += total
             total = found
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+    return run
 
 
-def symbol_counts(tokens: DataFrame) -> DataFrame:
+def symbol_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """``(id, n)``: how often each id occurs; one row per id and task before the shuffle."""
-    return tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def frequencies(counts: DataFrame) -> np.ndarray:
@@ -257,25 +280,25 @@ def frequencies(counts: DataFrame) -> np.ndarray:
 BLOCKS = "shard int, block int, offset long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def _blocks(freqs: bytes):
+def _blocks(freqs: bytes, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         table = Table(np.frombuffer(freqs, np.int64))
         shard, number, offset = TaskContext.get().partitionId(), 0, 0
-        doc_ids, parts, size = [], [], 0
+        doc_ids, parts, size, width = [], [], 0, np.dtype(kind).itemsize
 
         def close():
-            payload = encode(np.frombuffer(b"".join(parts), "<u4"), table)
+            payload = encode(np.frombuffer(b"".join(parts), kind), table)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()),
                                                pa.array([offset], pa.int64()), pa.array([size], pa.int64()),
-                                               pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
+                                               pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(p) // width for p in parts]], pa.list_(pa.int64())),
                                                pa.array([payload], pa.binary())], names=["shard", "block", "offset", "n_tokens", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 doc_ids.append(doc_id)
                 parts.append(ids.as_py())
-                size += len(parts[-1]) // 4
+                size += len(parts[-1]) // width
                 if size >= BLOCK:
                     yield close()
                     doc_ids, parts, size, number, offset = [], [], 0, number + 1, offset + size
@@ -295,11 +318,12 @@ def write(docs: DataFrame, path: str, folder: str | None = None) -> str:
     folder = folder or f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
     tokenized(docs, path).write.option("compression", "zstd").parquet(f"{folder}/unsorted")
     tokens = spark.read.schema("doc_id long, ids binary").parquet(f"{folder}/unsorted")
-    table = frequencies(symbol_counts(tokens))
+    kind = id_type(vocabulary_size(path))
+    table = frequencies(symbol_counts(tokens, kind))
     spark.createDataFrame([(SCALE, table.tobytes())], "scale int, frequencies binary").coalesce(1).write.parquet(f"{folder}/table")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_blocks(table.tobytes()), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(_blocks(table.tobytes(), kind), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
 
