@@ -2,70 +2,44 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Edges
 are rows ``(keys, hi, lo)`` with ``hi > lo``; many graphs run side by side,
-told apart by ``keys``. A round is two group-bys for the smallest neighbour
-and two joins with that one-row-per-node table. State is written after every
-round: lineage stays short and a lost executor costs one step. Large graphs
-also write the node table, so Catalyst sees its true size (broadcast when small,
-skew-split shuffle join when a hub holds most edges); small ones chain a few
-rounds per write, since job latency is their whole cost.
+told apart by ``keys``. A star is a group-by for the smallest neighbour (with
+map-side minima) and a join with that one-row-per-node table, so a hub that
+holds most edges is a skewed join side, which adaptive execution splits, and
+never a group in one task. State is written after every star: lineage stays
+short, a lost executor costs one step, and Catalyst sees the true size. All
+sizes take the same path, for as many rounds as the graph needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinefield.runtime import cut
 
-MAX_ROUNDS = 200
-SETTLE_ABOVE = 2_000_000
-FUSED_ROUNDS = 5
-
-
-def _lowest(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return cut(edges.groupBy(*keys, F.col("hi").alias("node")).agg(F.min("lo").alias("low")))
-
 
 def _large_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
-    lowest = _lowest(edges, keys).withColumnRenamed("node", "lo")
+    lowest = edges.groupBy(*keys, F.col("hi").alias("lo")).agg(F.min("lo").alias("low"))
     return edges.join(lowest, [*keys, "lo"], "left").select(*keys, "hi", F.coalesce("low", "lo").alias("lo")).distinct()
 
 
 def _small_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
-    lowest = _lowest(edges, keys).withColumnRenamed("node", "hi")
-    own = lowest.select(*keys, "hi", F.col("low").alias("lo"))
-    others = (edges.join(lowest, [*keys, "hi"]).filter(F.col("lo") != F.col("low"))
-              .select(*keys, F.col("lo").alias("hi"), F.col("low").alias("lo")))
-    return own.unionByName(others).distinct()
-
-
-def _small_graph_round(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both stars with windows: one reference to the input, so rounds chain without re-reading it.
-
-    A window holds one node's neighbours in one task, which the caller allows
-    only for graphs whose whole edge count is small.
-    """
-    def pair(hi, lo):
-        return F.struct(F.col(hi).alias("hi"), F.col(lo).alias("lo"))
-
-    both = edges.select(*keys, F.inline(F.array(pair("hi", "lo"), pair("lo", "hi")))).select(*keys, F.col("hi").alias("u"), F.col("lo").alias("v"))
-    low = F.least("u", F.min("v").over(Window.partitionBy(*keys, "u")))
-    large = both.withColumn("m", low).filter(F.col("v") > F.col("u")).select(*keys, F.col("v").alias("hi"), F.col("m").alias("lo"))
-    small = large.withColumn("m", F.min("lo").over(Window.partitionBy(*keys, "hi")))
-    return small.select(*keys, F.inline(F.array(pair("hi", "m"), pair("lo", "m")))).filter(F.col("hi") != F.col("lo")).distinct()
+    lowest = edges.groupBy(*keys, "hi").agg(F.min("lo").alias("low"))
+    own = F.when(F.col("lo") == F.col("low"), F.col("hi")).otherwise(F.col("lo"))
+    pairs = edges.join(lowest, [*keys, "hi"]).select(*keys, F.array(F.struct("hi", F.col("low").alias("lo")), F.struct(own.alias("hi"), F.col("low").alias("lo"))).alias("_p"))
+    return pairs.select(*keys, F.inline("_p")).distinct()
 
 
-def _open_nodes(edges: DataFrame, keys: Sequence[str]) -> tuple[int, bool]:
-    """Edge count, and whether a node still hangs on two others or a root still hangs."""
+def _unsettled(edges: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a node still hangs on two others or a root still hangs."""
     down = edges.groupBy(*keys, F.col("hi").alias("node")).agg(F.count("*").alias("n"), F.lit(0).alias("r"))
     root = edges.groupBy(*keys, F.col("lo").alias("node")).agg(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("r"))
     nodes = down.unionByName(root).groupBy(*keys, "node").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
-    row = nodes.agg(F.sum("n").alias("edges"), F.count_if((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("r") > 0))).alias("open")).first()
-    return row["edges"] or 0, bool(row["open"])
+    return not nodes.filter((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("r") > 0))).isEmpty()
 
 
 def components(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -73,15 +47,6 @@ def components(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b"
     keys = list(keys)
     state = cut(edges.select(*keys, F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
                 .filter(F.col("hi") != F.col("lo")).distinct())
-    for _ in range(MAX_ROUNDS):
-        count, unsettled = _open_nodes(state, keys)
-        if not unsettled:
-            return state.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("root"))
-        if count > SETTLE_ABOVE:
-            state = cut(_large_star(state, keys))
-            state = cut(_small_star(state, keys))
-        else:
-            for _ in range(FUSED_ROUNDS):
-                state = _small_graph_round(state, keys)
-            state = cut(state)
-    raise RuntimeError(f"component labels did not settle in {MAX_ROUNDS} rounds")
+    while _unsettled(state, keys):
+        state = cut(_small_star(cut(_large_star(state, keys)), keys))
+    return state.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("root"))

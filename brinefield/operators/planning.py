@@ -2,7 +2,7 @@
 
 Designs run side by side under ``(case_id, design)``. A greedy round is one
 group-by for the best candidate; what a round adds is one station per design,
-so the stations travel as an array of at most ``budget`` entries.
+so the stations travel as an array whose length is the asked-for budget.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from brinefield.operators.windows import split_row_number
 from brinefield.runtime import cut
 
 LATTICE = 6
-MAX_BUDGET = 16
 GRADIENT_WEIGHT, DISTANCE_WEIGHT = 0.65, 0.35
 DESIGN = ["case_id", "design"]
 STATIONS = "array<struct<station:int,flat:bigint,lon:double,lat:double,prior:double,nearest_km:double>>"
@@ -83,8 +82,6 @@ def select_stations(candidates: DataFrame, designs: Sequence[Design], budget: in
     ``candidates(case_id, flat, lon, lat, value, gradient)``. Spacing is tested
     before scoring; ties take the lowest index. Each round's stations are written.
     """
-    if not 0 < budget <= MAX_BUDGET:
-        raise ValueError(f"budget must be 1 to {MAX_BUDGET}")
     lat, lon = F.col("lat"), F.col("lon")
     listed = F.array(*[F.struct(F.lit(d.name).alias("design"), F.lit(d.strategy).alias("strategy"), F.lit(d.seed).alias("seed")) for d in designs])
     ready = (candidates.join(_pool_constants(candidates), "case_id")
@@ -116,31 +113,23 @@ def station_plan(chosen: DataFrame) -> DataFrame:
     return chosen.select(*DESIGN, "fulfilled", F.inline("stations"))
 
 
-def idw_correction(stations: Column, lat: Column, lon: Column) -> Column:
-    """inverse-distance-squared mean of station residuals; an exact station gives its own residual.
-
-    ``stations`` holds ``(lon, lat, residual)`` in selection order, at most the budget.
-    """
-    far = F.transform(stations, lambda s: F.struct(haversine_km(lat, lon, s["lat"], s["lon"]).alias("d"), s["residual"].alias("r")))
-    exact = F.filter(far, lambda s: s["d"] == 0)
-    nearest = F.greatest(F.array_min(F.transform(far, lambda s: s["d"])), F.lit(1e-12))
-
-    def weight(s):
-        return F.pow(nearest / F.greatest(s["d"], F.lit(1e-12)), F.lit(2.0))
-
-    top = F.aggregate(far, F.lit(0.0), lambda a, s: a + weight(s) * s["r"])
-    bottom = F.aggregate(far, F.lit(0.0), lambda a, s: a + weight(s))
-    return F.when(F.size(exact) > 0, F.get(exact, F.lit(0))["r"]).otherwise(top / bottom)
-
-
 def reconstruct(targets: DataFrame, stations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """prior plus the interpolated residual at ``targets(keys, lat, lon, prior)``.
+    """prior plus the inverse-distance-squared mean of station residuals at ``targets(keys, lat, lon, prior)``.
 
-    ``stations(keys, station, lon, lat, residual)`` folds to one array per key.
+    ``stations(keys, station, lon, lat, residual)`` are the stations asked for, as rows.
+    Weights are summed per target with map-side partial sums; an exact station (the first
+    in order) gives its own residual. Targets without a station are left out.
     """
     keys = list(keys)
-    folded = stations.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("station", "lon", "lat", "residual"))).alias("_st"))
-    return targets.join(folded, keys).withColumn("reconstructed", F.col("prior") + idw_correction(F.col("_st"), F.col("lat"), F.col("lon"))).drop("_st")
+    own = targets.columns
+    marks = stations.select(*keys, F.col("station").alias("_s"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("residual").alias("_r"))
+    pairs = targets.join(marks, keys).withColumn("_d", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    weight = F.lit(1.0) / (F.col("_d") * F.col("_d"))
+    apart = F.col("_d") > 0
+    summed = pairs.groupBy(*own).agg(F.min(F.when(~apart, F.struct("_s", "_r"))).alias("_exact"), F.sum(F.when(apart, weight * F.col("_r"))).alias("_top"),
+                                     F.sum(F.when(apart, weight)).alias("_bottom"))
+    mean = F.when(F.col("_exact").isNotNull(), F.col("_exact")["_r"]).otherwise(F.col("_top") / F.col("_bottom"))
+    return summed.select(*own, (F.col("prior") + mean).alias("reconstructed"))
 
 
 def holdout_evaluation(chosen: DataFrame, evaluation: DataFrame, truth: DataFrame, frames: Sequence[int], budget: int) -> DataFrame:

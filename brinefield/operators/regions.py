@@ -88,8 +88,8 @@ def region_stats(labels: DataFrame, index: DataFrame) -> DataFrame:
     return stats.join(geometry, "case_id").select("case_id", *kept, *[v.alias(k) for k, v in bounds.items()])
 
 
-def rank_regions(regions: DataFrame, order: str = "volume", limit: int = 50) -> DataFrame:
-    """The first ``limit`` regions of each frame, with the full count kept beside them.
+def rank_regions(regions: DataFrame, order: str = "volume", limit: int | None = None) -> DataFrame:
+    """Regions of each frame in order, the first ``limit`` where one is asked for, with the full count kept beside them.
 
     The rank filter turns into a per-task group limit, so a frame with many
     regions ships only its leaders.
@@ -97,7 +97,8 @@ def rank_regions(regions: DataFrame, order: str = "volume", limit: int = 50) ->
     lead = {"volume": [], "observations": [F.col("eligible_samples").desc()]}[order]
     window = Window.partitionBy(*KEYS).orderBy(*lead, F.col("volume_km3").desc(), "label")
     totals = regions.groupBy(*KEYS).agg(F.count("*").alias("total_regions"))
-    return regions.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit).join(totals, KEYS)
+    ranked = regions.withColumn("rank", F.row_number().over(window))
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).join(totals, KEYS)
 
 
 def plan_footprint(labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _axis(axes: DataFrame, name: str, coord: str | None = None) -> DataFrame:
 
 
 def subset_status(axes: DataFrame, bbox: tuple[float, float, float, float] | None = None,
-                  depth_index: int | None = None, max_values: int | None = None) -> DataFrame:
+                  depth_index: int | None = None) -> DataFrame:
     """Per case, ``ok`` or why the selection is refused, from the axes alone."""
     west, south, east, north = bbox or (None,) * 4
     lat, lon, depth = (F.col("axis") == n for n in ("lat", "lon", "depth"))
@@ -35,13 +35,11 @@ def subset_status(axes: DataFrame, bbox: tuple[float, float, float, float] | Non
                & (F.col("y0") <= south) & (F.lit(south) <= north) & (F.lit(north) <= F.col("y1")))
     status = (F.when(F.col("nz") == 0, "unsupported_depth").when(~covered, "outside_coverage")
               .when(values == 0, "empty_subset"))
-    if max_values is not None:
-        status = status.when(values > max_values, "subset_too_large")
     return sums.select("case_id", values.alias("values"), status.otherwise("ok").alias("status"))
 
 
 def subset(cells: DataFrame, axes: DataFrame, frame: int, bbox: tuple[float, float, float, float] | None = None,
-           depth_index: int | None = None, max_values: int | None = None) -> DataFrame:
+           depth_index: int | None = None) -> DataFrame:
     """Cells of one frame in an inclusive box and optional level, with coordinates.
 
     Frame and level filter the scan; the box filters the axis tables first, so
@@ -54,7 +52,7 @@ def subset(cells: DataFrame, axes: DataFrame, frame: int, bbox: tuple[float, flo
     if bbox:
         west, south, east, north = bbox
         lat, lon = lat.filter(F.col("lat").between(south, north)), lon.filter(F.col("lon").between(west, east))
-    good = subset_status(axes, bbox, depth_index, max_values).filter(F.col("status") == "ok").select("case_id")
+    good = subset_status(axes, bbox, depth_index).filter(F.col("status") == "ok").select("case_id")
     return (rows.join(good, "case_id", "left_semi").join(lat, ["case_id", "iy"]).join(lon, ["case_id", "ix"])
             .join(_axis(axes, "depth"), ["case_id", "iz"])
             .select("case_id", "it", "iz", "iy", "ix", "depth", "lat", "lon", "value"))

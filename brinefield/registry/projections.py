@@ -6,13 +6,15 @@ the projected grids, series and observation sets grow with the tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinefield.operators.axes import axis_index
-from brinefield.runtime import cut
+from brinefield.runtime import checkpoint_root, cut
+from brinefield.sources.fields import read_field, write_field
 
 # Axis values of every projected case (plain test data).
 DEPTHS = (0.0, 10.0, 30.0, 60.0, 100.0, 160.0, 250.0)
@@ -168,13 +170,19 @@ class Inputs:
         """Side tables are written once per session, as a user would store them."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _settled:
-            _settled[key] = cut(build().coalesce(1))
+            _settled[key] = cut(build())
         return _settled[key]
 
     @cached_property
     def grid(self) -> DataFrame:
-        """Present cells only; an absent cell is a missing cell."""
-        return self.sql(GRID, "lineitem")
+        """Present cells only; an absent cell is a missing cell. Stored once per session, partitioned by frame."""
+        key = (self.spark.sparkContext.applicationId, self.dir, "grid")
+        if key not in _settled:
+            cells = self.sql(GRID, "lineitem")
+            path = f"{checkpoint_root(self.spark)}/field-{uuid.uuid4().hex}"
+            write_field(cells, path)
+            _settled[key] = read_field(self.spark, path, cells.schema)
+        return _settled[key]
 
     @property
     def cells(self) -> DataFrame:

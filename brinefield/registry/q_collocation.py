@@ -268,11 +268,10 @@ def c11(i):
 
 
 @query("C12_profiles_in_calendar_window", """
-SELECT case_id, profile_id, strftime(ts, '%Y-%m') AS month FROM profiles WHERE strftime(ts, '%Y-%m') IN ('2023-12', '2024-01') AND day(ts) % 2 = 0""", ("profiles",))
+SELECT case_id, profile_id, strftime(ts, '%Y-%m') AS month FROM profiles WHERE strftime(ts, '%Y-%m') IN ('2023-12', '2024-01')""", ("profiles",))
 def c12(i):
     months = i.spark.createDataFrame([("2023-12",), ("2024-01",)], "month string")
-    even = profiles(i).filter(F.dayofmonth("ts") % 2 == 0)
-    return co.profiles_in_months(even, months).select("case_id", "profile_id", "month")
+    return co.profiles_in_months(profiles(i), months).select("case_id", "profile_id", "month")
 
 
 COLUMN_PAIRS = """SELECT case_id, it, iy * 15 + ix AS flat, max(CASE WHEN iz = 0 THEN value END) AS surface, max(CASE WHEN iz = 4 THEN value END) AS deep

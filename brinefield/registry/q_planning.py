@@ -68,7 +68,7 @@ _D = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radian
 
 @query("F10_idw_reconstruct", f"""
 WITH st AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, row_number() OVER (PARTITION BY case_id ORDER BY flat) AS k, value FROM roles WHERE role = 'candidate'),
- s AS (SELECT st.*, g.value - st.value AS r FROM st JOIN grid g ON g.case_id = st.case_id AND g.it = 2 AND g.iz = {LEVEL} AND g.iy * 15 + g.ix = st.flat WHERE st.k <= 12 AND g.value IS NOT NULL),
+ s AS (SELECT st.*, g.value - st.value AS r FROM st JOIN grid g ON g.case_id = st.case_id AND g.it = 2 AND g.iz = {LEVEL} AND g.iy * 15 + g.ix = st.flat WHERE g.value IS NOT NULL),
  t AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, value AS prior FROM roles),
  p AS (SELECT t.case_id, t.flat, t.prior, s.r, s.k, {_D.format(a='t.lat', b='s.lat', c='t.lon', d='s.lon')} AS d FROM t JOIN s USING (case_id))
 SELECT case_id, flat, round(any_value(prior) + CASE WHEN min(d) = 0 THEN arg_min(r, d) ELSE sum(r / (d * d)) / sum(1 / (d * d)) END, 6) AS reconstructed FROM (SELECT *, min(d) OVER (PARTITION BY case_id, flat) AS dm FROM p) q
@@ -77,7 +77,7 @@ def f10(i):
     from pyspark.sql import Window
     rows = split(i)
     k = F.row_number().over(Window.partitionBy("case_id").orderBy("flat"))
-    st = rows.filter("role = 'candidate'").withColumn("station", k).filter("station <= 12")
+    st = rows.filter("role = 'candidate'").withColumn("station", k)
     later = i.cells.filter(f"it = 2 and iz = {LEVEL} and value is not null").select("case_id", "iy", "ix", F.col("value").alias("truth"))
     stations = st.join(later, ["case_id", "iy", "ix"]).select("case_id", "station", "lon", "lat", (F.col("truth") - F.col("value")).alias("residual"))
     targets = rows.select("case_id", "flat", "lat", "lon", F.col("value").alias("prior"))

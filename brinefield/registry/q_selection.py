@@ -19,7 +19,7 @@ COORDS = ("JOIN ax_depth zd ON zd.case_id = g.case_id AND zd.idx = g.iz JOIN ax_
 SELECT g.case_id, g.it, g.iz, g.iy, g.ix, depth, lat, lon, g.value FROM grid g {COORDS}
 WHERE g.it = 2 AND lon BETWEEN 85.5 AND 87.25 AND lat BETWEEN 10.5 AND 12.0""", ("grid", *AX3))
 def p1(i):
-    return sel.subset(i.cells, i.axes, 2, BBOX, max_values=100_000)
+    return sel.subset(i.cells, i.axes, 2, BBOX)
 
 
 @query("P1_subset_slice", f"""
@@ -81,10 +81,9 @@ def p5(i):
     return sel.nearest_profile(i.cells, i.axes, 3, 86.37, 11.125)
 
 
-@query("P6_pack_with_uncertainty", "SELECT case_id, it, iz, iy, ix, value, abs(u) AS uncertainty FROM grid WHERE it = 1", ("grid",))
+@query("P6_pack_with_uncertainty", "SELECT case_id, it, iz, iy, ix, value, abs(u) AS uncertainty FROM grid", ("grid",))
 def p6(i):
-    base = i.grid.filter("it = 1")
-    return sel.pack_with_uncertainty(base.select(*KEYS, "value"), base.select(*KEYS, F.abs("u").alias("value")))
+    return sel.pack_with_uncertainty(i.grid.select(*KEYS, "value"), i.grid.select(*KEYS, F.abs("u").alias("value")))
 
 
 @query("P7_native_column", """
@@ -280,12 +279,12 @@ JOIN edges y ON y.case_id = z.case_id AND y.axis = 'lat' JOIN edges x ON x.case_
 
 
 @query("W2_cell_volumes", """
-SELECT g.case_id, g.iz, g.iy, g.ix, round(vol, 4) AS volume_km3 FROM grid g JOIN vol_window v USING (case_id, iz, iy, ix) WHERE it = 0""",
+SELECT g.case_id, g.it, g.iz, g.iy, g.ix, round(vol, 4) AS volume_km3 FROM grid g JOIN vol_window v USING (case_id, iz, iy, ix)""",
        ("grid", "vol_window"))
 def w2(i):
     geometry = ax.grid_geometry(i.index, 10.0, 160.0)
-    rows = i.cells.filter("it = 0").join(geometry, "case_id")
-    return rows.select("case_id", "iz", "iy", "ix", F.round(ax.cell_volume(), 4).alias("volume_km3"))
+    rows = i.cells.join(geometry, "case_id")
+    return rows.select("case_id", "it", "iz", "iy", "ix", F.round(ax.cell_volume(), 4).alias("volume_km3"))
 
 
 assert (NZ, NY, NX) == (7, 12, 15)

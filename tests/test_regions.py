@@ -3,7 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pytest
 
 from brinefield.operators import components as cc
 from brinefield.operators import evolution as ev
@@ -28,10 +27,7 @@ def brute_components(edges):
     return {n: find(n) for n in parent if find(n) != n}
 
 
-@pytest.mark.parametrize("settle", [False, True])
-def test_components_match_union_find(spark, monkeypatch, settle):
-    if settle:
-        monkeypatch.setattr(cc, "SETTLE_ABOVE", 0)
+def test_components_match_union_find(spark):
     rng = random.Random(11)
     graphs = {0: [(k, k + 1) for k in range(40)], 1: [(0, k) for k in range(1, 60)], 2: [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]}
     rows = [(g, a, b) for g, edges in graphs.items() for a, b in edges]
