@@ -29,8 +29,33 @@ def multiset_digest(text: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
+def exact_number(name: str, text_type: str = "STRING", refuse: bool = True) -> str:
+    """SQL text: a double as ``n<mantissa>e<power of two>``, exact to the last bit; zero of either sign is ``n0``.
+
+    The mantissa is the 53-bit integer of the value. A power taken from logarithms may be
+    one off near a power of two, which the second step corrects. Non-finite values are refused.
+    """
+    guess = f"CAST(floor(ln(abs({name})) / ln(2e0)) AS INT)"
+    size = f"(abs({name}) / pow(2e0, {guess}))"
+    power = f"({guess} + CASE WHEN {size} >= 2e0 THEN 1 WHEN {size} < 1e0 THEN -1 ELSE 0 END)"
+    mantissa = f"CAST({name} / pow(2e0, {power}) * 4503599627370496e0 AS BIGINT)"
+    stop = f"WHEN isnan({name}) OR abs({name}) = CAST('Infinity' AS DOUBLE) THEN raise_error('a non-finite number has no digest') " if refuse else ""
+    return (f"CASE WHEN {name} IS NULL THEN 'z' {stop}WHEN {name} = 0e0 THEN 'n0' "
+            f"ELSE concat('n', CAST({mantissa} AS {text_type}), 'e', CAST({power} AS {text_type})) END")
+
+
+def _number_text(name: str, kind: T.NumericType) -> Column:
+    """Integers and floats of equal value have equal text; integers that no double holds keep their digits."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.expr(exact_number(f"CAST(`{name}` AS DOUBLE)"))
+    back = "DECIMAL(38, 9)" if isinstance(kind, T.DecimalType) else "BIGINT"
+    held = f"try_cast(CAST(`{name}` AS DOUBLE) AS {back}) = CAST(`{name}` AS {back})"
+    digits = f"concat('d', CAST(CAST(`{name}` AS DECIMAL(38, 9)) AS STRING))"
+    return F.expr(f"CASE WHEN {held} THEN {exact_number(f'CAST(`{name}` AS DOUBLE)')} ELSE coalesce({digits}, 'z') END")
+
+
 def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """Typed canonical text of a row: names sorted, int equals float, -0 equals 0."""
+    """Typed canonical text of a row: names sorted, int equals float, -0 equals 0, numbers exact."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for name in sorted(columns or df.columns):
@@ -38,7 +63,7 @@ def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
         if isinstance(kind, T.BooleanType):
             body = F.concat(F.lit("b"), c.cast("string"))
         elif isinstance(kind, T.NumericType):
-            body = F.concat(F.lit("n"), c.cast("decimal(38,9)").cast("string"))
+            body = _number_text(name, kind)
         else:
             text = F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
             body = F.concat(F.lit("s"), F.length(text).cast("string"), F.lit(":"), text)
@@ -49,7 +74,8 @@ def canonical_text(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
 def exact_sum(value: Column, places: int) -> Column:
     """A5: sum that does not depend on row order or partitioning.
 
-    Values go to fixed point first; decimal addition is exact, so partial sums
+    Values are rounded to ``places`` decimals first (a choice of the caller, since it changes
+    the sum by at most half a unit of that place per value); decimal addition is exact, so partial sums
     combine to the same total on any cluster layout, where a fixed visiting
     order would need one task per group.
     """

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,50 +135,31 @@ def kinetic_energy(u: Column, v: Column) -> Column:
     return (u * u + v * v) / 2
 
 
-@dataclass(frozen=True)
-class Product:
-    """A named scalar product; learned products must name their provenance."""
+#: Name, input columns, SQL expression, and for a learned product the texts that say where it comes from.
+PRODUCTS = (
+    ("horizontal_kinetic_energy", ("u", "v"), "(u * u + v * v) / 2", None),
+    ("horizontal_speed", ("u", "v"), "hypot(u, v)", None),
+)
+ORIGIN = ("model", "training_data", "validation")
 
-    id: str
-    inputs: tuple[str, ...]
-    build: Callable[..., Column]
-    kind: str = "derived"
-    references: dict[str, str] = field(default_factory=dict)
 
-    def __post_init__(self):
-        if len(set(self.inputs)) != len(self.inputs) or not self.inputs:
-            raise ValueError("product inputs must be unique and not empty")
-        if self.kind == "ml_derived" and not all(self.references.get(k) for k in ("model", "training_data", "validation")):
-            raise ValueError("a learned product needs model, training-data and validation references")
+def product_problems(products: Sequence[tuple] = PRODUCTS) -> list[tuple[str, str]]:
+    """What is wrong with a table of products, as (name, problem) rows."""
+    names = [name for name, *_ in products]
+    found = [(name, "name_used_twice") for name in sorted({n for n in names if names.count(n) > 1})]
+    found += [(name, "inputs_missing_or_repeated") for name, inputs, _, _ in products if not inputs or len({*inputs}) < len(inputs)]
+    found += [(name, f"no_{text}") for name, _, _, origin in products if origin is not None for text in ORIGIN if not origin.get(text)]
+    return found
 
 
-class ProductRegistry:
-    def __init__(self):
-        self._items: dict[str, Product] = {}
-
-    def register(self, product: Product) -> None:
-        if product.id in self._items:
-            raise ValueError("a product id cannot be registered twice")
-        self._items[product.id] = product
-
-    def get(self, product_id: str) -> Product:
-        if product_id not in self._items:
-            raise KeyError(f"product {product_id} is not registered")
-        return self._items[product_id]
-
-    def derive(self, grid: DataFrame, product_id: str, out: str = "value") -> DataFrame:
-        """Add the product; it is null unless every input is present."""
-        product = self.get(product_id)
-        columns = [F.col(name) for name in product.inputs]
-        present = F.lit(True)
-        for c in columns:
-            present = present & c.isNotNull()
-        return grid.withColumn(out, F.when(present, product.build(*columns)))
-
-
-PRODUCTS = ProductRegistry()
-PRODUCTS.register(Product("horizontal_kinetic_energy", ("u", "v"), kinetic_energy))
-PRODUCTS.register(Product("horizontal_speed", ("u", "v"), horizontal_speed))
+def derived_product(grid: DataFrame, name: str, out: str, products: Sequence[tuple] = PRODUCTS) -> DataFrame:
+    """Add a product of the table; it is null unless every input is present."""
+    wrong = product_problems(products)
+    rows = [row for row in products if row[0] == name]
+    if wrong or not rows:
+        raise ValueError(f"products refused: {wrong or [(name, 'unknown_product')]}")
+    _, inputs, sql, _ = rows[0]
+    return grid.withColumn(out, F.expr(f"CASE WHEN {' AND '.join(f'`{c}` IS NOT NULL' for c in inputs)} THEN {sql} END"))
 
 
 def depth_window(cells: DataFrame, axes: DataFrame, maximum: float) -> DataFrame:

@@ -96,12 +96,12 @@ def p7(i):
 @query("P8_derived_product", """
 SELECT case_id, it, iz, iy, ix, round(sqrt(u*u + v*v), 6) AS product FROM grid""", ("grid",))
 def p8(i):
-    return sel.PRODUCTS.derive(i.grid, "horizontal_speed", "product").select(*KEYS, F.round("product", 6).alias("product"))
+    return sel.derived_product(i.grid, "horizontal_speed", "product").select(*KEYS, F.round("product", 6).alias("product"))
 
 
 @query("P9_kinetic_energy", "SELECT case_id, it, iz, iy, ix, (u*u + v*v)/2 AS ke FROM grid", ("grid",))
 def p9(i):
-    return sel.PRODUCTS.derive(i.grid, "horizontal_kinetic_energy", "ke").select(*KEYS, "ke")
+    return sel.derived_product(i.grid, "horizontal_kinetic_energy", "ke").select(*KEYS, "ke")
 
 
 @query("P10_horizontal_speed", """

@@ -161,7 +161,6 @@ def test_smallest_arc_over_the_date_line(spark):
 
 
 def test_learned_products_need_provenance():
-    with pytest.raises(ValueError):
-        sel.Product("x", ("u",), lambda u: u, kind="ml_derived")
-    with pytest.raises(ValueError):
-        sel.PRODUCTS.register(sel.Product("horizontal_speed", ("u", "v"), sel.horizontal_speed))
+    assert sel.product_problems() == []
+    bad = [*sel.PRODUCTS, ("x", ("u",), "u", {"model": "m", "validation": "v"}), ("horizontal_speed", ("u", "u"), "u", None)]
+    assert sel.product_problems(bad) == [("horizontal_speed", "name_used_twice"), ("horizontal_speed", "inputs_missing_or_repeated"), ("x", "no_training_data")]

@@ -39,12 +39,28 @@ def test_ctd_exchange_files(spark, tmp_path):
 
 def test_mapping_rules(spark):
     df = spark.createDataFrame([("300",), ("NaN",), ("",), ("hot",)], "kelvin string")
-    out, lineage = ob.apply_column_mapping(df, {"temperature_c": ("kelvin", "K")})
+    out = ob.map_columns(df, [("temperature_c", "kelvin", "K")])
     assert [(None if r[0] is None else round(r[0], 2), r[1]) for r in out.collect()] == [(26.85, False), (None, False), (None, False), (None, True)]
-    assert lineage == [("temperature_c", "kelvin", "K", 1.0, -273.15)]
-    for bad in ({"temperature_c": ("kelvin", "psu")}, {"time": ("kelvin", "s")}, {"nothing": ("kelvin", None)}, {"time": ("absent", None)}, {"time": ("kelvin", None), "platform": ("kelvin", None)}):
-        with pytest.raises(ValueError):
-            ob.apply_column_mapping(df, bad)
+    assert [tuple(r) for r in ob.mapping_plan(df, [("temperature_c", "kelvin", "K")]).collect()] == [("temperature_c", "kelvin", "K", 1.0, -273.15, None)]
+    asked = [("temperature_c", "kelvin", "psu"), ("time", "kelvin", "s"), ("nothing", "kelvin", None), ("platform", "absent", None), ("instrument", "kelvin", None)]
+    assert {r["target"]: r["problem"] for r in ob.mapping_plan(df, asked).collect()} == {
+        "temperature_c": "unsupported_unit", "time": "unit_on_plain_column", "nothing": "unknown_target", "platform": "absent_source", "instrument": "source_used_twice"}
+    with pytest.raises(ValueError, match="nothing <- kelvin: unknown_target"):
+        ob.map_columns(df, asked)
+    own = spark.createDataFrame([("20", "30")], "temperature_c string, salinity_psu string")
+    assert {r["target"]: r["problem"] for r in ob.mapping_plan(own, [("oxygen_umol_kg", "salinity_psu", "umol/kg")]).collect()}["oxygen_umol_kg"] == "relabelled_measurement"
+
+
+def test_numbers_in_digests_are_exact(spark):
+    from brinefield.operators import audit as au
+    def mark(values, kind="double"):
+        return au.fingerprint(spark.createDataFrame([(v,) for v in values], f"v {kind}")).first()["fingerprint"]
+    values = [1e-10, 2e-10, 1e30, 1e30 * (1 + 2 ** -52), 5e-324, 1.7976931348623157e308, 0.1, 0.1 + 1e-17, 0.1 + 2 ** -56, 1.0, 3.0, -3.0]
+    assert len({mark([v]) for v in values}) == len({*values})
+    assert mark([0.0]) == mark([-0.0]) == mark([0], "int") and mark([3.0]) == mark([3], "long") != mark([None], "long")
+    assert mark([2 ** 60], "long") == mark([2.0 ** 60]) and mark([2 ** 60 + 1], "long") != mark([2 ** 60], "long")
+    with pytest.raises(Exception, match="non-finite"):
+        mark([float("nan")])
 
 
 def test_field_arrays(spark):
