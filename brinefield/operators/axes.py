@@ -24,7 +24,7 @@ class AxisText:
     """SQL text over the ``ax_<name>`` columns that ``axis_index`` attaches."""
 
     def __init__(self, name: str):
-        self.coords, self.low, self.step, self.lookup = (f"ax_{name}{s}" for s in ("", "_lo", "_h", "_map"))
+        self.coords, self.steps = f"ax_{name}", f"ax_{name}_steps"
         self.size = f"size({self.coords})"
         self.first, self.last = self.at("0"), self.at(f"{self.size} - 1")
 
@@ -35,11 +35,8 @@ class AxisText:
         return f"({value} >= {self.first} AND {value} <= {self.last})"
 
     def floor_index(self, value: str) -> str:
-        """Index of the last coordinate <= value, clamped to the axis."""
-        bucket = f"cast(greatest(0, least(floor(({value} - {self.low}) / {self.step}), size({self.lookup}) - 1)) as int)"
-        guess = f"get({self.lookup}, {bucket})"
-        return (f"cast({guess} + CASE WHEN {self.at(guess + ' + 1')} <= {value} THEN 1 ELSE 0 END"
-                f" - CASE WHEN {self.at(guess)} > {value} AND {guess} > 0 THEN 1 ELSE 0 END AS int)")
+        """Index of the last coordinate <= value, clamped to the axis: steps of falling powers of two, each taken if it stays at or below."""
+        return f"aggregate({self.steps}, 0, (p, s) -> p + CASE WHEN get({self.coords}, p + s) <= {value} THEN s ELSE 0 END)"
 
     def ceil_index(self, value: str) -> str:
         """Index of the first coordinate >= value, clamped to the axis."""
@@ -111,27 +108,18 @@ def barrier(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def axis_index(axes: DataFrame, names: Sequence[str] = AXES) -> DataFrame:
-    """One lookup row per case: ``ax_<name>``, ``_lo``, ``_h`` and ``_map`` per axis.
+    """One lookup row per case: the sorted coordinates ``ax_<name>`` and the search steps ``ax_<name>_steps``.
 
-    An index already built (and stored) passes through.
+    The row is as long as the axis and the steps as its logarithm, whatever the spacing;
+    equal coordinates (which ``check_grid`` reports) find the last of them. An index
+    already built (and stored) passes through.
     """
     if f"ax_{names[0]}" in axes.columns:
         return axes.select("case_id", *[c for c in axes.columns if c.split("_")[:2] in [["ax", n] for n in names]])
     rows = axes.groupBy("case_id").agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("axis") == n, F.struct("idx", "coord")))),
                     lambda s: s["coord"]).alias(f"ax_{n}") for n in names])
-    for n in names:
-        rows = _add_lookup(rows, n)
-    return rows
-
-
-def _add_lookup(rows: DataFrame, name: str) -> DataFrame:
-    """Bucket width is the smallest spacing, so a bucket starts at most one coordinate."""
-    a, low, step = f"ax_{name}", f"ax_{name}_lo", f"ax_{name}_h"
-    rows = rows.selectExpr("*", f"get({a}, 0) AS {low}",
-                           f"CASE WHEN size({a}) > 1 THEN array_min(transform(sequence(1, size({a}) - 1), i -> get({a}, i) - get({a}, i - 1))) ELSE 1D END AS {step}")
-    buckets = f"cast(floor((get({a}, size({a}) - 1) - {low}) / {step}) as int)"
-    return rows.selectExpr("*", f"transform(sequence(0, {buckets}), k -> greatest(0, size(filter({a}, c -> c <= {low} + k * {step})) - 1)) AS {a}_map")
+    return rows.selectExpr("*", *[f"transform(sequence(cast(ceil(log2(greatest(size(ax_{n}), 1))) as int), 0), k -> shiftleft(1, k)) AS ax_{n}_steps" for n in names])
 
 
 def frame_index(frames: DataFrame) -> DataFrame:

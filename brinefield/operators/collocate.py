@@ -44,7 +44,8 @@ def with_settings(readings: DataFrame, settings: Sequence[MatchSettings]) -> Dat
 def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
     """Nearest grid column of each ``(lat, lon)`` row carrying ``axis_index``.
 
-    Exact pruning instead of a full search. Along one latitude row distance
+    Exact pruning instead of a full search. The longitude is first shifted by
+    whole turns to the copy nearest the axis. Along one latitude row distance
     grows with the longitude gap, so only the bracketing longitudes (and both
     ends, when the point lies outside or the axis spans over half a turn) can
     win. Distance is at least the latitude gap, so rows farther than the best
@@ -56,13 +57,14 @@ def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
     def far(row, col):
         return haversine_text("lat", "lon", y.at(row), x.at(col))
 
-    p = barrier(points, {"_x0": x.floor_index("lon"), "_y0": y.floor_index("lat")})
+    p = barrier(points, {"_lon": f"lon + 360D * floor((({x.first} + {x.last}) / 2 - lon) / 360D + 0.5D)"})
+    p = barrier(p, {"_x0": x.floor_index("_lon"), "_y0": y.floor_index("lat")})
     p = p.selectExpr("*", f"least(_x0 + 1, {x.size} - 1) AS _x1", f"least(_y0 + 1, {y.size} - 1) AS _y1")
     corners = [(r, c) for r in ("_y0", "_y1") for c in ("_x0", "_x1")]
     p = barrier(p, {"_four": "array(" + ", ".join(f"named_struct('d', {far(r, c)}, 'iy', {r}, 'ix', {c})" for r, c in corners) + ")"})
     p = barrier(p, {"_best": "array_min(_four)"})
     p = barrier(p, {"_reach": f"degrees((_best.d + {tie_km!r}D) / {EARTH_RADIUS_KM!r}D) * (1 + 1e-9D) + 1e-9D",
-                    "_wide": f"NOT {x.covers('lon')} OR {x.last} - {x.first} > 180"})
+                    "_wide": f"NOT {x.covers('_lon')} OR {x.last} - {x.first} > 180"})
     p = barrier(p, {"_from": y.ceil_index("(lat - _reach)"), "_to": y.floor_index("(lat + _reach)")})
     pairs = (f"flatten(transform(sequence(_from, _to), r -> transform(CASE WHEN _wide THEN array(_x0, _x1, 0, {x.size} - 1) ELSE array(_x0, _x1) END, "
              f"c -> named_struct('d', {far('r', 'c')}, 'iy', r, 'ix', c))))")

@@ -22,11 +22,11 @@ def km(lat1, lon1, lat2, lon2):
     return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, max(0.0, a))))
 
 
-@pytest.mark.parametrize("span", [20, 170, 330])
-def test_nearest_column_matches_full_search(spark, make_axes, span):
+@pytest.mark.parametrize("west,span", [(-170, 20), (-170, 170), (-170, 330), (0, 350), (0, 360), (150, 60)])
+def test_nearest_column_matches_full_search(spark, make_axes, west, span):
     rng = random.Random(span)
     lats = sorted(rng.uniform(-80, 80) for _ in range(14))
-    lons = sorted(rng.uniform(-170, -170 + span) for _ in range(17))
+    lons = sorted(rng.uniform(west, west + span) for _ in range(17))
     points = [(k, rng.uniform(-89, 89), rng.uniform(-180, 180)) for k in range(400)]
     rows = spark.createDataFrame([(0, *p) for p in points], "case_id long, k int, lat double, lon double").join(axis_index(make_axes([0, 1], lats, lons)), "case_id")
     for got in co.nearest_column(rows).collect():
@@ -34,6 +34,19 @@ def test_nearest_column_matches_full_search(spark, make_axes, span):
         assert km(got["lat"], got["lon"], lats[got["iy"]], lons[got["ix"]]) <= best + 1e-9
 
 
+def test_lookup_follows_the_axis_not_its_spacing(spark, make_axes):
+    from pyspark.sql import functions as F
+
+    from brinefield.operators.axes import AxisText
+    depth = AxisText("depth")
+    index = axis_index(make_axes([0, 1, 1, 1e9], [5], [0, 1e-9, 300]))
+    sizes = index.select(F.size("ax_depth_steps"), F.size("ax_lat_steps"), F.size("ax_lon_steps")).first()
+    assert tuple(sizes) == (3, 1, 3)
+    rows = spark.createDataFrame([(0, v) for v in (-1.0, 0.0, 0.5, 1.0, 2.0, 1e9, 2e9)], "case_id long, v double").join(index, "case_id")
+    got = rows.selectExpr("v", f"{depth.floor_index('v')} AS f", f"{depth.ceil_index('v')} AS c").orderBy("v").collect()
+    assert [(r["f"], r["c"]) for r in got] == [(0, 0), (0, 0), (0, 1), (2, 2), (2, 3), (3, 3), (3, 3)]
+
+
 def test_nearest_column_ties_take_first_index(spark, make_axes):
     index = axis_index(make_axes([0, 1], [-1.0, 1.0], [10.0, 12.0]))
     point = spark.createDataFrame([(0, 1.0, 11.0), (0, 0.0, 11.0)], "case_id long, lat double, lon double").join(index, "case_id")
