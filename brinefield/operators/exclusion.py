@@ -62,11 +62,14 @@ def removed_samples(matches: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def six_digits(x: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    places = F.lit(5) - F.floor(F.log10(F.abs(x)))
-    scale = F.pow(F.lit(10.0), places)
-    text = F.when(x == 0, F.lit("0")).otherwise((F.rint(x * scale) / scale).cast("string"))
-    return F.regexp_replace(text, r"\.0$", "")
+    """Six significant digits without trailing zeros; powers of ten below 1e-4 and from 1e6 on are written out, as in ``1.5e-05``."""
+    written = F.format_string("%.5e", x)
+    power = F.substring_index(written, "e", -1).cast("int")
+    mantissa = F.regexp_replace(F.substring_index(written, "e", 1), r"\.?0+$", "")
+    scale = F.pow(F.lit(10.0), F.lit(5) - power)
+    plain = F.regexp_replace(F.format_string("%.9f", F.rint(x * scale) / scale), r"\.?0+$", "")
+    signed = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(power)))
+    return F.when(x == 0, F.lit("0")).when((power < -4) | (power > 5), signed).otherwise(plain)
 
 
 def statements_changed(states: DataFrame, units: str) -> DataFrame:

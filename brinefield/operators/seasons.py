@@ -19,12 +19,16 @@ def serial(year: Column, month: Column) -> Column:
 
 
 def qualify_runs(seasons: DataFrame, threshold: float = THRESHOLD, min_len: int = MIN_SEASONS) -> DataFrame:
-    """Phase of each season; five consecutive same-sign seasons at or past the threshold qualify."""
+    """Phase of each season; five consecutive same-sign seasons at or past the threshold qualify.
+
+    A month that occurs twice counts once towards a run; ``series_integrity`` reports it.
+    """
     sign = F.when(F.col("value_c") >= threshold, 1).when(F.col("value_c") <= -threshold, -1).otherwise(0)
     rows = seasons.withColumns({"sign": sign, "_s": serial(F.col("y"), F.col("m"))})
-    island = F.col("_s") - F.row_number().over(Window.partitionBy("index_id", "sign").orderBy("_s"))
+    island = F.col("_s") - F.dense_rank().over(Window.partitionBy("index_id", "sign").orderBy("_s"))
     rows = rows.withColumn("island", island)
-    size = F.count("*").over(Window.partitionBy("index_id", "sign", "island"))
+    run = Window.partitionBy("index_id", "sign", "island")
+    size = F.max("_s").over(run) - F.min("_s").over(run) + 1
     phase = (F.when(F.col("value_c").isNull(), "unavailable")
              .when((F.col("sign") != 0) & (F.col("_n") >= min_len), F.when(F.col("sign") == 1, "el_nino").otherwise("la_nina")).otherwise("neutral"))
     return rows.withColumn("_n", size).withColumn("phase", phase).drop("_s", "_n")

@@ -420,4 +420,15 @@ def e13(i):
     return ob.read_season_text(i.sql(SEASON_LINES, "orders").select("index_id", "line"))
 
 
+BROKEN_LINES = f"""SELECT index_id, y, m, n, CASE WHEN line = 'comment line' THEN line WHEN m = 1 AND y % 2 = 0 THEN concat(CAST(y AS VARCHAR(9)), '  DJF  1.0') WHEN m = 2 THEN concat(line, '  9')
+  WHEN m = 3 THEN concat(CAST(y AS VARCHAR(9)), '  XYZ  1  2  3') WHEN m = 5 AND y % 3 = 0 THEN concat(CAST(y AS VARCHAR(9)), '  AMJ  warm  2  3') ELSE line END AS line
+FROM ({SEASON_LINES}) q CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) r WHERE n = 1 OR (m = 7 AND y % 2 = 1)"""
+
+
+@query("E13_season_problems", f"""SELECT index_id, problem, count(*) AS n FROM (SELECT index_id, CASE WHEN line = 'comment line' THEN NULL WHEN m = 1 AND y % 2 = 0 OR m = 2 THEN 'malformed' WHEN m = 3 THEN 'unknown_season'
+  WHEN m = 5 AND y % 3 = 0 THEN 'invalid_number' WHEN m = 7 AND y % 2 = 1 THEN 'duplicate' END AS problem FROM ({BROKEN_LINES.format(orders='orders')}) b) t WHERE problem IS NOT NULL GROUP BY 1, 2""")
+def e13b(i):
+    return ob.season_problems(i.sql(BROKEN_LINES, "orders").select("index_id", "line")).groupBy("index_id", "problem").agg(F.count("*").alias("n"))
+
+
 assert NT == 7

@@ -105,3 +105,19 @@ def test_seeded_points_follow_the_generator(spark):
         want.append((state + 0.5) / 4294967296.0)
     got = tk.seeded_points(box).orderBy("point").collect()
     assert [(r["lon"], r["lat"]) for r in got] == [(want[2 * k] * 10 + 10, want[2 * k + 1] * 10 - 5) for k in range(300)]
+
+
+def test_a_month_met_twice_does_not_split_a_run(spark):
+    from brinefield.operators import seasons as sn
+    rows = [(0, 2000, m, 1.0) for m in (1, 2, 3, 3, 4, 5)] + [(1, 2000, m, 1.0) for m in (1, 2, 2, 3, 4)]
+    got = sn.qualify_runs(spark.createDataFrame(rows, "index_id int, y int, m int, value_c double")).groupBy("index_id", "phase").count().collect()
+    assert {(r["index_id"], r["phase"]): r["count"] for r in got} == {(0, "el_nino"): 6, (1, "neutral"): 5}
+
+
+def test_numbers_in_statements(spark):
+    from pyspark.sql import functions as F
+
+    from brinefield.operators.exclusion import six_digits
+    values = [0.0, 1.0, -1.5, 1234567.0, 999999.5, 123456.0, 1.234e-5, -0.00012345678, 0.1 + 0.2, 1e300, 2 / 3, 100.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", six_digits(F.col("v")).alias("t")).collect()
+    assert {r["v"]: r["t"] for r in got} == {v: f"{v:.6g}" for v in values}
