@@ -77,10 +77,18 @@ def e5(i):
     return ex.statements_changed(ex.exclude_and_recompute(qco.matches(i), excluded(i)), "°C")
 
 
-@query("E6_consistency_checks", """SELECT case_id, c."check", true AS passed FROM (SELECT DISTINCT case_id FROM match) m, (VALUES ('profile_ids_unique'), ('same_library'), ('one_setting'), ('counts_agree')) c("check")""", ("match",))
+@query("E6_consistency_checks", """
+WITH p AS (SELECT DISTINCT case_id, CAST(split_part(profile_id, '-', 2) AS INT) AS u FROM match),
+ b AS (SELECT case_id, bool_or(case_id % 2 = 0 AND u % 11 = 5) AS twice, bool_or(case_id % 2 = 0 AND u % 7 = 3) AS off FROM p GROUP BY 1)
+SELECT case_id, c."check", CASE c."check" WHEN 'profile_ids_unique' THEN NOT twice WHEN 'counts_agree' THEN NOT (twice OR off) ELSE true END AS passed
+FROM b, (VALUES ('profile_ids_unique'), ('same_library'), ('one_setting'), ('counts_agree')) c("check")""", ("match",))
 def e6(i):
+    """Even cases get a coverage table with repeated profiles and wrong counts."""
     m = cut(qco.matches(i))
-    return ex.consistency_checks(m, cov.profile_coverage(m))
+    table = cut(cov.profile_coverage(m))
+    user, even = F.element_at(F.split("profile_id", "-"), 2).cast("int"), F.col("case_id") % 2 == 0
+    wrong = table.withColumn("matched", F.col("matched") + (even & (user % 7 == 3)).cast("long"))
+    return ex.consistency_checks(m, wrong.unionByName(table.filter(even & (user % 11 == 5))))
 
 
 @query("E7_tables_equal", """
