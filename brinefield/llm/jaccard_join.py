@@ -11,16 +11,20 @@ boundary that the size histogram chooses by cost.
   smallest set links whatever any two of them link, so a list costs its length.
 * Heavy sets scan inverted lists. A list's key is a block: shingles are dealt over p blocks
   by hash, and p exceeds the number of shingles in which two linked sets of this size band
-  can differ, so they hold at least ``SPARE`` + 1 equal blocks. (A list per single shingle
+  can differ, so they hold several equal blocks, and a set that shares fewer lists than
+  that takes no further part. (A list per single shingle
   would be as complete, but a passage that a third of all documents hold would put a third
   of all documents on one list. A block of some eight shingles is shared by near copies.)
   Sets near a band's upper end also enter the next band's lists.
 
 The members of a list are compared with one member of it, chosen anew each round, by exact
-set intersection. Linked sets merge into components, lists whose members are in one
-component are done, and after ``ROUNDS`` rounds the pairs that still lie across components
-are compared one by one. So a family of thousands of near copies costs a few times its
-size, and no link that matters is lost. Pairs are rows, never lists in one task.
+set intersection. Linked sets merge into components, and lists whose members are in one
+component are done. What is left after ``ROUNDS`` rounds are lists of sets that mostly do
+not link. Their members are compared in chunks of ``CHUNK`` by parity sketches: bit k is
+the parity of the shingles that hash to k, so two sketches never differ in more bits than
+their sets differ in shingles. That bound is certain: a pair beyond the most that linked
+sets can differ is no link, and only the few other pairs become rows and are intersected.
+So a family of thousands of near copies costs a few times its size, and no link is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinefield.llm.common import ship, whole_text
-from brinefield.llm.line_dedup import SEGMENTED, Bloom, packed_by_segment, probe, shipped, twice_seen
+from brinefield.llm.line_dedup import SEGMENTED, SHIP_BYTES, TWICE_BITS, Bloom, packed_by_segment, probe, shipped, twice_seen
 from brinefield.operators.components import components
 from brinefield.runtime import cut
 
@@ -43,7 +48,8 @@ SHINGLE = 3
 PERCENT = 90
 SPARE = 3
 BAND = 1.5
-ROUNDS = 3
+ROUNDS = 2
+CHUNK = 1024
 LARGEST_LIGHT = 39
 PER_SEGMENT = 5_000
 
@@ -145,6 +151,7 @@ def band_of(size: int) -> int:
     return int(math.log(size) / math.log(BAND) + 1e-9)
 
 
+@lru_cache(maxsize=256)
 def band_limits(band: int) -> tuple[int, int]:
     """Smallest and largest size of a band."""
     low = next(n for n in range(max(1, int(BAND ** band) - 1), int(BAND ** band) + 3) if band_of(n) >= band)
@@ -152,26 +159,36 @@ def band_limits(band: int) -> tuple[int, int]:
     return low, high
 
 
-def blocks_for(band: int, percent: int = PERCENT) -> int:
-    """One more than the shingles in which two linked sets can differ when the larger is in this band, and ``SPARE`` more."""
+@lru_cache(maxsize=256)
+def most_different(band: int, percent: int = PERCENT) -> int:
+    """Shingles in which two linked sets can differ when the larger is in this band."""
     largest = band_limits(band)[1]
-    differ = max((a + largest) - 2 * -(-percent * (a + largest) // (100 + percent)) for a in range(-(-largest * percent // 100), largest + 1))
-    return max(differ, 0) + 1 + SPARE
+    return max(0, *((a + largest) - 2 * -(-percent * (a + largest) // (100 + percent)) for a in range(-(-largest * percent // 100), largest + 1)))
+
+
+def spare(band: int, percent: int = PERCENT) -> int:
+    return max(SPARE, most_different(band, percent) // 5)
+
+
+def blocks_for(band: int, percent: int = PERCENT) -> int:
+    """So many blocks that linked sets agree in more than ``spare`` of them."""
+    return most_different(band, percent) + 1 + spare(band, percent)
 
 
-def heavy_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Digests of the set's blocks, in its own band and, near the band's end, in the next.
+def heavy_keys(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the set's blocks in its own band and, near the band's end, in the next; bands; and needs.
 
-    Linked sets agree in at least ``SPARE`` + 1 blocks. So blocks with fewer than two
-    shingles, which unrelated sets share, are left out unless the set has more than ``SPARE``.
+    Linked sets agree in at least ``spare`` + 1 blocks of a band. Empty blocks, in which
+    unrelated sets agree, are left out where they are at most ``spare``. The need is the
+    number of shared lists without which the set has no link in this band.
     """
     spread = mix(s ^ _FACTORS[1])
-    out = []
+    out, bands, needs = [], [], []
     own = band_of(s.size)
     for band in (own, own + 1):
         if band != own and 100 * s.size < percent * band_limits(band)[0]:
             continue
-        p = blocks_for(band, percent)
+        p, extra = blocks_for(band, percent), spare(band, percent)
         home = (mix(spread ^ _FACTORS[0]) % np.uint64(p)).astype(np.int64)
         filled = np.bincount(home, minlength=p)
         order = np.argsort(home, kind="stable")
@@ -179,9 +196,11 @@ def heavy_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         stops = np.cumsum(filled)
         sums = running[stops] - running[stops - filled]
         keys = mix(sums + np.arange(p, dtype=np.uint64) * _FACTORS[0] + np.full(p, band, np.uint64) * _FACTORS[2] + filled.astype(np.uint64))
-        small = filled < 2
-        out.append(keys if small.sum() > SPARE else keys[~small])
-    return np.concatenate(out)
+        empty = int((filled == 0).sum())
+        out.append(keys[filled > 0] if empty <= extra else keys)
+        bands.append(np.full(out[-1].size, band))
+        needs.append(np.full(out[-1].size, extra + 1 - (empty if empty <= extra else 0)))
+    return np.concatenate(out), np.concatenate(bands), np.concatenate(needs)
 
 
 def light_cost(size: int, percent: int = PERCENT) -> int:
@@ -206,6 +225,40 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
     return at
 
 
+# ---- sketches -----------------------------------------------------------------
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles at each of at least two bits a shingle, a power of two of them."""
+    bits = 256
+    while bits < 2 * s.size:
+        bits *= 2
+    return np.packbits((np.bincount((mix(s ^ _FACTORS[1]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, each folded by XOR to the shortest one's length."""
+    words = min(map(len, sketches)) // 8
+    rows = np.zeros((len(sketches), words), np.uint64)
+    for k, raw in enumerate(sketches):
+        rows[k] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
+    return rows
+
+
+def near_pairs(rows: np.ndarray, n: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of left and right positions in different components whose sketches leave a link possible."""
+    for i in left.tolist():
+        near = right[right > i]
+        near = near[(part[near] != part[i]) & (100 * np.minimum(n[i], n[near]) >= percent * np.maximum(n[i], n[near]))]
+        if not near.size:
+            continue
+        total = n[i] + n[near]
+        most = total - 2 * -(-percent * total // (100 + percent))
+        differ = np.bitwise_count(rows[near] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        near = near[differ <= most]
+        if near.size:
+            yield np.full(near.size, i), near
+
+
 # ---- Spark --------------------------------------------------------------------
 
 def _keyed_docs(docs: DataFrame) -> DataFrame:
@@ -225,38 +278,41 @@ def _measure(width: int):
 
 
 def _keys(width: int, percent: int, light: int):
-    """(node, n, keys, sizes) of each text; heavy keys have size 0."""
+    """(node, n, keys, sizes, needs) of each text. Light keys have the subset's size, heavy keys -1 - band."""
     reach = light * 100 // percent + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, counts = [], [], []
+            keys, sizes, needs, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
-                k, z = [], []
+                k, z, w = [], [], []
                 if 0 < s.size <= reach and light:
                     a, b = light_keys(s, percent)
                     k.append(a)
                     z.append(b)
+                    w.append(np.ones(a.size, np.int64))
                 if s.size > light:
-                    a = heavy_keys(s, percent)
+                    a, bands, need = heavy_keys(s, percent)
                     k.append(a)
-                    z.append(np.zeros(a.size, np.int64))
+                    z.append(-1 - bands)
+                    w.append(need)
                 keys.append(np.concatenate(k).view(np.int64) if k else np.zeros(0, np.int64))
                 sizes.append(np.concatenate(z) if z else np.zeros(0, np.int64))
+                needs.append(np.concatenate(w) if w else np.zeros(0, np.int64))
                 counts.append(s.size)
             stops = np.concatenate([[0], np.cumsum([k.size for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()),
-                                              pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
-                                              pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)))],
-                                             names=["node", "n", "keys", "sizes"])
+            whole = [pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))) for x, t in ((keys, np.int64), (sizes, np.int32), (needs, np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), *whole], names=["node", "n", "keys", "sizes", "needs"])
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "members"])
+            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())],
+                                             names=["node", "members", "sketch"])
     return run
 
 
@@ -269,7 +325,7 @@ def _verify(percent: int):
     return run
 
 
-LISTED = "key long, size int, node long, n int"
+LISTED = "key long, size int, need int, node long, n int"
 
 
 def _pack(segments: int):
@@ -282,30 +338,86 @@ def _pack(segments: int):
 
 def _suspects(packed, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blooms = {s: Bloom(n, bits) for s, (n, bits) in packed.value.items()}
+        blooms = {s: Bloom(n, bits, TWICE_BITS) for s, (n, bits) in packed.value.items()}
         for batch in batches:
             keys = batch.column(2).flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
             hit = np.flatnonzero(probe(blooms, keys, segments))
             rows = pa.array(owner[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(3).flatten().take(pa.array(hit)), batch.column(0).take(rows), batch.column(1).take(rows)],
-                                             names=["key", "size", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(3).flatten().take(pa.array(hit)), batch.column(4).flatten().take(pa.array(hit)),
+                                              batch.column(0).take(rows), batch.column(1).take(rows)], names=["key", "size", "need", "node", "n"])
     return run
 
 
-def _repeated(keyed: DataFrame) -> DataFrame:
-    """``(key, size, node, n)`` of the keys that may stand in two sets.
+ROUTED = "segment int, n long, bits binary, keys binary, nodes binary, sizes binary"
+
+
+def _route(segments: int):
+    """Packed keys of a batch by segment, with the node and (n, size, need) of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            nodes = batch.column(0).to_numpy()[owner]
+            values = np.stack([batch.column(1).to_numpy()[owner], batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()], axis=1).astype(np.int32)
+            home = (keys.view(np.uint64) % np.uint64(segments)).astype(np.int32)
+            order = np.argsort(home, kind="stable")
+            keys, nodes, values = keys[order], nodes[order], values[order]
+            numbers, starts = np.unique(home[order], return_index=True)
+            cuts = list(zip(starts.tolist(), np.append(starts[1:], keys.size).tolist()))
+            none = [None] * len(cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+                                              pa.array([nodes[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary())],
+                                             names=["segment", "n", "bits", "keys", "nodes", "sizes"])
+    return run
+
+
+def _probe_routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by segment, its filter first."""
+    bloom = None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if batch.column(2)[k].is_valid:
+                bloom = Bloom(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), TWICE_BITS)
+                continue
+            keys = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
+            hit = np.flatnonzero(bloom.holds(keys))
+            nodes = np.frombuffer(batch.column(4)[k].as_py(), np.int64)[hit]
+            values = np.frombuffer(batch.column(5)[k].as_py(), np.int32).reshape(-1, 3)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(values[:, 1].copy()), pa.array(values[:, 2].copy()), pa.array(nodes), pa.array(values[:, 0].copy())],
+                                             names=["key", "size", "need", "node", "n"])
+
+
+def _repeated(keyed: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:
+    """``(key, size, need, node, n)`` of the keys that may stand in two sets.
 
     Most keys stand in one set only. Packed keys pass through the once-seen and twice-seen
-    filters, and if the latter are small enough to ship, only their hits become rows.
-    Otherwise every key does; what follows is exact either way.
+    filters, and only hits of the latter become rows. Filters small enough to ship are
+    broadcast; beyond that the packed keys go to their segment's filter. What follows is
+    exact either way.
     """
     segments = max(16, math.ceil(keyed.count() / PER_SEGMENT))
     filters = twice_seen(keyed.select("keys").mapInArrow(_pack(segments), SEGMENTED))
-    packed = shipped(filters)
+    packed = shipped(filters, ship_bytes)
     if packed is not None:
         return keyed.mapInArrow(_suspects(packed, segments), LISTED)
-    return keyed.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("sizes").alias("size"))), "node", "n")
+    first = filters.select("segment", "n", "bits", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "nodes", "sizes")])
+    routed = first.unionByName(keyed.mapInArrow(_route(segments), ROUTED))
+    return routed.repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull()).mapInArrow(_probe_routed, LISTED)
+
+
+def _members(listed: DataFrame) -> DataFrame:
+    """Rows of lists that two sets share, without the sets that share fewer lists of a band than a link needs.
+
+    Two passes: dropping a set can leave others alone on a list.
+    """
+    found = listed.distinct()
+    for _ in range(2):
+        shared = cut(found.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"))
+        found = cut(found.join(shared, "key", "left_semi"))
+        enough = found.groupBy("node", "size").agg(F.count("*").alias("_c"), F.max("need").alias("_need")).filter("_c >= _need").select("node", "size")
+        found = cut(found.join(enough, ["node", "size"], "left_semi"))
+    return found
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -316,13 +428,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of the lists with their component so far; lists within one component are done and go."""
+    """Members of the lists with their component so far; lists within one component are done and go.
+
+    The keys are written before the join: a join with a table of its own, unlike one with
+    an aggregate of the same rows, lets adaptive execution split a long list.
+    """
     labels = cut(components(edges.withColumn("_g", F.lit(0)), ["_g"]).select("node", "root"))
     named = members.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    mixed = named.groupBy("key").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p < _q").select("key")
+    mixed = cut(named.groupBy("key").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p < _q").select("key"))
     return cut(named.join(mixed, "key", "left_semi"))
 
 
+def _compare(percent: int):
+    """Rows (key, i, j, node, n, part, sketch, side) in order: pairs of chunk i with chunk j of a list that may link."""
+    def pairs(run: list[tuple]) -> tuple[list[int], list[int]]:
+        node, n, part, raw, side = zip(*run)
+        order = np.argsort(np.array(node), kind="stable")
+        nodes, sizes, parts, sides = (np.array(x)[order] for x in (node, n, part, side))
+        rows = folded([raw[k] for k in order.tolist()])
+        both = np.arange(nodes.size)
+        groups = [(both, both)] if (sides == 0).all() else [(both[sides == 0], both[sides == 1]), (both[sides == 1], both[sides == 0])]
+        a, b = [], []
+        for left, right in groups:
+            for x, y in near_pairs(rows, sizes, parts, left, right, percent):
+                a += nodes[x].tolist()
+                b += nodes[y].tolist()
+        return a, b
+
+    def emit(run):
+        a, b = pairs(run) if len(run) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for k in range(batch.num_rows):
+                place = (columns[0][k], columns[1][k], columns[2][k])
+                if place != current:
+                    if held:
+                        yield emit(held)
+                    current, held = place, []
+                held.append(tuple(c[k] for c in columns[3:]))
+        if held:
+            yield emit(held)
+    return run
+
+
+def _leftover(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` across components of the open lists that the sketches let pass.
+
+    A list of more than ``CHUNK`` members is cut into chunks by a hash of the node, and
+    each pair of its chunks is a group of its own, so no task holds a long list.
+    """
+    counts = open_.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
+    spread = open_.join(counts, "key").withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_o")
+    dealt = spread.select("key", "node", "n", "part", "_c", other).select(
+        "key", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "node", "n", "part", (F.col("_c") > F.col("_o")).cast("int").alias("side"))
+    rows = dealt.join(sets.select("node", "sketch"), "node").select("key", "i", "j", "node", "n", "part", "sketch", "side")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent), "a long, b long").distinct()
+
+
 def heavy_links(members: DataFrame, sets: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between members ``(key, node, n)`` of the inverted lists that the components need, added to ``edges``."""
     fits = (F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n")) & (F.col("part") != F.col("_part"))
@@ -332,11 +499,10 @@ def heavy_links(members: DataFrame, sets: DataFrame, edges: DataFrame, percent:
             break
         if number < ROUNDS:
             order = F.struct(F.xxhash64("node", F.lit(number)).alias("o"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-            ahead = open_.groupBy("key").agg(F.min(order).alias("_head")).select("key", "_head._node", "_head._n", "_head._part")
+            ahead = cut(open_.groupBy("key").agg(F.min(order).alias("_head")).select("key", "_head._node", "_head._n", "_head._part"))
+            pairs = open_.join(ahead, "key").filter(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         else:
-            ahead = open_.select("key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-            fits = fits & (F.col("node") < F.col("_node"))
-        pairs = open_.join(ahead, "key").filter(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+            pairs = _leftover(open_, sets, percent)
         edges = cut(edges.unionByName(_confirmed(cut(pairs), sets, percent)))
     return edges
 
@@ -368,16 +534,14 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     same_text = real.join(classes.select("whole", "node", "_c"), "whole")
     equal = cut(same_text.filter(F.col("_c") > 1).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a < b").distinct())
     copies = equal.select(F.col("b").alias("node")).distinct()
-    keyed = cut(texts.filter("node IS NOT NULL").mapInArrow(_keys(width, percent, light), "node long, n int, keys array<long>, sizes array<int>")
+    keyed = cut(texts.filter("node IS NOT NULL").mapInArrow(_keys(width, percent, light), "node long, n int, keys array<long>, sizes array<int>, needs array<int>")
                 .join(copies, "node", "left_anti"))
-    listed = _repeated(keyed)
-    shared = cut(listed.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"))
-    members = cut(listed.join(shared, "key", "left_semi").distinct())
+    members = _members(_repeated(keyed))
 
     edges = cut(light_links(members.filter("size > 0"), percent).unionByName(equal))
-    heavy = members.filter("size = 0").select("key", "node", "n")
+    heavy = members.filter("size < 0").select("key", "node", "n")
     wanted = cut(heavy.select("node").distinct())
-    sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, members binary"))
+    sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, members binary, sketch binary"))
     edges = heavy_links(heavy, sets, edges, percent)
     labels = components(edges.withColumn("_g", F.lit(0)), ["_g"]).select(F.col("node").alias("_node"), "root")
     named = measured.join(labels, F.col("doc_id") == F.col("_node"), "left")

@@ -32,6 +32,7 @@ from brinefield.runtime import cut
 
 LEAST = 10
 BITS = 12
+TWICE_BITS = 4  # of all keys; few of them stand twice
 PROBES = 5
 PER_SEGMENT = 50_000
 SHIP_BYTES = 64 << 20
@@ -49,10 +50,10 @@ def key_hash(key: bytes) -> int:
 
 
 class Bloom:
-    """Bits for ``n`` keys at ``BITS`` each; whole arrays of 64-bit hashes at a time."""
+    """Bits for ``n`` keys at ``each`` bits a key; whole arrays of 64-bit hashes at a time."""
 
-    def __init__(self, n: int, bits: bytes | None = None):
-        self.size = max(1024, n * BITS)
+    def __init__(self, n: int, bits: bytes | None = None, each: int = BITS):
+        self.size = max(1024, n * each)
         self.bits = np.zeros(self.size // 8 + 1, np.uint8) if bits is None else np.frombuffer(bits, np.uint8)
 
     def _places(self, hashes: np.ndarray) -> np.ndarray:
@@ -125,13 +126,13 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive by segment. One segment's packed hashes are held to size its filters, then streamed through them."""
     def build(segment, parts):
         once = Bloom(sum(len(h) // 8 for h, _ in parts))
-        twice = Bloom(sum(len(h) // 8 for h, _ in parts))
+        twice = Bloom(sum(len(h) // 8 for h, _ in parts), each=TWICE_BITS)
         for hashes, repeated in parts:
             h = np.frombuffer(hashes, np.int64)
             again = once.holds(h) | np.frombuffer(repeated, bool)
             twice.add(h[again])
             once.add(h)
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([twice.size // BITS], pa.int64()), pa.array([twice.bits.tobytes()], pa.binary())],
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([sum(len(h) // 8 for h, _ in parts)], pa.int64()), pa.array([twice.bits.tobytes()], pa.binary())],
                                           names=["segment", "n", "bits"])
 
     current, parts = None, []
@@ -170,7 +171,7 @@ def _lines(doc_ids, keys, texts, test) -> pa.RecordBatch:
 
 def _probe(packed, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blooms = {s: Bloom(n, bits) for s, (n, bits) in packed.value.items()}
+        blooms = {s: Bloom(n, bits, TWICE_BITS) for s, (n, bits) in packed.value.items()}
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -193,7 +194,7 @@ def _probe_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         edges = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if batch.num_rows else []
         for a, b in zip(edges, np.append(edges[1:], batch.num_rows).astype(int) if len(edges) else []):
             if segment[a] != current:
-                current, bloom = segment[a], Bloom(batch.column(6)[int(a)].as_py(), batch.column(7)[int(a)].as_py())
+                current, bloom = segment[a], Bloom(batch.column(6)[int(a)].as_py(), batch.column(7)[int(a)].as_py(), TWICE_BITS)
             part = batch.slice(int(a), int(b - a))
             keep = bloom.holds(np.ascontiguousarray(part.column(3).to_numpy()))
             yield part.filter(pa.array(keep)).select(["doc_id", "text_key", "position", "hash", "digest"])
@@ -222,8 +223,9 @@ def dropped_positions(docs: DataFrame, segments: int | None = None, ship_bytes:
     """``(doc_id, text_key, positions)``: the lines that each document loses."""
     found = cut(suspects(docs, segments, ship_bytes))
     ids = F.struct(F.col("doc_id").isNotNull(), "doc_id")
-    confirmed = (found.groupBy("digest").agg(F.min(ids).alias("_first"), F.max(ids).alias("_last"))
-                 .filter(F.col("_first") != F.col("_last")).select("digest", F.col("_first")["doc_id"].alias("_keeper")))
+    # Written before the join, so that adaptive execution can split a line that most documents hold.
+    confirmed = cut(found.groupBy("digest").agg(F.min(ids).alias("_first"), F.max(ids).alias("_last"))
+                    .filter(F.col("_first") != F.col("_last")).select("digest", F.col("_first")["doc_id"].alias("_keeper")))
     lost = found.join(confirmed, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
     return lost.groupBy("doc_id", "text_key").agg(F.collect_set("position").alias("positions"))
 

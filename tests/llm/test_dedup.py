@@ -173,7 +173,48 @@ def test_linked_sets_share_enough_blocks():
             lost, new = rng.integers(0, size // 12 + 1, 2)
             b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 62, new).astype(np.uint64)]))
             if jj.linked(a, b):
-                assert np.intersect1d(jj.heavy_keys(a), jj.heavy_keys(b)).size >= 1
+                (x, bands, need), (y, _, other) = jj.heavy_keys(a), jj.heavy_keys(b)
+                larger = jj.band_of(max(a.size, b.size))
+                common = np.intersect1d(x[bands == larger], y).size
+                assert common >= need[bands == larger][0] >= 1
+
+
+def test_sketches_never_differ_more_than_sets():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for size in (5, 100, 129, 300, 2000):
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        for share in (0.0, 0.02, 0.2, 1.0):
+            b = np.unique(np.concatenate([a[int(share * size):], rng.integers(0, 1 << 62, int(1.3 * share * size)).astype(np.uint64)]))
+            if b.size:
+                x, y = jj.folded([jj.sketch(a), jj.sketch(b)])
+                assert np.bitwise_count(x ^ y).sum() <= np.setxor1d(a, b).size
+
+
+def test_families_that_hardly_link_go_through_chunks(spark, monkeypatch):
+    """Near copies around the limit, more of them than a chunk holds."""
+    monkeypatch.setattr(jj, "CHUNK", 7)
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((k, " ".join(text)))
+    assert Counter(map(tuple, jj.near_copies(frame(spark, rows)).collect())) == brute_near(rows, 3, 90)
+
+
+def test_keys_reach_their_filters_either_way(spark):
+    rng = random.Random(7)
+    docs = frame(spark, family(rng, [f"w{k}" for k in range(300)], [12, 45, 150], 25, 5)).withColumnRenamed("doc_id", "node")
+    keyed = docs.mapInArrow(jj._keys(3, 90, 11), "node long, n int, keys array<long>, sizes array<int>, needs array<int>").cache()
+    shared = keyed.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.count_distinct("node").alias("c")).filter("c > 1")
+    want = {r.key for r in shared.collect()}
+    for ship in (jj.SHIP_BYTES, 0):
+        got = jj._repeated(keyed, ship)
+        assert want <= {r.key for r in got.collect()}
+        assert got.distinct().exceptAll(keyed.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("sizes").alias("size"), F.col("needs").alias("need"))), "node", "n").distinct()).isEmpty()
 
 
 def test_boundary_grows_with_cheap_small_sets():
