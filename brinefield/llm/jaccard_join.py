@@ -1,8 +1,10 @@
 """Near copies by n-gram Jaccard similarity: a size-aware heavy-light join.
 
 A document's set holds its distinct word shingles as 64-bit hashes. Equal sets are one
-class, joined by a digest of the whole set. The classes are split by set size at a
-boundary that the size histogram chooses by cost.
+class, joined by a digest of the whole set. Classes are the nodes of the search, one row of
+each enters it, and ids come in when links join their documents: an id that repeats may
+stand in many classes. The classes are split by set size at a boundary that the size
+histogram chooses by cost.
 
 * Light sets enumerate subsets of fixed size: of a set with s shingles, all subsets that
   leave out at most floor((1 - t) * s) of them. Two sets link exactly when they share a
@@ -33,6 +35,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -262,28 +265,39 @@ def near_pairs(rows: np.ndarray, n: np.ndarray, part: np.ndarray, left: np.ndarr
 # ---- Spark --------------------------------------------------------------------
 
 def _keyed_docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    """doc_id, text and a hash of the text, which tells rows of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("row"))
 
 
-def _measure(width: int):
+def class_number(s: np.ndarray, salt: int) -> int:
+    """A set's node: 64 bits of a digest."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+def _measure(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, nodes = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
                 sizes.append(s.size)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "n", "whole"])
+                nodes.append(class_number(s, salt))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64())],
+                                             names=["doc_id", "row", "n", "whole", "node"])
     return run
 
 
-def _keys(width: int, percent: int, light: int):
-    """(node, n, keys, sizes, needs) of each text. Light keys have the subset's size, heavy keys -1 - band."""
+def _keys(width: int, percent: int, light: int, salt: int | None = None):
+    """(node, n, keys, sizes, needs) of each text. Light keys have the subset's size, heavy keys -1 - band.
+
+    The node is the text's class where a salt is given, else the first column.
+    """
     reach = light * 100 // percent + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, needs, counts = [], [], [], []
+            keys, sizes, needs, counts, nodes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
                 k, z, w = [], [], []
@@ -301,17 +315,19 @@ def _keys(width: int, percent: int, light: int):
                 sizes.append(np.concatenate(z) if z else np.zeros(0, np.int64))
                 needs.append(np.concatenate(w) if w else np.zeros(0, np.int64))
                 counts.append(s.size)
+                if salt is not None:
+                    nodes.append(class_number(s, salt))
             stops = np.concatenate([[0], np.cumsum([k.size for k in keys])]).astype(np.int32)
             whole = [pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))) for x, t in ((keys, np.int64), (sizes, np.int32), (needs, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), *whole], names=["node", "n", "keys", "sizes", "needs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0) if salt is None else pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), *whole], names=["node", "n", "keys", "sizes", "needs"])
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array([class_number(s, salt) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())],
                                              names=["node", "members", "sketch"])
     return run
 
@@ -524,26 +540,34 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     takes no part. Other columns are not looked at; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    measured = cut(_keyed_docs(docs).mapInArrow(_measure(width), "doc_id long, n int, whole binary"))
-    real = measured.filter("doc_id IS NOT NULL AND n > 0")
-    classes = cut(real.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count("*").alias("_c")))
+    texts = _keyed_docs(docs)
+    for salt in count():
+        measured = cut(texts.mapInArrow(_measure(width, salt), "doc_id long, row long, n int, whole binary, node long"))
+        real = measured.filter("doc_id IS NOT NULL AND n > 0")
+        first = F.min(F.struct("doc_id", "row")).alias("_first")
+        classes = cut(real.groupBy("node").agg(first, F.first("n").alias("n"), F.count("*").alias("_c"), F.min("whole").alias("_low"), F.max("whole").alias("_high"))
+                      .select("node", "n", "_c", F.col("_first")["doc_id"].alias("_id"), F.col("_first")["row"].alias("_row"), (F.col("_low") < F.col("_high")).alias("_mixed")))
+        if classes.filter("_mixed").isEmpty():
+            break
     histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = boundary(histogram, percent)
 
-    texts = _keyed_docs(docs).withColumnRenamed("doc_id", "node")
-    same_text = real.join(classes.select("whole", "node", "_c"), "whole")
-    equal = cut(same_text.filter(F.col("_c") > 1).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a < b").distinct())
-    copies = equal.select(F.col("b").alias("node")).distinct()
-    keyed = cut(texts.filter("node IS NOT NULL").mapInArrow(_keys(width, percent, light), "node long, n int, keys array<long>, sizes array<int>, needs array<int>")
-                .join(copies, "node", "left_anti"))
+    same_set = real.join(classes.filter("_c > 1").select("node", "_id", "_row"), "node")
+    copies = cut(same_set.filter("doc_id != _id OR row != _row").select("doc_id", "row", "_id").distinct())
+    equal = copies.filter("_id < doc_id").select(F.col("_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    keyed = cut(texts.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "row"], "left_anti").select("doc_id", "text")
+                .mapInArrow(_keys(width, percent, light, salt), "node long, n int, keys array<long>, sizes array<int>, needs array<int>"))
     members = _members(_repeated(keyed))
 
-    edges = cut(light_links(members.filter("size > 0"), percent).unionByName(equal))
+    edges = cut(light_links(members.filter("size > 0"), percent))
     heavy = members.filter("size < 0").select("key", "node", "n")
-    wanted = cut(heavy.select("node").distinct())
-    sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, members binary, sketch binary"))
+    owners = classes.select("node", F.col("_id").alias("doc_id"), F.col("_row").alias("row"))
+    wanted = cut(heavy.select("node").distinct().join(owners, "node").select("doc_id", "row"))
+    sets = cut(texts.join(wanted, ["doc_id", "row"], "left_semi").select("doc_id", "text").mapInArrow(_sets(width, salt), "node long, members binary, sketch binary").dropDuplicates(["node"]))
     edges = heavy_links(heavy, sets, edges, percent)
-    labels = components(edges.withColumn("_g", F.lit(0)), ["_g"]).select(F.col("node").alias("_node"), "root")
+    left, right = (classes.select(F.col("node").alias(side), F.col("_id").alias(f"_{side}")) for side in ("a", "b"))
+    linked_ids = edges.join(left, "a").join(right, "b").filter("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    labels = components(cut(linked_ids.unionByName(equal).distinct()).withColumn("_g", F.lit(0)), ["_g"]).select(F.col("node").alias("_node"), "root")
     named = measured.join(labels, F.col("doc_id") == F.col("_node"), "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 

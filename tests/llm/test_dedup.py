@@ -164,6 +164,18 @@ def test_near_copies_of_odd_rows(odd):
     assert kept.columns == odd.columns and {4} == {r.doc_id for r in kept.filter("text = 'one' AND doc_id IS NOT NULL").collect()}
 
 
+@pytest.mark.parametrize("width,percent,length", [(3, 90, 14), (3, 90, 80), (5, 80, 60)])
+def test_ids_that_repeat_keep_the_links_of_all_their_texts(spark, width, percent, length):
+    def text(name, changed=None):
+        return " ".join(f"{name}{k}" for k in range(length)) + ("" if changed is None else f" {changed}")
+    rows = [(3, text("x")), (7, text("x")), (7, text("y")), (12, text("y", "new")), (20, text("u")), (20, text("v")), (2, text("u")), (31, text("v")), (32, text("v", "new")), (32, text("v", "new"))]
+    rng = random.Random(length)
+    rows += [(100 + k % 23, t) for k, t in family(rng, [f"w{k}" for k in range(300)], [11, 25, 45, 70], 15, 6)]
+    got = jj.near_copies(frame(spark, rows), width, percent).collect()
+    assert Counter(map(tuple, got)) == brute_near(rows, width, percent)
+    assert {r.component_id for r in got if r.doc_id in (7, 12)} == {3} and {r.component_id for r in got if r.doc_id in (31, 32)} == {2}
+
+
 def test_linked_sets_share_enough_blocks():
     import numpy as np
     rng = np.random.default_rng(2)
