@@ -183,7 +183,9 @@ def heavy_keys(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.nd
 
     Linked sets agree in at least ``spare`` + 1 blocks of a band. Empty blocks, in which
     unrelated sets agree, are left out where they are at most ``spare``. The need is the
-    number of shared lists without which the set has no link in this band.
+    number of shared lists without which the set has no link in this band: blocks empty in
+    both sets are no shared list where either set leaves them out, and they are no more
+    than the set's own empty blocks and no more than ``spare``.
     """
     spread = mix(s ^ _FACTORS[1])
     out, bands, needs = [], [], []
@@ -202,7 +204,7 @@ def heavy_keys(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.nd
         empty = int((filled == 0).sum())
         out.append(keys[filled > 0] if empty <= extra else keys)
         bands.append(np.full(out[-1].size, band))
-        needs.append(np.full(out[-1].size, extra + 1 - (empty if empty <= extra else 0)))
+        needs.append(np.full(out[-1].size, extra + 1 - min(empty, extra)))
     return np.concatenate(out), np.concatenate(bands), np.concatenate(needs)
 
 

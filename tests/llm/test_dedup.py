@@ -191,6 +191,29 @@ def test_linked_sets_share_enough_blocks():
                 assert common >= need[bands == larger][0] >= 1
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_small_sets_with_empty_blocks_share_enough_lists(percent):
+    import numpy as np
+    rng = np.random.default_rng(percent)
+    tried = 0
+    for size in range(10, 26):
+        p = jj.blocks_for(jj.band_of(size), percent)
+        for _ in range(60):
+            pool = np.unique(rng.integers(0, 1 << 62, 60 * p).astype(np.uint64))
+            home = jj.mix(jj.mix(pool ^ jj._FACTORS[1]) ^ jj._FACTORS[0]) % np.uint64(p)
+            few = np.flatnonzero(np.isin(home, rng.permutation(p)[:max(1, p - int(rng.integers(1, p)))]))
+            a = np.sort(pool[rng.permutation(few)[:size]])
+            lost, new = rng.integers(0, size // 8 + 1, 2)
+            b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.permutation(pool)[:new]]))
+            if jj.linked(a, b, percent):
+                tried += 1
+                (x, bands, need), (y, others, other) = jj.heavy_keys(a, percent), jj.heavy_keys(b, percent)
+                larger = jj.band_of(max(a.size, b.size))
+                common = np.intersect1d(x[bands == larger], y[others == larger]).size
+                assert common >= max(need[bands == larger][0], other[others == larger][0]) and min(need.min(), other.min()) >= 1
+    assert tried > 300
+
+
 def test_sketches_never_differ_more_than_sets():
     import numpy as np
     rng = np.random.default_rng(3)
