@@ -54,6 +54,7 @@ BAND = 1.5
 ROUNDS = 2
 CHUNK = 1024
 LARGEST_LIGHT = 39
+MOST_SUBSETS = 5_000
 PER_SEGMENT = 5_000
 
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -218,15 +219,25 @@ def heavy_cost(size: int, percent: int = PERCENT) -> int:
     return 2 * sum(blocks_for(b, percent) for b in (own, own + 1) if b == own or 100 * size >= percent * band_limits(b)[0])
 
 
+def reach_of(light: int, percent: int = PERCENT) -> int:
+    """The largest set that a light one can link with."""
+    return light * 100 // percent
+
+
 def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
-    """The largest light size: the split of least total cost. A set next to the boundary enters both kinds of lists."""
-    best, at, total = 0, 0, sum(n * heavy_cost(s, percent) for s, n in histogram.items())
-    best = total
-    for size in range(1, LARGEST_LIGHT + 1):
-        n = histogram.get(size, 0)
-        total += n * (light_cost(size, percent) - heavy_cost(size, percent))
+    """The largest light size: the split of least total cost, at a size that occurs, or 0.
+
+    Sets above the boundary that light ones can link with enter both kinds of lists, and
+    both count. ``MOST_SUBSETS`` bounds what one such set lists; larger sets are heavy.
+    """
+    at, best = 0, sum(n * heavy_cost(s, percent) for s, n in histogram.items())
+    for size in sorted(s for s, n in histogram.items() if n and 0 < s <= LARGEST_LIGHT):
+        reach = reach_of(size, percent)
+        if light_cost(reach, percent) > MOST_SUBSETS:
+            break
+        total = sum(n * ((s <= reach) * light_cost(min(s, reach), percent) + (s > size) * heavy_cost(s, percent)) for s, n in histogram.items())
         if total <= best:
-            best, at = total, size
+            at, best = size, total
     return at
 
 
@@ -295,7 +306,7 @@ def _keys(width: int, percent: int, light: int, salt: int | None = None):
 
     The node is the text's class where a salt is given, else the first column.
     """
-    reach = light * 100 // percent + 1
+    reach = reach_of(light, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -551,7 +562,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
                       .select("node", "n", "_c", F.col("_first")["doc_id"].alias("_id"), F.col("_first")["row"].alias("_row"), (F.col("_low") < F.col("_high")).alias("_mixed")))
         if classes.filter("_mixed").isEmpty():
             break
-    histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= reach_of(LARGEST_LIGHT, percent)).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = boundary(histogram, percent)
 
     same_set = real.join(classes.filter("_c > 1").select("node", "_id", "_row"), "node")

@@ -257,6 +257,22 @@ def test_boundary_grows_with_cheap_small_sets():
     assert jj.boundary({}) >= 0 and jj.light_cost(39) > jj.heavy_cost(39)
 
 
+def test_boundary_counts_what_it_makes_larger_sets_cost():
+    assert jj.boundary({}, 80) == 0 and jj.boundary({5: 100}, 80) == 5 and jj.boundary({5: 0, 3: 1}, 90) == 3
+    for percent in (70, 80, 90, 95):
+        for gap in ({46: 100, 49: 100}, {5: 10, 46: 100, 49: 100}, {9: 10, 40: 1000}, {k: 10 for k in range(1, 60)}, {1: 10 ** 9, 30: 1, 39: 1, 43: 1}):
+            light = jj.boundary(gap, percent)
+            assert light == 0 or light in gap
+            assert jj.light_cost(jj.reach_of(light, percent), percent) <= jj.MOST_SUBSETS
+    assert jj.boundary({9: 1, 10: 10 ** 6, 11: 10 ** 6}, 80) == 0
+
+
+def test_filtered_corpus_without_small_sets(spark):
+    rng = random.Random(50)
+    rows = family(rng, [f"w{k}" for k in range(500)], [50, 51, 52, 53], 12, 4)
+    assert Counter(map(tuple, jj.near_copies(frame(spark, rows), 5, 80).collect())) == brute_near(rows, 5, 80)
+
+
 def test_hot_family_makes_few_pairs(spark):
     """400 different near copies of one text: links grow with the family, not with its square."""
     base = [f"b{k}" for k in range(400)]
