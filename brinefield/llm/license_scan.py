@@ -4,9 +4,10 @@ Every text is cut into words and every pair of neighbouring words becomes a row.
 join the gram table of the templates by hash (the words themselves are compared as well,
 so a hash collision is no hit). A hit at word ``pos`` on template position ``tpos`` votes
 for the diagonal ``pos - tpos``. Votes are bit masks of template positions, joined by OR:
-map tasks combine them, and repeated rows do not count twice. Neighbouring diagonals of
-one template then merge, which bridges dropped and inserted words, and a merged span is
-verified by the part of the template that it covers and by its length.
+map tasks combine them, and repeated rows do not count twice. A diagonal that covers
+enough of its template is verified by itself. Neighbouring diagonals of one template
+otherwise merge, which bridges dropped and inserted words, and a merged span is verified
+by the part of the template that it covers and by its length.
 
 Phrases of two words up are templates too. A phrase stands at a place exactly when its
 mask is full on a single diagonal, so the base counts come from the same votes.
@@ -27,6 +28,7 @@ SLACK = 3
 COVER = 0.7
 STRETCH = 1.5
 MOST_GRAMS = 50_000
+UNIT = 1 << 20
 
 #: The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -81,19 +83,29 @@ def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
 def spans(voted: DataFrame) -> DataFrame:
     """Merged neighbouring diagonals: doc_id, label, is_base, first, last (words, inclusive), cover, verified.
 
-    A phrase's span is one full diagonal. Any other template's span merges diagonals at
-    most ``SLACK`` apart and is verified if it covers ``COVER`` of the template within
-    ``STRETCH`` times its length.
+    A phrase's span is one full diagonal. Any other template's span is verified if it covers
+    ``COVER`` of the template within ``STRETCH`` times its length. A diagonal that does so by
+    itself is a span of its own; the others merge with those of them at most ``SLACK`` apart,
+    and at most as many words as the template's length leaves to be stretched. A chain of
+    them may be long: it is also verified where diagonals within that stretch cover enough.
     """
     key = ["doc_id", "_text", "template"]
-    order = Window.partitionBy(*key).orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.lit(SLACK), F.lit(True))
-    marked = voted.withColumn("_new", (F.col("is_base") | apart).cast("int")).withColumn("_span", F.sum("_new").over(order))
-    merged = (marked.groupBy(*key, "label", "is_base", "n_grams", "_span")
-              .agg(F.bit_or("mask").alias("mask"), F.min("first").alias("first"), (F.max("last") + 1).alias("last")))
+    alone = (F.bit_count("mask") / F.col("n_grams") >= COVER) & (F.col("last") - F.col("first") + 2 <= STRETCH * (F.col("n_grams") + 1))
+    voted = voted.withColumn("_alone", F.col("is_base") | alone)
+    order = Window.partitionBy(*key, "_alone").orderBy("diagonal")
+    room = F.floor((STRETCH - 1) * (F.col("n_grams") + 1))
+    slack = F.least(F.lit(SLACK), room)
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True))
+    marked = voted.withColumn("_new", (F.col("_alone") | apart).cast("int")).withColumn("_span", F.sum("_new").over(order))
+    # Diagonals are above -64; a template's room becomes UNIT, so that one frame serves all templates.
+    place = F.floor((F.col("diagonal").cast("long") + 64) * UNIT / room)
+    near = Window.partitionBy(*key, "_alone", "_span").orderBy(place).rangeBetween(0, UNIT)
+    marked = marked.withColumn("_near", F.bit_count(F.bit_or("mask").over(near)) / F.col("n_grams"))
+    merged = (marked.groupBy(*key, "label", "is_base", "n_grams", "_alone", "_span")
+              .agg(F.bit_or("mask").alias("mask"), F.min("first").alias("first"), (F.max("last") + 1).alias("last"), F.max("_near").alias("_near")))
     cover = F.bit_count("mask") / F.col("n_grams")
     full = F.bit_count("mask") == F.col("n_grams")
-    fits = (cover >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * (F.col("n_grams") + 1))
+    fits = (F.col("_near") >= COVER) | ((cover >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * (F.col("n_grams") + 1)))
     return merged.withColumn("cover", cover).withColumn("verified", F.when(F.col("is_base"), full).otherwise(fits))
 
 

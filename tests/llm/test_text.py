@@ -281,6 +281,15 @@ def test_template_survives_inserted_and_dropped_words(spark):
     assert got == {1: "mit", 2: "", 3: ""}
 
 
+def test_repeated_notices_keep_their_labels(spark):
+    rows = [(1, "All rights reserved."), (2, "All rights reserved. All rights reserved."), (3, "All rights reserved. " * 40), (4, "all rights x reserved rights all"), (5, "word " * 5000 + "All rights reserved. All rights reserved.")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("all-rights-reserved", 1.0), 2: ("all-rights-reserved", 1.0), 3: ("all-rights-reserved", 1.0), 4: ("", 0.5), 5: ("all-rights-reserved", 1.0)}
+    near = [(1, "the mit license and the mit license, released under the mit license, the mit license"), (2, "mit license mit license"), (3, "released under the very mit license mit license mit license")]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(near, "doc_id long, text string"), phrases=(), templates=(("released under the mit license", "x"),)).collect()}
+    assert got == {1: "x", 2: "", 3: "x"}
+
+
 # ---- mixing
 
 def water_fill(sizes, weights, most):
