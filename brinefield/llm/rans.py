@@ -15,6 +15,7 @@ States are 64-bit and give off 32-bit words; frequencies are scaled to 2**SCALE.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -40,6 +41,7 @@ MAGIC = b"RNS1"
 ENDS = (b".", b",")
 LONGEST = 64
 BAR = "|"
+OPENED = b"<|"
 HEAD = struct.Struct("<4sIIII")
 
 
@@ -143,12 +145,22 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
 
 # ---- tokens ------------------------------------------------------------------
 
+_composes = re.compile(rb"[A-Z][\x80-\xff]")
+
+
+def same_lowered(raw: bytes) -> bool:
+    """Whether lowering A-Z before the library does changes no id."""
+    return OPENED not in raw and (raw.isascii() or _composes.search(raw) is None)
+
+
 class WordTokens:
     """The tokenizers library behind a cache of words.
 
     This vocabulary's slices never cross a space, tab or line end and its normalisation
-    lowers case and does not compose across them, so a text's ids are its words' ids in a
-    row. A point or comma after a letter or digit at a word's end is a slice of its own.
+    does not compose across them, so a text's ids are its words' ids in a row. The library
+    looks for added tokens in the raw text, composes, and only then lowers case; words are
+    lowered here only where that order cannot matter: no ``<|``, with which added tokens
+    begin, and no capital in front of a sign that it could compose with. A point or comma after a letter or digit at a word's end is a slice of its own.
     The cache has two generations of ``CACHE`` words: a word that is asked for again moves
     to the younger one, and the older one goes when that is full.
     """
@@ -190,7 +202,11 @@ class WordTokens:
         """Ids of each text as little-endian integers of ``kind``."""
         words, stops = [], []
         for text in texts:
-            words += text.encode().lower().replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" ")
+            raw = text.encode().replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ")
+            if same_lowered(raw):
+                words += raw.lower().split(b" ")
+            else:
+                words += [w.lower() if same_lowered(w) else w for w in raw.split(b" ")]
             stops.append(len(words))
         coded = list(map(self.young.get, words))
         gaps = [k for k, c in enumerate(coded) if c is None]

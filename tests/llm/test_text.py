@@ -114,6 +114,19 @@ def test_words_equal_whole_texts():
         assert np.frombuffer(ids, words.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_case_is_lowered_after_added_tokens_and_composition():
+    from tokenizers import Tokenizer
+    path = vocabulary("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), rans.WordTokens(path)
+    assert all(t.content.encode().startswith(rans.OPENED) for t in library.get_added_tokens_decoder().values())
+    signs = ["A", "H", "J", "T", "é", "\u0331", "\u030c", "\u0308", " ", "<|", "|>", "<|ENDOFTEXT|>", "<|endoftext|>", ".", ",", "x"]
+    rng = random.Random(5)
+    texts = ["a <|ENDOFTEXT|> b", "H\u0331", "J\u030c", "T\u0308", "a<|StartOfText|>B C", "PLAIN Words. H\u0331, T\u0308."]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(800)]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert np.frombuffer(ids, words.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 # ---- languages
 
 def test_languages(spark, odd, none):
