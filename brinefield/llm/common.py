@@ -39,6 +39,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinefield.llm import byte_bpe, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, rans, toxicity
-from brinefield.llm.common import documents, labels, vocabulary
+from brinefield.llm import byte_bpe, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, ranked_search, rans, substring_dedup, toxicity, whitening
+from brinefield.llm.common import benchmark, documents, embeddings, labels, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,33 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(documents(spark, sf_dir))
+
+
+@query("op11_substring_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return substring_dedup.drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_ranked_search", sql=r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM d CROSS JOIN c),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f CROSS JOIN c GROUP BY term),
+i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS part FROM f JOIN m USING (doc_id) JOIN w USING (term)),
+s AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.best_documents(benchmark(spark, sf_dir), documents(spark, sf_dir)).select("item_id", "rank", "doc_id", "score")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
