@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from brinefield.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_text
 from brinefield.functions.qc import strict_coordinates, strict_value
 from brinefield.functions.scalars import hours_between
-from brinefield.operators.axes import AxisText, axis_index, barrier
+from brinefield.operators.axes import AxisText, axis_index
+from brinefield.operators.axes import barrier as row_barrier
+from brinefield.runtime import cut
+from brinefield.sources.fields import COLUMN, column_packed
 
 SALTS = 4096
 
@@ -41,7 +44,7 @@ def with_settings(readings: DataFrame, settings: Sequence[MatchSettings]) -> Dat
     return readings.selectExpr("*", f"inline(array({items}))")
 
 
-def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
+def nearest_column(points: DataFrame, tie_km: float = 0.0, when: str = "") -> DataFrame:
     """Nearest grid column of each ``(lat, lon)`` row carrying ``axis_index``.
 
     Exact pruning instead of a full search. The longitude is first shifted by
@@ -50,13 +53,17 @@ def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
     ends, when the point lies outside or the axis spans over half a turn) can
     win. Distance is at least the latitude gap, so rows farther than the best
     bracketing distance cannot win. Ties take the first latitude-major column;
-    with ``tie_km`` every candidate within that margin counts as tied.
+    with ``tie_km`` every candidate within that margin counts as tied. Rows that
+    fail ``when`` (SQL text) stay, with null results and none of the work.
     """
     y, x = AxisText("lat"), AxisText("lon")
 
     def far(row, col):
         return haversine_text("lat", "lon", y.at(row), x.at(col))
 
+    def barrier(df, columns):
+        return row_barrier(df, {n: f"CASE WHEN {when} THEN {t} END" for n, t in columns.items()} if when else columns)
+
     p = barrier(points, {"_lon": f"lon + 360D * floor((({x.first} + {x.last}) / 2 - lon) / 360D + 0.5D)"})
     p = barrier(p, {"_x0": x.floor_index("_lon"), "_y0": y.floor_index("lat")})
     p = p.selectExpr("*", f"least(_x0 + 1, {x.size} - 1) AS _x1", f"least(_y0 + 1, {y.size} - 1) AS _y1")
@@ -77,27 +84,25 @@ def nearest_column(points: DataFrame, tie_km: float = 0.0) -> DataFrame:
     return p.selectExpr(*points.columns, "_near.iy AS iy", "_near.ix AS ix", "_near.d AS distance_km")
 
 
-def vertical_bracket(points: DataFrame, z: str = "depth_m") -> DataFrame:
-    """C4: levels around a depth; an exact level is both; null outside the axis."""
+def vertical_bracket(points: DataFrame, z: str = "depth_m", when: str = "true") -> DataFrame:
+    """C4: levels around a depth; an exact level is both; null outside the axis and where ``when`` fails."""
     axis = AxisText("depth")
-    inside = axis.covers(z)
-    marked = barrier(points, {"iz_lower": f"CASE WHEN {inside} THEN {axis.floor_index(z)} END", "iz_upper": f"CASE WHEN {inside} THEN {axis.ceil_index(z)} END"})
+    inside = f"({when} AND {axis.covers(z)})"
+    marked = row_barrier(points, {"iz_lower": f"CASE WHEN {inside} THEN {axis.floor_index(z)} END", "iz_upper": f"CASE WHEN {inside} THEN {axis.ceil_index(z)} END"})
     return marked.selectExpr("*", f"{axis.at('iz_lower')} AS lower_depth_m", f"{axis.at('iz_upper')} AS upper_depth_m")
 
 
-def attach_bracket(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """Field values at both levels, by two equi-joins on the cell.
+def attach_bracket(rows: DataFrame, field: DataFrame) -> DataFrame:
+    """Field values at both levels: one join with the water column, two array reads.
 
-    Rows without a bracket get scattered keys no cell has, so they neither
+    Rows without a bracket get scattered keys no column has, so they neither
     match nor pile up in one partition.
     """
     spread = (-1 - F.pmod(F.xxhash64("sample_index"), F.lit(SALTS))).cast("int")
-    out = rows
-    for side in ("lower", "upper"):
-        values = cells.filter(F.col("value").isNotNull()).select(
-            "case_id", "it", F.col("iz").alias("_z"), "iy", "ix", F.col("value").alias(f"model_{side}_value"))
-        out = out.withColumn("_z", F.coalesce(F.col(f"iz_{side}"), spread)).join(values, ["case_id", "it", "_z", "iy", "ix"], "left").drop("_z")
-    return out
+    columns = column_packed(field).select("case_id", "it", F.col("iy").alias("_y"), F.col("ix").alias("_x"), F.col("value").alias("_column"))
+    keyed = rows.withColumns({"_y": F.when(F.col("iz_lower").isNull(), spread).otherwise(F.col("iy")), "_x": F.coalesce("ix", F.lit(-1))})
+    return keyed.join(columns, ["case_id", "it", "_y", "_x"], "left").selectExpr(
+        *rows.columns, "get(_column, iz_lower) AS model_lower_value", "get(_column, iz_upper) AS model_upper_value")
 
 
 def early_reason() -> Column:
@@ -133,41 +138,46 @@ def gated(readings: DataFrame, axes: DataFrame, frames: DataFrame) -> DataFrame:
             .withColumn("early", early_reason()))
 
 
-MODEL_SIDE = {"distance_km": "double", "model_latitude": "double", "model_longitude": "double", "iy": "int", "ix": "int",
-              "lower_depth_m": "double", "upper_depth_m": "double", "model_lower_value": "double", "model_upper_value": "double",
-              "upper_weight": "double", "model": "double", "residual": "double"}
+MODEL_SIDE = ["distance_km", "model_latitude", "model_longitude", "iy", "ix", "lower_depth_m", "upper_depth_m", "model_lower_value", "model_upper_value",
+              "upper_weight", "model", "model - value AS residual"]
 OBSERVED_SIDE = ["setting_id", "case_id", "profile_id", "it", "sample_index", "ts AS observation_time", "lat AS latitude", "lon AS longitude",
                  "depth_m", "value AS observed", "qc", "mode", "time_offset_hours"]
+LEVELS = ["iz_lower", "iz_upper", "lower_depth_m", "upper_depth_m"]
 
 
-def collocate(readings: DataFrame, cells: DataFrame, axes: DataFrame, frames: DataFrame, used_frames: Collection[int] | None = None) -> DataFrame:
-    """One match row per reading and setting, with exactly one reason.
+def positioned(rows: DataFrame, when: str) -> DataFrame:
+    """Nearest column and depth bracket of the gated rows that pass ``when``: what a position decides, whatever the frame.
 
-    Rejected rows take a map-only branch; survivors join the field and both
-    branches union. The model side of a rejected row is null from the gate on.
-    ``used_frames`` names the frames the settings use, so other frames of the
-    field are pruned at the scan.
+    The bracket is null beyond the distance limit; other rows have nulls throughout.
     """
-    if used_frames is not None:
-        cells = cells.filter(F.col("it").isin(*used_frames))
-    rows = gated(readings, axes, frames)
-    rejected = rows.filter("early IS NOT NULL").selectExpr(
-        *OBSERVED_SIDE, *[f"cast(NULL AS {kind}) AS {name}" for name, kind in MODEL_SIDE.items()], "early AS reason", "false AS accepted")
-    near = vertical_bracket(nearest_column(rows.filter("early IS NULL")))
-    close = [f"CASE WHEN distance_km <= distance_limit_km THEN {n} END AS {n}" for n in ("iz_lower", "iz_upper", "lower_depth_m", "upper_depth_m")]
-    near = near.selectExpr("setting_id", "case_id", "profile_id", "it", "sample_index", "ts", "lat", "lon", "depth_m", "value", "qc", "mode", "time_offset_hours",
+    near = vertical_bracket(nearest_column(rows, when=when), when=when)
+    close = [f"CASE WHEN distance_km <= distance_limit_km THEN {n} END AS {n}" for n in LEVELS]
+    return near.selectExpr("setting_id", "case_id", "profile_id", "it", "sample_index", "ts", "lat", "lon", "depth_m", "value", "qc", "mode", "time_offset_hours", "early",
                            "distance_km", "iy", "ix", f"{AxisText('lat').at('iy')} AS model_latitude", f"{AxisText('lon').at('ix')} AS model_longitude", *close,
                            "distance_limit_km", "max_vertical_gap_m")
-    met = attach_bracket(near, cells).withColumn("reason", late_reason()).selectExpr("*", "reason = 'accepted' AS accepted")
+
+
+def collocate(readings: DataFrame, field: DataFrame, axes: DataFrame, frames: DataFrame, used_frames: Collection[int] | None = None) -> DataFrame:
+    """One match row per reading and setting, with exactly one reason.
+
+    One pass over the readings and one join with the field, which is given as cells or,
+    better, as stored water columns. The model side of a rejected row is null from its
+    gate on: rejected rows skip the geometry and enter the join under scattered keys.
+    ``used_frames`` names the frames the settings use, so other frames of the field are
+    pruned at the scan.
+    """
+    if used_frames is not None:
+        field = field.filter(F.col("it").isin(*used_frames))
+    near = positioned(gated(readings, axes, frames), "early IS NULL")
+    met = attach_bracket(near, field).withColumn("reason", F.coalesce("early", late_reason())).selectExpr("*", "reason = 'accepted' AS accepted")
     met = met.selectExpr("*", "CASE WHEN accepted THEN CASE WHEN lower_depth_m = upper_depth_m THEN 0D "
                          "ELSE (depth_m - lower_depth_m) / (upper_depth_m - lower_depth_m) END END AS upper_weight")
     met = met.selectExpr("*", "model_lower_value + (model_upper_value - model_lower_value) * upper_weight AS model")
-    survived = met.selectExpr(*OBSERVED_SIDE, *["model - value AS residual" if n == "residual" else n for n in MODEL_SIDE], "reason", "accepted")
-    return rejected.unionByName(survived)
+    return met.selectExpr(*OBSERVED_SIDE, *MODEL_SIDE, "reason", "accepted")
 
 
-def frame_candidates(rows: DataFrame, frames: DataFrame, window_hours: float) -> DataFrame:
-    """C10, first step: (case, profile, frame) triples whose frame could rescue a time-excluded row.
+def frame_candidates(late: DataFrame, frames: DataFrame, window_hours: float) -> DataFrame:
+    """(case, profile, frame) triples whose frame could rescue a row ``(case_id, profile_id, it, ts)`` that its own frame's window excludes.
 
     Rows and frames meet in time buckets one window wide, so each row sees only
     frames near its own time.
@@ -177,23 +187,32 @@ def frame_candidates(rows: DataFrame, frames: DataFrame, window_hours: float) ->
         return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     buckets = F.sequence(F.floor((seconds("ts") - width) / width), F.floor((seconds("ts") + width) / width))
     f = frames.select("case_id", F.col("it").alias("frame"), F.col("ts").alias("frame_time"), F.explode(buckets).alias("_bucket"))
-    late = rows.filter(F.col("reason") == "time_window").select(
-        "case_id", "profile_id", "it", F.col("observation_time"), F.floor(seconds("observation_time") / width).alias("_bucket"))
-    near = late.join(f, ["case_id", "_bucket"]).filter(
-        (F.col("frame") != F.col("it")) & (F.abs(hours_between(F.col("observation_time"), F.col("frame_time"))) <= window_hours))
+    near = late.select("case_id", "profile_id", "it", "ts", F.floor(seconds("ts") / width).alias("_bucket")).join(f, ["case_id", "_bucket"]).filter(
+        (F.col("frame") != F.col("it")) & (F.abs(hours_between(F.col("ts"), F.col("frame_time"))) <= window_hours))
     return near.select("case_id", "profile_id", F.col("frame").alias("it")).distinct()
 
 
-def suggest_snapshot(readings: DataFrame, matches: DataFrame, cells: DataFrame, axes: DataFrame, frames: DataFrame,
-                     settings: MatchSettings) -> DataFrame:
-    """Best other frame for profiles without an accepted row but with time-excluded rows."""
-    none = (matches.groupBy("case_id", "profile_id").agg(F.count_if("accepted").alias("n"))
-            .filter(F.col("n") == 0).select("case_id", "profile_id"))
-    wanted = frame_candidates(matches, frames, settings.time_window_hours).join(none, ["case_id", "profile_id"], "left_semi")
-    trial = with_settings(readings, [settings]).drop("it").join(wanted, ["case_id", "profile_id"])
-    hits = collocate(trial, cells, axes, frames).filter("accepted")
-    per_frame = hits.groupBy("case_id", "profile_id", "it").agg(
-        F.min(F.abs("time_offset_hours")).alias("offset"), F.min("distance_km").alias("distance"), F.count("*").alias("matched"))
+def suggest_snapshot(readings: DataFrame, field: DataFrame, axes: DataFrame, frames: DataFrame, settings: MatchSettings) -> DataFrame:
+    """Best other frame for profiles without an accepted row but with time-excluded rows.
+
+    Which column and levels a reading meets depends on its position alone. So the readings
+    that pass every other gate are placed in one pass and kept as a table; the own frame and
+    all candidate frames are then equi-joins of that table with the field.
+    """
+    rows = gated(with_settings(readings, [settings]), axes, frames)
+    placed = cut(positioned(rows.filter("early IS NULL OR early = 'time_window'"), "true").selectExpr(
+        "case_id", "profile_id", "it", "sample_index", "ts", "depth_m", "iy", "ix", "distance_km", *LEVELS, "distance_limit_km", "max_vertical_gap_m", "early IS NOT NULL AS late"))
+
+    def accepted(rows):
+        return attach_bracket(rows, field).filter(late_reason() == "accepted")
+
+    own = accepted(placed.filter("NOT late")).select("case_id", "profile_id").distinct()
+    wanted = frame_candidates(placed.filter("late"), frames, settings.time_window_hours).join(own, ["case_id", "profile_id"], "left_anti")
+    times = frames.select("case_id", "it", F.col("ts").alias("frame_time"))
+    trial = (placed.drop("it").join(wanted.join(times, ["case_id", "it"]), ["case_id", "profile_id"])
+             .withColumn("offset", F.abs(hours_between(F.col("ts"), F.col("frame_time")))).filter(F.col("offset") <= settings.time_window_hours))
+    per_frame = accepted(trial).groupBy("case_id", "profile_id", "it").agg(
+        F.min("offset").alias("offset"), F.min("distance_km").alias("distance"), F.count("*").alias("matched"))
     best = F.min(F.struct("offset", "distance", "it", "matched"))
     return per_frame.groupBy("case_id", "profile_id").agg(best.alias("_b")).select(
         "case_id", "profile_id", F.col("_b.it").alias("suggested_it"), F.col("_b.matched").alias("suggested_matched"),

@@ -6,7 +6,7 @@ the rows of a profile, so one huge profile is just one more group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.operators.windows import split_row_number
@@ -65,13 +65,14 @@ def library_coverage(profiles: DataFrame) -> DataFrame:
 
 
 def sweep_difference(matches: DataFrame, reference: int) -> DataFrame:
-    """Metrics of every setting beside the reference setting's."""
+    """Metrics of every setting beside the reference setting's, found by a window over the few settings of a case."""
     m = residual_metrics(matches, "setting_id", "case_id")
-    base = m.filter(F.col("setting_id") == reference).select(
-        "case_id", F.col("matched").alias("ref_matched"), F.col("bias").alias("ref_bias"), F.col("rmse").alias("ref_rmse"))
-    return m.join(base, "case_id", "left").select(
-        "setting_id", "case_id", "matched", "bias", "rmse", (F.col("matched") - F.col("ref_matched")).alias("matched_change"),
-        (F.col("bias") - F.col("ref_bias")).alias("bias_change"), (F.col("rmse") - F.col("ref_rmse")).alias("rmse_change"))
+    case = Window.partitionBy("case_id")
+
+    def change(name):
+        return (F.col(name) - F.max(F.when(F.col("setting_id") == reference, F.col(name))).over(case)).alias(f"{name}_change")
+
+    return m.select("setting_id", "case_id", "matched", "bias", "rmse", *[change(n) for n in ("matched", "bias", "rmse")])
 
 
 def rank_profiles(coverage: DataFrame, by: str = "time") -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.operators import coverage as cov
 
 FIELDS = {"profile": "profile_id", "instrument": "instrument", "platform": "platform", "collection": "collection"}
 
@@ -36,15 +35,21 @@ def unknown_selectors(profiles: DataFrame, selectors: DataFrame) -> DataFrame:
 
 
 def exclude_and_recompute(matches: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Coverage and metrics of the baseline and of what remains; one pass over the rows, tagged by state."""
-    marked = matches.join(excluded.select("case_id", "profile_id", F.lit(True).alias("_out")), ["case_id", "profile_id"], "left")
+    """Coverage and metrics of the baseline and of what remains.
+
+    One group-by over the rows gives sums per profile; both states are sums of those.
+    """
+    r = F.when(F.col("accepted"), F.col("residual"))
+    per = matches.groupBy("case_id", "profile_id").agg(
+        F.count("*").alias("n"), F.count_if("accepted").alias("ok"), F.count(r).alias("_r0"), F.sum(r).alias("_r1"), F.sum(r * r).alias("_r2"), F.sum(F.abs(r)).alias("_ra"), F.max(F.abs(r)).alias("_rx"))
+    marked = per.join(excluded.select("case_id", "profile_id", F.lit(True).alias("_out")), ["case_id", "profile_id"], "left")
     states = F.when(F.col("_out"), F.array(F.lit("baseline"))).otherwise(F.array(F.lit("baseline"), F.lit("modified")))
-    rows = marked.withColumn("state", F.explode(states))
-    per = rows.groupBy("case_id", "state", "profile_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("ok"))
-    profiles = per.groupBy("case_id", "state").agg(F.count("*").alias("total_profiles"), F.count_if(F.col("ok") > 0).alias("matched_profiles"),
-                                                   F.sum("n").alias("total_samples"), (F.sum("n") - F.sum("ok")).alias("excluded_samples"))
-    stats = rows.groupBy("case_id", "state").agg(*cov.metrics())
-    return profiles.join(stats, ["case_id", "state"])
+    count = F.sum("_r0")
+    share = lambda c: F.when(count > 0, F.sum(c) / count)
+    return marked.withColumn("state", F.explode(states)).groupBy("case_id", "state").agg(
+        F.count("*").alias("total_profiles"), F.count_if(F.col("ok") > 0).alias("matched_profiles"), F.sum("n").alias("total_samples"),
+        (F.sum("n") - F.sum("ok")).alias("excluded_samples"), count.alias("matched"), share("_r1").alias("bias"), F.sqrt(share("_r2")).alias("rmse"), share("_ra").alias("mae"),
+        F.max("_rx").alias("max_abs_residual"))
 
 
 def profile_effects(matches: DataFrame, excluded: DataFrame) -> DataFrame:

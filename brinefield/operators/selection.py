@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinefield.functions.geo import haversine_km, longitude_on_axis, normalize_longitude, unwrap_longitude
+from brinefield.functions.geo import longitude_on_axis, normalize_longitude, unwrap_longitude
 from brinefield.functions.scalars import finite
-from brinefield.operators.axes import INDEX_OF, Axis, axis_index, frame_index
+from brinefield.operators.axes import INDEX_OF, Axis, AxisText, axis_index, frame_index
+from brinefield.sources.fields import COLUMN, column_packed
 
 
 def _axis(axes: DataFrame, name: str, coord: str | None = None) -> DataFrame:
@@ -182,65 +183,63 @@ def depth_coverage(cells: DataFrame, axes: DataFrame) -> DataFrame:
             .select("case_id", "it", "iz", "depth", valid.alias("valid"), state.alias("state"), deepest.alias("deepest")))
 
 
-def trilinear_sample(points: DataFrame, cells: DataFrame, axes: DataFrame, key: str) -> DataFrame:
-    """Eight-corner value at ``(case_id, it, lon, lat, depth_m)`` points named by ``key``.
+def _part(bit: int, fraction: str) -> str:
+    return fraction if bit else f"(1 - {fraction})"
 
-    Null outside the grid, or when a corner heavier than 1e-12 is missing.
-    """
-    lon, lat, depth = Axis("lon"), Axis("lat"), Axis("depth")
-    p = points.join(axis_index(axes), "case_id").filter(
-        lon.covers("lon") & lat.covers("lat") & depth.covers("depth_m"))
-    for axis, value, i, f in ((lon, "lon", "i", "fx"), (lat, "lat", "j", "fy"), (depth, "depth_m", "k", "fz")):
-        p = p.withColumn(f"_{i}", axis.cell_index(value))
-        p = p.withColumn(f"_{f}", (F.col(value) - axis.at(F.col(f"_{i}"))) / (axis.at(F.col(f"_{i}") + 1) - axis.at(F.col(f"_{i}"))))
 
-    def part(bit, f):
-        return F.col(f) if bit else 1 - F.col(f)
+def _at_corners(points: DataFrame, inside: str, corners: str, columns: DataFrame, key: str) -> DataFrame:
+    """Each point once per corner (SQL array of structs with ``iy`` and ``ix``), beside the column there.
+
+    A point outside stays as one row whose scattered keys no column has.
+    """
+    spread = f"cast(-1 - pmod(xxhash64(`{key}`), 4096) AS int)"
+    rows = points.selectExpr("*", f"inline_outer(CASE WHEN {inside} THEN {corners} END)").withColumns({"iy": F.coalesce("iy", F.expr(spread)), "ix": F.coalesce("ix", F.lit(-1))})
+    return rows.join(columns, [c for c in COLUMN if c in rows.columns], "left")
 
-    corners = F.array(*[F.struct((F.col("_k") + c).alias("iz"), (F.col("_j") + b).alias("iy"), (F.col("_i") + a).alias("ix"),
-                                 (part(a, "_fx") * part(b, "_fy") * part(c, "_fz")).alias("w"))
-                        for c in (0, 1) for b in (0, 1) for a in (0, 1)])
-    rows = p.select("case_id", "it", key, F.inline(corners)).filter(F.col("w") > 1e-12)
-    sums = (rows.join(cells, ["case_id", "it", "iz", "iy", "ix"], "left").groupBy(key)
-            .agg(F.sum(F.col("w") * F.col("value")).alias("_s"), F.count("value").alias("_n"), F.count("*").alias("_all"))
-            .select(key, F.when(F.col("_n") == F.col("_all"), F.col("_s")).alias("sampled")))
-    return points.join(sums, key, "left")
 
+def trilinear_sample(points: DataFrame, field: DataFrame, axes: DataFrame, key: str) -> DataFrame:
+    """Eight-corner value at ``(case_id, it, lon, lat, depth_m)`` points, one row per ``key``.
 
-def space_time_sample(points: DataFrame, grid: DataFrame, axes: DataFrame, frames: DataFrame, key: str, iz: int) -> DataFrame:
-    """C20: velocity at ``(case_id, ts, lon, lat)``: bilinear in space, linear in time.
+    Null outside the grid, or when a corner heavier than 1e-12 is missing. A point meets the
+    at most four water columns around it, and its own columns travel with it.
+    """
+    axis = {"i": ("lon", "lon"), "j": ("lat", "lat"), "k": ("depth", "depth_m")}
+    p = points.join(axis_index(axes), "case_id", "left")
+    p = p.withColumn("_in", F.expr("coalesce(" + " AND ".join(AxisText(a).covers(f"`{v}`") for a, v in axis.values()) + ", false)"))
+    p = p.selectExpr("*", *[f"{AxisText(a).cell_index(f'`{v}`')} AS _{n}" for n, (a, v) in axis.items()])
+    p = p.selectExpr(*points.columns, "_in", "_i", "_j", "_k", *[f"(`{v}` - {AxisText(a).at(f'_{n}')}) / ({AxisText(a).at(f'_{n} + 1')} - {AxisText(a).at(f'_{n}')}) AS _f{n}" for n, (a, v) in axis.items()])
+    corners = ", ".join(f"named_struct('iy', _j + {b}, 'ix', _i + {a}, '_w', {_part(a, '_fi')} * {_part(b, '_fj')})" for b in (0, 1) for a in (0, 1))
+    columns = column_packed(field).select(*COLUMN, F.col("value").alias("_column"))
+    rows = _at_corners(p, "_in", f"filter(array({corners}), c -> c._w > 1e-12D)", columns, key)
+    rows = rows.selectExpr("*", *[f"_w * {_part(c, '_fk')} AS _w{c}" for c in (0, 1)], *[f"get(_column, _k + {c}) AS _v{c}" for c in (0, 1)])
+    total = " + ".join(f"CASE WHEN _w{c} > 1e-12D THEN _w{c} * _v{c} ELSE 0 END" for c in (0, 1))
+    lacks = " OR ".join(f"(_w{c} > 1e-12D AND _v{c} IS NULL)" for c in (0, 1))
+    own = [F.first(c).alias(c) for c in points.columns if c != key]
+    sums = rows.groupBy(key).agg(*own, F.first("_in").alias("_in"), F.sum(F.expr(total)).alias("_s"), F.bool_or(F.expr(lacks)).alias("_lacks"))
+    return sums.select(*points.columns, F.expr("CASE WHEN _in AND NOT _lacks THEN _s END").alias("sampled"))
+
+
+def space_time_sample(points: DataFrame, field: DataFrame, axes: DataFrame, frames: DataFrame, key: str, iz: int) -> DataFrame:
+    """C20: velocity at ``(case_id, ts, lon, lat)``: bilinear in space, linear in time, one row per ``key``.
 
     All four corners must hold both parts even at zero weight; a time exactly on
     a frame reads that frame only. Status: ok, missing, outside, forcing_exhausted.
     """
-    lon, lat, time = Axis("lon"), Axis("lat"), Axis("time")
-    p = points.join(axis_index(axes, ["lat", "lon"]), "case_id").join(frame_index(frames), "case_id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    p = p.withColumn("_t", seconds)
-    p = p.withColumns({"_i": lon.cell_index("lon"), "_j": lat.cell_index("lat"), "_k": time.cell_index("_t")})
-
-    def fraction(axis, value, i):
-        return (F.col(value) - axis.at(F.col(i))) / (axis.at(F.col(i) + 1) - axis.at(F.col(i)))
-
-    p = p.withColumns({"_fx": fraction(lon, "lon", "_i"), "_fy": fraction(lat, "lat", "_j"), "_ft": fraction(time, "_t", "_k"),
-                       "_gate": F.when(~time.covers("_t"), "forcing_exhausted")
-                       .when(~(lon.covers("lon") & lat.covers("lat")), "outside").otherwise("in")})
-
-    def part(bit, f):
-        return F.col(f) if bit else 1 - F.col(f)
-
-    corners = F.array(*[F.struct((F.col("_k") + t).alias("it"), (F.col("_j") + b).alias("iy"), (F.col("_i") + a).alias("ix"),
-                                 (part(a, "_fx") * part(b, "_fy") * part(t, "_ft")).alias("w"), part(t, "_ft").alias("wt"))
-                        for t in (0, 1) for b in (0, 1) for a in (0, 1)])
-    need = p.filter(F.col("_gate") == "in").select("case_id", key, "lat", F.inline(corners)).filter(F.col("wt") != 0)
-    level = grid.filter((F.col("iz") == iz) & F.col("u").isNotNull() & F.col("v").isNotNull()).select("case_id", "it", "iy", "ix", "u", "v")
-    sums = (need.join(level, ["case_id", "it", "iy", "ix"], "left").groupBy(key)
-            .agg(F.sum(F.col("w") * F.col("u")).alias("_u"), F.sum(F.col("w") * F.col("v")).alias("_v"),
-                 (F.count("u") == F.count("*")).alias("_full")))
-    out = p.join(sums, key, "left")
-    ok = (F.col("_gate") == "in") & F.col("_full")
+    p = points.join(axis_index(axes, ["lat", "lon"]), "case_id").join(frame_index(frames), "case_id").selectExpr("*", "unix_micros(cast(ts AS timestamp)) / 1e6D AS _t")
+    lon, lat, time = AxisText("lon"), AxisText("lat"), AxisText("time")
+    p = p.selectExpr("*", f"{lon.cell_index('lon')} AS _i", f"{lat.cell_index('lat')} AS _j", f"{time.cell_index('_t')} AS _k",
+                     f"CASE WHEN NOT {time.covers('_t')} THEN 'forcing_exhausted' WHEN NOT ({lon.covers('lon')} AND {lat.covers('lat')}) THEN 'outside' ELSE 'in' END AS _gate")
+    p = p.selectExpr(*points.columns, "_gate", "_i", "_j", "_k", *[f"({v} - {a.at(f'_{n}')}) / ({a.at(f'_{n} + 1')} - {a.at(f'_{n}')}) AS _f{n}" for n, a, v in (("i", lon, "lon"), ("j", lat, "lat"), ("k", time, "_t"))])
+    corners = ", ".join(f"named_struct('it', _k + {t}, 'iy', _j + {b}, 'ix', _i + {a}, '_w', {_part(a, '_fi')} * {_part(b, '_fj')} * {_part(t, '_fk')}, '_wt', {_part(t, '_fk')})"
+                        for t in (0, 1) for b in (0, 1) for a in (0, 1))
+    level = column_packed(field).selectExpr(*COLUMN, f"get(u, {int(iz)}) AS _u", f"get(v, {int(iz)}) AS _v")
+    rows = _at_corners(p, "_gate = 'in'", f"filter(array({corners}), c -> c._wt != 0)", level, key)
+    own = [F.first(c).alias(c) for c in points.columns if c != key]
+    sums = rows.groupBy(key).agg(*own, F.first("_gate").alias("_gate"), F.sum(F.expr("_w * _u")).alias("_su"), F.sum(F.expr("_w * _v")).alias("_sv"),
+                                 F.bool_and(F.expr("_u IS NOT NULL AND _v IS NOT NULL")).alias("_full"))
+    ok = F.expr("_gate = 'in' AND _full")
     status = F.when(F.col("_gate") != "in", F.col("_gate")).when(ok, "ok").otherwise("missing")
-    return out.select(*points.columns, status.alias("status"), F.when(ok, F.col("_u")).alias("u"), F.when(ok, F.col("_v")).alias("v"))
+    return sums.select(*points.columns, status.alias("status"), F.when(ok, F.col("_su")).alias("u"), F.when(ok, F.col("_sv")).alias("v"))
 
 
 def smallest_longitude_arc(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -324,7 +323,3 @@ def quartile_positions(axes: DataFrame) -> DataFrame:
     return (box.select("*", F.inline(spots))
             .select("case_id", "location", (F.col("w") + (F.col("e") - F.col("w")) * F.col("fraction")).alias("lon"),
                     ((F.col("s") + F.col("n")) / 2).alias("lat")))
-
-
-def distance_to(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
-    return haversine_km(lat, lon, F.lit(lat0), F.lit(lon0))

@@ -11,10 +11,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brinefield.operators.axes import axis_index
 from brinefield.runtime import checkpoint_root, cut
-from brinefield.sources.fields import read_field, write_field
+from brinefield.sources.fields import read_columns, read_field, write_field
 
 # Axis values of every projected case (plain test data).
 DEPTHS = (0.0, 10.0, 30.0, 60.0, 100.0, 160.0, 250.0)
@@ -33,6 +34,9 @@ FROM (SELECT CAST(floor(l_orderkey / 5000e0) AS BIGINT) AS case_id,
       FROM {lineitem} GROUP BY 1, 2, 3, 4, 5) t
 """
 
+GRID_SCHEMA = T.StructType([T.StructField("case_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("it", "iz", "iy", "ix")],
+                            *[T.StructField(c, T.DoubleType()) for c in ("value", "u", "v")]])
+
 CASES = "SELECT DISTINCT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS case_id FROM {orders}"
 
 OBS = """
@@ -151,7 +155,7 @@ def with_ctes(body: str, names: tuple[str, ...]) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ctes + (",\n" + own if own is not None else "\n" + body)
 
 
-_settled: dict[tuple[str, str, str], DataFrame] = {}
+_settled: dict[tuple[str, str, str], DataFrame | str] = {}
 
 
 class Inputs:
@@ -174,16 +178,24 @@ class Inputs:
         return _settled[key]
 
     @cached_property
-    def grid(self) -> DataFrame:
-        """Present cells only; an absent cell is a missing cell. Stored once per session, partitioned by frame."""
-        key = (self.spark.sparkContext.applicationId, self.dir, "grid")
+    def _field(self) -> str:
+        """Path of the field, stored once per session in both forms. Present cells only; an absent cell is a missing cell."""
+        key = (self.spark.sparkContext.applicationId, self.dir, "field")
         if key not in _settled:
-            cells = self.sql(GRID, "lineitem")
             path = f"{checkpoint_root(self.spark)}/field-{uuid.uuid4().hex}"
-            write_field(cells, path)
-            _settled[key] = read_field(self.spark, path, cells.schema)
+            write_field(self.sql(GRID, "lineitem"), path)
+            _settled[key] = path
         return _settled[key]
 
+    @cached_property
+    def grid(self) -> DataFrame:
+        return read_field(self.spark, self._field, GRID_SCHEMA)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        """The same field as water columns with arrays over depth."""
+        return read_columns(self.spark, self._field)
+
     @property
     def cells(self) -> DataFrame:
         return self.grid.select("case_id", "it", "iz", "iy", "ix", "value")

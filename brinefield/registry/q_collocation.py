@@ -23,7 +23,7 @@ def readings(i):
 
 
 def matches(i, settings=(BASE,)):
-    return co.collocate(co.with_settings(readings(i), settings), i.cells, i.index, i.frames, {s.it for s in settings})
+    return co.collocate(co.with_settings(readings(i), settings), i.columns, i.index, i.frames, {s.it for s in settings})
 
 
 GOOD = "CASE scheme WHEN 'qartod' THEN {0} = '1' WHEN 'woce' THEN {0} = '2' ELSE {0} IN ('1', '2') END"
@@ -234,9 +234,7 @@ WITH none AS (SELECT case_id, profile_id FROM match_frames WHERE it = 3 GROUP BY
 SELECT case_id, profile_id, b.it AS suggested_it, b.n AS suggested_matched, round(b.o, 6) AS suggested_offset_hours, round(b.d, 6) AS suggested_distance_km FROM b""",
        ("match_frames",))
 def c10(i):
-    rows = readings(i)
-    base = co.collocate(co.with_settings(rows, [BASE]), i.cells, i.index, i.frames, {BASE.it})
-    return co.suggest_snapshot(rows, base, i.cells, i.index, i.frames, BASE).withColumns(R6("suggested_offset_hours", "suggested_distance_km"))
+    return co.suggest_snapshot(readings(i), i.columns, i.index, i.frames, BASE).withColumns(R6("suggested_offset_hours", "suggested_distance_km"))
 
 
 PROFILES = "SELECT case_id, profile_id, min(ts) AS ts, arg_min(lat, sample_index) AS lat, arg_min(lon, sample_index) AS lon FROM obs GROUP BY 1, 2"

@@ -161,7 +161,7 @@ SELECT p.event_id, p.case_id, p.it, p.lon, p.lat, p.depth_m, round(s.sampled, 6)
 """, ("grid", "spots", "cells_lon", "cells_lat", "cells_depth"))
 def p13(i):
     points = i.sql(SAMPLE_POINTS, "events").drop("ts")
-    return sel.trilinear_sample(points, i.cells, i.index, "event_id").withColumn("sampled", F.round("sampled", 6))
+    return sel.trilinear_sample(points, i.columns, i.index, "event_id").withColumn("sampled", F.round("sampled", 6))
 
 
 @query("P14_normalize_longitude", """
@@ -245,7 +245,7 @@ SELECT p.event_id, CASE WHEN t NOT BETWEEN (SELECT min(a) FROM tc) AND (SELECT m
 FROM p LEFT JOIN s USING (event_id)""", ("grid", "frames", "spots", "cells_lon", "cells_lat"))
 def c20(i):
     points = i.sql(SAMPLE_POINTS, "events").select("event_id", "case_id", "lon", "lat", "ts")
-    out = sel.space_time_sample(points, i.grid, i.index, i.frames, "event_id", 1)
+    out = sel.space_time_sample(points, i.columns, i.index, i.frames, "event_id", 1)
     return out.select("event_id", "status", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
 
 
