@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.functions.scalars import hours_between
-from brinefield.operators.components import components
+from brinefield.operators.components import nested_components
 from brinefield.operators.regions import KEYS, REGION
+from brinefield.runtime import cut
 
 PAIR = ["case_id", "threshold_id", "it", "next_it"]
 
@@ -49,17 +50,18 @@ def overlap_links(pairs: DataFrame, regions: DataFrame, minimum: float) -> DataF
 def classify_links(links: DataFrame) -> DataFrame:
     """Continuation, split, merge or ambiguous, by the whole bipartite group of a link.
 
-    Source and target labels become one id space (even and odd), so the same
-    component rounds as for cells serve here.
+    A link whose both ends have no other is a group of its own. The rest merge as sources
+    and targets of one id space (even and odd), near ids within a task first.
     """
-    edges = links.select(*PAIR, (F.col("source") * 2).alias("a"), (F.col("target") * 2 + 1).alias("b"))
-    roots = components(edges, PAIR)
-    marked = links.withColumn("node", F.col("source") * 2).join(roots, [*PAIR, "node"], "left").withColumn("grp", F.coalesce("root", "node")).drop("root", "node")
-    sources = marked.select(*PAIR, "grp", "source").distinct().groupBy(*PAIR, "grp").agg(F.count("*").alias("ns"))
-    targets = marked.select(*PAIR, "grp", "target").distinct().groupBy(*PAIR, "grp").agg(F.count("*").alias("nt"))
-    kind = (F.when((F.col("ns") == 1) & (F.col("nt") == 1), "continuation").when(F.col("ns") == 1, "split")
-            .when(F.col("nt") == 1, "merge").otherwise("ambiguous"))
-    return marked.join(sources.join(targets, [*PAIR, "grp"]).withColumn("classification", kind), [*PAIR, "grp"]).drop("ns", "nt")
+    degree = lambda end, name: links.groupBy(*PAIR, end).agg(F.count("*").alias(name))
+    counted = cut(links.join(degree("source", "_ds"), [*PAIR, "source"]).join(degree("target", "_dt"), [*PAIR, "target"]).select(*links.columns, "_ds", "_dt"))
+    single = (F.col("_ds") == 1) & (F.col("_dt") == 1)
+    edges = counted.filter(~single).select(*PAIR, (F.col("source") * 2).alias("a"), (F.col("target") * 2 + 1).alias("b"), F.lit(0).alias("level"))
+    roots = nested_components(edges, PAIR).drop("level")
+    marked = counted.withColumn("node", F.col("source") * 2).join(roots, [*PAIR, "node"], "left").withColumn("grp", F.coalesce("root", "node")).drop("root", "node")
+    ends = marked.groupBy(*PAIR, "grp").agg((F.min("source") == F.max("source")).alias("_one_source"), (F.min("target") == F.max("target")).alias("_one_target"))
+    kind = (F.when(F.col("_one_source") & F.col("_one_target"), "continuation").when(F.col("_one_source"), "split").when(F.col("_one_target"), "merge").otherwise("ambiguous"))
+    return marked.drop("_ds", "_dt").join(ends.withColumn("classification", kind).drop("_one_source", "_one_target"), [*PAIR, "grp"])
 
 
 def unmatched_nodes(labels: DataFrame, regions: DataFrame, links: DataFrame, cells: DataFrame, steps: DataFrame) -> DataFrame:

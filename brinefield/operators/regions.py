@@ -15,8 +15,9 @@ from brinefield.functions.digest import multiset_digest
 from brinefield.functions.geo import haversine_km
 from brinefield.operators.axes import Axis, AxisText, axis_index, barrier, cell_volume, flat_index, grid_geometry
 from brinefield.operators.collocate import nearest_column
-from brinefield.operators.components import components
+from brinefield.operators.components import BLOCK, nested_components
 from brinefield.runtime import cut
+from brinefield.sources.fields import column_packed
 
 KEYS = ["case_id", "threshold_id", "it"]
 REGION = [*KEYS, "label"]
@@ -49,26 +50,72 @@ def threshold_mask(cells: DataFrame, index: DataFrame, rules: Sequence[dict], de
             .filter(F.col("volume") > 0))
 
 
-def connected_regions(mask: DataFrame) -> DataFrame:
+def _runs(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells with the first flat index of their run: neighbours along x that share a level. The one window over cells, one grid line a partition."""
+    along = Window.partitionBy(*keys, "iz", "iy").orderBy("ix")
+    starts = F.coalesce((F.col("ix") - F.lag("ix").over(along) != 1) | (F.lag("level").over(along) != F.col("level")), F.lit(True))
+    run = F.last(F.when(F.col("_starts"), F.col("flat")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return cells.withColumn("_starts", starts).withColumn("run", run).drop("_starts")
+
+
+def run_edges(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges ``(keys, a, b, level)`` between runs ``(keys, iz, iy, x0, x1, run, level)`` that share a face; the level is the higher of the two.
+
+    A sweep over the ends of runs: the runs of two neighbouring grid lines are sorted by
+    x0, and each can only meet the last run of the other line that begins at or before it,
+    because the runs of one line do not overlap. A line stands in four such pairs.
+    """
+    pairs = "inline(array({}))".format(", ".join(
+        f"named_struct('_axis', {axis}, '_z', iz - {z}, '_y', iy - {y}, '_side', {side})" for axis, side, z, y in ((0, 0, 0, 0), (0, 1, 0, 1), (1, 0, 0, 0), (1, 1, 1, 0))))
+    rows = runs.selectExpr(*keys, "x0", "x1", "run", "level", "iz", "iy", pairs)
+    pair = Window.partitionBy(*keys, "_axis", "_z", "_y").orderBy("x0", "_side")
+    so_far = pair.rowsBetween(Window.unboundedPreceding, -1)
+    last = {side: F.last(F.when(F.col("_side") == side, F.struct("x1", "run", "level")), ignorenulls=True).over(so_far).alias(f"_last{side}") for side in (0, 1)}
+    seen = rows.select(*keys, "x0", "run", "level", "_axis", "_side", *last.values())
+    other = "CASE WHEN _side = 0 THEN _last1 ELSE _last0 END"
+    touch = [f"CASE WHEN ({other}).x1 >= x0 THEN {other} END", "CASE WHEN _axis = 0 AND _side = 0 AND _last0.x1 = x0 - 1 THEN _last0 END"]
+    return (seen.selectExpr(*keys, "run", "level", f"explode(array({', '.join(touch)})) AS _met").filter("_met IS NOT NULL")
+            .selectExpr(*keys, "run AS a", "_met.run AS b", "greatest(level, _met.level) AS level"))
+
+
+def _labelled(cells: DataFrame, keys: Sequence[str], levels: int, block: int) -> DataFrame:
+    """Cells ``(keys, iz, iy, ix, flat, level, ...)`` once per level from their own upwards, each with the label it has there."""
+    keys = list(keys)
+    rows = cut(_runs(cells, keys))
+    runs = rows.groupBy(*keys, "iz", "iy", "run", "level").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+    roots = nested_components(run_edges(runs, keys), keys, levels, block).select(*keys, "level", F.col("node").alias("run"), "root")
+    spread = rows.withColumn("level", F.explode(F.sequence("level", F.lit(levels - 1)))) if levels > 1 else rows
+    return spread.join(roots, [*keys, "level", "run"], "left").withColumn("label", F.coalesce("root", "run")).drop("run", "root")
+
+
+def connected_regions(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     """R2: six-neighbour regions; the label is the smallest flat index.
 
-    Cells fold to runs along x first. Each window partition is one grid line,
-    so its size is an axis length however large a frame or region is. Runs that
-    touch across y or z become edges; only run pairs enter the component rounds.
+    Cells fold to runs along x, and all that follows is about runs. Runs that share a face
+    merge within blocks of flat indices first; what crosses blocks enters the component rounds.
     """
-    along_x = Window.partitionBy(*KEYS, "iz", "iy").orderBy("ix")
-    starts = F.coalesce(F.col("ix") - F.lag("ix").over(along_x) != 1, F.lit(True))
-    run = F.last(F.when(F.col("_starts"), F.col("flat")), ignorenulls=True).over(along_x.rowsBetween(Window.unboundedPreceding, 0))
-    cells = cut(mask.withColumn("_starts", starts).withColumn("run", run).drop("_starts"))
+    return _labelled(mask.withColumn("level", F.lit(0)), KEYS, 1, block).drop("level")
+
 
-    def touching(line, step):
-        w = Window.partitionBy(*KEYS, *line).orderBy(step)
-        return (cells.select(*KEYS, *CELL, "run").withColumn("_before", F.when(F.lag(step).over(w) == F.col(step) - 1, F.lag("run").over(w)))
-                .filter(F.col("_before").isNotNull()).select(*KEYS, F.col("run").alias("a"), F.col("_before").alias("b")).distinct())
+def nested_order(rules: Sequence[dict]) -> list[dict] | None:
+    """The rules from the strictest to the loosest if each lies within the next, else None."""
+    order = sorted(rules, key=lambda r: (-r["low"], r["high"]))
+    inside = all(b["low"] <= a["low"] and a["high"] <= b["high"] for a, b in zip(order, order[1:]))
+    return order if inside else None
 
-    roots = components(touching(["iz", "ix"], "iy").unionByName(touching(["iy", "ix"], "iz")), KEYS)
-    named = roots.select(*KEYS, F.col("node").alias("run"), "root")
-    return cells.join(named, [*KEYS, "run"], "left").withColumn("label", F.coalesce("root", "run")).drop("run", "root")
+
+def nested_regions(cells: DataFrame, index: DataFrame, order: Sequence[dict], depth_min: float, depth_max: float, block: int = BLOCK) -> DataFrame:
+    """Regions of nested rules, strictest first, as ``connected_regions`` of each would label them.
+
+    A cell enters once, with the strictest rule that it meets, and an edge counts from the
+    looser one of its two runs on. So regions of a strict rule are merged upwards into those
+    of the looser ones, and neither the mask nor the rounds multiply with the rules.
+    """
+    loosest = threshold_mask(cells, index, [order[-1]], depth_min, depth_max).drop("threshold_id")
+    level = sum((~F.col("value").between(r["low"], r["high"])).cast("int") for r in order)
+    ids = F.array(*[F.lit(r["threshold_id"]) for r in order])
+    named = _labelled(loosest.withColumn("level", level), ["case_id", "it"], len(order), block)
+    return named.withColumn("threshold_id", F.get(ids, F.col("level"))).select(*KEYS, *CELL, "flat", "value", "volume", "label")
 
 
 def region_stats(labels: DataFrame, index: DataFrame) -> DataFrame:
@@ -129,24 +176,23 @@ def exposed_faces(labels: DataFrame) -> DataFrame:
     return out
 
 
-def region_contacts(labels: DataFrame, cells: DataFrame, index: DataFrame) -> DataFrame:
-    """Domain sides a region touches, and whether it touches a missing neighbour."""
-    valid = cells.filter(F.col("value").isNotNull()).select("case_id", "it", *CELL).join(axis_index(index), "case_id")
-    sizes = {"iz": F.size("ax_depth"), "iy": F.size("ax_lat"), "ix": F.size("ax_lon")}
-    valid = valid.select("case_id", "it", *CELL, *[sizes[c].alias(f"n_{c}") for c in CELL])
-    for axis, line in (("iz", ["iy", "ix"]), ("iy", ["iz", "ix"]), ("ix", ["iz", "iy"])):
-        w = Window.partitionBy("case_id", "it", *line).orderBy(axis)
-        low = (F.col(axis) > 0) & F.coalesce(F.lag(axis).over(w) != F.col(axis) - 1, F.lit(True))
-        high = (F.col(axis) < F.col(f"n_{axis}") - 1) & F.coalesce(F.lead(axis).over(w) != F.col(axis) + 1, F.lit(True))
-        valid = valid.withColumn(f"_gap_{axis}", low | high)
-    rows = labels.join(valid, ["case_id", "it", *CELL])
-    sides = [("shallow", "iz", False), ("deep", "iz", True), ("south", "iy", False), ("north", "iy", True), ("west", "ix", False), ("east", "ix", True)]
-    flags = [F.bool_or(F.col(c) == (F.col(f"n_{c}") - 1 if end else F.lit(0))).alias(n) for n, c, end in sides]
-    out = rows.groupBy(*REGION).agg(*flags, F.bool_or(F.col("_gap_iz") | F.col("_gap_iy") | F.col("_gap_ix")).alias("touches_missing"))
-    touches = F.lit(False)
-    for n, _, _ in sides:
-        touches = touches | F.col(n)
-    return out.withColumn("touches_boundary", touches)
+def region_contacts(labels: DataFrame, field: DataFrame, index: DataFrame) -> DataFrame:
+    """Domain sides a region touches, and whether it touches a missing neighbour.
+
+    Starts from the regions' own columns (levels as one array, as long as the depth axis)
+    and looks into the field's water columns there and at the four sides.
+    """
+    sizes = axis_index(index).selectExpr("case_id", "size(ax_depth) AS n_iz", "size(ax_lat) AS n_iy", "size(ax_lon) AS n_ix")
+    feet = labels.groupBy(*REGION, "iy", "ix").agg(F.collect_list("iz").alias("_levels")).join(sizes, "case_id")
+    sides = [("shallow", "exists(_levels, z -> z = 0)"), ("deep", "exists(_levels, z -> z = n_iz - 1)"), ("south", "iy = 0"), ("north", "iy = n_iy - 1"), ("west", "ix = 0"), ("east", "ix = n_ix - 1")]
+    steps = ", ".join(f"named_struct('_y', iy + {y}, '_x', ix + {x}, '_own', {str(not (x or y)).lower()})" for y, x in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)))
+    looks = feet.selectExpr("*", f"inline(filter(array({steps}), s -> s._y BETWEEN 0 AND n_iy - 1 AND s._x BETWEEN 0 AND n_ix - 1))")
+    columns = column_packed(field).select("case_id", "it", F.col("iy").alias("_y"), F.col("ix").alias("_x"), F.col("value").alias("_column"))
+    seen = looks.join(columns, ["case_id", "it", "_y", "_x"], "left")
+    missing = ("CASE WHEN _own THEN exists(_levels, z -> (z > 0 AND get(_column, z - 1) IS NULL) OR (z < n_iz - 1 AND get(_column, z + 1) IS NULL)) "
+               "ELSE exists(_levels, z -> get(_column, z) IS NULL) END")
+    out = seen.groupBy(*REGION).agg(*[F.bool_or(F.expr(f"_own AND {test}")).alias(n) for n, test in sides], F.bool_or(F.expr(missing)).alias("touches_missing"))
+    return out.withColumn("touches_boundary", F.expr(" OR ".join(n for n, _ in sides)))
 
 
 def depth_selection_contacts(labels: DataFrame, index: DataFrame, depth_min: float, depth_max: float) -> DataFrame:

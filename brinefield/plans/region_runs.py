@@ -25,6 +25,10 @@ class Evolution:
 
 
 def label_regions(cells: DataFrame, index: DataFrame, rules: Sequence[dict], depth_min: float, depth_max: float) -> DataFrame:
+    """Labels of every rule: nested ones in one labelling, others side by side."""
+    order = rg.nested_order(rules)
+    if order is not None and len(order) > 1:
+        return rg.nested_regions(cells, index, order, depth_min, depth_max)
     return rg.connected_regions(rg.threshold_mask(cells, index, rules, depth_min, depth_max))
 
 

@@ -148,7 +148,7 @@ WITH ok AS (SELECT * FROM grid WHERE value IS NOT NULL), f AS (SELECT {K3}, labe
 SELECT {K3}, label, bool_or(shallow) AS shallow, bool_or(deep) AS deep, bool_or(south) AS south, bool_or(north) AS north, bool_or(west) AS west, bool_or(east) AS east,
   bool_or(miss) AS touches_missing, bool_or(shallow OR deep OR south OR north OR west OR east) AS touches_boundary FROM f GROUP BY ALL""", ("rb_labels",))
 def r6(i):
-    return rg.region_contacts(labels(i), i.cells, i.index)
+    return rg.region_contacts(labels(i), i.columns, i.index)
 
 
 @query("R7_depth_selection_contacts", f"SELECT {K3}, label, bool_or(iz = 1) AS touches_first, bool_or(iz = 5) AS touches_last FROM rb_labels GROUP BY ALL", ("rb_labels",))
