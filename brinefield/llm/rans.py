@@ -21,9 +21,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +36,17 @@ from brinefield.runtime import checkpoint_root, cut
 END = 1
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
+LANES = 2048
 EVERY = 64
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 CACHE = 500_000
 MAGIC = b"RNS1"
 ENDS = (b".", b",")
 LONGEST = 64
 BAR = "|"
 OPENED = b"<|"
+LATIN = "\u0180"
+_SPACED = bytes(0x20 if b in b"\t\n\r" else b for b in range(256))
 HEAD = struct.Struct("<4sIIII")
 
 
@@ -153,6 +158,13 @@ def same_lowered(raw: bytes) -> bool:
     return OPENED not in raw and (raw.isascii() or _composes.search(raw) is None)
 
 
+def byte_signs() -> list[str]:
+    """The printable sign that byte-level vocabularies write for each byte: itself where printable in Latin-1, else the next sign from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = count(0x100)
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 class WordTokens:
     """The tokenizers library behind a cache of words.
 
@@ -161,17 +173,20 @@ class WordTokens:
     looks for added tokens in the raw text, composes, and only then lowers case; words are
     lowered here only where that order cannot matter: no ``<|``, with which added tokens
     begin, and no capital in front of a sign that it could compose with. A point or comma after a letter or digit at a word's end is a slice of its own.
-    The cache has two generations of ``CACHE`` words: a word that is asked for again moves
-    to the younger one, and the older one goes when that is full.
+    A batch's distinct words are found first and looked up once each. The cache has two
+    generations of ``CACHE`` words: a word that is asked for again moves to the younger one,
+    and the older one goes when that is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.coded = [np.array([k], self.kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         (self.bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.signs = byte_signs()
 
     def _ask(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words that hold the bar go to the library one by one, the others in rows with bars between them."""
@@ -189,37 +204,70 @@ class WordTokens:
             new.update((words[i], raw[width * a:width * b]) for i, a, b in zip(row, [0, *(x + 1 for x in bars)], [*bars, ids.size]))
         return new
 
-    def _lookup(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the younger generation lacks; they enter it."""
-        found = {w: i for w in words if (i := self.old.get(w)) is not None}
-        found |= self._ask(list(words - found.keys()))
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {b"": b""}
-        self.young.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        return found
+    def _single(self, word: bytes) -> bytes | None:
+        """Ids of a word that is one slice and that normalisation leaves alone, from the library's merges; None for other words.
+
+        That is lower-case letters below ``LATIN`` in composed form.
+        """
+        if word.isalpha():
+            if word.islower():
+                return b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(word.decode())])
+            return None
+        text = word.decode()
+        if text.isalpha() and max(text) < LATIN and text == text.lower() and is_normalized("NFC", text):
+            return b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize("".join(map(self.signs.__getitem__, word)))])
+        return None
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words. What the younger generation lacks enters it."""
+        young, old = self.young, self.old
+        coded = list(map(young.get, words))
+        fresh: dict[bytes, bytes | None] = {}
+        later = []
+        lacking = [k for k, c in enumerate(coded) if c is None]
+        for k in lacking:
+            w = words[k]
+            if not w.islower() and same_lowered(w):
+                w = w.lower()
+            ended = w[-1:] in ENDS and w[-2:-1].isalnum()
+            stem = w[:-1] if ended else w
+            ids = young.get(stem)
+            if ids is None:
+                ids = fresh.get(stem)
+                if ids is None:
+                    ids = old.get(stem) or self._single(stem)
+                    fresh[stem] = ids
+            coded[k] = ids
+            if ended or ids is None:
+                later.append((k, stem, w[-1:] if ended else b""))
+        hard = {stem for stem, ids in fresh.items() if ids is None} | {e for e in ENDS if e not in young}
+        fresh |= self._ask(list(hard))
+        for k, stem, end in later:
+            known = fresh[stem] if coded[k] is None else coded[k]
+            coded[k] = known + (young.get(end) or fresh[end]) if end else known
+        if len(young) >= CACHE:
+            self.old, self.young = young, {b"": b""}
+        self.young.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST)
+        return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``kind``."""
-        words, stops = [], []
+        """Ids of each text as little-endian integers of ``kind``. Each distinct word is looked up once; whole arrays do the rest."""
+        raws = []
         for text in texts:
-            raw = text.encode().replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ")
-            if same_lowered(raw):
-                words += raw.lower().split(b" ")
-            else:
-                words += [w.lower() if same_lowered(w) else w for w in raw.split(b" ")]
-            stops.append(len(words))
-        coded = list(map(self.young.get, words))
-        gaps = [k for k, c in enumerate(coded) if c is None]
-        if gaps:
-            missing = {words[k] for k in gaps}
-            ended = {w for w in missing if w[-1:] in ENDS and w[-2:-1].isalnum()}
-            asked = {*(missing - ended), *(w[:-1] for w in ended), *ENDS}
-            known = {w: i for w in asked if (i := self.young.get(w)) is not None}
-            known |= self._lookup(asked - known.keys())
-            for k in gaps:
-                w = words[k]
-                coded[k] = known[w[:-1]] + known[w[-1:]] if w in ended else known[w]
-        return [b"".join(coded[a:b]) for a, b in zip([0, *stops], stops)]
+            raw = text.encode().translate(_SPACED)
+            raws.append(raw.lower() if same_lowered(raw) else raw)
+        lists = pc.split_pattern(pa.array(raws, pa.large_binary()), b" ")
+        words = lists.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        coded = self._words(words.dictionary.to_pylist())
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // width
+        begin = np.cumsum(sizes) - sizes
+        take = sizes[codes]
+        stops = np.concatenate([[0], np.cumsum(take)])
+        ids = np.frombuffer(b"".join(coded), self.kind)[np.repeat(begin[codes] - stops[:-1], take) + np.arange(stops[-1])].tobytes()
+        edges = (width * stops[lists.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def id_type(size: int) -> str:
@@ -231,7 +279,7 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def _texts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _texts(texts: list[str], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     begin, chars = 0, 0
     for end, text in enumerate(texts, 1):
         chars += len(text)
