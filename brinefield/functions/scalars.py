@@ -80,7 +80,3 @@ def within_one_ulp(a: Column, b: Column) -> Column:
 def guard_text(text: Column) -> Column:
     """Prefix text a spreadsheet would read as a formula, leading blanks ignored."""
     return F.when(text.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
-
-
-def sha256_hex(value: Column) -> Column:
-    return F.sha2(value, 256)

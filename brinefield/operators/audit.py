@@ -55,11 +55,69 @@ def inventory_budget(files: DataFrame, max_bytes: int, max_file: int, max_files:
                      ((F.sum("bytes") <= max_bytes) & (F.max("bytes") <= max_file) & (F.count("*") <= max_files)).alias("within_budget"))
 
 
+def tree_source():
+    """A Spark data source over a folder's files: ``path`` below the root, ``bytes`` and ``sha256``.
+
+    Partitions are runs of files of some 256 MB. A file streams through the hash a
+    megabyte at a time, so its size does not matter. (Built in a function, so that it
+    travels to the workers by value.)
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Files(InputPartition):
+        def __init__(self, paths):
+            self.paths = paths
+
+    class TreeReader(DataSourceReader):
+        def __init__(self, root):
+            self.root = root
+
+        def opened(self):
+            from pyarrow import fs
+            return fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
+
+        def partitions(self):
+            from pyarrow import fs
+            store, base = self.opened()
+            found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File)
+            runs, size = [[]], 0
+            for path, n in found:
+                if runs[-1] and size + n > 256 << 20:
+                    runs.append([])
+                    size = 0
+                runs[-1].append(path)
+                size += n
+            return [Files(run) for run in runs]
+
+        def read(self, partition):
+            import hashlib
+            store, base = self.opened()
+            for path in partition.paths:
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(path) as stream:
+                    while piece := stream.read(1 << 20):
+                        digest.update(piece)
+                        size += len(piece)
+                yield path[len(base.rstrip("/")) + 1:], size, digest.hexdigest()
+
+    class Tree(DataSource):
+        @classmethod
+        def name(cls):
+            return "file_tree"
+
+        def schema(self):
+            return "path string, bytes bigint, sha256 string"
+
+        def reader(self, schema):
+            return TreeReader(self.options["path"])
+
+    return Tree
+
+
 def read_tree(spark, root: str) -> DataFrame:
-    """Inventory of a folder; files hash in parallel, one row per file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    return inventory(files.withColumn("path", F.substring_index("path", base, -1)), "path", "content")
+    """Inventory of a folder, hidden files included; files of any size stream through the hash."""
+    spark.dataSource.register(tree_source())
+    return spark.read.format("file_tree").load(root)
 
 
 def audit_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinefield.runtime import cut
+from brinefield.runtime import cut, free
 
 
 def _large_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,7 +57,10 @@ def components(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b"
     state = cut(edges.select(*keys, F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
                 .filter(F.col("hi") != F.col("lo")).distinct())
     while _unsettled(state, keys):
-        state = cut(_small_star(cut(_large_star(state, keys)), keys))
+        large = cut(_large_star(state, keys))
+        free(state)
+        state = cut(_small_star(large, keys))
+        free(large)
     return state.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.operators.windows import split_row_number
-from brinefield.runtime import cut
+from brinefield.runtime import observed
 
 PROFILE = ["setting_id", "case_id", "profile_id"]
 
@@ -78,14 +78,27 @@ def sweep_difference(matches: DataFrame, reference: int) -> DataFrame:
 def rank_profiles(coverage: DataFrame, by: str = "time") -> DataFrame:
     """Profiles with accepted rows, closest first or by largest residual.
 
-    A case may hold a large share of all profiles, so ranks are cut along the
-    leading value (minutes of offset, or eighths of the residual). The per-profile
-    table is written first, since ranking reads it twice.
+    A case may hold a large share of all profiles, so ranks are counted over sampled
+    ranges of the order, wherever the offsets crowd.
     """
     orders = {"time": [F.col("min_abs_offset"), F.col("distance_min"), F.col("profile_id")],
               "residual": [F.col("max_abs_residual").desc(), F.col("profile_id")]}
-    chunks = {"time": F.floor(F.col("min_abs_offset") * 60), "residual": F.floor(F.col("max_abs_residual") * -8)}
-    return split_row_number(cut(coverage.filter(F.col("matched") > 0)), ["setting_id", "case_id"], orders[by], "rank", chunks[by])
+    return split_row_number(coverage.filter(F.col("matched") > 0), ["setting_id", "case_id"], orders[by], "rank")
+
+
+def accounted(matches: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """E15 as a gate: the match rows written once, the identities checked on them, and what was counted while writing.
+
+    Coverage and reason counts come from the written rows; their totals must be those that
+    the write itself observed, or the table is refused.
+    """
+    ok = F.col("accepted")
+    written, seen = observed(matches, rows=F.count("*"), accepted=F.count_if(ok), excluded=F.count_if(~ok))
+    coverage = profile_coverage(written)
+    told = coverage.agg(F.sum("total"), F.sum("matched"), F.sum("excluded")).first()
+    if tuple(v or 0 for v in told) != (seen["rows"], seen["accepted"], seen["excluded"]):
+        raise ValueError(f"coverage tells {tuple(told)} rows, accepted and excluded, but {seen} were written")
+    return written, accounting_check(written, coverage, exclusion_counts(written, "setting_id", "case_id")), seen
 
 
 def accounting_check(matches: DataFrame, coverage: DataFrame, reasons: DataFrame) -> DataFrame:

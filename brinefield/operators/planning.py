@@ -53,9 +53,9 @@ def seeded_key(seed: Column, ident: Column) -> Column:
 
 
 def seeded_order(candidates: DataFrame, seed: int) -> DataFrame:
-    """F8: place of every candidate in the seeded order; the first hex digits of the key cut the ranks into chunks."""
+    """F8: place of every candidate in the seeded order, counted over sampled ranges of the key."""
     keyed = candidates.withColumn("_key", seeded_key(F.lit(seed), F.col("flat")))
-    return split_row_number(keyed, ["case_id"], [F.col("_key"), F.col("flat")], "place", F.substring("_key", 1, 3)).drop("_key")
+    return split_row_number(keyed, ["case_id"], [F.col("_key"), F.col("flat")], "place").drop("_key")
 
 
 def _pool_constants(candidates: DataFrame) -> DataFrame:

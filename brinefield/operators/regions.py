@@ -16,6 +16,7 @@ from brinefield.functions.geo import haversine_km
 from brinefield.operators.axes import Axis, AxisText, axis_index, barrier, cell_volume, flat_index, grid_geometry
 from brinefield.operators.collocate import nearest_column
 from brinefield.operators.components import BLOCK, nested_components
+from brinefield.operators.windows import split_row_number
 from brinefield.runtime import cut
 from brinefield.sources.fields import column_packed
 
@@ -138,14 +139,16 @@ def region_stats(labels: DataFrame, index: DataFrame) -> DataFrame:
 def rank_regions(regions: DataFrame, order: str = "volume", limit: int | None = None) -> DataFrame:
     """Regions of each frame in order, the first ``limit`` where one is asked for, with the full count kept beside them.
 
-    The rank filter turns into a per-task group limit, so a frame with many
-    regions ships only its leaders.
+    With a limit the rank filter turns into a per-task group limit, so a frame with many
+    regions ships only its leaders. Without one the ranks are counted over sampled ranges.
     """
     lead = {"volume": [], "observations": [F.col("eligible_samples").desc()]}[order]
-    window = Window.partitionBy(*KEYS).orderBy(*lead, F.col("volume_km3").desc(), "label")
+    by = [*lead, F.col("volume_km3").desc(), F.col("label")]
     totals = regions.groupBy(*KEYS).agg(F.count("*").alias("total_regions"))
-    ranked = regions.withColumn("rank", F.row_number().over(window))
-    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).join(totals, KEYS)
+    if limit is None:
+        return split_row_number(regions, KEYS, by, "rank").join(totals, KEYS)
+    window = Window.partitionBy(*KEYS).orderBy(*by)
+    return regions.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit).join(totals, KEYS)
 
 
 def plan_footprint(labels: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ the table. Work spreads over locations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.functions.scalars import leap_day_index, within_one_ulp
-from brinefield.runtime import cut
+from brinefield.runtime import cut, observed
 
 POOL_DAYS = 5
 SMOOTH_DAYS = 15
@@ -21,13 +23,34 @@ MIN_RUN = 5
 MAX_GAP = 2
 
 
+def _union(sources: tuple[DataFrame, ...]) -> DataFrame:
+    ranked = [s.select("loc", "d", "v", "source", F.lit(k).alias("_p")) for k, s in enumerate(sources)]
+    return reduce(DataFrame.unionByName, ranked)
+
+
 def merge_sources(*sources: DataFrame) -> DataFrame:
     """Union of daily records; per day the first listed source wins, nothing is interpolated."""
-    ranked = [s.select("loc", "d", "v", "source", F.lit(k).alias("_p")) for k, s in enumerate(sources)]
-    union = ranked[0]
-    for other in ranked[1:]:
-        union = union.unionByName(other)
-    return union.groupBy("loc", "d").agg(F.min_by(F.struct("v", "source"), "_p").alias("_b")).select("loc", "d", "_b.v", "_b.source")
+    return _union(sources).groupBy("loc", "d").agg(F.min_by(F.struct("v", "source"), "_p").alias("_b")).select("loc", "d", "_b.v", "_b.source")
+
+
+def merge_checked(*sources: DataFrame, conflicts: str = "stop") -> tuple[DataFrame, DataFrame]:
+    """S17 with its gate: the merged days, and the records that differ from the winning one by more than a float32 step or in the hundredth.
+
+    One group-by finds winner and dissenters of a day and is written once; the number of
+    dissenters is observed on that write. ``stop`` refuses the merge if there is one,
+    ``quarantine`` leaves such days out of the merged series.
+    """
+    if conflicts not in ("stop", "quarantine"):
+        raise ValueError(f"unknown choice {conflicts}")
+    entry = F.struct(F.col("_p").alias("p"), "v", "source")
+    days = _union(sources).groupBy("loc", "d").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    days = days.select("loc", "d", F.col("_all")[0].alias("_won"), F.filter(F.slice("_all", 2, F.size("_all")), lambda e: ~within_one_ulp(F.col("_all")[0]["v"], e["v"])).alias("_against"))
+    written, seen = observed(days, conflicts=F.sum(F.size("_against")))
+    if conflicts == "stop" and seen["conflicts"]:
+        raise ValueError(f"{seen['conflicts']} records differ from the source that is listed before them")
+    merged = written.filter(F.size("_against") == 0).select("loc", "d", F.col("_won.v").alias("v"), F.col("_won.source").alias("source"))
+    against = written.select("loc", "d", F.col("_won.source").alias("first_source"), F.col("_won.v").alias("first_value"), F.explode("_against").alias("_e"))
+    return merged, against.select("loc", "d", "first_source", "first_value", F.col("_e.source").alias("second_source"), F.col("_e.v").alias("second_value"))
 
 
 def overlap_audit(a: DataFrame, b: DataFrame) -> DataFrame:

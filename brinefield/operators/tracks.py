@@ -11,25 +11,23 @@ from pyspark.sql import functions as F
 
 from brinefield.functions.geo import step_distance_km
 from brinefield.operators.axes import Axis, axis_index, frame_index
-from brinefield.operators.windows import split_lag, split_running_sum
+from brinefield.operators.windows import ranged, split_lag, split_running_sum
 
-CHUNK_SECONDS = 86400
-
-
-def chunk() -> Column:
-    return F.floor(F.col("elapsed_s") / CHUNK_SECONDS)
+ORDER = ["elapsed_s", "point_id"]
+PREVIOUS = {"prev_s": "elapsed_s", "prev_lon": "lon", "prev_lat": "lat"}
 
 
 def with_previous(tracks: DataFrame) -> DataFrame:
     """Add the previous point of the same particle."""
-    return split_lag(tracks, ["particle_id"], ["elapsed_s", "point_id"], {"prev_s": "elapsed_s", "prev_lon": "lon", "prev_lat": "lat"}, chunk())
+    return split_lag(tracks, ["particle_id"], ORDER, PREVIOUS)
 
 
 def path_length(tracks: DataFrame) -> DataFrame:
-    """Length of each step and of the path so far."""
-    steps = with_previous(tracks).withColumn("step_km", F.coalesce(
+    """Length of each step and of the path so far; the points are ranged and written once for both."""
+    rows = ranged(tracks, ["particle_id"], ORDER, "_range")
+    steps = split_lag(rows, ["particle_id"], ORDER, PREVIOUS, F.col("_range")).withColumn("step_km", F.coalesce(
         step_distance_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
-    return split_running_sum(steps, ["particle_id"], ["elapsed_s", "point_id"], "step_km", "path_km", chunk())
+    return split_running_sum(steps, ["particle_id"], ORDER, "step_km", "path_km", F.col("_range")).drop("_range")
 
 
 def resample_track(tracks: DataFrame, cadence_s: int) -> DataFrame:

@@ -8,6 +8,7 @@ from brinefield.operators import collocate as co
 from brinefield.operators import coverage as cov
 from brinefield.registry.core import query
 from brinefield.registry.projections import register_cte
+from brinefield.runtime import cut
 
 BASE = co.MatchSettings(it=3, time_window_hours=36, distance_km=15, max_vertical_gap_m=70)
 SWEEP = [BASE, co.MatchSettings(3, 72, 15, 500, False, 1), co.MatchSettings(3, 36, 10, 70, True, 2)]
@@ -309,6 +310,19 @@ def a2(i):
     return cov.exclusion_counts(matches(i), "case_id", "profile_id")
 
 
+@query("A2_exclusion_map", """SELECT case_id, profile_id, '{' || string_agg('"' || reason || '":' || CAST(n AS VARCHAR), ',' ORDER BY reason) || '}' AS exclusion_counts FROM (
+  SELECT case_id, profile_id, reason, count(*) AS n FROM match WHERE NOT accepted GROUP BY 1, 2, 3) q GROUP BY 1, 2""", ("match",))
+def a2b(i):
+    """The nested form, as the guarded table output writes it."""
+    from brinefield.sources.tables import guarded
+    return guarded(cov.exclusion_map(matches(i), "case_id", "profile_id"))
+
+
+@query("A3_eligible_depths", "SELECT setting_id, case_id, profile_id, sample_index, depth_m FROM match WHERE accepted", ("match",))
+def a3c(i):
+    return cov.eligible_depths(matches(i))
+
+
 COVER = f"""SELECT setting_id, case_id, profile_id, count(*) AS total, {METRICS}, count(*) FILTER (WHERE NOT accepted) AS excluded,
   round(coalesce(min(time_offset_hours) FILTER (WHERE accepted), min(time_offset_hours)), 6) AS offset_min,
   round(coalesce(max(time_offset_hours) FILTER (WHERE accepted), max(time_offset_hours)), 6) AS offset_max,
@@ -350,5 +364,21 @@ CHECKS = ("rows_consistent", "accepted_plus_excluded_is_total", "accepted_counts
 SELECT setting_id, case_id, c."check", true AS passed FROM (SELECT DISTINCT setting_id, case_id FROM match) m,
 (VALUES {', '.join(f"('{c}')" for c in CHECKS)}) c("check")""", ("match",))
 def e15(i):
-    m = matches(i)
-    return cov.accounting_check(m, cov.profile_coverage(m), cov.exclusion_counts(m, "setting_id", "case_id"))
+    return cov.accounted(matches(i))[1]
+
+
+@query("E15_accounting_broken", """
+WITH r AS (SELECT *, CASE WHEN sample_index % 7 = 0 THEN residual + 0.5 ELSE residual END AS told FROM match),
+ n AS (SELECT setting_id, case_id, count(*) AS n, count(*) FILTER (WHERE accepted) AS ok, count(*) FILTER (WHERE accepted AND sample_index % 7 = 0) AS off,
+   count(*) FILTER (WHERE NOT accepted AND reason <> 'time_window') AS r, avg(told) AS bias FROM r GROUP BY 1, 2),
+ c AS (SELECT setting_id, case_id, sum(total) AS t, sum(matched) AS m, sum(excluded) AS x, sum(bias * matched) / nullif(sum(matched), 0) AS b FROM cover
+   WHERE profile_id NOT LIKE '%7' GROUP BY 1, 2)
+SELECT setting_id, case_id, unnest(['rows_consistent', 'accepted_plus_excluded_is_total', 'accepted_counts_agree', 'reason_counts_add_up', 'bias_recomputes']) AS "check",
+  unnest([off = 0, m + x = t AND t = n, ok = m, r = x, coalesce(abs(bias - b) <= 1e-7 * greatest(1, abs(bias), abs(b)), bias IS NULL AND b IS NULL)]) AS passed FROM n JOIN c USING (setting_id, case_id)""",
+       ("match", "cover"))
+def e15b(i):
+    """Residuals that were changed, profiles and a reason that were left out: the checks that must fail do."""
+    m = cut(matches(i))
+    told = m.withColumn("residual", F.when(F.col("sample_index") % 7 == 0, F.col("residual") + 0.5).otherwise(F.col("residual")))
+    coverage = cov.profile_coverage(m).filter("profile_id NOT LIKE '%7'")
+    return cov.accounting_check(told, coverage, cov.exclusion_counts(m, "setting_id", "case_id").filter("reason != 'time_window'"))

@@ -149,6 +149,20 @@ def s17(i):
     return ts.merge_sources(*two(i)).select("loc", D(), "v", "source")
 
 
+@query("S17_merge_conflicts", f"""SELECT a.loc, CAST(a.d AS VARCHAR) AS d, 'first' AS first_source, a.v AS first_value, 'second' AS second_source, b.v AS second_value
+  FROM ({_TWO['a']}) a JOIN ({_TWO['b']}) b USING (loc, d) WHERE a.v IS DISTINCT FROM b.v""", ("daily",))
+def s17b(i):
+    return ts.merge_checked(*two(i), conflicts="quarantine")[1].withColumn("d", D())
+
+
+@query("S17_merge_quarantined", f"""WITH u AS (SELECT *, 0 AS p FROM ({_TWO['a']}) UNION ALL SELECT *, 1 FROM ({_TWO['b']})),
+ c AS (SELECT a.loc, a.d FROM ({_TWO['a']}) a JOIN ({_TWO['b']}) b USING (loc, d) WHERE a.v IS DISTINCT FROM b.v),
+ r AS (SELECT *, row_number() OVER (PARTITION BY loc, d ORDER BY p) AS k FROM u)
+SELECT loc, CAST(d AS VARCHAR) AS d, v, source FROM r WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.loc = r.loc AND c.d = r.d)""", ("daily",))
+def s17c(i):
+    return ts.merge_checked(*two(i), conflicts="quarantine")[0].select("loc", D(), "v", "source")
+
+
 _AUD = f"""SELECT loc, d, a.v AS a, b.v AS b, abs(a.v - b.v) AS difference, CASE WHEN a.v IS NULL OR b.v IS NULL THEN a.v IS NULL AND b.v IS NULL ELSE a.v = b.v END AS agrees
   FROM ({_TWO['a']}) a JOIN ({_TWO['b']}) b USING (loc, d)"""
 

@@ -25,6 +25,31 @@ def s1(i):
     return grids.explode_field(wire, "case_id", "it")
 
 
+BLOCK = 97
+
+
+def blocks(i):
+    """The lattice in blocks of 97 values. One block of frame 3 is absent, one of frame 5 comes twice, frame 6 has one too many."""
+    flat = (F.col("iz") * NY + F.col("iy")) * NX + F.col("ix")
+    entry = F.struct(flat.alias("k"), F.coalesce("value", F.lit(float("nan"))).alias("v"))
+    rows = i.dense.groupBy("case_id", "it", F.floor(flat / BLOCK).alias("_b")).agg(F.array_sort(F.collect_list(entry)).alias("_a"))
+    rows = rows.select("case_id", "it", F.lit(NZ).alias("nz"), F.lit(NY).alias("ny"), F.lit(NX).alias("nx"), (F.col("_b") * BLOCK).alias("offset"), F.transform("_a", lambda s: s["v"]).alias("values"))
+    twice = rows.filter(f"it = 5 AND offset = {2 * BLOCK}")
+    more = rows.filter("it = 6 AND offset = 0").withColumn("offset", F.lit(NZ * NY * NX))
+    return rows.filter(f"it != 3 OR offset != {BLOCK}").unionByName(twice).unionByName(more)
+
+
+@query("S1_field_blocks", f"SELECT {KEYS}, value FROM dense WHERE it NOT IN (3, 5, 6)", ("dense",))
+def s1b(i):
+    return grids.explode_blocks(blocks(i), "case_id", "it")
+
+
+@query("S1_block_problems", f"""SELECT case_id, it, o AS "offset", problem FROM (SELECT DISTINCT case_id FROM lattice) c,
+  (VALUES (3, {2 * BLOCK}, 'missing_before'), (5, {2 * BLOCK}, 'overlapping'), (6, {NZ * NY * NX}, 'beyond_frame')) p(it, o, problem)""", ("lattice",))
+def s1c(i):
+    return grids.block_problems(blocks(i), "case_id", "it")
+
+
 PACKED = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'temperature' WHEN 1 THEN 'salinity' ELSE 'broken' END AS variable,
   CASE WHEN l_partkey % 19 = 0 THEN -32767 ELSE CAST(l_quantity AS INT) * 100 - 1000 END AS packed FROM {lineitem}"""
 
@@ -104,7 +129,7 @@ SELECT concat('p', CAST(user_id AS VARCHAR(20))) AS profile_id, CASE WHEN user_i
   concat('pf', CAST(user_id % 20 AS VARCHAR(20))) AS platform, CASE WHEN event_id % 13 = 0 THEN '2024-01-05T10:00:00' ELSE '2024-01-05T10:00:00+02:00' END AS time,
   CAST(CASE WHEN event_id % 23 = 0 THEN 95 ELSE user_id % 60 END AS VARCHAR(20)) AS latitude, CAST(user_id % 170 AS VARCHAR(20)) AS longitude,
   CASE WHEN event_id % 7 > 0 THEN CAST(event_id % 2000 AS VARCHAR(20)) ELSE '' END AS pressure_dbar, '1' AS pressure_qc, CAST(event_id % 3 AS VARCHAR(20)) AS position_qc, '1' AS time_qc,
-  CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 30 AS VARCHAR(20)) ELSE '' END AS temperature_c, CAST(event_id % 4 AS VARCHAR(20)) AS temperature_qc,
+  CASE WHEN event_id % 31 = 4 THEN 'warm' WHEN event_id % 5 > 0 THEN CAST(event_id % 30 AS VARCHAR(20)) ELSE '' END AS temperature_c, CAST(event_id % 4 AS VARCHAR(20)) AS temperature_qc,
   CAST(event_id % 40 AS VARCHAR(20)) AS salinity_psu, '1' AS salinity_qc FROM {events}"""
 MEASURED = ("temperature_c", "salinity_psu")
 
@@ -133,7 +158,7 @@ def s6(i):
 
 @query("S6_csv_problems", """
 WITH b AS (SELECT profile_id, CASE WHEN instrument NOT IN ('argo', 'bgc', 'glider', 'ctd') THEN 'unsupported_instrument' WHEN latitude = '95' THEN 'invalid_position'
-  WHEN time NOT LIKE '%+02:00' THEN 'invalid_time' END AS problem FROM csv_rows)
+  WHEN time NOT LIKE '%+02:00' THEN 'invalid_time' WHEN temperature_c = 'warm' THEN 'invalid_number' END AS problem FROM csv_rows)
 SELECT profile_id, problem, count(*) AS n FROM b WHERE problem IS NOT NULL GROUP BY 1, 2
 UNION ALL SELECT profile_id, 'inconsistent_metadata', 1 FROM csv_rows GROUP BY 1 HAVING count(DISTINCT instrument) > 1 OR count(DISTINCT platform) > 1""", ("csv_rows",))
 def s6b(i):
@@ -153,7 +178,7 @@ def s7(i):
     row = F.concat_ws(",", "p", F.lit("2"), "t", "f", "s", "f")
     files = i.sql(CTD_LINES, "events").groupBy("user_id", "station").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_rows"))
     head = F.concat(F.lit("CTD,20240101\n# comment\nEXPOCODE = X\nSTNNBR = "), F.col("station").cast("string"),
-                    F.lit("\nCASTNO = 1\nDATE = 20240105\nTIME = 930\nLATITUDE = 10.5\nLONGITUDE = 86\nCTDPRS,CTDPRS_FLAG_W,CTDTMP,CTDTMP_FLAG_W,CTDSAL,CTDSAL_FLAG_W\nDBAR,,ITS-90,,PSS-78,\n"))
+                    F.lit("\nCASTNO = 1\nDATE = 20240105\nTIME = 930\nLATITUDE = 10.5\nLONGITUDE = 86\nCTDPRS,CTDPRS_FLAG_W,CTDTMP,CTDTMP_FLAG_W,CTDSAL,CTDSAL_FLAG_W\nDBAR,,DEG_C,,PSS-78,\n"))
     end = F.when(F.col("user_id") % 11 > 0, F.lit("\nEND_DATA\n")).otherwise(F.lit("\n"))
     texts = files.select(F.concat(F.lit("station-"), F.col("station").cast("string")).alias("path"), F.concat(head, F.col("_rows"), end).alias("value"))
     rows = ob.parse_ctd(texts)
@@ -183,6 +208,39 @@ def s8b(i):
     return ob.select_by_mode(ob.with_parameter_modes(rows, modes)).select("event_id", F.round("value", 6).alias("value"))
 
 
+CTD_FAULTS = """SELECT user_id * 1000000 + CAST(floor(event_id / 500e0) AS BIGINT) AS station, CASE user_id % 7 WHEN 0 THEN 'missing_metadata' WHEN 1 THEN 'incompatible_units' WHEN 2 THEN 'missing_variable'
+  WHEN 3 THEN 'invalid_position' WHEN 4 THEN 'invalid_time' WHEN 5 THEN 'incomplete_file' END AS fault, count(*) AS n FROM {events} GROUP BY 1, 2"""
+
+
+@query("S7_refused_files", f"SELECT station, coalesce(fault, 'salinity') AS said, CASE WHEN fault IS NULL THEN n ELSE 1 END AS n FROM ({CTD_FAULTS.format(events='events')}) f", ())
+def s7b(i):
+    """Every kind of faulty file, one for each station, and whole files of pressure and salinity."""
+    fault = F.col("fault")
+    when = lambda name, bad, good: F.when(fault.eqNullSafe(name), bad).otherwise(good)
+    head = F.concat(F.lit("CTD,20240101\nEXPOCODE = X\nSTNNBR = 1\n"), when("missing_metadata", "", "CASTNO = 1\n"), F.lit("DATE = 20240105\nTIME = "), when("invalid_time", "9x", "930"),
+                    F.lit("\nLATITUDE = "), when("invalid_position", "95", "10.5"), F.lit("\nLONGITUDE = 86\nCTDPRS,CTDPRS_FLAG_W"), when("missing_variable", "", ",CTDSAL,CTDSAL_FLAG_W"),
+                    F.lit("\nDBAR,"), when("missing_variable", "", when("incompatible_units", ",g/kg,", ",PSS-78,")), F.lit("\n"))
+    body = F.repeat(F.lit("5,2,34.5,2\n"), F.col("n").cast("int"))
+    files = i.sql(CTD_FAULTS, "events").select(F.concat(F.lit("s-"), F.col("station").cast("string")).alias("path"), F.concat(head, body, when("incomplete_file", "", "END_DATA\n")).alias("value"))
+    rows = ob.parse_ctd(files).withColumn("said", F.coalesce("problem", "variable"))
+    return rows.groupBy(F.substring_index("path", "-", -1).cast("bigint").alias("station"), "said").agg(F.count("*").alias("n"))
+
+
+GLIDER_ROWS = """SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'NaN' WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 'x' ELSE concat(CAST(user_id AS VARCHAR(20)), '.0') END AS profile_id FROM {events}"""
+_GLIDER = f"WITH g AS (SELECT event_id, CASE WHEN profile_id <> 'NaN' THEN CAST(TRY_CAST(profile_id AS DOUBLE) AS BIGINT) END AS p FROM ({GLIDER_ROWS.format(events='events')}) t)"
+
+
+@query("S9_number_profiles", f"""{_GLIDER}, h AS (SELECT p, row_number() OVER (ORDER BY min(event_id)) - 1 AS profile_no FROM g WHERE p IS NOT NULL GROUP BY p)
+SELECT event_id, g.p AS profile_id, row_number() OVER (PARTITION BY g.p ORDER BY event_id) - 1 AS place, profile_no FROM g JOIN h ON h.p = g.p""")
+def s9b(i):
+    return ob.number_profiles(i.sql(GLIDER_ROWS, "events"), "event_id")[0].select("event_id", "profile_id", "place", "profile_no")
+
+
+@query("S9_refused_rows", f"{_GLIDER} SELECT event_id, 'missing_profile_id' AS problem FROM g WHERE p IS NULL")
+def s9c(i):
+    return ob.number_profiles(i.sql(GLIDER_ROWS, "events"), "event_id")[1].select("event_id", "problem")
+
+
 @query("S9_group_rows_to_profiles", f"SELECT event_id, variable, variable = 'oxygen' AS inspect_only FROM ({MODES.format(events='events')}) t")
 def s9(i):
     ranges = {"temperature": (-3.0, 45.0), "oxygen": (500.0, 0.0), "pressure": (0.0, 12000.0)}
@@ -216,7 +274,7 @@ WITH m AS (SELECT case_id, profile_id, sample_index, lon, CASE WHEN sample_index
 SELECT case_id, profile_id, sample_index, lon, lat FROM l WHERE pl IS NULL OR pl <> lon OR pa <> lat""", ("obs",))
 def s11b(i):
     moving = i.obs.withColumn("lat", F.when(F.col("sample_index") % 7 < 3, F.col("lat") + 1).otherwise(F.col("lat")))
-    return ob.profile_track(moving, F.floor(F.col("sample_index") / 500))
+    return ob.profile_track(moving)
 
 
 CORE = """SELECT CAST(floor(event_id / 3334e0) AS BIGINT) AS case_id, concat('p', CAST(user_id AS VARCHAR(20))) AS profile_id, event_id, CAST(event_id % 3000 AS DOUBLE) / 2 - 20 AS pressure,
@@ -294,6 +352,19 @@ def s21c(i):
     return au.read_tree(i.spark, i.dir)
 
 
+@query("S21_read_tree_known", """
+WITH f AS (SELECT coalesce(source, '-') AS s, doc_id // 100 AS b, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1, 2)
+SELECT 's=' || s || '/b=' || CAST(b AS VARCHAR) AS folder, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS sha256 FROM f""")
+def s21d(i):
+    """The documents as text files, a hundred ids a file, written in order and then read as a tree."""
+    import uuid
+    root = f"{checkpoint_root(i.spark)}/tree-{uuid.uuid4().hex}"
+    rows = i.table("documents").select(F.coalesce("source", F.lit("-")).alias("s"), F.floor(F.col("doc_id") / 100).alias("b"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("s", "b").sortWithinPartitions("s", "b", "doc_id").drop("doc_id").write.partitionBy("s", "b").text(root)
+    files = au.read_tree(i.spark, root).filter("path LIKE '%/part-%'")
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "bytes", "sha256")
+
+
 @query("S22_audit_manifest", """
 WITH m AS (SELECT path, CASE WHEN bytes % 10 = 3 THEN bytes + 1 ELSE bytes END AS bytes, CASE WHEN bytes % 10 = 4 THEN 'x' ELSE sha256 END AS sha256 FROM docfiles WHERE bytes % 10 <> 5),
  f AS (SELECT * FROM docfiles WHERE bytes % 10 <> 6)
@@ -305,6 +376,31 @@ def s22(i):
     return au.audit_manifest(f.filter(r != 6), manifest)
 
 
+SEAM = """SELECT DISTINCT case_id, CAST((343 + 7 * case_id) % 360 AS DOUBLE) AS west, CAST((358 + 7 * case_id) % 360 AS DOUBLE) AS east, 10.25e0 AS south, 12.5e0 AS north,
+  CAST(CASE WHEN case_id % 2 = 0 THEN '2024-01-01' ELSE '2023-12-01' END AS DATE) AS {q}start{q}, CAST(CASE WHEN case_id % 2 = 0 THEN '2024-02-01' ELSE '2024-01-01' END AS DATE) AS {q}end{q},
+  5e0 AS depth_min, 120e0 AS depth_max FROM {cases}"""
+_SEAM = f"""WITH c AS ({SEAM.format(q='"', cases='cases')}), p AS (SELECT case_id, profile_id, min(ts) AS t, arg_min(lat, sample_index) AS lat, round((arg_min(lon, sample_index) - 85) * 10 - 17, 3) AS lon,
+  min(depth_m) AS d0, max(depth_m) AS d1 FROM obs GROUP BY 1, 2), f AS (SELECT p.profile_id, p.case_id AS own, c.case_id, d0, d1, lat BETWEEN south AND north
+  AND CASE WHEN west <= east THEN (lon + 360) % 360 BETWEEN west AND east ELSE (lon + 360) % 360 >= west OR (lon + 360) % 360 <= east END AS spatial,
+  t >= "start" AND t < "end" AS temporal, greatest(d0, depth_min) <= least(d1, depth_max) AS vertical FROM p, c)"""
+
+
+def seam(i):
+    """Cases around the seam, a month each, and the profiles with their longitudes spread over it."""
+    p = ob.profile_summary(qco.readings(i)).withColumn("lon", F.round((F.col("lon") - 85) * 10 - 17, 3))
+    return p, i.spark.sql(SEAM.format(q="`", cases="{cases}"), cases=i.cases)
+
+
+@query("S13_monthly_overlap", f"{_SEAM} SELECT case_id, profile_id, spatial, temporal, vertical, false AS eligible FROM f WHERE own = case_id", ("cases", "obs"))
+def s13b(i):
+    return tables.cyclic_overlap(*seam(i))
+
+
+@query("S13_cases_met", f"{_SEAM} SELECT profile_id, case_id FROM f WHERE spatial AND temporal", ("cases", "obs"))
+def s13c(i):
+    return tables.cases_met(*seam(i))
+
+
 @query("S23_catalog", """
 SELECT f.case_id, f.frames, epoch_us(time_start) AS t0, epoch_us(time_end) AS t1, profiles, platforms, instruments, collections
 FROM (SELECT case_id, count(*) AS frames, min(ts) AS time_start, max(ts) AS time_end FROM frames GROUP BY 1) f

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,4 +58,21 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut`` with aggregates of the same rows, counted by the write itself instead of a pass of their own."""
+    watch = Observation()
+    return cut(df.observe(watch, *[value.alias(name) for name, value in metrics.items()])), watch.get
+
+
+def free(df: DataFrame) -> None:
+    """Delete the files behind a ``cut`` that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path is not None:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

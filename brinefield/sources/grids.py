@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.functions.scalars import finite
@@ -28,6 +28,31 @@ def field_shape_check(arrays: DataFrame, *keys: str) -> DataFrame:
                                                                                              (F.col("nz") * F.col("ny") * F.col("nx")).alias("expected"))
 
 
+def block_problems(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Where the blocks of a frame do not follow one another from 0 to its end: ``(keys, offset, problem)``.
+
+    ``blocks(keys, nz, ny, nx, offset, values)`` hold a frame in pieces of any size. The
+    window runs over a frame's block bounds, not its values.
+    """
+    along = Window.partitionBy(*keys).orderBy("offset", "_stop")
+    bounds = blocks.select(*keys, (F.col("nz").cast("bigint") * F.col("ny") * F.col("nx")).alias("_all"), F.col("offset").cast("bigint").alias("offset"), (F.col("offset") + F.size("values")).alias("_stop"))
+    before = F.coalesce(F.max("_stop").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.lead("offset").over(along).isNull()
+    seen = bounds.select(*keys, "offset", F.array_compact(F.array(
+        F.when(F.col("offset") > before, "missing_before"), F.when(F.col("offset") < before, "overlapping"), F.when(F.col("_stop") > F.col("_all"), "beyond_frame"),
+        F.when(last & (F.greatest(F.col("_stop"), before) < F.col("_all")), "missing_after"))).alias("_p"))
+    return seen.select(*keys, "offset", F.explode("_p").alias("problem"))
+
+
+def explode_blocks(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Cells of the frames whose blocks are complete; no row ever holds a frame. Frames with a problem yield no cells."""
+    ny, nx = F.col("ny"), F.col("nx")
+    refused = block_problems(blocks, *keys).select(*keys).distinct()
+    rows = blocks.join(refused, list(keys), "left_anti").select(*keys, "ny", "nx", "offset", F.posexplode("values").alias("_k", "raw")).withColumn("pos", F.col("offset") + F.col("_k"))
+    return rows.select(*keys, F.floor(F.col("pos") / (ny * nx)).cast("int").alias("iz"), (F.floor(F.col("pos") / nx) % ny).cast("int").alias("iy"),
+                       (F.col("pos") % nx).cast("int").alias("ix"), finite(F.col("raw")).alias("value"))
+
+
 def cf_decode(packed: DataFrame, attrs: DataFrame) -> DataFrame:
     """Mask in packed space, then scale and offset once in float64.
 
@@ -45,10 +70,6 @@ def cf_decode(packed: DataFrame, attrs: DataFrame) -> DataFrame:
                        F.when(~usable, "invalid_packing").when(masked, "masked").otherwise("ok").alias("status"))
 
 
-def kelvin_to_celsius(value):
-    return value - 273.15
-
-
 def check_grid(axes: DataFrame, variables: DataFrame, allowed: DataFrame) -> DataFrame:
     """One row per case and named check on its axes and variables.
 

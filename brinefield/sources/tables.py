@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,50 @@ def profile_model_overlap(profiles: DataFrame, cases: DataFrame, frames: DataFra
                     (F.col("_sec") - time.at(near)).cast("bigint").alias("offset_seconds"))
 
 
+def _on_circle(lon: Column) -> Column:
+    return F.pmod(lon, F.lit(360.0))
+
+
+def cyclic_overlap(profiles: DataFrame, cases: DataFrame) -> DataFrame:
+    """S13, monthly form: overlap flags of each profile with its case, longitudes modulo 360 and calendar months half open.
+
+    ``cases(case_id, west, east, south, north, start, end, depth_min, depth_max)``; a case whose
+    east lies west of its west crosses the seam; ``end`` is the first day after it. A month's
+    mean is no match for a moment, so no profile is eligible for a residual.
+    """
+    p = profiles.join(cases.withColumnsRenamed({"depth_min": "_zmin", "depth_max": "_zmax"}), "case_id")
+    deep = F.coalesce(F.greatest("depth_min", "_zmin") <= F.least("depth_max", "_zmax"), F.lit(False)) & F.col("depth_min").isNotNull()
+    return p.select("case_id", "profile_id", _inside().alias("spatial"), _during().alias("temporal"), deep.alias("vertical"), F.lit(False).alias("eligible"))
+
+
+def _inside() -> Column:
+    lon, west, east = (_on_circle(F.col(c)) for c in ("lon", "west", "east"))
+    across = F.when(west <= east, lon.between(west, east)).otherwise((lon >= west) | (lon <= east))
+    return F.coalesce(F.col("lat").between(F.col("south"), F.col("north")) & across, F.lit(False))
+
+
+def _during() -> Column:
+    return F.coalesce((F.col("time") >= F.col("start")) & (F.col("time") < F.col("end")), F.lit(False))
+
+
+def cases_met(profiles: DataFrame, cases: DataFrame, tile: float = 10.0) -> DataFrame:
+    """Every (profile, case) pair that meets in space and month, over all cases.
+
+    A cyclic interval index: a case that crosses the seam is two pieces, and a piece is
+    listed under the tiles and months that it touches (as many as its extent has), so the
+    search is an equi-join of the profile's own tile and month.
+    """
+    west, east = _on_circle(F.col("west")), _on_circle(F.col("east"))
+    pieces = F.when(west <= east, F.array(F.struct(west.alias("a"), east.alias("b")))).otherwise(
+        F.array(F.struct(west.alias("a"), F.lit(360.0).alias("b")), F.struct(F.lit(0.0).alias("a"), east.alias("b"))))
+    months = F.sequence(F.trunc("start", "MM"), F.trunc(F.date_sub(F.to_date("end"), 1), "MM"), F.expr("INTERVAL 1 MONTH"))
+    span = lambda a, b: F.sequence(F.floor(a / tile), F.floor(b / tile))
+    listed = (cases.filter("start < end").withColumn("_p", F.explode(pieces)).withColumn("_x", F.explode(span(F.col("_p.a"), F.col("_p.b"))))
+              .withColumn("_y", F.explode(span(F.col("south"), F.col("north")))).withColumn("_m", F.explode(months)).drop("_p").dropDuplicates(["case_id", "_x", "_y", "_m"]))
+    p = profiles.drop("case_id").withColumns({"_x": F.floor(_on_circle(F.col("lon")) / tile), "_y": F.floor(F.col("lat") / tile), "_m": F.trunc("time", "MM")})
+    return p.join(listed, ["_x", "_y", "_m"]).filter(_inside() & _during()).select("profile_id", "case_id")
+
+
 def catalog(profiles: DataFrame, frames: DataFrame) -> DataFrame:
     """Per case, profile and frame counts and the time covered."""
     f = frames.groupBy("case_id").agg(F.count("*").alias("frames"), F.min("ts").alias("time_start"), F.max("ts").alias("time_end"))

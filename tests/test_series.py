@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brinefield.operators import seasons as se
 from brinefield.operators import series as ts
 from brinefield.operators import tracks as tk
-from brinefield.operators.windows import split_lag, split_running_sum
+from brinefield.operators.windows import ranged, split_lag, split_row_number, split_running_sum
 
 D0 = date(2023, 3, 1)
 
@@ -90,6 +90,36 @@ def test_split_windows_equal_plain_windows(spark):
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, split.select(*plain.columns).collect()), key=repr)
 
 
+def test_sampled_ranges_split_a_crowded_group(spark):
+    """All rows of one group lie inside one minute; its ranges are many and its windows right."""
+    rng = random.Random(6)
+    rows = [("hot", k, k % 50, float(rng.randrange(8))) for k in range(3000)] + [("cold", k, k, 1.0) for k in range(20)]
+    df = spark.createDataFrame(rows, "g string, id long, t long, x double")
+    cut_up = ranged(df, ["g"], ["t", "id"])
+    assert cut_up.filter("g = 'hot'").select("_chunk").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = Window.partitionBy("g").orderBy("t", "id")
+    plain = df.select("*", F.lag("x").over(w).alias("p"), F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.row_number().over(w).alias("k"))
+    split = split_running_sum(split_lag(df, ["g"], ["t", "id"], {"p": "x"}), ["g"], ["t", "id"], "x", "s")
+    split = split_row_number(split, ["g"], [F.col("t"), F.col("id")], "k")
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, split.select(*plain.columns).collect()), key=repr)
+    down = split_row_number(df, ["g"], [F.col("x").desc(), F.col("id")], "k").filter("g = 'hot'").orderBy("k").collect()
+    assert [(r["x"], r["id"]) for r in down] == sorted([(x, k) for g, k, _, x in rows if g == "hot"], key=lambda r: (-r[0], r[1]))
+
+
+def test_merge_stops_or_leaves_conflicts_out(spark):
+    schema = "loc string, d date, v double, source string"
+    day = lambda k: date(2024, 1, k)
+    a = spark.createDataFrame([("x", day(1), 1.0, "a"), ("x", day(2), 2.0, "a"), ("x", day(3), None, "a"), ("x", day(4), 1.0, "a")], schema)
+    b = spark.createDataFrame([("x", day(1), 1.0, "b"), ("x", day(2), 2.5, "b"), ("x", day(3), 3.0, "b"), ("x", day(5), 7.0, "b")], schema)
+    merged, against = ts.merge_checked(a, b, conflicts="quarantine")
+    assert sorted((r.d.day, r.v, r.source) for r in merged.collect()) == [(1, 1.0, "a"), (4, 1.0, "a"), (5, 7.0, "b")]
+    assert sorted((r.d.day, r.first_value, r.second_value) for r in against.collect() if r.first_source == "a") == [(2, 2.0, 2.5), (3, None, 3.0)]
+    with pytest.raises(ValueError, match="2 records differ"):
+        ts.merge_checked(a, b)
+    merged, against = ts.merge_checked(a, a.withColumn("source", F.lit("again")))
+    assert merged.count() == 4 and against.count() == 0
+
+
 def test_target_entry_cases(spark):
     rows = [(1, 0, 0, 0.0, 0.0), (1, 1, 100, 4.0, 0.0), (2, 0, 0, 2.5, 0.0), (2, 1, 100, 9.0, 9.0), (3, 0, 0, 0.0, 5.0), (3, 1, 100, 4.0, 5.0), (4, 0, 0, 2.5, -2.0), (4, 1, 100, 2.5, 2.0)]
     tracks = spark.createDataFrame(rows, "particle_id int, point_id int, elapsed_s long, lon double, lat double")

@@ -1,5 +1,7 @@
 """File inputs, mappings, guards, digests and audits."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from brinefield.functions.scalars import guard_text
 from brinefield.operators import audit as au
 from brinefield.sources import observations as ob
 from brinefield.sources import tables
-from brinefield.sources.grids import explode_field, field_shape_check
+from brinefield.sources.grids import block_problems, explode_blocks, explode_field, field_shape_check
 
 HEAD = "profile_id,instrument,platform,time,latitude,longitude,pressure_dbar,pressure_qc,position_qc,time_qc,temperature_c,temperature_qc"
 
@@ -15,26 +17,34 @@ HEAD = "profile_id,instrument,platform,time,latitude,longitude,pressure_dbar,pre
 def test_csv_width_time_and_missing(spark, tmp_path):
     good = "p1,argo,pf,2024-01-05T10:00:00Z,10,80,5,1,1,1,25.5,1"
     lines = [HEAD, good, "p1,argo,pf,2024-01-05T10:00:00,10,80,,1,1,1,,1", "p2,argo,pf,2024-01-05T10:00:00Z,10,80,5,1,1,1,25.5", "p3,boat,pf,2024-01-05T10:00:00Z,10,80,5,1,1,1,25.5,1",
-             "p4,argo,a,2024-01-05T10:00:00Z,10,80,5,1,1,1,25.5,1", "p4,argo,b,2024-01-05T10:00:00Z,99,80,5,1,1,1,25.5,1"]
+             "p4,argo,a,2024-01-05T10:00:00Z,10,80,5,1,1,1,25.5,1", "p4,argo,b,2024-01-05T10:00:00Z,99,80,5,1,1,1,25.5,1",
+             "p5,argo,pf,2024-01-05T10:00:00Z,10,80,deep,1,1,1,25.5,1", "p5,argo,pf,2024-01-05T10:00:00Z,10,80, ,1,1,1,warm,1", "p6,argo,pf,2024-01-05T10:00:00Z,10,80,5,1,1,1,NaN,1"]
     path = tmp_path / "obs.csv"
     path.write_text("\n".join(lines) + "\n")
     rows = ob.read_observation_csv(spark, str(path), ["temperature_c"])
     assert {(r["profile_id"], r["problem"]) for r in ob.csv_problems(rows).collect()} == {
-        ("p1", "invalid_time"), ("p2", "invalid_csv"), ("p3", "unsupported_instrument"), ("p4", "inconsistent_metadata"), ("p4", "invalid_position")}
+        ("p1", "invalid_time"), ("p2", "invalid_csv"), ("p3", "unsupported_instrument"), ("p4", "inconsistent_metadata"), ("p4", "invalid_position"), ("p5", "invalid_number")}
     got = ob.csv_readings(rows, ["temperature_c"]).filter("profile_id = 'p1'").orderBy("pressure_dbar").collect()
     assert [(r["value"], r["pressure_dbar"], r["depth_m"] is None, r["ts"] is None) for r in got] == [(None, None, True, True), (25.5, 5.0, False, False)]
 
 
 def test_ctd_exchange_files(spark, tmp_path):
     head = "CTD,20240101\n#note = skip\nEXPOCODE = X1\nSTNNBR = 7\nCASTNO = 2\nDATE = 20240105\nTIME = 930\nLATITUDE = 10.5\nLONGITUDE = 86\n"
-    table = "CTDPRS,CTDPRS_FLAG_W,CTDTMP,CTDTMP_FLAG_W\nDBAR,,ITS-90,\n1,2,28.5,2\n2,3,-999,9\n"
+    table = "CTDPRS,CTDPRS_FLAG_W,CTDTMP,CTDTMP_FLAG_W\nDBAR,,DEG_C,\n1,2,28.5,2\n2,3,-999,9\n"
     (tmp_path / "a.csv").write_text(head + table + "END_DATA\n")
     (tmp_path / "b.csv").write_text(head + table)
     (tmp_path / "c.csv").write_text("CTD,1\nEXPOCODE = X1\n")
+    end = table + "END_DATA\n"
+    (tmp_path / "d.csv").write_text(head + end.replace("DEG_C", "K"))
+    (tmp_path / "e.csv").write_text(head + end.replace(",CTDTMP_FLAG_W", ""))
+    (tmp_path / "f.csv").write_text(head + end.replace("CTDPRS,CTDPRS_FLAG_W,CTDTMP,CTDTMP_FLAG_W\nDBAR,,DEG_C,", "CTDPRS,CTDPRS_FLAG_W\nDBAR,"))
+    (tmp_path / "g.csv").write_text(head.replace("10.5", "95") + end)
+    (tmp_path / "h.csv").write_text(head.replace("= 930", "= 2460") + end)
     rows = ob.parse_ctd(ob.read_ctd_exchange(spark, str(tmp_path))).collect()
     good = sorted((r["sample_index"], r["value"], r["qc"], r["pressure_qc"], str(r["ts"])) for r in rows if r["problem"] is None)
     assert good == [(0, 28.5, "2", "2", "2024-01-05 09:30:00"), (1, None, "9", "3", "2024-01-05 09:30:00")]
-    assert sorted(r["problem"] for r in rows if r["problem"]) == ["incomplete_file", "missing_metadata"]
+    assert sorted(r["problem"] for r in rows if r["problem"]) == [
+        "incompatible_units", "incompatible_units", "incomplete_file", "invalid_position", "invalid_time", "missing_metadata", "missing_variable"]
 
 
 def test_mapping_rules(spark):
@@ -69,6 +79,36 @@ def test_field_arrays(spark):
     assert [(r["it"], r["found"], r["expected"]) for r in field_shape_check(rows, "it").collect()] == [(1, 1, 4)]
 
 
+def test_blocks_of_a_frame(spark):
+    def frame(it, *blocks):
+        return [(it, 1, 2, 3, offset, [float(offset + k) for k in range(n)]) for offset, n in blocks]
+    rows = [*frame(0, (0, 4), (4, 2)), *frame(1, (0, 4)), *frame(2, (0, 4), (3, 3)), *frame(3, (1, 5)), *frame(4, (0, 6), (6, 1)), *frame(5, (0, 6), (0, 6)), *frame(6, (0, 0), (0, 6))]
+    blocks = spark.createDataFrame(rows, "it int, nz int, ny int, nx int, offset long, values array<double>").repartition(3)
+    assert sorted((r["it"], r["offset"], r["problem"]) for r in block_problems(blocks, "it").collect()) == [
+        (1, 0, "missing_after"), (2, 3, "overlapping"), (3, 1, "missing_before"), (4, 6, "beyond_frame"), (5, 0, "overlapping")]
+    cells = {(r["it"], r["iy"], r["ix"]): r["value"] for r in explode_blocks(blocks, "it").collect()}
+    assert cells == {(it, y, x): float(y * 3 + x) for it in (0, 6) for y in range(2) for x in range(3)}
+
+
+def test_profiles_are_numbered_in_source_order(spark):
+    rows = [(0, "7.0"), (1, "3"), (2, "7"), (3, "NaN"), (4, None), (5, "x"), (6, "3.0"), (7, "-2.9"), (8, "7")]
+    numbered, refused = ob.number_profiles(spark.createDataFrame(rows, "k int, profile_id string").repartition(3), "k")
+    assert sorted((r.k, r.profile_id, r.place, r.profile_no) for r in numbered.collect()) == [(0, 7, 0, 0), (1, 3, 0, 1), (2, 7, 1, 0), (6, 3, 1, 1), (7, -2, 0, 2), (8, 7, 2, 0)]
+    assert sorted((r.k, r.problem) for r in refused.collect()) == [(k, "missing_profile_id") for k in (3, 4, 5)]
+
+
+def test_cases_over_the_seam_and_half_open_months(spark):
+    d = datetime.date
+    cases = spark.createDataFrame([(0, 350.0, 5.0, -10.0, 10.0, d(2024, 1, 1), d(2024, 3, 1), 5.0, 100.0), (1, -20.0, -15.0, 0.0, 5.0, d(2024, 2, 1), d(2024, 3, 1), 5.0, 100.0)],
+                                  "case_id long, west double, east double, south double, north double, start date, end date, depth_min double, depth_max double")
+    t = lambda m, day, h=0: datetime.datetime(2024, m, day, h)
+    rows = [("a", 0, -10.0, 10.0, t(1, 1)), ("b", 0, 365.0, 0.0, t(2, 29, 23)), ("c", 0, 5.5, 0.0, t(2, 1)), ("d", 0, 0.0, 0.0, t(3, 1)), ("e", 1, 343.0, 5.0, t(2, 1)), ("f", 1, 343.0, 5.0, t(1, 31, 23)), ("g", 1, None, 5.0, None)]
+    p = spark.createDataFrame([(*r, 0.0, 4.0 if r[0] == "a" else 50.0) for r in rows], "profile_id string, case_id long, lon double, lat double, time timestamp, depth_min double, depth_max double")
+    flags = {r.profile_id: (r.spatial, r.temporal, r.vertical) for r in tables.cyclic_overlap(p, cases).collect()}
+    assert flags == {"a": (True, True, False), "b": (True, True, True), "c": (False, True, True), "d": (True, False, True), "e": (True, True, True), "f": (True, False, True), "g": (False, False, True)}
+    assert sorted(tuple(r) for r in tables.cases_met(p, cases).collect()) == [("a", 0), ("b", 0), ("e", 1)]
+
+
 def test_guard_and_csv_output(spark, tmp_path):
     rows = spark.createDataFrame([("=1",), (" +1",), ("ok",), ("-",), ("@x",), (None,)], "t string")
     assert [r[0] for r in rows.select(guard_text(F.col("t"))).collect()] == ["'=1", "' +1", "ok", "'-", "'@x", None]
