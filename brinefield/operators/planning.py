@@ -1,21 +1,22 @@
 """Station planning: lattice split, greedy selection, reconstruction and hold-out scores.
 
-Designs run side by side under ``(case_id, design)``. A greedy round is one
-group-by for the best candidate; what a round adds is one station per design,
-so the stations travel as an array whose length is the asked-for budget.
+Designs run side by side under ``(case_id, design)``. A greedy round lowers each
+candidate's distance to its nearest station by the newest one and takes the best
+candidate of each design in one group-by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.functions.geo import haversine_km
+from brinefield.functions.geo import EARTH_RADIUS_KM, haversine_km
 from brinefield.operators.windows import split_row_number
-from brinefield.runtime import cut
+from brinefield.runtime import cut, free
 
 LATTICE = 6
 GRADIENT_WEIGHT, DISTANCE_WEIGHT = 0.65, 0.35
@@ -79,8 +80,11 @@ def _pool_constants(candidates: DataFrame) -> DataFrame:
 def select_stations(candidates: DataFrame, designs: Sequence[Design], budget: int, spacing_km: float) -> DataFrame:
     """greedy selection of every design at once; a design may come out short.
 
-    ``candidates(case_id, flat, lon, lat, value, gradient)``. Spacing is tested
-    before scoring; ties take the lowest index. Each round's stations are written.
+    ``candidates(case_id, flat, lon, lat, value, gradient)``. Spacing is tested before
+    scoring; scores equal to 12 digits tie, and ties take the lowest index. A candidate
+    carries the distance to its nearest station. A round lowers it by the newest station,
+    and only where the difference in latitude alone does not exceed it already; candidates
+    that are chosen or too near never come back and leave the pool.
     """
     lat, lon = F.col("lat"), F.col("lon")
     listed = F.array(*[F.struct(F.lit(d.name).alias("design"), F.lit(d.strategy).alias("strategy"), F.lit(d.seed).alias("seed")) for d in designs])
@@ -88,24 +92,27 @@ def select_stations(candidates: DataFrame, designs: Sequence[Design], budget: in
              .withColumns({"_grad": F.coalesce("gradient", F.lit(0.0)) / F.greatest("_g", F.lit(1e-15)),
                            "_centre": haversine_km(lat, lon, F.col("_mlat"), F.col("_mlon"))})
              .select("case_id", "flat", "lon", "lat", "value", "_grad", "_centre", "_diameter", F.inline(listed)))
-    pool = cut(ready.withColumn("_order", F.when(F.col("strategy") == "random", seeded_key(F.col("seed"), F.col("flat")))))
-    chosen = cut(pool.select(*DESIGN).distinct().withColumn("stations", F.lit(None).cast(STATIONS)))
+    order = F.when(F.col("strategy") == "random", seeded_key(F.col("seed"), F.col("flat"))).otherwise(F.lit(""))
+    pool = cut(ready.withColumns({"_order": order, "_near": F.lit(None).cast("double")}))
+    slots = cut(pool.select(*DESIGN).distinct())
+    chosen = []
     for turn in range(budget):
-        near = F.array_min(F.transform("stations", lambda s: haversine_km(lat, lon, s["lat"], s["lon"])))
-        rows = pool.join(chosen, DESIGN).withColumn("_near", F.coalesce(near, F.lit(float("inf"))))
-        taken = F.coalesce(F.exists("stations", lambda s: s["flat"] == F.col("flat")), F.lit(False))
+        if chosen:
+            newest = chosen[-1].select(*DESIGN, F.col("flat").alias("_f"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+            far = F.radians(F.abs(lat - F.col("_y"))) * EARTH_RADIUS_KM >= F.col("_near")
+            lowered = F.when(far, F.col("_near")).otherwise(F.least("_near", haversine_km(lat, lon, F.col("_y"), F.col("_x"))))
+            nearer = pool.join(newest, DESIGN).withColumn("_near", lowered).filter((F.col("_near") + 1e-10 >= spacing_km) & (F.col("flat") != F.col("_f")))
+            before, pool = pool, cut(nearer.drop("_f", "_x", "_y"))
+            free(before)
+        apart = F.col("_near") / F.col("_diameter")
         first = F.when(F.col("strategy") == "gradient", F.col("_grad")).otherwise(-F.col("_centre"))
-        later = F.when(F.col("strategy") == "gradient", GRADIENT_WEIGHT * F.col("_grad") + DISTANCE_WEIGHT * F.col("_near") / F.col("_diameter")).otherwise(
-            F.col("_near") / F.col("_diameter"))
-        score = F.when(F.col("strategy") == "random", F.lit(0.0)).otherwise(first if turn == 0 else later)
-        open_rows = rows.filter((F.col("_near") + 1e-10 >= spacing_km) & ~taken)
-        best = open_rows.groupBy(*DESIGN).agg(F.min_by(F.struct(
-            F.lit(turn + 1).alias("station"), "flat", "lon", "lat", F.col("value").alias("prior"),
-            F.when(F.col("_near") < float("inf"), F.col("_near")).alias("nearest_km")),
-            F.struct((-score).alias("s"), F.coalesce("_order", F.lit("")).alias("o"), "flat")).alias("_new"))
-        chosen = cut(chosen.join(best, DESIGN, "left").select(*DESIGN, F.when(
-            F.col("_new").isNull(), F.col("stations")).otherwise(F.concat(F.coalesce("stations", F.array().cast(STATIONS)), F.array("_new"))).cast(STATIONS).alias("stations")))
-    return chosen.withColumn("fulfilled", F.coalesce(F.size("stations"), F.lit(0)) == budget)
+        later = F.when(F.col("strategy") == "gradient", GRADIENT_WEIGHT * F.col("_grad") + DISTANCE_WEIGHT * apart).otherwise(apart)
+        score = F.when(F.col("strategy") == "random", F.lit(0.0)).otherwise(F.round(later if turn else first, 12))
+        best = F.min_by(F.struct("flat", "lon", "lat", F.col("value").alias("prior"), F.col("_near").alias("nearest_km")), F.struct((-score).alias("s"), F.col("_order").alias("o"), "flat"))
+        chosen.append(cut(pool.groupBy(*DESIGN).agg(best.alias("_b")).select(*DESIGN, F.lit(turn + 1).alias("station"), "_b.*")))
+    placed = reduce(DataFrame.unionByName, chosen)
+    stations = placed.groupBy(*DESIGN).agg(F.array_sort(F.collect_list(F.struct("station", "flat", "lon", "lat", "prior", "nearest_km"))).cast(STATIONS).alias("stations"))
+    return slots.join(stations, DESIGN, "left").withColumn("fulfilled", F.coalesce(F.size("stations"), F.lit(0)) == budget)
 
 
 def station_plan(chosen: DataFrame) -> DataFrame:
@@ -122,11 +129,12 @@ def reconstruct(targets: DataFrame, stations: DataFrame, keys: Sequence[str]) ->
     """
     keys = list(keys)
     own = targets.columns
+    targets = targets.withColumn("_t", F.monotonically_increasing_id())
     marks = stations.select(*keys, F.col("station").alias("_s"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("residual").alias("_r"))
     pairs = targets.join(marks, keys).withColumn("_d", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
     weight = F.lit(1.0) / (F.col("_d") * F.col("_d"))
     apart = F.col("_d") > 0
-    summed = pairs.groupBy(*own).agg(F.min(F.when(~apart, F.struct("_s", "_r"))).alias("_exact"), F.sum(F.when(apart, weight * F.col("_r"))).alias("_top"),
+    summed = pairs.groupBy("_t", *own).agg(F.min(F.when(~apart, F.struct("_s", "_r"))).alias("_exact"), F.sum(F.when(apart, weight * F.col("_r"))).alias("_top"),
                                      F.sum(F.when(apart, weight)).alias("_bottom"))
     mean = F.when(F.col("_exact").isNotNull(), F.col("_exact")["_r"]).otherwise(F.col("_top") / F.col("_bottom"))
     return summed.select(*own, (F.col("prior") + mean).alias("reconstructed"))

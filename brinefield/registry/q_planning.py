@@ -41,10 +41,49 @@ def f8(i):
     return pl.seeded_order(candidates(i), 7).select("case_id", "flat", "place")
 
 
-@query("F7_farthest_point_select")
+_D = "(2 * 6371.0088 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
+
+
+def _far(a, b):
+    return _D.format(a=f"{a}.lat", b=f"{b}.lat", c=f"{a}.lon", d=f"{b}.lon")
+
+
+_PREVIOUS = "(SELECT value FROM ok h WHERE h.case_id = g.case_id AND h.iy = {} AND h.ix = {})"
+_KX = _D.format(a="g.lat", b="g.lat", c="(85 + 0.25 * greatest(g.ix - 1, 0))", d="(85 + 0.25 * least(g.ix + 1, 14))")
+_KY = _D.format(a="(10 + 0.25 * greatest(g.iy - 1, 0))", b="(10 + 0.25 * least(g.iy + 1, 11))", c="g.lon", d="g.lon")
+register_cte("candidates", f"""
+WITH ok AS (SELECT *, {LAT} AS lat, {LON} AS lon FROM roles), g AS (SELECT case_id, flat, lat, lon, value,
+   coalesce(sqrt(pow(({_PREVIOUS.format('g.iy', 'least(g.ix + 1, 14)')} - {_PREVIOUS.format('g.iy', 'greatest(g.ix - 1, 0)')}) / {_KX}, 2)
+     + pow(({_PREVIOUS.format('least(g.iy + 1, 11)', 'g.ix')} - {_PREVIOUS.format('greatest(g.iy - 1, 0)', 'g.ix')}) / {_KY}, 2)), 0) AS gradient FROM ok g WHERE role = 'candidate'),
+ w AS (SELECT a.case_id, max({_far('a', 'b')}) AS diameter FROM g a JOIN g b USING (case_id) GROUP BY 1),
+ m AS (SELECT case_id, avg(lat) AS lat, avg(lon) AS lon, max(gradient) AS top FROM g GROUP BY 1)
+SELECT g.*, gradient / greatest(top, 1e-15) AS grad, {_far('g', 'm')} AS centre, greatest(diameter, 1e-15) AS diameter FROM g JOIN w USING (case_id) JOIN m USING (case_id)""", ("roles",))
+
+
+def register_plan(name, design):
+    """A design's greedy rounds as a recursive query: one station a step."""
+    first, later = {"gradient": ("grad", "0.65 * grad + 0.35 * near / diameter"), "coverage": ("-centre", "near / diameter"), "random": ("0", "0")}[design.strategy]
+    order = f"md5('{design.seed}:' || CAST(flat AS VARCHAR))" if design.strategy == "random" else "''"
+    at = "struct_pack(lat := 10 + 0.25 * (f // 15), lon := 85 + 0.25 * (f % 15))"
+    near = f"list_min(list_transform(s.flats, lambda f: {_D.format(a='c.lat', b=f'{at}.lat', c='c.lon', d=f'{at}.lon')}))"
+    register_cte(name, f"""/*recursive*/ SELECT case_id, 1 AS n, [flat] AS flats, flat, CAST(NULL AS DOUBLE) AS near
+ FROM (SELECT case_id, arg_min(flat, (-round({first}, 12), {order}, flat)) AS flat FROM candidates GROUP BY 1)
+ UNION ALL SELECT s.case_id, s.n + 1, list_append(s.flats, p.b.flat), p.b.flat, p.b.near FROM {name} s, LATERAL (
+  SELECT arg_min(struct_pack(flat := flat, near := near), (-round({later}, 12), {order}, flat)) AS b FROM (SELECT c.*, {near} AS near FROM candidates c WHERE c.case_id = s.case_id AND NOT list_contains(s.flats, c.flat))
+  WHERE near + 1e-10 >= {SPACING}) p WHERE s.n < {BUDGET} AND p.b IS NOT NULL""", ("candidates",))
+
+
+for _k, _design in enumerate(DESIGNS):
+    register_plan(f"plan{_k}", _design)
+_PLANS = tuple(f"plan{k}" for k in range(len(DESIGNS)))
+register_cte("plans", f"""SELECT p.*, p.lat0 + 0.25 * (flat // 15) AS lat, p.lon0 + 0.25 * (flat % 15) AS lon, max(n) OVER (PARTITION BY case_id, design) AS planned, c.value AS prior
+FROM ({' UNION ALL '.join(f"SELECT '{d.name}' AS design, 10 AS lat0, 85 AS lon0, case_id, n, flat, near FROM {p}" for p, d in zip(_PLANS, DESIGNS))}) p JOIN candidates c USING (case_id, flat)""", (*_PLANS, "candidates"))
+_PLAN = f"""SELECT case_id, design, planned = {BUDGET} AS fulfilled, n AS station, flat, lon, lat, prior, round(near, 6) AS nearest_km FROM plans"""
+
+
+@query("F7_farthest_point_select", f"{_PLAN} WHERE design IN ('selected', 'uniform')", ("plans",))
 def f7(i):
-    """Greedy rounds; tested against a brute-force search on a small fixture."""
-    return pl.station_plan(pl.select_stations(candidates(i), DESIGNS[:2], BUDGET, SPACING))
+    return pl.station_plan(pl.select_stations(candidates(i), DESIGNS[:2], BUDGET, SPACING)).withColumn("nearest_km", F.round("nearest_km", 6))
 
 
 _RANDOM = f"""
@@ -63,9 +102,6 @@ def f7b(i):
     return plan.select("case_id", "station", "flat")
 
 
-_D = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))"
-
-
 @query("F10_idw_reconstruct", f"""
 WITH st AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, row_number() OVER (PARTITION BY case_id ORDER BY flat) AS k, value FROM roles WHERE role = 'candidate'),
  s AS (SELECT st.*, g.value - st.value AS r FROM st JOIN grid g ON g.case_id = st.case_id AND g.it = 2 AND g.iz = {LEVEL} AND g.iy * 15 + g.ix = st.flat WHERE g.value IS NOT NULL),
@@ -74,10 +110,8 @@ WITH st AS (SELECT case_id, flat, {LAT} AS lat, {LON} AS lon, row_number() OVER
 SELECT case_id, flat, round(any_value(prior) + CASE WHEN min(d) = 0 THEN arg_min(r, d) ELSE sum(r / (d * d)) / sum(1 / (d * d)) END, 6) AS reconstructed FROM (SELECT *, min(d) OVER (PARTITION BY case_id, flat) AS dm FROM p) q
 WHERE dm > 0 OR d = 0 GROUP BY 1, 2""", ("roles", "grid"))
 def f10(i):
-    from pyspark.sql import Window
     rows = split(i)
-    k = F.row_number().over(Window.partitionBy("case_id").orderBy("flat"))
-    st = rows.filter("role = 'candidate'").withColumn("station", k)
+    st = rows.filter("role = 'candidate'").withColumn("station", F.col("flat"))
     later = i.cells.filter(f"it = 2 and iz = {LEVEL} and value is not null").select("case_id", "iy", "ix", F.col("value").alias("truth"))
     stations = st.join(later, ["case_id", "iy", "ix"]).select("case_id", "station", "lon", "lat", (F.col("truth") - F.col("value")).alias("residual"))
     targets = rows.select("case_id", "flat", "lat", "lon", F.col("value").alias("prior"))
@@ -94,9 +128,22 @@ def experiment(i):
     return pl.holdout_evaluation(chosen, evaluation, truth, FRAMES, BUDGET)
 
 
-@query("F11_holdout_evaluation")
+@query("F11_holdout_evaluation", f"""
+WITH later AS (SELECT case_id, it, iy * 15 + ix AS flat, value AS truth FROM grid WHERE iz = {LEVEL} AND it IN {FRAMES} AND value IS NOT NULL),
+ t AS (SELECT r.case_id, l.it, r.flat, {LAT} AS lat, {LON} AS lon, r.value AS prior, l.truth FROM roles r JOIN later l USING (case_id, flat) WHERE r.role = 'evaluation'),
+ c AS (SELECT case_id, it, count(*) AS evaluation_count FROM t GROUP BY 1, 2),
+ s AS (SELECT p.*, f.it, l.truth - p.prior AS r FROM plans p CROSS JOIN (SELECT unnest({list(FRAMES)}) AS it) f LEFT JOIN later l ON l.case_id = p.case_id AND l.it = f.it AND l.flat = p.flat),
+ o AS (SELECT case_id, design, it, any_value(planned) AS planned, count(r) AS observed FROM s GROUP BY 1, 2, 3),
+ runs AS (SELECT o.case_id, o.design, o.it, o.planned, coalesce(c.evaluation_count, 0) AS evaluation_count, CASE WHEN planned <> {BUDGET} THEN 'short_design' WHEN observed <> planned THEN 'missing_station'
+   WHEN c.evaluation_count IS NULL THEN 'no_targets' END AS reason FROM o LEFT JOIN c USING (case_id, it)),
+ d AS (SELECT s.design, t.case_id, t.it, t.flat, any_value(t.prior) + sum(s.r / pow({_far('t', 's')}, 2)) / sum(1 / pow({_far('t', 's')}, 2)) - any_value(t.truth) AS e
+   FROM t JOIN s USING (case_id, it) JOIN runs USING (case_id, design, it) WHERE runs.reason IS NULL GROUP BY 1, 2, 3, 4
+   UNION ALL SELECT 'persistence', case_id, it, flat, prior - truth FROM t),
+ e AS (SELECT design, case_id, it, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias FROM d GROUP BY 1, 2, 3)
+SELECT a.*, e.rmse, e.mae, e.bias, CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status
+FROM (SELECT * FROM runs UNION ALL SELECT case_id, 'persistence', it, 0, evaluation_count, NULL FROM c) a LEFT JOIN e USING (case_id, design, it)""", ("plans", "grid"))
 def f11(i):
-    """All designs and persistence at the held-out frames; tested against a brute-force run."""
+    """All designs and persistence at the held-out frames."""
     return experiment(i).withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "bias")})
 
 
@@ -107,7 +154,7 @@ def f11b(i):
     return experiment(i).filter("design = 'persistence'").select("case_id", "it", "evaluation_count", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")])
 
 
-@query("F12_station_plan")
+@query("F12_station_plan", _PLAN, ("plans",))
 def f12(i):
     return pl.station_plan(pl.select_stations(candidates(i), DESIGNS, BUDGET, SPACING)).withColumn("nearest_km", F.round("nearest_km", 6))
 
