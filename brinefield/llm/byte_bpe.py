@@ -308,6 +308,10 @@ class Encoder:
                 begin, chars = end + 1, 0
         return out + (self._encode(texts[begin:]) if begin < len(texts) else [])
 
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text with their byte offsets, the text's length last: what decoding takes."""
+        return [(ids, self.offsets(ids)) for ids in self.encode(texts)]
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         joined = "\n".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -345,27 +349,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _run(path: str, ids_out: bool, offsets: bool = False):
+def _run(path: str, columns: tuple[str, ...]):
+    """Encode each batch; ``columns`` of doc_id, n_tokens, ids, offsets, ids_sha256 and decoded_sha256 come out. Decoding takes the offsets that encoding gave."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
+        make = {"n_tokens": lambda i, o: i.size, "ids": lambda i, o: i.tobytes(), "offsets": lambda i, o: o[:-1].astype("<u4").tobytes(),
+                "ids_sha256": lambda i, o: hashlib.sha256(i.tobytes()).hexdigest(), "decoded_sha256": lambda i, o: hashlib.sha256(coder.decode(i, o)).hexdigest()}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for begin, end in _groups(texts):
-                ids = coder.encode(texts[begin:end])
-                doc_ids = batch.column(0).slice(begin, end - begin)
-                count = pa.array([len(i) for i in ids], pa.int64())
-                if ids_out:
-                    columns = [doc_ids, count, pa.array([i.tobytes() for i in ids], pa.binary())]
-                    if offsets:
-                        columns.append(pa.array([coder.offsets(i)[:-1].astype("<u4").tobytes() for i in ids], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "offsets"][:len(columns)])
-                else:
-                    yield pa.RecordBatch.from_arrays([doc_ids, count, pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]),
-                                                      pa.array([hashlib.sha256(coder.decode(i)).hexdigest() for i in ids])],
-                                                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                coded = coder.encode_with_offsets(texts[begin:end])
+                given = [pa.array([make[c](i, o) for i, o in coded], KINDS[c]) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *given], names=["doc_id", *columns])
     return run
 
 
+KINDS = {"n_tokens": pa.int64(), "ids": pa.binary(), "offsets": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def _mapped(docs: DataFrame, path: str, *columns: str) -> DataFrame:
+    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    return _input(docs).mapInArrow(_run(path, columns), ", ".join(["doc_id long", *(f"{c} {kinds[KINDS[c]]}" for c in columns)]))
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``CHUNK_CHARS`` characters."""
     begin, chars = 0, 0
@@ -387,21 +393,34 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
     Null and empty texts have no ids. Repeated rows come out as often as they go in; other
     columns are not looked at; an empty table gives no rows.
     """
-    return _input(docs).mapInArrow(_run(path, True, offsets), "doc_id long, n_tokens long, ids binary" + ", offsets binary" * offsets)
+    return _mapped(docs, path, "n_tokens", "ids", *["offsets"] * offsets)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``encode`` with offsets and, decoded from both, ``decoded_sha256`` of each text's bytes (lowercase hex)."""
+    return _mapped(docs, path, "n_tokens", "ids", "offsets", "decoded_sha256")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, content)``: the bytes of encoded documents."""
+    """``(doc_id, content)``: the bytes of encoded documents, by their offsets where they were kept."""
+    kept = "offsets" in encoded.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            content = [coder.decode(np.frombuffer(i.as_py(), "<u4")) for i in batch.column(1)]
+            content = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                ids = np.frombuffer(row[0], "<u4")
+                stops = np.append(np.frombuffer(row[1], "<u4"), 0).astype(np.int64) if kept else None
+                if kept and ids.size:
+                    stops[-1] = stops[-2] + coder.offsets(ids[-1:])[-1]
+                content.append(coder.decode(ids, stops))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], names=["doc_id", "content"])
 
     ship(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
+    return encoded.select("doc_id", "ids", *["offsets"] * kept).mapInArrow(run, "doc_id long, content binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of encoding and decoding each text, in one pass without a shuffle."""
-    return _input(docs).mapInArrow(_run(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, path, "n_tokens", "ids_sha256", "decoded_sha256")
