@@ -57,6 +57,14 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(0).cast("bigint"))
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` has it (names are compared without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's vocabulary file; it is installed on every machine."""
     import public_tokenizers

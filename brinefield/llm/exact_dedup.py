@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import ship, whole_text
+from brinefield.llm.common import fresh_name, ship, whole_text
 from brinefield.runtime import cut
 
 FILTER, STORED, INSERT, DELETE = range(4)
@@ -247,14 +247,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = cut(exact_groups(docs))
     repeats = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     gone = groups.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha256", F.sha2(whole_text().cast("binary"), 256))
+    sha = fresh_name(docs, "_sha256")
+    marked = docs.withColumn(sha, F.sha2(whole_text().cast("binary"), 256))
 
     def same(other: DataFrame):
-        return marked["doc_id"].cast("long").eqNullSafe(other["_id"]) & (marked["_sha256"] == other["_sha"])
+        return marked["doc_id"].cast("long").eqNullSafe(other["_id"]) & (marked[sha] == other["_sha"])
 
     stays = marked.join(gone, same(gone), "left_anti")
     if not repeats.isEmpty():
         marked = stays
-        again = marked.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", "_sha256"])
+        again = marked.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", sha])
         stays = marked.join(repeats, same(repeats), "left_anti").unionByName(again)
-    return stays.drop("_sha256")
+    return stays.drop(sha)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import SPACES, WORD, whole_text
+from brinefield.llm.common import fresh_name, SPACES, WORD, whole_text
 
 GAP = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -97,8 +97,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with failing lines removed from the text, all columns kept; documents that fail stay out."""
+    row = fresh_name(docs, "_row")
     lines = F.filter(F.split(whole_text(), "\n", -1), lambda x: failing_rule(x).isNull())
     verdict = judge(docs.select("doc_id", F.col("text")).withColumn("doc_id", F.xxhash64("doc_id", "text")))
-    good = verdict.filter("kept").select(F.col("doc_id").alias("_row")).distinct()
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    return marked.join(good, "_row", "left_semi").drop("_row").withColumn("text", F.array_join(lines, "\n"))
+    good = verdict.filter("kept").select(F.col("doc_id").alias(row)).distinct()
+    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id"), F.col("text")))
+    return marked.join(good, row, "left_semi").drop(row).withColumn("text", F.array_join(lines, "\n"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import WORD, whole_text
+from brinefield.llm.common import fresh_name, WORD, whole_text
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -74,8 +74,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
 
 def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed table: every row of ``docs`` as often as the mix takes it, all columns kept."""
-    plan = targets(sizes(docs), weights, most).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan["_source"]), "left")
+    source, rate, copies, copy = (fresh_name(docs, n) for n in ("_source", "_rate", "_copies", "_copy"))
+    plan = targets(sizes(docs), weights, most).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan[source]), "left")
     draw = uniform(F.lit(seed), F.col("doc_id").cast("long"), F.md5(whole_text().cast("binary")))
-    copies = (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    return joined.withColumn("_copies", copies).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    times = (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    return joined.withColumn(copies, times).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)
