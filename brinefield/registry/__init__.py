@@ -16,5 +16,5 @@ def oracle_sql():
 
 def _load():
     from brinefield.registry import (  # noqa: F401
-        q_collocation, q_exclusion, q_fields, q_planning, q_regions, q_scalars, q_selection, q_series, q_sources,
+        q_collocation, q_exclusion, q_exports, q_fields, q_planning, q_regions, q_scalars, q_selection, q_series, q_sources,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,11 @@ def export_tables(tables: Mapping[str, DataFrame], root: str, meta: Mapping[str,
         guarded(df, meta).write.partitionBy(*partition_by).csv(f"{root.rstrip('/')}/{name}", header=True, nullValue="")
 
 
+def read_exported(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """An exported table (one that was not partitioned) with the types it was written from."""
+    return spark.read.csv(f"{root.rstrip('/')}/{name}", header=True, schema=schema)
+
+
 def evolution_tables(result) -> dict[str, DataFrame]:
     """Region-correspondence tables; nodes are named ``t<frame>:r<label>``."""
     def node(it, label):
