@@ -25,8 +25,9 @@ component are done. What is left after ``ROUNDS`` rounds are lists of sets that
 not link. Their members are compared in chunks of ``CHUNK`` by parity sketches: bit k is
 the parity of the shingles that hash to k, so two sketches never differ in more bits than
 their sets differ in shingles. That bound is certain: a pair beyond the most that linked
-sets can differ is no link, and only the few other pairs become rows and are intersected.
-So a family of thousands of near copies costs a few times its size, and no link is lost.
+sets can differ is no link. Of the other pairs a forest becomes rows and is intersected, so
+rows stay below a list's length; sketches get finer from round to round, and no link is lost.
+(The comparisons themselves, some nanoseconds each, grow with the square of such a list.)
 """
 
 from __future__ import annotations
@@ -42,17 +43,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import ship, whole_text
+from brinefield.llm.common import fresh_name, ship, whole_text
 from brinefield.llm.line_dedup import SEGMENTED, SHIP_BYTES, TWICE_BITS, Bloom, packed_by_segment, probe, shipped, twice_seen
 from brinefield.operators.components import components
-from brinefield.runtime import cut
+from brinefield.runtime import cut, free
 
 SHINGLE = 3
 PERCENT = 90
 SPARE = 3
 BAND = 1.5
 ROUNDS = 2
-CHUNK = 1024
+CHUNK = 8192
+#: Bits a shingle of each comparison of lists, and whether only a forest of the possible links is verified.
+FINER = ((2, True), (8, True), (8, False))
 LARGEST_LIGHT = 39
 MOST_SUBSETS = 5_000
 PER_SEGMENT = 5_000
@@ -121,6 +124,30 @@ def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
+def shingle_sets(texts: list[str], width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """``shingle_set`` of each text; words are hashed and shingled for some hundred kilobytes of texts at a time."""
+    held, size = [], 0
+    for k, text in enumerate(texts, 1):
+        held.append(text.encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size < 1 << 19 and k < len(texts):
+            continue
+        data = b"\n".join(held)
+        solid = np.frombuffer(data, np.uint8)
+        solid = ~((solid == 32) | ((solid >= 9) & (solid <= 13)))
+        before = np.concatenate([[False], solid[:-1]])
+        begins = np.concatenate([[0], np.cumsum(solid & ~before)])
+        at = np.cumsum([0, *(len(h) + 1 for h in held)])
+        edges = begins[np.minimum(at, begins.size - 1)].tolist()
+        words = word_hashes(data)
+        h = np.full(max(0, words.size - width + 1), np.uint64(width), np.uint64)
+        for j in range(width):
+            h = mix(h * _FACTORS[0] + words[j:words.size - width + 1 + j])
+        for raw, a, b in zip(held, edges, edges[1:]):
+            yield np.unique(h[a:b - width + 1]) if b - a >= width else shingle_set(raw.decode("utf-8", "surrogatepass"), width)
+        held, size = [], 0
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if 100 * min(a.size, b.size) < percent * max(a.size, b.size):
         return False
@@ -243,10 +270,10 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
 
 # ---- sketches -----------------------------------------------------------------
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles at each of at least two bits a shingle, a power of two of them."""
+def sketch(s: np.ndarray, each: int = 2) -> bytes:
+    """Parity of the shingles at each of at least ``each`` bits a shingle, a power of two of them."""
     bits = 256
-    while bits < 2 * s.size:
+    while bits < each * s.size:
         bits *= 2
     return np.packbits((np.bincount((mix(s ^ _FACTORS[1]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -260,10 +287,15 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return rows
 
 
-def near_pairs(rows: np.ndarray, n: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of left and right positions in different components whose sketches leave a link possible."""
+def near_pairs(rows: np.ndarray, n: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT, taken: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of left and right positions in different components whose sketches leave a link possible.
+
+    With ``taken`` each right position is paired with its first left one only, and marked.
+    """
     for i in left.tolist():
         near = right[right > i]
+        if taken is not None:
+            near = near[~taken[near]]
         near = near[(part[near] != part[i]) & (100 * np.minimum(n[i], n[near]) >= percent * np.maximum(n[i], n[near]))]
         if not near.size:
             continue
@@ -271,6 +303,8 @@ def near_pairs(rows: np.ndarray, n: np.ndarray, part: np.ndarray, left: np.ndarr
         most = total - 2 * -(-percent * total // (100 + percent))
         differ = np.bitwise_count(rows[near] ^ rows[i]).sum(axis=1, dtype=np.int64)
         near = near[differ <= most]
+        if taken is not None:
+            taken[near] = True
         if near.size:
             yield np.full(near.size, i), near
 
@@ -291,8 +325,7 @@ def _measure(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, nodes = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
+            for s in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(s.size)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 nodes.append(class_number(s, salt))
@@ -304,15 +337,21 @@ def _measure(width: int, salt: int):
 def _keys(width: int, percent: int, light: int, salt: int | None = None):
     """(node, n, keys, sizes, needs) of each text. Light keys have the subset's size, heavy keys -1 - band.
 
-    The node is the text's class where a salt is given, else the first column.
+    The node is the text's class where a salt is given, and each class of a batch enters
+    once; else the first column.
     """
     reach = reach_of(light, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, needs, counts, nodes = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
+            keys, sizes, needs, counts, nodes, seen = [], [], [], [], [], set()
+            for s in shingle_sets(batch.column(1).to_pylist(), width):
+                if salt is not None:
+                    node = class_number(s, salt)
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    nodes.append(node)
                 k, z, w = [], [], []
                 if 0 < s.size <= reach and light:
                     a, b = light_keys(s, percent)
@@ -328,8 +367,6 @@ def _keys(width: int, percent: int, light: int, salt: int | None = None):
                 sizes.append(np.concatenate(z) if z else np.zeros(0, np.int64))
                 needs.append(np.concatenate(w) if w else np.zeros(0, np.int64))
                 counts.append(s.size)
-                if salt is not None:
-                    nodes.append(class_number(s, salt))
             stops = np.concatenate([[0], np.cumsum([k.size for k in keys])]).astype(np.int32)
             whole = [pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))) for x, t in ((keys, np.int64), (sizes, np.int32), (needs, np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(0) if salt is None else pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), *whole], names=["node", "n", "keys", "sizes", "needs"])
@@ -339,7 +376,7 @@ def _keys(width: int, percent: int, light: int, salt: int | None = None):
 def _sets(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            found = list(shingle_sets(batch.column(1).to_pylist(), width))
             yield pa.RecordBatch.from_arrays([pa.array([class_number(s, salt) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())],
                                              names=["node", "members", "sketch"])
     return run
@@ -440,12 +477,15 @@ def _members(listed: DataFrame) -> DataFrame:
 
     Two passes: dropping a set can leave others alone on a list.
     """
-    found = listed.distinct()
+    found = cut(listed.distinct())
     for _ in range(2):
         shared = cut(found.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"))
-        found = cut(found.join(shared, "key", "left_semi"))
-        enough = found.groupBy("node", "size").agg(F.count("*").alias("_c"), F.max("need").alias("_need")).filter("_c >= _need").select("node", "size")
-        found = cut(found.join(enough, ["node", "size"], "left_semi"))
+        several = cut(found.join(shared, "key", "left_semi"))
+        free(found)
+        enough = several.groupBy("node", "size").agg(F.count("*").alias("_c"), F.max("need").alias("_need")).filter("_c >= _need").select("node", "size")
+        found = cut(several.join(enough, ["node", "size"], "left_semi"))
+        free(several)
+        free(shared)
     return found
 
 
@@ -468,8 +508,12 @@ def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(named.join(mixed, "key", "left_semi"))
 
 
-def _compare(percent: int):
-    """Rows (key, i, j, node, n, part, sketch, side) in order: pairs of chunk i with chunk j of a list that may link."""
+def _compare(percent: int, forest: bool):
+    """Rows (key, i, j, node, n, part, sketch, side) in order: pairs of chunk i with chunk j of a list that may link.
+
+    As a forest each member is paired with the smallest other one that it may link with, so
+    a list gives fewer pairs than it has members.
+    """
     def pairs(run: list[tuple]) -> tuple[list[int], list[int]]:
         node, n, part, raw, side = zip(*run)
         order = np.argsort(np.array(node), kind="stable")
@@ -477,16 +521,17 @@ def _compare(percent: int):
         rows = folded([raw[k] for k in order.tolist()])
         both = np.arange(nodes.size)
         groups = [(both, both)] if (sides == 0).all() else [(both[sides == 0], both[sides == 1]), (both[sides == 1], both[sides == 0])]
+        taken = np.zeros(nodes.size, bool) if forest else None
         a, b = [], []
         for left, right in groups:
-            for x, y in near_pairs(rows, sizes, parts, left, right, percent):
+            for x, y in near_pairs(rows, sizes, parts, left, right, percent, taken):
                 a += nodes[x].tolist()
                 b += nodes[y].tolist()
         return a, b
 
-    def emit(run):
+    def emit(key, run):
         a, b = pairs(run) if len(run) > 1 else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -496,16 +541,23 @@ def _compare(percent: int):
                 place = (columns[0][k], columns[1][k], columns[2][k])
                 if place != current:
                     if held:
-                        yield emit(held)
+                        yield emit(current[0], held)
                     current, held = place, []
                 held.append(tuple(c[k] for c in columns[3:]))
         if held:
-            yield emit(held)
+            yield emit(current[0], held)
     return run
 
 
-def _leftover(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` across components of the open lists that the sketches let pass.
+def _sketched(each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(m, np.uint64), each) for m in batch.column(1).to_pylist()], pa.binary())], names=["node", "sketch"])
+    return run
+
+
+def _leftover(open_: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs ``(key, a, b)`` across components of the open lists that the sketches let pass.
 
     A list of more than ``CHUNK`` members is cut into chunks by a hash of the node, and
     each pair of its chunks is a group of its own, so no task holds a long list.
@@ -515,24 +567,39 @@ def _leftover(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_o")
     dealt = spread.select("key", "node", "n", "part", "_c", other).select(
         "key", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "node", "n", "part", (F.col("_c") > F.col("_o")).cast("int").alias("side"))
-    rows = dealt.join(sets.select("node", "sketch"), "node").select("key", "i", "j", "node", "n", "part", "sketch", "side")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent), "a long, b long").distinct()
+    rows = dealt.join(sketches, "node").select("key", "i", "j", "node", "n", "part", "sketch", "side")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent, forest), "key long, a long, b long")
 
 
 def heavy_links(members: DataFrame, sets: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between members ``(key, node, n)`` of the inverted lists that the components need, added to ``edges``."""
+    """Links between members ``(key, node, n)`` of the inverted lists that the components need, added to ``edges``.
+
+    First ``ROUNDS`` rounds of one head a list. Then lists are compared by sketches, each
+    time with finer ones, and only a forest of the possible links is verified. A list
+    without a possible link is done for good, because the sketches' bound is certain. What
+    the finest sketches still leave open is verified pair by pair.
+    """
     fits = (F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n")) & (F.col("part") != F.col("_part"))
-    for number in range(ROUNDS + 1):
+    for number in range(ROUNDS):
         open_ = _labelled(members, edges).select("key", "node", "n", "part")
         if open_.isEmpty():
-            break
-        if number < ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(number)).alias("o"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-            ahead = cut(open_.groupBy("key").agg(F.min(order).alias("_head")).select("key", "_head._node", "_head._n", "_head._part"))
-            pairs = open_.join(ahead, "key").filter(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        else:
-            pairs = _leftover(open_, sets, percent)
+            return edges
+        order = F.struct(F.xxhash64("node", F.lit(number)).alias("o"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("part").alias("_part"))
+        ahead = cut(open_.groupBy("key").agg(F.min(order).alias("_head")).select("key", "_head._node", "_head._n", "_head._part"))
+        pairs = open_.join(ahead, "key").filter(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         edges = cut(edges.unionByName(_confirmed(cut(pairs), sets, percent)))
+        members = open_.select("key", "node", "n")
+    for each, forest in FINER:
+        open_ = _labelled(members, edges).select("key", "node", "n", "part")
+        if open_.isEmpty():
+            return edges
+        sketches = sets.select("node", "sketch") if each == 2 else (
+            sets.join(cut(open_.select("node").distinct()), "node", "left_semi").select("node", "members").mapInArrow(_sketched(each), "node long, sketch binary"))
+        found = cut(_leftover(open_, sketches, percent, forest))
+        if found.isEmpty():
+            return edges
+        edges = cut(edges.unionByName(_confirmed(cut(found.select("a", "b").distinct()), sets, percent)))
+        members = cut(open_.join(cut(found.select("key").distinct()), "key", "left_semi").select("key", "node", "n"))
     return edges
 
 
@@ -568,7 +635,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     same_set = real.join(classes.filter("_c > 1").select("node", "_id", "_row"), "node")
     copies = cut(same_set.filter("doc_id != _id OR row != _row").select("doc_id", "row", "_id").distinct())
     equal = copies.filter("_id < doc_id").select(F.col("_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    keyed = cut(texts.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "row"], "left_anti").select("doc_id", "text")
+    keyed = cut(texts.filter("doc_id IS NOT NULL").select("doc_id", "text")
                 .mapInArrow(_keys(width, percent, light, salt), "node long, n int, keys array<long>, sizes array<int>, needs array<int>"))
     members = _members(_repeated(keyed))
 
@@ -587,5 +654,6 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept: of each component the smallest doc_id; documents without shingles and null ids stay."""
-    gone = cut(near_copies(docs, width, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "_gone")
+    gone = cut(near_copies(docs, width, percent).filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
