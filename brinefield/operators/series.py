@@ -18,6 +18,7 @@ from brinefield.runtime import cut, observed
 POOL_DAYS = 5
 SMOOTH_DAYS = 15
 CALENDAR = 366
+PLACES = 12  # smoothed curves; sums of doubles differ in the last bits with their order
 FEB29 = 59
 MIN_RUN = 5
 MAX_GAP = 2
@@ -107,11 +108,15 @@ def feb29_fill(pool: DataFrame) -> DataFrame:
 
 
 def circular_smooth(curve: DataFrame, columns: tuple[str, ...] = ("mean", "threshold")) -> DataFrame:
-    """Centred 31-day mean around the 366-day circle; the ends are padded, then one row frame runs."""
+    """Centred 31-day mean around the 366-day circle; the ends are padded, then one row frame runs.
+
+    Means are rounded to ``PLACES``, so that a day whose value equals its threshold is no exceedance
+    by the last bits of a sum.
+    """
     shift = F.when(F.col("doy") < SMOOTH_DAYS, CALENDAR).when(F.col("doy") >= CALENDAR - SMOOTH_DAYS, -CALENDAR)
     pads = curve.filter(shift.isNotNull()).withColumn("doy", F.col("doy") + shift)
     w = Window.partitionBy("loc").orderBy("doy").rowsBetween(-SMOOTH_DAYS, SMOOTH_DAYS)
-    return (curve.unionByName(pads).withColumns({c: F.sum(c).over(w) / (2 * SMOOTH_DAYS + 1) for c in columns})
+    return (curve.unionByName(pads).withColumns({c: F.round(F.sum(c).over(w) / (2 * SMOOTH_DAYS + 1), PLACES) for c in columns})
             .filter(F.col("doy").between(0, CALENDAR - 1)))
 
 

@@ -51,6 +51,13 @@ def test_strict_threshold_and_first_peak(spark, flat):
     assert (e["peak_date"] - D0).days == 2 and e["max_intensity"] == 8.0 and e["cumulative_intensity"] == 34.0 and e["duration_days"] == 5
 
 
+def test_value_on_a_smoothed_threshold_is_no_exceedance(spark):
+    curve = spark.range(366).select(F.lit(0).alias("loc"), F.col("id").cast("int").alias("doy"), F.lit(0.0).alias("mean"), F.lit(4.6).alias("threshold"))
+    day = spark.createDataFrame([(0, D0, 4.6), (0, D0 + timedelta(days=1), 4.7)], "loc int, d date, v double")
+    rows = ts.exceedance(day, ts.circular_smooth(curve)).orderBy("d").collect()
+    assert [r["above"] for r in rows] == [False, True]
+
+
 def test_incomplete_baseline_is_refused(spark):
     days = [D0.replace(year=2000, month=1, day=1) + timedelta(days=k) for k in range(731)]
     rows = [(loc, d, 1.0) for loc in (0, 1) for d in days if not (loc == 1 and d == days[40])]
