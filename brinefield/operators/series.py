@@ -170,12 +170,15 @@ def event_days(events: DataFrame) -> DataFrame:
 
 
 def event_metrics(marked: DataFrame, events: DataFrame) -> DataFrame:
-    """Duration, bridged days, first peak date, intensities and open boundaries of each event."""
+    """Duration, bridged days, first peak date, intensities and open boundaries of each event.
+
+    Anomalies equal to nine places are one peak, dated by its first day.
+    """
     anomaly = F.col("v") - F.col("mean")
     stats = marked.join(event_days(events), ["loc", "d"]).groupBy("loc", "event_id").agg(
         F.count("*").alias("duration_days"), F.count_if("above").alias("exceedance_days"), F.avg(anomaly).alias("mean_intensity"),
         F.max(anomaly).alias("max_intensity"), F.sum(anomaly).alias("cumulative_intensity"),
-        F.min_by("d", F.struct((-anomaly).alias("a"), "d")).alias("peak_date"))
+        F.min_by("d", F.struct((-F.round(anomaly, 9)).alias("a"), "d")).alias("peak_date"))
     return (events.join(stats, ["loc", "event_id"])
             .withColumns({"bridged_days": F.col("duration_days") - F.col("exceedance_days"), "complete_boundaries": ~(F.col("left_unknown") | F.col("right_unknown"))}))
 

@@ -58,6 +58,12 @@ def test_value_on_a_smoothed_threshold_is_no_exceedance(spark):
     assert [r["above"] for r in rows] == [False, True]
 
 
+def test_equal_peaks_take_the_first_day(spark):
+    curve = spark.range(366).selectExpr("0 AS loc", "cast(id AS int) AS doy", "CASE WHEN id = 62 THEN 0.1D ELSE 0.2D END AS mean", "0.25D AS threshold")
+    e = detect(spark, curve, [0.0, 0.5, 0.4, 0.3, 0.3, 0.3, 0.0])[0][2]
+    assert 0.4 - 0.1 > 0.5 - 0.2 and (e["peak_date"] - D0).days == 1
+
+
 def test_incomplete_baseline_is_refused(spark):
     days = [D0.replace(year=2000, month=1, day=1) + timedelta(days=k) for k in range(731)]
     rows = [(loc, d, 1.0) for loc in (0, 1) for d in days if not (loc == 1 and d == days[40])]
