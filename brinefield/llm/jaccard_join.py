@@ -55,7 +55,7 @@ BAND = 1.5
 ROUNDS = 2
 CHUNK = 8192
 #: Bits a shingle of each comparison of lists, and whether only a forest of the possible links is verified.
-FINER = ((2, True), (8, True), (8, False))
+FINER = ((1, True), (8, True), (8, False))
 LARGEST_LIGHT = 39
 MOST_SUBSETS = 5_000
 PER_SEGMENT = 5_000
@@ -270,7 +270,7 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
 
 # ---- sketches -----------------------------------------------------------------
 
-def sketch(s: np.ndarray, each: int = 2) -> bytes:
+def sketch(s: np.ndarray, each: int = FINER[0][0]) -> bytes:
     """Parity of the shingles at each of at least ``each`` bits a shingle, a power of two of them."""
     bits = 256
     while bits < each * s.size:
@@ -383,10 +383,32 @@ def _sets(width: int, salt: int):
 
 
 def _verify(percent: int):
+    """Rows (a, b, members) in order, the two sets of a pair after one another: the pairs that link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            a, b = (batch.column(k) for k in (2, 3))
-            ok = [linked(np.frombuffer(a[k].as_py(), np.uint64), np.frombuffer(b[k].as_py(), np.uint64), percent) for k in range(batch.num_rows)]
+            found = []
+            for pair, raw in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2)):
+                members = np.frombuffer(raw.as_py(), np.uint64)
+                if held is not None and held[0] == pair:
+                    if linked(held[1], members, percent):
+                        found.append(pair)
+                    held = None
+                else:
+                    held = pair, members
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
+
+
+def _passing(percent: int):
+    """The pairs (a, b, total, sketch, sketch) whose sketches leave a link possible; total is the sum of the sizes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for total, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                rows = folded([x, y])
+                ok.append(int(np.bitwise_count(rows[0] ^ rows[1]).sum()) <= total - 2 * -(-percent * total // (100 + percent)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
@@ -490,10 +512,17 @@ def _members(listed: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link, by exact intersection."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("_b")), "b").select("a", "b", "_a", "_b")
-    return cut(both.mapInArrow(_verify(percent), "a long, b long"))
+    """Of distinct pairs those whose sets link, by exact intersection. Each pair fetches its two sets; no other set moves unless the pairs are many."""
+    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    both = wanted.join(sets.select("node", "members"), "node").select("a", "b", "members")
+    return cut(both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verify(percent), "a long, b long"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``(a, b, total)`` the pairs that the sketches let pass: a set is some 64 times as long as its sketch."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("sketch").alias(f"_{side}")), side)
+    return cut(pairs.select("a", "b", "total", "_a", "_b").mapInArrow(_passing(percent), "a long, b long"))
 
 
 def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -586,14 +615,14 @@ def heavy_links(members: DataFrame, sets: DataFrame, edges: DataFrame, percent:
             return edges
         order = F.struct(F.xxhash64("node", F.lit(number)).alias("o"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("part").alias("_part"))
         ahead = cut(open_.groupBy("key").agg(F.min(order).alias("_head")).select("key", "_head._node", "_head._n", "_head._part"))
-        pairs = open_.join(ahead, "key").filter(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        edges = cut(edges.unionByName(_confirmed(cut(pairs), sets, percent)))
+        pairs = open_.join(ahead, "key").filter(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), (F.col("n") + F.col("_n")).cast("long").alias("total")).distinct()
+        edges = cut(edges.unionByName(_confirmed(_possible(cut(pairs), sets, percent), sets, percent)))
         members = open_.select("key", "node", "n")
     for each, forest in FINER:
         open_ = _labelled(members, edges).select("key", "node", "n", "part")
         if open_.isEmpty():
             return edges
-        sketches = sets.select("node", "sketch") if each == 2 else (
+        sketches = sets.select("node", "sketch") if each == FINER[0][0] else (
             sets.join(cut(open_.select("node").distinct()), "node", "left_semi").select("node", "members").mapInArrow(_sketched(each), "node long, sketch binary"))
         found = cut(_leftover(open_, sketches, percent, forest))
         if found.isEmpty():
@@ -643,7 +672,9 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     heavy = members.filter("size < 0").select("key", "node", "n")
     owners = classes.select("node", F.col("_id").alias("doc_id"), F.col("_row").alias("row"))
     wanted = cut(heavy.select("node").distinct().join(owners, "node").select("doc_id", "row"))
-    sets = cut(texts.join(wanted, ["doc_id", "row"], "left_semi").select("doc_id", "text").mapInArrow(_sets(width, salt), "node long, members binary, sketch binary").dropDuplicates(["node"]))
+    sets = cut(texts.join(wanted, ["doc_id", "row"], "left_semi").select("doc_id", "text").mapInArrow(_sets(width, salt), "node long, members binary, sketch binary"))
+    if sets.count() > wanted.count():  # rows that repeat id and text; sets are long, so they move for nothing less
+        sets = cut(sets.dropDuplicates(["node"]))
     edges = heavy_links(heavy, sets, edges, percent)
     left, right = (classes.select(F.col("node").alias(side), F.col("_id").alias(f"_{side}")) for side in ("a", "b"))
     linked_ids = edges.join(left, "a").join(right, "b").filter("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,21 @@ def test_hot_family_makes_few_pairs(spark):
     rows = [(k, " ".join(base[:50 + k % 300] + [f"x{k}"] + base[50 + k % 300:])) for k in range(400)]
     got = jj.near_copies(frame(spark, rows)).agg(F.min("component_id"), F.max("component_id")).first()
     assert tuple(got) == (0, 0)
+
+
+def test_only_sets_of_possible_links_move(spark, monkeypatch):
+    """Unrelated sets on one list are told apart by their sketches; the linked two are fetched and confirmed."""
+    rng = np.random.default_rng(5)
+    found = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)]
+    found.append(np.unique(np.concatenate([found[0][5:], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])))
+    sets = spark.createDataFrame([(k, s.tobytes(), jj.sketch(s)) for k, s in enumerate(found)], "node long, members binary, sketch binary")
+    members = spark.createDataFrame([(7, k, s.size) for k, s in enumerate(found)], "key long, node long, n int")
+    none, asked, real = spark.createDataFrame([], "a long, b long"), [], jj._confirmed
+
+    def watched(pairs, *rest):
+        asked.extend((r["a"], r["b"]) for r in pairs.collect())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jj, "_confirmed", watched)
+    links = {(r["a"], r["b"]) for r in jj.heavy_links(members, sets, none).collect()}
+    assert links == {(0, 30)} and set(asked) == {(0, 30)}
