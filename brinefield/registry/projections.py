@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinefield.operators.axes import axis_index
-from brinefield.runtime import checkpoint_root, cut
+from brinefield.runtime import checkpoint_root, cut, spread
 from brinefield.sources.fields import read_columns, read_field, write_field
 
 # Axis values of every projected case (plain test data).
@@ -249,7 +249,7 @@ class Inputs:
     @cached_property
     def daily(self) -> DataFrame:
         counts = self.sql(DAILY_COUNTS, "orders")
-        calendar = counts.select("loc").distinct().select("loc", F.explode(F.sequence(
+        calendar = spread(counts.select("loc").distinct(), "loc").select("loc", F.explode(F.sequence(
             F.lit("1995-01-01").cast("date"), F.lit("2001-07-31").cast("date"))).alias("d"))
         total = F.coalesce("n", F.lit(0)).cast("double") + 0.25 * F.coalesce("m", F.lit(0)).cast("double")
         return calendar.join(counts, ["loc", "d"], "left").select("loc", "d", total.alias("v"))

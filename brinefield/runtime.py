@@ -63,6 +63,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal ``df`` by ``keys`` over a fixed number of partitions, twice the session's.
+
+    Adaptive execution merges partitions by their compressed size and does not see what a step
+    makes of them afterwards, such as a calendar for every key or a table of distinct names. A
+    given number stays; one equal to the session's would be dropped after a group-by of the same keys.
+    """
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """``cut`` with aggregates of the same rows, counted by the write itself instead of a pass of their own."""
     watch = Observation()

@@ -164,3 +164,11 @@ def test_numbers_in_statements(spark):
     values = [0.0, 1.0, -1.5, 1234567.0, 999999.5, 123456.0, 1.234e-5, -0.00012345678, 0.1 + 0.2, 1e300, 2 / 3, 100.0]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", six_digits(F.col("v")).alias("t")).collect()
     assert {r["v"]: r["t"] for r in got} == {v: f"{v:.6g}" for v in values}
+
+
+def test_calendar_of_each_location_stays_spread(spark, tmp_path):
+    """Few bytes of locations become a calendar each, so they are not merged into one task."""
+    from brinefield.registry.projections import Inputs
+    spark.range(4000).selectExpr("id AS o_orderkey", "id * 125 AS o_custkey", "timestamp_ntz'1996-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    days = Inputs(spark, str(tmp_path)).daily.select("loc", "d").withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(F.count_distinct("loc").alias("n")).collect()
+    assert sum(r["n"] for r in days) == 1000 and max(r["n"] for r in days) < 400
