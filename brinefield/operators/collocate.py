@@ -238,8 +238,12 @@ def event_context(profiles: DataFrame, events: DataFrame, columns: DataFrame, bo
 
 
 def profiles_in_months(profiles: DataFrame, months: DataFrame) -> DataFrame:
-    """Profiles whose first time falls in a set of ``yyyy-MM`` months."""
-    return profiles.withColumn("month", F.date_format("ts", "yyyy-MM")).join(months, "month", "left_semi")
+    """Profiles whose first time falls in a set of ``yyyy-MM`` months.
+
+    The months are written first, so that Catalyst knows how few they are: a join that
+    shuffles and sorts by month would put all profiles of one month into one task.
+    """
+    return profiles.withColumn("month", F.date_format("ts", "yyyy-MM")).join(cut(months.select("month").distinct()), "month", "left_semi")
 
 
 def contrast_pair(a: DataFrame, b: DataFrame, keys: Sequence[str], tol: float) -> DataFrame:
