@@ -181,7 +181,7 @@ def test_learned_products_need_provenance():
 
 def test_months_are_no_shuffle_key(spark):
     """Profiles of few months stay where they are: no sort by month in one task."""
-    profiles = spark.range(50, numPartitions=4).selectExpr("id AS profile_id", "timestamp'2024-01-05 00:00:00' AS ts")
+    profiles = spark.range(50, numPartitions=4).selectExpr("id AS profile_id", "timestamp_seconds(1704412800 + id * 3600) AS ts")
     got = co.profiles_in_months(profiles, spark.createDataFrame([("2023-12",), ("2024-01",), ("2024-01",)], "month string"))
-    parts = [r["p"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-    assert got.count() == 50 and len(parts) == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 50 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
