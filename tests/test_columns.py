@@ -87,3 +87,39 @@ def test_velocity_between_frames(spark, make_axes):
                                    "k int, case_id long, lon double, lat double, ts timestamp")
     got = {r.k: (r.status, r.u) for r in sel.space_time_sample(points, cells, axes, frames, "k", 0).collect()}
     assert got == {0: ("ok", 5.5), 1: ("ok", 10.0), 2: ("missing", None), 3: ("outside", None), 4: ("forcing_exhausted", None)}
+
+
+def test_points_are_ranked_in_their_tile(spark):
+    """P16 by brute force: chunks of cases, groups of points, ids and keys that repeat, unknown times, the date line; no window over pairs."""
+    rng = random.Random(16)
+    span = lambda: sorted(T0 + timedelta(days=rng.randrange(20)) for _ in range(2))
+    cases = []
+    for k in range(60):
+        west, south = rng.randrange(-180, 180, 5), rng.randrange(-60, 50, 5)
+        cases.append((f"c{k % 50}", float(west), float((west + rng.choice([12, 200, 340]) + 180) % 360 - 180), float(south), float(south + 35), *span()))
+    cases.append(("c3", -180.0, 180.0, -90.0, 90.0, None, T0 + timedelta(days=9)))
+    points = [(k, float(rng.randrange(-180, 180)), float(rng.randrange(-70, 70)), T0 + timedelta(days=rng.randrange(20)) if k % 11 else None) for k in range(150)]
+    again = [(7, 10.0, 20.0, T0), (None, 10.0, 20.0, T0), (None, -170.0, 5.0, T0)]
+
+    def brute(rows):
+        pairs = {}
+        for key, lon, lat, ts in rows:
+            for name, west, east, south, north, start, end in cases:
+                east += 360 if east < west else 0
+                if not any(west <= lon + 360 * turn <= east for turn in (-1, 0, 1)) or not south <= lat <= north:
+                    continue
+                out = ts is not None and (start is not None and ts < start or end is not None and ts > end)
+                overlap = False if out else None if None in (ts, start, end) else True
+                pairs.setdefault(key, []).append(({True: 0, False: 1, None: 2}[overlap], name, overlap))
+        return sorted(((str(key), name, str(overlap), rank) for key, found in pairs.items()
+                       for rank, (_, name, overlap) in enumerate(sorted(found, key=lambda r: r[:2]), 1)))
+
+    c = spark.createDataFrame(cases, "context_id string, west double, east double, south double, north double, time_start timestamp, time_end timestamp")
+    p = spark.createDataFrame(points, "event_id long, lon double, lat double, ts timestamp")
+    whole = sel.points_in_cases(p, c, "event_id")
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert whole.schema.simpleString() == "struct<event_id:bigint,context_id:string,time_overlap:boolean,rank:int>"
+    chunks = sel.points_in_cases(p.union(spark.createDataFrame(again, p.schema)), c, "event_id", 2, 3)
+    for got, rows in ((whole, points), (chunks, points + again)):
+        assert sorted((str(r.event_id), r.context_id, str(r.time_overlap), r["rank"]) for r in got.collect()) == brute(rows)
+    assert sel.points_in_cases(p, c.filter("false"), "event_id").count() == 0
