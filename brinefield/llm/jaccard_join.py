@@ -373,9 +373,28 @@ def _keys(width: int, percent: int, light: int, salt: int | None = None):
     return run
 
 
-def _sets(width: int, salt: int):
+def _numbers(wanted: DataFrame, ship_bytes: int = SHIP_BYTES):
+    """The numbers of a one-column table, sorted, as a broadcast variable if they are small enough, else None.
+
+    Texts and sets are long: a table of eight bytes a row tells tasks which of them to keep, and none of them moves.
+    """
+    if 8 * wanted.count() > ship_bytes:
+        return None
+    return wanted.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
+
+
+def _among(batch: pa.RecordBatch, chosen) -> pa.RecordBatch:
+    """The rows whose first column is among the chosen numbers; all of them where none are given."""
+    if chosen is None:
+        return batch
+    at, known = batch.column(0).to_numpy(), chosen.value
+    return batch.filter(pa.array(known[np.minimum(np.searchsorted(known, at), known.size - 1)] == at if known.size else np.zeros(at.size, bool)))
+
+
+def _sets(width: int, salt: int, chosen=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _among(batch, chosen)
             found = list(shingle_sets(batch.column(1).to_pylist(), width))
             yield pa.RecordBatch.from_arrays([pa.array([class_number(s, salt) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())],
                                              names=["node", "members", "sketch"])
@@ -512,8 +531,10 @@ def _members(listed: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs those whose sets link, by exact intersection. Each pair fetches its two sets; no other set moves unless the pairs are many."""
+    """Of distinct pairs those whose sets link, by exact intersection. Each pair fetches its two sets; no other set moves unless the pairs pass ``SHIP_BYTES``."""
     wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    if 48 * pairs.count() <= SHIP_BYTES:
+        wanted = F.broadcast(wanted)
     both = wanted.join(sets.select("node", "members"), "node").select("a", "b", "members")
     return cut(both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verify(percent), "a long, b long"))
 
@@ -578,9 +599,10 @@ def _compare(percent: int, forest: bool):
     return run
 
 
-def _sketched(each: int):
+def _sketched(each: int, chosen=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _among(batch, chosen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(m, np.uint64), each) for m in batch.column(1).to_pylist()], pa.binary())], names=["node", "sketch"])
     return run
 
@@ -622,8 +644,13 @@ def heavy_links(members: DataFrame, sets: DataFrame, edges: DataFrame, percent:
         open_ = _labelled(members, edges).select("key", "node", "n", "part")
         if open_.isEmpty():
             return edges
-        sketches = sets.select("node", "sketch") if each == FINER[0][0] else (
-            sets.join(cut(open_.select("node").distinct()), "node", "left_semi").select("node", "members").mapInArrow(_sketched(each), "node long, sketch binary"))
+        if each == FINER[0][0]:
+            sketches = sets.select("node", "sketch")
+        else:
+            nodes = cut(open_.select("node").distinct())
+            chosen = _numbers(nodes)
+            left = sets if chosen is not None else sets.join(nodes, "node", "left_semi")
+            sketches = left.select("node", "members").mapInArrow(_sketched(each, chosen), "node long, sketch binary")
         found = cut(_leftover(open_, sketches, percent, forest))
         if found.isEmpty():
             return edges
@@ -672,7 +699,10 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     heavy = members.filter("size < 0").select("key", "node", "n")
     owners = classes.select("node", F.col("_id").alias("doc_id"), F.col("_row").alias("row"))
     wanted = cut(heavy.select("node").distinct().join(owners, "node").select("doc_id", "row"))
-    sets = cut(texts.join(wanted, ["doc_id", "row"], "left_semi").select("doc_id", "text").mapInArrow(_sets(width, salt), "node long, members binary, sketch binary"))
+    number = F.xxhash64("doc_id", "row").alias("_number")
+    chosen = _numbers(wanted.select(number))
+    left = texts.filter("doc_id IS NOT NULL") if chosen is not None else texts.join(wanted, ["doc_id", "row"], "left_semi")
+    sets = cut(left.select(number, "text").mapInArrow(_sets(width, salt, chosen), "node long, members binary, sketch binary"))
     if sets.count() > wanted.count():  # rows that repeat id and text; sets are long, so they move for nothing less
         sets = cut(sets.dropDuplicates(["node"]))
     edges = heavy_links(heavy, sets, edges, percent)

@@ -298,3 +298,30 @@ def test_only_sets_of_possible_links_move(spark, monkeypatch):
     monkeypatch.setattr(jj, "_confirmed", watched)
     links = {(r["a"], r["b"]) for r in jj.heavy_links(members, sets, none).collect()}
     assert links == {(0, 30)} and set(asked) == {(0, 30)}
+
+
+@pytest.mark.parametrize("ship", [1 << 20, 0])
+def test_near_copies_move_no_text(spark, monkeypatch, ship):
+    """Texts and sets are picked where they lie; past the shipped size they are joined, with the same result."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(900)]
+    rows = []
+    for k in range(12):
+        text = [rng.choice(words) for _ in range(300)]
+        rows += [(10 * k + j, " ".join(text[:150] + [f"x{j}"] * (j > 0) + text[150:])) for j in range(3)]
+    rows += [(5, rows[0][1]), (5, rows[0][1]), (None, rows[0][1]), (999, None)]
+    plans, real, numbers = [], jj.cut, jj._numbers
+
+    def watched(df):
+        if "members" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(jj, "cut", watched)
+    monkeypatch.setattr(jj, "_numbers", lambda wanted: numbers(wanted, ship))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert Counter(map(tuple, jj.near_copies(frame(spark, rows)).collect())) == brute_near(rows, 3, 90)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and ("hashpartitioning(doc_id" in plans[0]) == (ship == 0)
