@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from brinefield.operators.axes import axis_index
 from brinefield.runtime import checkpoint_root, cut, spread
-from brinefield.sources.fields import read_columns, read_field, write_field
+from brinefield.sources.fields import read_columns, read_field, write_cells, write_columns
 
 # Axis values of every projected case (plain test data).
 DEPTHS = (0.0, 10.0, 30.0, 60.0, 100.0, 160.0, 250.0)
@@ -179,11 +179,11 @@ class Inputs:
 
     @cached_property
     def _field(self) -> str:
-        """Path of the field, stored once per session in both forms. Present cells only; an absent cell is a missing cell."""
+        """Path of the field, its long form stored once per session. Present cells only; an absent cell is a missing cell."""
         key = (self.spark.sparkContext.applicationId, self.dir, "field")
         if key not in _settled:
             path = f"{checkpoint_root(self.spark)}/field-{uuid.uuid4().hex}"
-            write_field(self.sql(GRID, "lineitem"), path)
+            write_cells(self.sql(GRID, "lineitem"), path)
             _settled[key] = path
         return _settled[key]
 
@@ -193,7 +193,11 @@ class Inputs:
 
     @cached_property
     def columns(self) -> DataFrame:
-        """The same field as water columns with arrays over depth."""
+        """The same field as water columns with arrays over depth, stored once per session when a query first asks for them."""
+        key = (self.spark.sparkContext.applicationId, self.dir, "columns")
+        if key not in _settled:
+            write_columns(self.grid, self._field)
+            _settled[key] = self._field
         return read_columns(self.spark, self._field)
 
     @property

@@ -31,9 +31,19 @@ def column_packed(cells: DataFrame) -> DataFrame:
 
 
 def write_field(cells: DataFrame, path: str) -> None:
-    """Store ``cells(case_id, it, iz, iy, ix, ...)``; every other column is a variable of the field."""
+    """Store ``cells(case_id, it, iz, iy, ix, ...)`` in both forms; every other column is a variable of the field."""
+    write_cells(cells, path)
+    write_columns(read_field(cells.sparkSession, path, cells.schema), path)
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Store the long form alone."""
     cells.repartitionByRange("it", "case_id").sortWithinPartitions(*ORDER).write.partitionBy("it").parquet(f"{path}/cells")
-    packed = column_packed(read_field(cells.sparkSession, path, cells.schema))
+
+
+def write_columns(cells: DataFrame, path: str) -> None:
+    """Store the water columns beside the long form."""
+    packed = column_packed(cells)
     packed.repartitionByRange("it", "case_id").sortWithinPartitions("it", "case_id", "iy", "ix").write.partitionBy("it").parquet(f"{path}/columns")
 
 

@@ -160,3 +160,18 @@ def test_contacts_look_at_all_neighbours(spark, make_axes):
         assert got[region]["touches_missing"] == any(k not in values for k in inside)
         assert got[region]["shallow"] == any(k[1] == 0 for k in members) and got[region]["east"] == any(k[3] == 10 for k in members)
         assert got[region]["touches_boundary"] == (len(inside) < len(near))
+
+
+def test_regions_store_no_water_columns(spark):
+    """R3 reads cells alone; the second form of the field is stored when a query first asks for it, and is the same field."""
+    from pathlib import Path
+
+    from brinefield.registry import projections as pj
+    from brinefield.registry import queries
+    folder = "/root/testdata/sf0.001"
+    pj._settled.clear()
+    assert queries()["R3_rank_regions"](spark, folder).count() > 0
+    inputs = pj.Inputs(spark, folder)
+    assert not Path(inputs._field, "columns").exists()
+    assert inputs.columns.selectExpr("explode(value) AS v").filter("v IS NOT NULL").count() == inputs.grid.filter("value IS NOT NULL").count()
+    assert Path(inputs._field, "columns").exists()
