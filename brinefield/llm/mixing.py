@@ -6,6 +6,9 @@ with sources in order of cap over weight, those below the level stop at their ca
 rest share by weight. A source's rate is target over size. Each document goes out
 floor(rate) times, plus once more when a hash of seed, id and text falls below the
 fraction, so reruns, retries and other partitionings agree.
+
+The table of sources is written before the join. Its true size is known then, so texts stay
+where they lie; a join with an aggregate would shuffle and sort all texts by source first.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinefield.llm.common import fresh_name, WORD, whole_text
+from brinefield.runtime import cut
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -66,8 +70,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     same number. An empty table gives no rows.
     """
     sized = sizes(docs)
-    plan = targets(sized, weights, most)
-    joined = sized.join(plan.withColumnRenamed("source", "_source"), sized["source"].eqNullSafe(F.col("_source")), "left")
+    plan = cut(targets(sized, weights, most).withColumnRenamed("source", "_source"))
+    joined = sized.join(plan, sized["source"].eqNullSafe(F.col("_source")), "left")
     copies = F.floor("rate") + (uniform(F.lit(seed), F.col("doc_id"), F.col("text_md5")) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
@@ -75,7 +79,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
 def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed table: every row of ``docs`` as often as the mix takes it, all columns kept."""
     source, rate, copies, copy = (fresh_name(docs, n) for n in ("_source", "_rate", "_copies", "_copy"))
-    plan = targets(sizes(docs), weights, most).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    plan = cut(targets(sizes(docs), weights, most).select(F.col("source").alias(source), F.col("rate").alias(rate)))
     joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan[source]), "left")
     draw = uniform(F.lit(seed), F.col("doc_id").cast("long"), F.md5(whole_text().cast("binary")))
     times = (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("long")).cast("int")

@@ -346,6 +346,22 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.mix(none).count() == mixing.emit(none).count() == 0
 
 
+def test_mix_moves_no_text(spark):
+    """Beside the written table of sources neither way joins by a shuffle; past the threshold of a broadcast the rows are the same."""
+    docs = spark.createDataFrame([(k, f"word {k} " * (k % 7), f"s{k % 5}" if k % 6 else None) for k in range(300)], "doc_id long, text string, source string")
+    docs = docs.repartition(3)
+    ways = [mixing.mix(docs), mixing.emit(docs)]
+    for got in ways:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    few = [Counter(map(tuple, got.collect())) for got in ways]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert few == [Counter(map(tuple, way(docs).collect())) for way in (mixing.mix, mixing.emit)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_taken_words_come_near_the_target(spark):
     rows = [(k, "w " * (1 + k % 40), f"s{k % 4}") for k in range(8000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
