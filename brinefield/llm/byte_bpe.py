@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import ship, whole_text
+from brinefield.llm.common import ship, slices, whole_text
 
 CACHE = 500_000
 LONGEST = 64
@@ -355,7 +355,7 @@ def _run(path: str, columns: tuple[str, ...]):
         coder = encoder(path)
         make = {"n_tokens": lambda i, o: i.size, "ids": lambda i, o: i.tobytes(), "offsets": lambda i, o: o[:-1].astype("<u4").tobytes(),
                 "ids_sha256": lambda i, o: hashlib.sha256(i.tobytes()).hexdigest(), "decoded_sha256": lambda i, o: hashlib.sha256(coder.decode(i, o)).hexdigest()}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = batch.column(1).to_pylist()
             for begin, end in _groups(texts):
                 coded = coder.encode_with_offsets(texts[begin:end])

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,9 @@ PACKAGE = Path(__file__).resolve().parents[1]
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Text that a Python task turns into objects at a time. A worker keeps what its largest step took, and the next stages run beside that.
+SLICE_BYTES = 1 << 20
+
 _shipped: set[str] = set()
 
 
@@ -47,6 +54,17 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in order, in views of about ``most`` bytes of one string or binary column; a longer value comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

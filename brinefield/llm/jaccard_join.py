@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import fresh_name, ship, whole_text
+from brinefield.llm.common import fresh_name, ship, slices, whole_text
 from brinefield.llm.line_dedup import SEGMENTED, SHIP_BYTES, TWICE_BITS, Bloom, packed_by_segment, probe, shipped, twice_seen
 from brinefield.operators.components import components
 from brinefield.runtime import cut, free
@@ -323,7 +323,7 @@ def class_number(s: np.ndarray, salt: int) -> int:
 
 def _measure(width: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sizes, digests, nodes = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(s.size)
@@ -343,8 +343,8 @@ def _keys(width: int, percent: int, light: int, salt: int | None = None):
     reach = reach_of(light, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, needs, counts, nodes, seen = [], [], [], [], [], set()
+        for batch, seen in ((part, known) for whole in batches for known in [set()] for part in slices(whole, 1)):
+            keys, sizes, needs, counts, nodes = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 if salt is not None:
                     node = class_number(s, salt)
@@ -393,8 +393,7 @@ def _among(batch: pa.RecordBatch, chosen) -> pa.RecordBatch:
 
 def _sets(width: int, salt: int, chosen=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _among(batch, chosen)
+        for batch in (part for whole in batches for part in slices(_among(whole, chosen), 1)):
             found = list(shingle_sets(batch.column(1).to_pylist(), width))
             yield pa.RecordBatch.from_arrays([pa.array([class_number(s, salt) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())],
                                              names=["node", "members", "sketch"])
@@ -601,8 +600,7 @@ def _compare(percent: int, forest: bool):
 
 def _sketched(each: int, chosen=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _among(batch, chosen)
+        for batch in (part for whole in batches for part in slices(_among(whole, chosen), 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(np.frombuffer(m, np.uint64), each) for m in batch.column(1).to_pylist()], pa.binary())], names=["node", "sketch"])
     return run
 

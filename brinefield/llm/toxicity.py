@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinefield.llm.common import fold, ship, whole_text
+from brinefield.llm.common import fold, ship, slices, whole_text
 from brinefield.runtime import cut
 
 SAMPLE = 16_000
@@ -213,8 +213,8 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 # ---- learning -----------------------------------------------------------------
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and word beginnings of each text, each once a text: term, is_stem, n."""
-    for batch in batches:
+    """Words and word beginnings of each text, each once a text: term, is_stem, n; summed by slice, as a batch has too many to hold."""
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         counts: dict[tuple[str, bool], int] = {}
         for text in batch.column(0).to_pylist():
             found = set()
@@ -235,7 +235,7 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add four minimum hashes of each text's three-word windows."""
     salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         found = []
         for text in batch.column(1).to_pylist():
             words = np.array([zlib.crc32(w.encode()) for w in text.split()] or [0], np.uint64)
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pickle.loads(packed)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             texts, toxic = (c.to_pylist() for c in batch.columns)
             for a, b in _groups(texts):
                 seen = list(kinds(texts[a:b], found))
@@ -363,7 +363,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = pickle.loads(packed)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = batch.column(1).to_pylist()
             for a, b in _groups(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ready.scores(texts[a:b]), pa.float64())], names=["doc_id", "score"])
@@ -380,7 +380,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = pickle.loads(packed)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = np.concatenate([ready.scores(texts[a:b]) < 0.5 for a, b in _groups(texts)]) if texts else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))

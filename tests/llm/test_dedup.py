@@ -6,12 +6,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brinefield.llm import exact_dedup as ex
 from brinefield.llm import jaccard_join as jj
 from brinefield.llm import line_dedup as ld
+from brinefield.llm.common import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -325,3 +327,21 @@ def test_near_copies_move_no_text(spark, monkeypatch, ship):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plans and ("hashpartitioning(doc_id" in plans[0]) == (ship == 0)
+
+
+def test_a_large_batch_is_taken_in_slices():
+    """A worker keeps what its largest step took: no step makes objects or keys of a whole batch, and no row is lost or repeated."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(1500)] + ["y " * 900_000, "", None, "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts]), pa.array(range(len(texts)))], names=["doc_id", "text", "row"])
+    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), 0, 1 << 18))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= 1 << 18 for p in parts)
+    whole = list(jj.shingle_sets([t or "" for t in texts], 5))
+    measured = list(jj._measure(5, 0)(iter([batch])))
+    assert len(measured) > 3 and [n for p in measured for n in p.column(2).to_pylist()] == [s.size for s in whole]
+    keyed = list(jj._keys(5, 80, 0, 0)(iter([batch])))
+    assert max(p.nbytes for p in keyed) < 4 << 20
+    nodes = [n for p in keyed for n in p.column(0).to_pylist()]
+    assert nodes == list(dict.fromkeys(jj.class_number(s, 0) for s in whole))
+    assert list(slices(batch.slice(0, 0), 1)) == []
