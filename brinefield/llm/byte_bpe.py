@@ -383,7 +383,7 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, small=True)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
@@ -417,7 +417,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 content.append(coder.decode(ids, stops))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], names=["doc_id", "content"])
 
-    ship(encoded.sparkSession)
+    ship(encoded.sparkSession, small=True)
     return encoded.select("doc_id", "ids", *["offsets"] * kept).mapInArrow(run, "doc_id long, content binary")
 
 

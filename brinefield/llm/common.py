@@ -22,11 +22,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text that a Python task turns into objects at a time. A worker keeps what its largest step took, and the next stages run beside that.
 SLICE_BYTES = 1 << 20
 
+#: Most bytes of rows that Spark hands a Python task of a step over whole texts at a time. By count alone a batch is 10,000 texts, some 35 MB, which the JVM and the worker each hold
+#: beside their heaps, and keep for what follows.
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's code to the executors once per application, so that their Python workers can import it."""
+def ship(spark: SparkSession, small: bool = False) -> SparkSession:
+    """Send this package's code to the executors once per application, so that their Python workers can import it.
+
+    ``small`` batches hold ``BATCH_BYTES`` at most, until a step without them is built; they only save memory. A limit that the session has set itself stays.
+    """
+    limit = spark.conf.get(BATCH_LIMIT, None)
+    if small and limit is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    elif not small and limit == str(BATCH_BYTES):
+        spark.conf.unset(BATCH_LIMIT)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         target = Path(tempfile.mkdtemp(prefix="code-")) / f"{PACKAGE.name}.zip"

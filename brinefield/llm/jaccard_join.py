@@ -59,6 +59,7 @@ FINER = ((1, True), (8, True), (8, False))
 LARGEST_LIGHT = 39
 MOST_SUBSETS = 5_000
 PER_SEGMENT = 5_000
+REMEMBERED = 10_000
 
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -337,13 +338,16 @@ def _measure(width: int, salt: int):
 def _keys(width: int, percent: int, light: int, salt: int | None = None):
     """(node, n, keys, sizes, needs) of each text. Light keys have the subset's size, heavy keys -1 - band.
 
-    The node is the text's class where a salt is given, and each class of a batch enters
-    once; else the first column.
+    The node is the text's class where a salt is given, and each class enters once among
+    the last ``REMEMBERED`` ones of a task; else the first column.
     """
     reach = reach_of(light, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, seen in ((part, known) for whole in batches for known in [set()] for part in slices(whole, 1)):
+        seen: set[int] = set()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            if len(seen) > REMEMBERED:
+                seen.clear()
             keys, sizes, needs, counts, nodes = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 if salt is not None:
@@ -673,7 +677,7 @@ def near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     one document that has the links of all its texts. A null id has component_id null and
     takes no part. Other columns are not looked at; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, small=True)
     texts = _keyed_docs(docs)
     for salt in count():
         measured = cut(texts.mapInArrow(_measure(width, salt), "doc_id long, row long, n int, whole binary, node long"))

@@ -331,7 +331,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled documents, chosen by a hash of the id; without toxic ones the model never hits."""
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, small=True)
     rows = training_rows(docs, labels, sample)
     terms, base = _candidates(rows)
     if not terms:
@@ -358,7 +358,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Repeated rows score alike; other columns are not looked at; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, small=True)
     packed = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +374,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that score below one half, all columns kept, in one pass."""
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, small=True)
     packed = pickle.dumps(model)
     at = docs.columns.index("text")
 

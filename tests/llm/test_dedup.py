@@ -10,10 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from brinefield.llm import byte_bpe, toxicity
 from brinefield.llm import exact_dedup as ex
 from brinefield.llm import jaccard_join as jj
 from brinefield.llm import line_dedup as ld
-from brinefield.llm.common import slices
+from brinefield.llm.common import BATCH_BYTES, BATCH_LIMIT, ship, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -329,6 +330,38 @@ def test_near_copies_move_no_text(spark, monkeypatch, ship):
     assert plans and ("hashpartitioning(doc_id" in plans[0]) == (ship == 0)
 
 
+def test_steps_over_texts_take_small_batches(spark):
+    """A batch by count alone is 10,000 whole texts, in the JVM and in the worker; other steps and a session's own limit are left alone."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    texts = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 200).alias("text"))
+    ship(spark)
+    want = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert max(r["size"] for r in want) > 4 * BATCH_BYTES
+    for build in (lambda: jj.near_copies(texts), lambda: byte_bpe.encode(texts, "nowhere"), lambda: toxicity.score(texts, toxicity.Model(None, {}))):
+        ship(spark)
+        build()
+        found = texts.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 1.5 * BATCH_BYTES
+    ship(spark)
+    assert texts.mapInArrow(sizes, "n long, size long").collect() == want
+    spark.conf.set(BATCH_LIMIT, "2m")
+    ship(spark, small=True)
+    ship(spark)
+    assert spark.conf.get(BATCH_LIMIT) == "2m"
+    spark.conf.unset(BATCH_LIMIT)
+
+
+def test_classes_enter_once_across_batches():
+    """Small batches leave no more copies of a class to the lists than large ones did."""
+    texts = [f"one two three four five six {k % 50}" for k in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 100)), pa.array(texts[a:a + 100])], names=["doc_id", "text"]) for a in range(0, 400, 100)]
+    nodes = [n for p in jj._keys(5, 80, 0, 0)(iter(batches)) for n in p.column(0).to_pylist()]
+    assert len(nodes) == len(set(nodes)) == 50
+
+
 def test_a_large_batch_is_taken_in_slices():
     """A worker keeps what its largest step took: no step makes objects or keys of a whole batch, and no row is lost or repeated."""
     rng = random.Random(4)
