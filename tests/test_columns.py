@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from test_collocate import T0, readings
 
@@ -123,3 +124,27 @@ def test_points_are_ranked_in_their_tile(spark):
     for got, rows in ((whole, points), (chunks, points + again)):
         assert sorted((str(r.event_id), r.context_id, str(r.time_overlap), r["rank"]) for r in got.collect()) == brute(rows)
     assert sel.points_in_cases(p, c.filter("false"), "event_id").count() == 0
+
+
+def test_pairs_of_alike_points_are_written_in_blocks(spark, tmp_path):
+    """Points of one position and standing share their list of cases, so a written pair takes a fraction of a byte; three bytes before, when each point wrote its own."""
+    points = spark.range(600).selectExpr("id AS event_id", "id % 2 + 1.5D AS lon", "2.0D AS lat", "timestamp_seconds(1704067200 + id) AS ts")
+    cases = spark.range(3001).selectExpr("concat('ctx-', id) AS context_id", "0.0D AS west", "12.0D AS east", "0.0D AS south", "15.0D AS north",
+                                         "timestamp_seconds(1704067200 + 300) AS time_start", "timestamp_seconds(1704067200 + 900) AS time_end")
+    sel.points_in_cases(points, cases, "event_id").write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    each = got.groupBy("event_id", "time_overlap").agg({"rank": "min", "context_id": "approx_count_distinct"}).count()
+    ordered = got.groupBy("context_id").agg({"rank": "max"}).sort("context_id").collect()
+    assert (got.count(), each, [r[1] for r in ordered]) == (600 * 3001, 600, list(range(1, 3002)))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * 600 * 3001
+
+
+def test_blocks_hold_each_pair_once():
+    counts, pairs = np.array([1, 7, 8, 9, 600, 5, 3]), np.array([3, 0, 40000, 5, 129, 1, 20000])
+    stand, first, size, low, deep = sel._blocks(counts, pairs)
+    assert (size * deep).max() <= sel.CELLS and size[stand == 4].max() == sel.BROAD and set(size[size > 1] % 8) == {0}
+    for k, (n, m) in enumerate(zip(counts, pairs)):
+        seen = np.zeros((n, m), int)
+        for b in np.flatnonzero(stand == k):
+            seen[first[b]:first[b] + size[b], low[b]:low[b] + deep[b]] += 1
+        assert (seen == 1).all()
