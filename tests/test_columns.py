@@ -148,3 +148,24 @@ def test_blocks_hold_each_pair_once():
         for b in np.flatnonzero(stand == k):
             seen[first[b]:first[b] + size[b], low[b]:low[b] + deep[b]] += 1
         assert (seen == 1).all()
+
+
+def test_copies_of_points_are_ranked_in_their_tile(spark):
+    """Points that repeat with their key, as the window ranks them, without a window over pairs; keys with several places still need one."""
+    rng = random.Random(61)
+    cases = [(f"c{k % 25}", float(w := rng.randrange(-20, 20, 5)), w + 12.0, float(s := rng.randrange(-20, 10, 5)), s + 15.0, T0 + timedelta(days=rng.randrange(9)), T0 + timedelta(days=9)) for k in range(30)]
+    c = spark.createDataFrame(cases, "context_id string, west double, east double, south double, north double, time_start timestamp, time_end timestamp")
+    points = [(k, float(rng.randrange(-20, 20)), float(rng.randrange(-20, 20)), T0 + timedelta(days=rng.randrange(12)) if k % 5 else None) for k in range(40)]
+    schema = "event_id long, lon double, lat double, ts timestamp"
+    copies, others = [p for p in points for _ in range(1 + p[0] % 4)], [(3, 1.0, 1.0, T0), (6, *points[6][1:3], T0 + timedelta(days=40)), (None, 1.0, 1.0, T0), (None, 1.0, 1.0, T0)]
+    for rows, sizes in ((copies, ()), (copies, (3, 2)), (copies + others, (3, 2))):
+        p = spark.createDataFrame(rows, schema)
+        got = sel.points_in_cases(p, c, "event_id", *sizes)
+        if not sizes:
+            assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        p.createOrReplaceTempView("p16_points")
+        c.createOrReplaceTempView("p16_cases")
+        want = spark.sql("""SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY time_overlap DESC, context_id) AS rank FROM (
+            SELECT event_id, context_id, ts BETWEEN time_start AND time_end AS time_overlap FROM p16_points JOIN p16_cases ON lon BETWEEN west AND east AND lat BETWEEN south AND north)""")
+        key = lambda r: (str(r.event_id), r["rank"], r.context_id, str(r.time_overlap))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
